@@ -33,10 +33,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` with its lineage cut by a compressed table in the shared folder."""
+    at = work_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.stored_at = at
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that nothing will read again, and let the
+    driver's cleaner drop the shuffle files behind them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        released(spark)
 
 
 def worker_cache(key: str, make: Callable[[], object]) -> object:

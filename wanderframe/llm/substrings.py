@@ -9,7 +9,10 @@ Not all suffixes are sorted.  In each window of LENGTH bytes the least hash of i
 ``GRAM``-byte strings is its anchor; equal windows have equal anchors at the same offset, so
 windows whose anchor occurs once repeat nothing.  Neighbouring windows of one anchor make a
 run.  Runs with equal bytes repeat as a whole; one of each, and all runs that share an
-anchor only, go on to the suffix sort.
+anchor only, are cut into blocks of ``BLOCK`` windows at fixed offsets from the anchor.
+Again blocks with equal bytes repeat as a whole, and a block whose core, the bytes that all
+its windows have, occurs once repeats nothing.  The windows of what is left, at the edges of
+repeated passages, go on to the suffix sort.
 """
 
 from __future__ import annotations
@@ -22,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, released, stored
+from .common import forget, pieces, stored
 
-LENGTH, GRAM = 200, 64
+LENGTH, GRAM, BLOCK = 200, 64, 16
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 LOW = np.uint64((1 << 24) - 1)
 
@@ -59,13 +62,13 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first window, last window, anchor hash, content hash) of every run of windows."""
+    """(text, first window, last window, anchor, anchor's hash, content hash) of every run."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(lens) - lens
     h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
     fits = lens >= LENGTH
     if not fits.any():
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     packed = (h & ~LOW) | np.arange(len(h), dtype=np.uint64)
     anchor = (sliding_least(packed, LENGTH - GRAM + 1) & LOW).astype(np.int64)
     n = (lens - LENGTH + 1)[fits]
@@ -77,34 +80,76 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(window)) - 1
     s, e = window[first], window[last]
-    g = (e - s).astype(np.uint64)
-    for j in range(0, 2 * LENGTH - GRAM, GRAM):
-        g = mixed((g * MULTIPLIERS[0] + h[np.minimum(s + j, e + LENGTH - GRAM)]) * MULTIPLIERS[1])
     of = text[first]
-    return of, s - starts[of], e - starts[of], h[at[first]].view(np.int64), g.view(np.int64)
+    return of, s - starts[of], e - starts[of], at[first] - starts[of], h[at[first]].view(np.int64), stretch(h, s, e + LENGTH).view(np.int64)
+
+
+def stretch(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from a to b (at least GRAM, at most 2 * LENGTH), by gram hashes."""
+    g = (b - a).astype(np.uint64)
+    for j in range(0, 2 * LENGTH - GRAM, GRAM):
+        g = mixed((g * MULTIPLIERS[0] + h[np.minimum(a + j, b - GRAM)]) * MULTIPLIERS[1])
+    return g
 
 
 def find_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, texts in pieces(b.column(2)):
-                of, s, e, h, g = runs_of(texts)
+                of, s, e, a, h, g = runs_of(texts)
                 take = pa.array(of + start)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), b.column(0).take(take), b.column(1).take(take), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["h", "g", "doc_id", "row", "s", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), b.column(0).take(take), b.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (s, e, a))], names=["h", "g", "doc_id", "row", "s", "e", "a"])
+
+    return docs.mapInArrow(run, "h long, g long, doc_id long, row long, s int, e int, a int")
+
+
+def expanded(s: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """s, s + 1, ... of n numbers for each s."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
+
+
+def find_blocks(docs: DataFrame) -> DataFrame:
+    """The blocks of the runs in ``spans`` (s, e, a): h the core's hash, g the content's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, spans in enumerate(b.column(3)):
+                h = gram_hashes(np.frombuffer(b.column(2)[i].as_buffer(), np.uint8))
+                s, e, a = (spans.values.field(f).to_numpy().astype(np.int64) for f in range(3))
+                low, high = (s - a) // BLOCK, (e - a) // BLOCK
+                n = high - low + 1
+                first = np.repeat(a, n) + BLOCK * expanded(low, n)
+                s, e = np.maximum(np.repeat(s, n), first), np.minimum(np.repeat(e, n), first + BLOCK - 1)
+                # With the offset from the anchor: blocks of two runs of one document may cover the same place.
+                offset = (first - np.repeat(a, n)).astype(np.uint64) * MULTIPLIERS[4]
+                core = mixed((stretch(h, first + BLOCK - 1, first + LENGTH) ^ offset) * MULTIPLIERS[5])
+                # At either end of the document a block is cut off.
+                x, y = np.maximum(first, 0), np.minimum(first + BLOCK - 1 + LENGTH, len(h) + GRAM - 1)
+                full = mixed((stretch(h, x, y) ^ offset ^ (x - first).astype(np.uint64)) * MULTIPLIERS[5])
+                yield pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in (core, full)), *(pa.repeat(b.column(c)[i], len(first)) for c in (0, 1)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["h", "g", "doc_id", "row", "s", "e"])
 
     return docs.mapInArrow(run, "h long, g long, doc_id long, row long, s int, e int")
 
 
+def sorted_out(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of records (h, g, doc_id, row, s, e, ...): those whose g repeats, as (doc_id, row, a, b)
+    to remove; and those to look into, whose h has several g: one of each g."""
+    alike = records.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "s")).alias("one"))
+    kinds = alike.groupBy("h").agg(F.count("*").alias("kinds"))
+    known = stored(records.join(alike, ["h", "g"]).join(kinds, "h").where("n > 1 OR kinds > 1").withColumn("open", (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("doc_id", "row", "s") == F.col("one")))).drop("kinds", "one", "h", "g"), "known")
+    whole = known.where("n > 1").select("doc_id", "row", F.col("s").alias("a"), (F.col("e") + LENGTH).alias("b"))
+    return whole, known.where("open")
+
+
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(t0, t1, doc_id, row, p) for the windows listed in ``spans`` of each document."""
+    """(t0, t1, doc_id, row, p) for the windows listed in ``spans`` (s, e) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, spans in enumerate(b.column(3)):
                 h = gram_hashes(np.frombuffer(b.column(2)[i].as_buffer(), np.uint8))
-                s = spans.values.field(0).to_numpy()
-                n = spans.values.field(1).to_numpy() - s + 1
-                p = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
+                s = spans.values.field(0).to_numpy().astype(np.int64)
+                p = expanded(s, spans.values.field(1).to_numpy() - s + 1)
                 t = [mixed((h[p + j] * MULTIPLIERS[2] + h[p + j + LENGTH // 2 - GRAM]) * MULTIPLIERS[3]).view(np.int64) for j in (0, LENGTH // 2)]
                 yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), *(pa.repeat(b.column(c)[i], len(p)) for c in (0, 1)), pa.array(p.astype(np.int32))], names=["t0", "t1", "doc_id", "row", "p"])
 
@@ -150,34 +195,37 @@ def repeated_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         yield from part.to_batches(max_chunksize=500_000)
 
 
+def with_spans(docs: DataFrame, spans: DataFrame, fields: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """(doc_id, row, text as bytes, spans): each document with the list of its spans."""
+    lists = spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set(F.struct(*fields)).alias("spans"))
+    return docs.join(lists, F.expr("row = __row AND doc_id <=> __id"), how).select("doc_id", "row", "text", "spans")
+
+
 def spans_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, a, b): stretches of bytes to remove; they may overlap."""
     spark = docs.sparkSession
-    runs = stored(find_runs(docs))
+    runs = stored(find_runs(docs), "runs")
     shared = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    near = stored(runs.join(shared, "h", "left_semi"))
-    del runs, shared
-    released(spark)
-    alike = near.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "s")).alias("one"))
-    kinds = alike.groupBy("h").agg(F.count("*").alias("kinds"))
-    known = stored(near.join(alike, ["h", "g"]).join(kinds, "h").select("doc_id", "row", "s", "e", "n", (F.col("kinds").__gt__(1) & (F.col("n").__eq__(1) | (F.struct("doc_id", "row", "s") == F.col("one")))).alias("open")))
-    whole = known.where("n > 1").select("doc_id", "row", F.col("s").alias("a"), (F.col("e") + LENGTH).alias("b"))
-    left = known.where("open").groupBy("doc_id", "row").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    del near, alike, kinds
-    texts = docs.join(left.withColumnRenamed("doc_id", "__id").withColumnRenamed("row", "__row"), F.expr("row = __row AND doc_id <=> __id")).select("doc_id", "row", F.encode("text", "UTF-8").alias("text"), "spans")
+    near = stored(runs.join(shared, "h", "left_semi"), "near")
+    forget(runs)
+    whole_runs, open_runs = sorted_out(near)
+    texts = stored(with_spans(docs, open_runs, ("s", "e", "a")), "texts")
+    blocks = stored(find_blocks(texts), "blocks")
+    shared = blocks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    whole_blocks, open_blocks = sorted_out(blocks.join(shared, "h", "left_semi"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = suffixes(texts).repartitionByRange(parts, "t0", "t1", "doc_id", "row", "p")
-    found = stored(bucketed.mapInArrow(repeated_in_bucket, "t0 long, t1 long, doc_id long, row long, p int, edge boolean"))
-    released(spark)
+    bucketed = suffixes(with_spans(texts.drop("spans"), open_blocks, ("s", "e"))).repartitionByRange(parts, "t0", "t1", "doc_id", "row", "p")
+    found = stored(bucketed.mapInArrow(repeated_in_bucket, "t0 long, t1 long, doc_id long, row long, p int, edge boolean"), "found")
+    forget(near, texts)
     # Edges: two rows for each bucket, grouped by their tokens.
     meet = found.where("edge").withColumn("n", F.count("*").over(Window.partitionBy("t0", "t1"))).where("n > 1")
     ends = found.where("NOT edge").select("doc_id", "row", "p").unionByName(meet.select("doc_id", "row", "p"))
-    return whole.unionByName(ends.select("doc_id", "row", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b")))
+    return whole_runs.unionByName(whole_blocks).unionByName(ends.select("doc_id", "row", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b")))
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(doc_id, row, text): ``row`` tells rows with one doc_id apart unless they are alike."""
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("text"))
     return plain.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
@@ -191,8 +239,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all of LENGTH bytes or more.  Null doc_ids are allowed.
     """
     rows = keyed(docs, doc_id, text)
-    spans = spans_of(rows).groupBy("doc_id", "row").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    joined = rows.join(spans.withColumnRenamed("doc_id", "__id").withColumnRenamed("row", "__row"), F.expr("row = __row AND doc_id <=> __id"), "left")
+    joined = with_spans(rows, spans_of(rows), ("a", "b"), "left")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,4 +261,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return joined.select("doc_id", F.encode("text", "UTF-8").alias("text"), "spans").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "spans").mapInArrow(run, schema)
