@@ -1,2 +1,315 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Activities, motifs, profiles, laws, time use and graphs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import activity, distance, graph, laws, profiles, traj
+from . import views
+from .mobility import hav
+from .registry import Registry
+from .views import common
+
+query = Registry()
+
+
+def _visits(spark, sf, side: int | None = None):
+    p = views.pings(spark, sf)
+    p = p if side is None else p.where(F.col("side") == side)
+    return traj.visits(p, "loc", None, "purpose")
+
+
+# Activities ---------------------------------------------------------------------------------------
+
+TRANSITIONS = "SELECT a, b, count(*) AS n FROM (SELECT purpose AS a, lead(purpose) OVER (PARTITION BY uid ORDER BY start_timestamp) AS b FROM visits {where}) WHERE b IS NOT NULL GROUP BY ALL"
+
+
+@query(common("visits") + ", t AS (" + TRANSITIONS.format(where="") + ") SELECT a, b, n, round(100.0 * n / sum(n) OVER (), 9) AS pct FROM t")
+def activity_transitions(spark, sf):
+    return activity.transitions(_visits(spark, sf)).select("a", "b", "n", F.round("pct", 9).alias("pct"))
+
+
+@query(
+    common("visits") + ", s AS (" + TRANSITIONS.format(where="WHERE side = 0") + "), o AS (" + TRANSITIONS.format(where="WHERE side = 1") + """), m AS (SELECT coalesce(s.n, 0) / (SELECT sum(n) FROM s) AS p, coalesce(o.n, 0) / (SELECT sum(n) FROM o) AS q FROM s FULL OUTER JOIN o USING (a, b))
+ SELECT round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 9) AS jsd FROM m"""
+)
+def activity_transition_divergence(spark, sf):
+    a, b = (activity.transitions(_visits(spark, sf, s)) for s in (0, 1))
+    return distance.jensen_shannon(a, b, ["a", "b"], "n").select(F.round("jsd", 9).alias("jsd"))
+
+
+def _bins(view: str, key: str, minutes: int, where: str = "", start: str = "start_timestamp", end: str = "end_timestamp") -> str:
+    size = minutes * 60
+    return f"""SELECT {key} AS activity, CAST(b % {86400 // size} AS INTEGER) AS bin, sum(least(e, (b + 1) * {size}) - greatest(s, b * {size})) AS seconds FROM (SELECT {key}, s, e, unnest(range(s // {size}, (e - 1) // {size} + 1)) AS b
+ FROM (SELECT {key}, CAST(floor(epoch({start})) AS BIGINT) AS s, CAST(floor(epoch({end})) AS BIGINT) AS e FROM {view} WHERE {end} > {start} {where})) WHERE least(e, (b + 1) * {size}) > greatest(s, b * {size}) GROUP BY ALL"""
+
+
+@query(common("intervals") + ", t AS (" + _bins("intervals", "activity", 10, "", "arrival", "departure") + ") SELECT activity, bin, CAST(seconds AS BIGINT) AS seconds, round(100.0 * seconds / sum(seconds) OVER (PARTITION BY bin), 6) AS pct FROM t")
+def timeuse_micro_activity_bins(spark, sf):
+    return activity.daily_profile(views.intervals(spark, sf), "arrival", "departure", "activity", 10).select("activity", "bin", "seconds", F.round("pct", 6).alias("pct"))
+
+
+@query(
+    common("visits") + ", x AS (" + _bins("visits", "purpose", 60, "AND side = 0") + "), y AS (" + _bins("visits", "purpose", 60, "AND side = 1") + """), a AS (SELECT activity, bin, seconds / sum(seconds) OVER (PARTITION BY bin) AS p FROM x), b AS (SELECT activity, bin, seconds / sum(seconds) OVER (PARTITION BY bin) AS q FROM y),
+ m AS (SELECT bin, coalesce(p, 0) AS p, coalesce(q, 0) AS q FROM a FULL OUTER JOIN b USING (activity, bin)), d AS (SELECT bin, sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2 AS j FROM m GROUP BY bin)
+ SELECT round(avg(j), 9) AS jsd FROM d"""
+)
+def activity_daily_profile_divergence(spark, sf):
+    a, b = (activity.daily_profile(_visits(spark, sf, s), "start_timestamp", "end_timestamp", "purpose") for s in (0, 1))
+    return activity.profile_divergence(a, b).select(F.round("jsd", 9).alias("jsd"))
+
+
+SEGMENTS = """seg AS (SELECT uid, activity, day, greatest(arrival, day) AS a, least(departure, day + INTERVAL 1 DAY) AS b FROM (SELECT *, unnest(generate_series(date_trunc('day', arrival), date_trunc('day', departure - INTERVAL 1 MICROSECOND), INTERVAL 1 DAY)) AS day FROM intervals))"""
+
+
+@query(common("intervals") + f", {SEGMENTS} SELECT uid, activity, CAST(day AS DATE) AS day, round(sum(date_diff('microsecond', a, b)) / 60000000.0, 4) AS minutes FROM seg GROUP BY ALL")
+def timeuse_midnight_split(spark, sf):
+    s = activity.split_midnight(views.intervals(spark, sf))
+    return s.groupBy("uid", "activity", "day").agg(F.round(F.sum("minutes"), 4).alias("minutes"))
+
+
+@query(common("intervals") + f", {SEGMENTS}, d AS (SELECT count(DISTINCT (uid, day)) AS days FROM seg) SELECT activity AS category, round(sum(date_diff('microsecond', a, b)) / 60000000.0 / (SELECT days FROM d), 6) AS minutes FROM seg GROUP BY 1")
+def timeuse_synthetic_means(spark, sf):
+    return activity.time_use(activity.split_midnight(views.intervals(spark, sf)), "activity").select("category", F.round("minutes", 6).alias("minutes"))
+
+
+@query(
+    """SELECT category, round(sum(w * x) / nullif(sum(w), 0), 4) AS minutes FROM (SELECT p_size AS w, 'cost' AS category, p_retailprice AS x FROM part UNION ALL SELECT p_size, 'key', CAST(p_partkey AS DOUBLE) FROM part) GROUP BY category"""
+)
+def timeuse_survey_weighted_means(spark, sf):
+    p = views.table(spark, sf, "part").select(F.col("p_size").alias("w"), F.col("p_retailprice").alias("cost"), F.col("p_partkey").alias("key"))
+    return activity.surveyed(p, ["cost", "key"], "w").select("category", F.round("minutes", 4).alias("minutes"))
+
+
+@query(
+    common("intervals") + f""", {SEGMENTS}, g AS (SELECT uid % 2 AS side, activity, sum(date_diff('microsecond', a, b)) / 60000000.0 AS m FROM seg GROUP BY ALL), n AS (SELECT uid % 2 AS side, count(DISTINCT (uid, day)) AS days FROM seg GROUP BY 1), r AS (SELECT side, activity, m / days AS m FROM g JOIN n USING (side)),
+ j AS (SELECT activity, coalesce(s.m, 0) AS s, coalesce(o.m, 0) AS o FROM (SELECT * FROM r WHERE side = 0) s FULL OUTER JOIN (SELECT * FROM r WHERE side = 1) o USING (activity))
+ SELECT activity AS category, round(round(s, 6), 4) AS synthetic, round(round(o, 6), 4) AS observed, round(round(s - o, 6), 4) AS diff, round(round((s - o) / 1440 * 100, 6), 4) AS share_pp FROM j"""
+)
+def timeuse_comparison(spark, sf):
+    s = activity.split_midnight(views.intervals(spark, sf))
+    rows = activity.time_use_rows(*(activity.time_use(s.where(F.col("uid") % 2 == i), "activity") for i in (0, 1)))
+    return rows.select("category", *[F.round(c, 4).alias(c) for c in ("synthetic", "observed", "diff", "share_pp")])
+
+
+@query(common("intervals") + f", {SEGMENTS}, d AS (SELECT uid, day, sum(date_diff('microsecond', a, b)) / 60000000.0 AS m FROM seg GROUP BY ALL) SELECT abs(m - 1440) <= 1 AS complete, count(*) AS n FROM d GROUP BY 1")
+def timeuse_day_coverage(spark, sf):
+    c = activity.day_coverage(activity.split_midnight(views.intervals(spark, sf)))
+    return c.groupBy(F.col("full").alias("complete")).agg(F.count("*").alias("n"))
+
+
+def _diaries(spark, sf):
+    """Three episodes a day whose times depend on the user."""
+    e = views.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("diary_id"), (6 + F.col("user_id") % 5).alias("a"), (14 + F.col("user_id") % 7).alias("b")).distinct()
+    hh = lambda c: F.concat(F.lpad(F.col(c).cast("string"), 2, "0"), F.lit(":30"))
+    episode = lambda s, t, p: F.struct(s.alias("start"), t.alias("end"), F.lit(p).alias("purpose"))
+    return e.select("diary_id", F.array(episode(F.lit("00:00"), hh("a"), "HOME"), episode(hh("a"), hh("b"), "WORK"), episode(hh("b"), F.lit("24:00"), "HOME")).alias("episodes"))
+
+
+@query("WITH d AS (SELECT DISTINCT user_id, 6 + user_id % 5 AS a, 14 + user_id % 7 AS b FROM events) SELECT CAST(user_id AS VARCHAR) AS diary_id, slot, CASE WHEN slot >= a * 2 + 1 AND slot < b * 2 + 1 THEN 'WORK' ELSE 'HOME' END AS purpose FROM d, range(48) r(slot)")
+def diary_slots(spark, sf):
+    return activity.diary_slots(_diaries(spark, sf), 30)
+
+
+@query("WITH d AS (SELECT DISTINCT user_id, 6 + user_id % 5 AS a, 14 + user_id % 7 AS b FROM events) SELECT CAST(user_id AS VARCHAR) AS diary_id, CAST(3 AS BIGINT) AS stops, (b - a) * 60 AS work_minutes, a * 60 + 30 AS first_departure, b * 60 + 30 AS last_return, CAST(1 AS BIGINT) AS excursions FROM d")
+def diary_features(spark, sf):
+    f = activity.diary_features(_diaries(spark, sf))
+    return f.select("diary_id", "stops", F.col("work_minutes").cast("long").alias("work_minutes"), F.col("first_departure").cast("long").alias("first_departure"), F.col("last_return").cast("long").alias("last_return"), "excursions")
+
+
+@query("SELECT event_id, CASE WHEN m >= (6 + user_id % 5) * 60 + 30 AND m < (14 + user_id % 7) * 60 + 30 THEN 'WORK' ELSE 'HOME' END AS purpose FROM (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM events)")
+def diary_annotation(spark, sf):
+    e = views.table(spark, sf, "events").select("event_id", F.col("user_id").alias("uid"), F.col("ts").alias("datetime"))
+    chosen = e.select("uid", F.to_date("datetime").alias("day"), F.col("uid").cast("string").alias("diary_id")).distinct()
+    return activity.annotate_by_diary(e, chosen, _diaries(spark, sf)).select("event_id", "purpose")
+
+
+# Motifs, profiles, laws ------------------------------------------------------------------------------
+
+
+@query()
+def motif_daily_shares(spark, sf):
+    return profiles.motif_shares(profiles.daily_motifs(_visits(spark, sf))).select("motif", "n", F.round("pct", 9).alias("pct"))
+
+
+@query(common("visits") + " SELECT uid, CAST(start_timestamp AS DATE) AS day, CAST(count(DISTINCT location_id || '_' || CASE purpose WHEN 'HOME' THEN 'HOME' ELSE 'VISIT' END) AS INTEGER) AS n_nodes FROM visits GROUP BY ALL")
+def motif_day_nodes(spark, sf):
+    return profiles.daily_motifs(_visits(spark, sf)).select("uid", "day", "n_nodes")
+
+
+@query()
+def motif_divergence(spark, sf):
+    a, b = (profiles.motif_shares(profiles.daily_motifs(_visits(spark, sf, s))) for s in (0, 1))
+    return distance.jensen_shannon(a, b, ["motif"], "n").select(F.round("jsd", 9).alias("jsd"))
+
+
+@query(
+    common("visits") + """, t AS (SELECT uid, location_id || '_' || purpose AS k, start_timestamp AS s, end_timestamp AS e FROM visits), c AS (SELECT uid, k, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT uid, n / sum(n) OVER (PARTITION BY uid) AS p FROM c),
+ h AS (SELECT uid, CASE WHEN count(*) > 1 THEN -sum(p * log2(p)) / log2(count(*)) ELSE 0 END AS entropy FROM p GROUP BY uid)
+ SELECT t.uid, count(*) AS n, round(1 - count(DISTINCT k) / count(*), 9) AS regularity, round(any_value(entropy), 9) AS entropy, round(sum(date_diff('microsecond', s, e)) / date_diff('microsecond', min(s), max(e)), 6) AS stationarity FROM t JOIN h USING (uid) GROUP BY t.uid"""
+)
+def profile_metrics(spark, sf):
+    m = profiles.profile_metrics(_visits(spark, sf))
+    return m.select("uid", "n", F.round("regularity", 9).alias("regularity"), F.round("entropy", 9).alias("entropy"), F.round("stationarity", 6).alias("stationarity"))
+
+
+@query()
+def profile_diversity(spark, sf):
+    return profiles.profile_metrics(_visits(spark, sf)).select("uid", F.round("diversity", 9).alias("diversity"))
+
+
+@query()
+def profile_clusters(spark, sf):
+    f = profiles.intermittency(profiles.token_steps(_visits(spark, sf), 60))
+    c = profiles.clustered(f)
+    return c.select("uid", F.round("intermittency", 6).alias("intermittency"), F.round("degree_of_return", 6).alias("degree_of_return"), "profile")
+
+
+@query(
+    common("visits") + """, v AS (SELECT uid, location_id || '_' || purpose AS k, start_timestamp AS st, CAST(ceil(floor(epoch(start_timestamp)) / 3600) AS BIGINT) AS a, CAST(floor(floor(epoch(end_timestamp)) / 3600) AS BIGINT) AS b FROM visits), s AS (SELECT uid, t, arg_max(k, st) AS k FROM (SELECT uid, k, st, unnest(range(a, b + 1)) AS t FROM v WHERE b >= a) GROUP BY uid, t),
+ f AS (SELECT uid, t, k, count(*) OVER (PARTITION BY uid, k) AS n, min(t) OVER (PARTITION BY uid, k) AS f0, count(*) OVER (PARTITION BY uid) AS alln FROM s), u AS (SELECT uid, count(DISTINCT k) AS kinds FROM s GROUP BY uid), k AS (SELECT uid, t, (t > f0 OR n >= 0.8 * alln / kinds) AS known FROM f JOIN u USING (uid)),
+ r AS (SELECT uid, known, t, sum(CASE WHEN known IS DISTINCT FROM pk THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY t) AS run FROM (SELECT *, lag(known) OVER (PARTITION BY uid ORDER BY t) AS pk FROM k)), l AS (SELECT uid, run, known, count(*) AS len FROM r GROUP BY ALL)
+ SELECT uid, round(coalesce(avg(len) FILTER (WHERE known), 0), 6) AS returner_run, round(coalesce(avg(len) FILTER (WHERE NOT known), 0), 6) AS explorer_run FROM l GROUP BY uid"""
+)
+def profile_intermittency(spark, sf):
+    f = profiles.intermittency(profiles.token_steps(_visits(spark, sf), 60))
+    return f.select("uid", F.round("returner_run", 6).alias("returner_run"), F.round("explorer_run", 6).alias("explorer_run"))
+
+
+@query(common("pings") + ", d AS (SELECT uid, CAST(datetime AS DATE) AS day, count(DISTINCT loc) AS n_locations FROM pings GROUP BY ALL) SELECT n_locations, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS p FROM d GROUP BY 1")
+def law_daily_locations(spark, sf):
+    return laws.daily_locations(laws.law_visits(views.pings(spark, sf), "loc")).select("n_locations", "n", F.round("p", 9).alias("p"))
+
+
+@query(common("pings") + ", d AS (SELECT ln(count(DISTINCT loc)) AS x FROM pings GROUP BY uid, CAST(datetime AS DATE)) SELECT round(avg(x), 8) AS mu, round(stddev_pop(x), 8) AS sigma FROM d")
+def law_daily_log_normal(spark, sf):
+    return laws.log_normal(laws.daily_locations(laws.law_visits(views.pings(spark, sf), "loc"))).select(F.round("mu", 8).alias("mu"), F.round("sigma", 8).alias("sigma"))
+
+
+VISITATION = f"""per AS (SELECT uid, loc, count(*) AS n_visits, count(DISTINCT CAST(datetime AS DATE)) AS f, any_value(lat) AS lat, any_value(lng) AS lng FROM pings GROUP BY uid, loc),
+ m AS (SELECT uid, arg_min(loc, (-n) * 1000000 + rk) AS loc FROM (SELECT uid, loc, n, row_number() OVER (PARTITION BY uid ORDER BY CAST(loc AS VARCHAR)) AS rk FROM (SELECT uid, loc, count(*) AS n FROM pings WHERE purpose = 'HOME' GROUP BY ALL)) GROUP BY uid),
+ g AS (SELECT uid, arg_min(loc, (-n) * 1000000 + rk) AS loc FROM (SELECT uid, loc, n_visits AS n, row_number() OVER (PARTITION BY uid ORDER BY CAST(loc AS VARCHAR)) AS rk FROM per) GROUP BY uid),
+ h AS (SELECT uid, lat AS hlat, lng AS hlng FROM (SELECT uid, coalesce(m.loc, g.loc) AS loc FROM g LEFT JOIN m USING (uid)) JOIN per USING (uid, loc)), d AS (SELECT uid, loc, n_visits, f, CASE WHEN lat = hlat AND lng = hlng THEN 0 ELSE {hav('hlat', 'hlng', 'lat', 'lng')} END AS r_km FROM per JOIN h USING (uid))"""
+
+
+@query(common("pings") + f", {VISITATION} SELECT uid, CAST(loc AS VARCHAR) AS location_id, n_visits, f, round(r_km, 5) AS r_km, round(r_km * f, 4) AS rf FROM d")
+def law_visitation(spark, sf):
+    v = laws.visitation(laws.law_visits(views.pings(spark, sf), "loc"))
+    return v.select("uid", "location_id", "n_visits", "f", F.round("r_km", 5).alias("r_km"), F.round("rf", 4).alias("rf"))
+
+
+@query(
+    common("pings") + f""", {VISITATION}, ring AS (SELECT loc, floor(r_km) AS ring, f, count(DISTINCT uid) AS users FROM d WHERE r_km > 1e-9 GROUP BY ALL), x AS (SELECT log10((ring + 0.5) * f) AS x, users / (2 * pi() * (ring + 0.5)) AS rho FROM ring), s AS (SELECT min(x) AS a, max(x) AS b FROM x),
+ q AS (SELECT least(floor((x - a) / (b - a) * 30), 29) AS bin, pow(10, avg(x)) AS rf, avg(rho) AS rho FROM x, s GROUP BY 1) SELECT round(-regr_slope(ln(rho), ln(rf)), 6) AS eta, round(exp(regr_intercept(ln(rho), ln(rf))), 6) AS mu, round(regr_r2(ln(rho), ln(rf)), 6) AS r2 FROM q"""
+)
+def law_visitation_fit(spark, sf):
+    v = laws.visitation(laws.law_visits(views.pings(spark, sf), "loc")).where("r_km > 1e-9")
+    fit = laws.visitation_fit(laws.visitation_bins(laws.visitation_density(v)))
+    return fit.select(*[F.round(c, 6).alias(c) for c in ("eta", "mu", "r2")])
+
+
+@query(
+    "WITH v AS (SELECT log10(value) AS x FROM events WHERE value > 0), s AS (SELECT min(x) AS a, max(x) AS b, count(*) AS t FROM v) SELECT CAST(least(floor((x - a) / (b - a) * 30), 29) AS BIGINT) AS bin, count(*) AS n FROM v, s GROUP BY 1"
+)
+def law_log_bins(spark, sf):
+    return laws.log_bins(views.table(spark, sf, "events"), "value").select(F.col("bin").cast("long").alias("bin"), "n")
+
+
+@query()
+def law_truncated_power_fit(spark, sf):
+    fit = laws.power_law(laws.log_bins(traj.jump_lengths(views.pings(spark, sf)), "jump_km"))
+    return spark.createDataFrame([tuple(round(v, 4) for v in fit.values())], "c double, r0 double, beta double, kappa double") if fit else spark.createDataFrame([], "c double, r0 double, beta double, kappa double")
+
+
+@query("SELECT i, round(exp(ln(0.1) + i / 199.0 * (ln(1000) - ln(0.1))), 6) AS x, round(pow(exp(ln(0.1) + i / 199.0 * (ln(1000) - ln(0.1))) + 1.5, -1.75) * exp(-exp(ln(0.1) + i / 199.0 * (ln(1000) - ln(0.1))) / 400.0), 9) AS y FROM range(200) r(i)")
+def law_reference_curve(spark, sf):
+    return laws.reference_curve(laws.grid(spark, 0.1, 1000.0), "jumps").select("i", F.round("x", 6).alias("x"), F.round("y", 9).alias("y"))
+
+
+# Graphs ---------------------------------------------------------------------------------------------
+
+
+CO = """s AS (SELECT DISTINCT CAST(datetime AS DATE) AS day, loc, uid FROM pings), z AS (SELECT day, loc FROM s GROUP BY ALL HAVING count(*) BETWEEN 2 AND {cap}), k AS (SELECT s.* FROM s JOIN z USING (day, loc)), pr AS (SELECT DISTINCT a.day, a.uid AS u, b.uid AS v FROM k a JOIN k b ON a.day = b.day AND a.loc = b.loc AND a.uid < b.uid)"""
+
+
+@query(common("pings") + ", " + CO.format(cap=200) + " SELECT u, v, count(*) AS days, round(count(*) / (SELECT count(DISTINCT day) FROM s), 9) AS persistence FROM pr GROUP BY u, v")
+def graph_co_presence(spark, sf):
+    e, _ = graph.co_presence(views.pings(spark, sf), location="loc")
+    return e.select("u", "v", "days", F.round("persistence", 9).alias("persistence"))
+
+
+@query(common("pings") + ", s AS (SELECT CAST(datetime AS DATE) AS day, loc, count(DISTINCT uid) AS k FROM pings GROUP BY ALL) SELECT count(*) AS skipped_groups, CAST(coalesce(sum(k), 0) AS BIGINT) AS skipped_rows FROM s WHERE k > 12")
+def graph_co_presence_skipped(spark, sf):
+    return graph.co_presence(views.pings(spark, sf), 12, location="loc")[1]
+
+
+@query(common("encounters") + " SELECT least(agent, contact) AS u, greatest(agent, contact) AS v, round(count(DISTINCT ts) / (SELECT count(DISTINCT ts) FROM encounters), 9) AS persistence FROM encounters WHERE agent <> contact GROUP BY 1, 2")
+def graph_encounter_edges(spark, sf):
+    return graph.encounter_edges(views.encounters(spark, sf), base=0).select("u", "v", F.round("persistence", 9).alias("persistence"))
+
+
+BOTH = "n AS (SELECT u AS a, v AS b FROM edges UNION ALL SELECT v, u FROM edges), d AS (SELECT a AS node, count(*) AS degree FROM n GROUP BY a)"
+
+
+@query(common("edges") + f", {BOTH}, all_nodes AS (SELECT DISTINCT user_id AS node FROM events) SELECT node, coalesce(degree, 0) AS degree FROM all_nodes LEFT JOIN d USING (node)")
+def graph_degree(spark, sf):
+    nodes = views.table(spark, sf, "events").select(F.col("user_id").alias("node")).distinct()
+    return graph.degree(graph.normalized(views.edges(spark, sf)), nodes)
+
+
+@query(common("edges") + f", {BOTH}, t AS (SELECT x.a AS node, count(*) AS c FROM n x JOIN n y ON x.a = y.a AND x.b < y.b JOIN edges e ON e.u = x.b AND e.v = y.b GROUP BY x.a) SELECT node, degree, round(CASE WHEN degree > 1 THEN 2.0 * coalesce(c, 0) / (degree * (degree - 1)) ELSE 0 END, 9) AS clustering FROM d LEFT JOIN t USING (node)")
+def graph_clustering(spark, sf):
+    return graph.clustering(graph.normalized(views.edges(spark, sf))).select("node", "degree", F.round("clustering", 9).alias("clustering"))
+
+
+@query(common("edges") + f", {BOTH}, c AS (SELECT e.u, e.v, count(y.b) AS common FROM edges e LEFT JOIN n x ON x.a = e.u LEFT JOIN n y ON y.a = e.v AND y.b = x.b GROUP BY e.u, e.v) SELECT u, v, round(common / (p.degree + q.degree - common), 9) AS overlap FROM c JOIN d p ON p.node = u JOIN d q ON q.node = v")
+def graph_overlap(spark, sf):
+    return graph.overlap(graph.normalized(views.edges(spark, sf))).select("u", "v", F.round("overlap", 9).alias("overlap"))
+
+
+@query(common("edges") + " SELECT count(*) AS n FROM edges a JOIN edges b ON a.v = b.u JOIN edges c ON c.u = a.u AND c.v = b.v")
+def graph_triangle_count(spark, sf):
+    return graph.triangles(graph.normalized(views.edges(spark, sf))).agg(F.count("*").alias("n"))
+
+
+@query()
+def graph_validation(spark, sf):
+    e = graph.normalized(views.edges(spark, sf))
+    co, _ = graph.co_presence(views.pings(spark, sf), 12, location="loc")
+    v = graph.validation(e, graph.normalized(co))
+    return v.select("metric", *[F.round(c, 6).alias(c) for c in v.columns if c != "metric"])
+
+
+@query(common("edges") + " SELECT u, v FROM edges ORDER BY md5('42|' || CAST(u AS VARCHAR) || '|' || CAST(v AS VARCHAR)) LIMIT 50")
+def graph_edge_sample(spark, sf):
+    return graph.drawing(graph.normalized(views.edges(spark, sf)), most=50)[1]
+
+
+@query(
+    common("pings", "edges") + """, c AS (SELECT uid, loc, count(*) AS n FROM pings GROUP BY ALL), z AS (SELECT uid, sqrt(sum(n * n)) AS z FROM c GROUP BY uid) SELECT u, v, round(coalesce(sum(a.n * b.n), 0) / any_value(p.z) / any_value(q.z), 9) AS similarity FROM edges JOIN z p ON p.uid = u JOIN z q ON q.uid = v LEFT JOIN c a ON a.uid = u LEFT JOIN c b ON b.uid = v AND b.loc = a.loc GROUP BY u, v"""
+)
+def graph_sparse_cosine(spark, sf):
+    c = views.pings(spark, sf).groupBy("uid", "loc").agg(F.count("*").alias("n"))
+    return graph.sparse_cosine(c, views.edges(spark, sf), "loc").select("u", "v", F.round("similarity", 9).alias("similarity"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT id, neighbour, r AS rank FROM (SELECT id, neighbour, CAST(row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, neighbour) AS INTEGER) AS r FROM s) WHERE r <= 3"""
+)
+def graph_knn_exact(spark, sf):
+    return graph.knn(views.table(spark, sf, "embeddings"), 3).select("id", "neighbour", "rank")
+
+
+@query()
+def graph_leader_clusters(spark, sf):
+    e = views.table(spark, sf, "embeddings").select(F.lit(0).cast("long").alias("g"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
+    return graph.leader_clusters(e, 0.5)
+
+
+@query()
+def graph_layout(spark, sf):
+    return graph.layout(spark, views.table(spark, sf, "embeddings")).select("id", F.round(F.abs("x"), 3).alias("x"), F.round(F.abs("y"), 3).alias("y"))
+
+
+QUERIES, ORACLE = query.queries, query.oracle

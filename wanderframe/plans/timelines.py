@@ -1,2 +1,244 @@
-QUERIES: dict = {}
-ORACLE: dict = {}
+"""Timelines, encounters, routing, streaming twins and generated populations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import routing, simulate, timeline
+from ..sources import io
+from ..streaming import twins
+from . import views
+from .mobility import cell_sql, hav
+from .registry import Registry
+from .views import common
+
+query = Registry()
+
+LEGS = """legs AS (SELECT uid, 'dwell' AS kind, arrival AS t_start, departure AS t_end, lat AS o_lat, lng AS o_lng, lat AS d_lat, lng AS d_lng, purpose, stop_id FROM stops
+ UNION ALL SELECT uid, 'leg', arrival - CAST(trip_duration_minutes AS INTEGER) * INTERVAL 1 MINUTE, arrival, plat, plng, lat, lng, purpose, stop_id FROM (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM stops WINDOW w AS (PARTITION BY uid ORDER BY arrival)) WHERE plat IS NOT NULL)"""
+WINDOW = f"t_start <= TIMESTAMP '{views.UNTIL}' AND t_end >= TIMESTAMP '{views.SINCE}'"
+IN_BOX = "({p}_lng BETWEEN 2.26 AND 2.29 AND {p}_lat BETWEEN 48.80 AND 48.83)"
+FEW = f"few AS (SELECT uid FROM (SELECT DISTINCT uid FROM legs WHERE {WINDOW} AND ({IN_BOX.format(p='d')} OR {IN_BOX.format(p='o')})) ORDER BY md5(CAST(uid AS VARCHAR)) LIMIT 20)"
+
+
+def _legs(spark, sf):
+    return timeline.legs_index(views.stops(spark, sf)).drop("category")
+
+
+@query(common("stops") + f", {LEGS} SELECT uid, kind, t_start, t_end, o_lat, o_lng, d_lat, d_lng, purpose, stop_id FROM legs")
+def timeline_legs_index(spark, sf):
+    return _legs(spark, sf)
+
+
+@query(common("stops") + f", {LEGS}, {FEW} SELECT legs.uid, kind, t_start, t_end, o_lat, o_lng, d_lat, d_lng, purpose, stop_id FROM legs JOIN few USING (uid) WHERE {WINDOW}")
+def timeline_active_legs(spark, sf):
+    return timeline.active_legs(_legs(spark, sf), views.SINCE, views.UNTIL, views.BOX, 20)
+
+
+@query(
+    common("stops") + f""", {LEGS}, hit AS (SELECT * FROM legs WHERE {WINDOW} AND least(o_lng, d_lng) <= 2.29 AND greatest(o_lng, d_lng) >= 2.26 AND least(o_lat, d_lat) <= 48.83 AND greatest(o_lat, d_lat) >= 48.80), few AS (SELECT DISTINCT uid FROM hit ORDER BY uid LIMIT 15)
+ SELECT uid, kind, stop_id, t_start FROM hit JOIN few USING (uid)"""
+)
+def timeline_viewport_segments(spark, sf):
+    return timeline.viewport_segments(_legs(spark, sf), views.SINCE, views.UNTIL, views.BOX, 15).select("uid", "kind", "stop_id", "t_start")
+
+
+@query(
+    common("stops", "pings", "profiles") + f""", {LEGS}, {FEW}, w AS (SELECT uid, event_id % 40 AS stop_id, event_id AS seq, mode FROM pings), p AS (SELECT uid, stop_id, count(*) AS k, arg_min(mode, seq) AS m FROM w GROUP BY ALL)
+ SELECT legs.uid, kind, legs.stop_id, CASE kind WHEN 'dwell' THEN 'stay' ELSE coalesce(m, 'car') END AS mode, CASE kind WHEN 'leg' THEN coalesce(k, -1) ELSE -1 END AS waypoints, job FROM legs JOIN few USING (uid) LEFT JOIN p ON p.uid = legs.uid AND p.stop_id = legs.stop_id JOIN profiles q ON q.uid = legs.uid WHERE {WINDOW}"""
+)
+def timeline_legs_with_waypoints(spark, sf):
+    legs = timeline.active_legs(_legs(spark, sf), views.SINCE, views.UNTIL, views.BOX, 20)
+    w = views.pings(spark, sf).selectExpr("uid", "event_id % 40 AS stop_id", "event_id AS seq", "lat", "lng", "datetime AS t", "mode")
+    full = timeline.with_waypoints(legs, w).join(views.profiles(spark, sf).select("uid", "job"), "uid")
+    return full.select("uid", "kind", "stop_id", "mode", F.coalesce(F.size("waypoints"), F.lit(-1)).cast("long").alias("waypoints"), "job")
+
+
+@query(common("stops") + " SELECT min(lat) AS south, max(lat) AS north, min(lng) AS west, max(lng) AS east FROM stops")
+def timeline_bounds(spark, sf):
+    return timeline.bounds(views.stops(spark, sf))
+
+
+@query(common("stops") + " SELECT stop_id, arrival, departure, purpose FROM stops WHERE uid = 7 ORDER BY arrival")
+def timeline_agent_trips(spark, sf):
+    return timeline.agent_trips(views.stops(spark, sf), 7).select("stop_id", "arrival", "departure", "purpose")
+
+
+@query(common("intervals") + " SELECT activity, count(*) AS n, min(seq) AS first_seq, round(sum(date_diff('microsecond', arrival, departure)) / 60000000.0, 4) AS minutes FROM intervals WHERE uid = 7 GROUP BY activity")
+def timeline_stop_activities(spark, sf):
+    a = timeline.stop_activities(views.intervals(spark, sf).withColumn("stop_id", F.col("activity")), 7)
+    total = F.aggregate("activities", F.lit(0.0), lambda s, x: s + x.minutes)
+    return a.select(F.col("stop_id").alias("activity"), F.size("activities").cast("long").alias("n"), F.get("activities", F.lit(0)).getField("seq").alias("first_seq"), F.round(total, 4).alias("minutes"))
+
+
+@query(common("intervals") + f" SELECT uid, activity, seq FROM intervals WHERE uid = 7 AND arrival <= TIMESTAMP '2024-01-10 12:00:00' AND departure >= TIMESTAMP '2024-01-10 12:00:00' ORDER BY seq DESC LIMIT 1")
+def timeline_activity_at(spark, sf):
+    from datetime import datetime
+
+    return timeline.activity_at(views.intervals(spark, sf), 7, datetime(2024, 1, 10, 12)).select("uid", "activity", "seq")
+
+
+@query(
+    common("stops") + """, s AS (SELECT *, lag(lat) OVER w AS plat, lag(lng) OVER w AS plng FROM stops WINDOW w AS (PARTITION BY uid ORDER BY arrival)), g AS (SELECT *, CAST(sum(CASE WHEN coalesce(lat = plat AND lng = plng, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY uid ORDER BY arrival) AS BIGINT) AS trip FROM s),
+ p AS (SELECT uid, trip, purpose, row_number() OVER (PARTITION BY uid, trip ORDER BY count(*) DESC, min(arrival)) AS r FROM g GROUP BY uid, trip, purpose) SELECT g.uid, g.trip, any_value(p.purpose) AS purpose, count(*) AS n_stops, min(arrival) AS arrival, arg_max(departure, arrival) AS departure FROM g JOIN p ON p.uid = g.uid AND p.trip = g.trip AND p.r = 1 GROUP BY g.uid, g.trip"""
+)
+def timeline_merged_trips(spark, sf):
+    return timeline.merged_trips(views.stops(spark, sf)).select("uid", "trip", "purpose", "n_stops", "arrival", "departure")
+
+
+ENCOUNTER = """SELECT e.agent, e.contact, e.ts, s.stop_id FROM {e} e LEFT JOIN LATERAL (SELECT stop_id FROM stops t WHERE t.uid = e.contact AND epoch(t.arrival) <= e.ts AND epoch(t.departure) >= e.ts ORDER BY arrival DESC LIMIT 1) s ON TRUE"""
+
+
+@query(common("stops", "encounters") + ", x AS (SELECT DISTINCT * FROM encounters WHERE agent < 20) " + ENCOUNTER.format(e="x"))
+def timeline_encounter_stops(spark, sf):
+    e = views.encounters(spark, sf).where("agent < 20")
+    return timeline.encounter_stops(e, views.stops(spark, sf)).select("agent", "contact", "ts", "stop_id")
+
+
+@query(common("stops", "encounters") + ", x AS (SELECT * FROM encounters WHERE agent = 7 ORDER BY ts DESC, contact LIMIT 20) " + ENCOUNTER.format(e="x"))
+def timeline_recent_encounters(spark, sf):
+    return timeline.recent_encounters(views.encounters(spark, sf), views.stops(spark, sf), 7).select("agent", "contact", "ts", "stop_id")
+
+
+@query(common("encounters") + " SELECT CASE WHEN agent = 7 THEN contact ELSE agent END AS contact, count(*) AS encounters, max(ts) AS last_ts FROM encounters WHERE agent = 7 OR contact = 7 GROUP BY 1")
+def timeline_encounter_counts(spark, sf):
+    return timeline.encounter_counts(views.encounters(spark, sf), 7)
+
+
+@query(common("encounters") + ", w AS (SELECT agent AS u, contact AS v, CAST(count(*) AS DOUBLE) AS weight FROM encounters GROUP BY ALL) SELECT v + 1 AS uid, weight, EXISTS (SELECT 1 FROM w b WHERE b.u = w.v AND b.v = 7) AS reciprocated FROM w WHERE u = 7")
+def timeline_friends(spark, sf):
+    w = views.encounters(spark, sf).groupBy(F.col("agent").alias("u"), F.col("contact").alias("v")).agg(F.count("*").cast("double").alias("weight"))
+    return timeline.friends(w, 7)
+
+
+def _crp(spark, sf):
+    return views.table(spark, sf, "events").selectExpr("user_id % 10 AS agent", "concat('d', event_id % 30) AS diary_id", "CASE event_id % 2 WHEN 0 THEN 'wd' ELSE 'we' END AS day_type", "cast(event_id % 17 as double) / 17 AS sim", "event_id % 5 AS usage_count", "cast(0.5 as double) AS T_a", "cast(1.5 as double) AS alpha_a", "event_id").where("event_id < 600")
+
+
+CRP = "c AS (SELECT user_id % 10 AS agent, 'd' || CAST(event_id % 30 AS VARCHAR) AS diary_id, CASE event_id % 2 WHEN 0 THEN 'wd' ELSE 'we' END AS day_type, CAST(event_id % 17 AS DOUBLE) / 17 AS sim, event_id % 5 AS usage_count, event_id FROM events WHERE event_id < 600)"
+
+
+@query(f"WITH {CRP} SELECT diary_id, usage_count, event_id FROM c WHERE agent = 3")
+def timeline_crp_rows(spark, sf):
+    return timeline.crp_rows(_crp(spark, sf), 3).select("diary_id", "usage_count", "event_id")
+
+
+@query(
+    f"WITH {CRP}, g AS (SELECT agent, day_type, diary_id, max(sim) AS sim, max(usage_count) AS n FROM c GROUP BY ALL), w AS (SELECT *, CASE WHEN n > 0 THEN n ELSE 1.5 END * exp(sim / 0.5) AS w FROM g), p AS (SELECT *, w / sum(w) OVER (PARTITION BY agent, day_type) AS p, row_number() OVER (PARTITION BY agent, day_type ORDER BY w DESC, diary_id) AS r FROM w) SELECT agent, day_type, diary_id, round(p, 9) AS probability FROM p WHERE r <= 10"
+)
+def timeline_next_diary(spark, sf):
+    c = _crp(spark, sf).groupBy("agent", "day_type", "diary_id").agg(F.max("sim").alias("sim"), F.max("usage_count").alias("usage_count"), F.max("T_a").alias("T_a"), F.max("alpha_a").alias("alpha_a"))
+    return timeline.next_diary(c).select("agent", "day_type", "diary_id", F.round("probability", 9).alias("probability"))
+
+
+@query(common("stops") + f", {LEGS} SELECT chunk, count(*) AS n FROM (SELECT unnest(range(CAST(floor(floor(epoch(t_start)) / 21600) AS BIGINT), CAST(floor(floor(epoch(t_end)) / 21600) AS BIGINT) + 1)) AS chunk FROM legs) GROUP BY chunk")
+def timeline_chunks(spark, sf):
+    return timeline.chunks(_legs(spark, sf), 6).groupBy("chunk").agg(F.count("*").alias("n"))
+
+
+@query(common("encounters") + " SELECT agent, contact, ts FROM encounters WHERE agent < 40 AND contact < 40")
+def timeline_induced_sample(spark, sf):
+    e = views.encounters(spark, sf)
+    few = views.profiles(spark, sf).where("uid < 40").select("uid")
+    return timeline.induced(e, few, "agent", "contact").select("agent", "contact", "ts")
+
+
+@query(common("pings") + f", c AS (SELECT {cell_sql(8)} AS cell, count(*) AS n FROM pings GROUP BY 1) SELECT cell, n, lower(to_hex(cell)) AS hex FROM c")
+def sink_geojson_cells(spark, sf):
+    from ..functions import geo
+
+    c = views.pings(spark, sf).groupBy(geo.cell("lat", "lng", 8).alias("cell")).agg(F.count("*").alias("n"))
+    f = io.features(c)
+    return f.select("cell", F.get_json_object("feature", "$.properties.n").cast("long").alias("n"), F.get_json_object("feature", "$.properties.cell").alias("hex"))
+
+
+# Routing ----------------------------------------------------------------------------------------------
+
+
+def _segments(spark, sf):
+    """A grid of roads between the test grid's points: a segment for each row and column."""
+    line = lambda ids: F.array(*ids)
+    point = lambda i, j, at: F.struct((i * 8 + j).cast("long").alias("id"), at.cast("double").alias("at"), (48.80 + i * 0.01).cast("double").alias("lat"), (2.25 + j * 0.01).cast("double").alias("lng"))
+    n = F.col("id")
+    row = spark.range(5).select(F.concat(F.lit("r"), n).alias("segment_id"), F.lit("primary").alias("class"), line([point(n, F.lit(j), F.lit(j / 7)) for j in range(8)]).alias("connectors"))
+    col = spark.range(8).select(F.concat(F.lit("c"), n).alias("segment_id"), F.lit("residential").alias("class"), line([point(F.lit(i), n, F.lit(i / 4)) for i in range(5)]).alias("connectors"))
+    return row.unionByName(col).withColumn("access_restrictions", F.when(F.col("segment_id") == "r2", F.array(F.struct(F.lit("denied").alias("access"), F.lit("backward").alias("heading")))))
+
+
+@query(
+    f"""WITH p AS (SELECT i, j, CAST(48.80 + i * 0.01 AS DOUBLE) AS lat, CAST(2.25 + j * 0.01 AS DOUBLE) AS lng FROM range(5) a(i), range(8) b(j)), e AS (SELECT a.i * 8 + a.j AS x, b.i * 8 + b.j AS y, 'primary' AS class, a.i, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng').replace('6371.0088', '6371000.0')} AS m FROM p a JOIN p b ON b.i = a.i AND b.j = a.j + 1
+ UNION ALL SELECT a.i * 8 + a.j, b.i * 8 + b.j, 'residential', -1, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng').replace('6371.0088', '6371000.0')} FROM p a JOIN p b ON b.j = a.j AND b.i = a.i + 1), d AS (SELECT x AS from_node, y AS to_node, class, m FROM e UNION ALL SELECT y, x, class, m FROM e WHERE i <> 2)
+ SELECT from_node, to_node, class, round(m, 4) AS length_m, CAST(greatest(1, round(m / (CASE class WHEN 'primary' THEN 56.0 ELSE 24.0 END / 3.6) * 10)) AS BIGINT) AS weight_ds FROM d"""
+)
+def routing_road_edges(spark, sf):
+    return routing.edges(_segments(spark, sf)).select("from_node", "to_node", "class", F.round("length_m", 4).alias("length_m"), "weight_ds")
+
+
+@query()
+def routing_shortest_paths(spark, sf):
+    pairs = views.pings(spark, sf).select((F.col("loc") % 40).alias("a"), ((F.col("loc") * 7 + F.col("uid")) % 40).alias("b"))
+    return routing.shortest(routing.edges(_segments(spark, sf)), pairs).select("a", "b", F.round("metres", 3).alias("metres"), "connected")
+
+
+@query()
+def routing_road_jumps(spark, sf):
+    s = _segments(spark, sf)
+    j = routing.road_jumps(views.pings(spark, sf).select("uid", "datetime", "lat", "lng"), routing.nodes(s), routing.edges(s))
+    return j.groupBy("uid").agg(F.count("*").alias("n"), F.round(F.sum("jump_km"), 3).alias("km"), F.count_if("routed").alias("routed"))
+
+
+# Streams -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_hourly_counts(spark, sf):
+    return twins.drained(spark, twins.hourly_counts(twins.events(spark, sf)), "complete")
+
+
+@query(
+    """SELECT user_id, s AS first_at, max(ts) AS last_at, count(*) AS n FROM (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id, k) AS s FROM (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM (SELECT user_id, ts,
+ CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events))) GROUP BY user_id, s"""
+)
+def stream_sessions(spark, sf):
+    return twins.drained(spark, twins.sessions(twins.events(spark, sf), "6 hours"), "complete")
+
+
+@query(common("pings") + " SELECT uid, count(*) AS stays FROM (SELECT uid, loc = lag(loc) OVER (PARTITION BY uid ORDER BY datetime) AS same FROM pings) WHERE NOT coalesce(same, FALSE) GROUP BY uid")
+def stream_stays(spark, sf):
+    return twins.stays(spark, sf)
+
+
+# Generation ------------------------------------------------------------------------------------------------
+
+
+@query()
+def simulate_profiles(spark, sf):
+    return simulate.population(spark, 500)
+
+
+@query()
+def simulate_diary_choice(spark, sf):
+    c = _crp(spark, sf).groupBy("agent", "day_type", "diary_id").agg(F.max("sim").alias("sim"), F.max("T_a").alias("T_a"), F.max("alpha_a").alias("alpha_a"))
+    return simulate.choose_diaries(c, 14)
+
+
+@query()
+def simulate_trajectories(spark, sf):
+    places = views.pings(spark, sf).groupBy("loc", "lat", "lng").agg(F.count("*").cast("double").alias("relevance"))
+    return simulate.explore_and_return(spark, places, agents=60, steps=48)
+
+
+@query()
+def simulate_mode_choice(spark, sf):
+    legs = views.pings(spark, sf).selectExpr("uid", "event_id", "value / 10 AS km")
+    return simulate.choose_modes(legs, views.profiles(spark, sf)).select("uid", "event_id", "mode")
+
+
+@query("SELECT user_id % 3 AS dataset, event_type AS variant, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM events GROUP BY ALL")
+def simulate_ablation_summary(spark, sf):
+    e = views.table(spark, sf, "events").select((F.col("user_id") % 3).alias("dataset"), F.col("event_type").alias("variant"), "value")
+    s = simulate.ablation_summary(e, "value")
+    return s.select("dataset", "variant", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
+
+
+QUERIES, ORACLE = query.queries, query.oracle

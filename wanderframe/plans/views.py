@@ -15,7 +15,7 @@ STOPS = """SELECT uid, CAST(row_number() OVER w - 1 AS BIGINT) AS stop_id, datet
  least(coalesce(lead(datetime) OVER w, datetime + INTERVAL 2 HOUR), datetime + INTERVAL 2 HOUR) AS departure,
  CAST(floor(value) AS BIGINT) % 30 + 1 AS trip_duration_minutes, purpose, loc FROM pings WINDOW w AS (PARTITION BY uid ORDER BY datetime)"""
 INTERVALS = "SELECT user_id AS uid, event_id % 25 AS activity, event_id AS seq, ts AS arrival, ts + CAST(1 + event_id % 300 AS INTEGER) * INTERVAL 1 MINUTE AS departure FROM events"
-ENCOUNTERS = "SELECT user_id AS agent, (user_id + 1 + event_id % 7) % 150 AS contact, CAST(epoch(ts) AS BIGINT) AS ts FROM events"
+ENCOUNTERS = "SELECT user_id AS agent, (user_id + 1 + event_id % 7) % 150 AS contact, CAST(floor(epoch(ts)) AS BIGINT) AS ts FROM events"
 PROFILES = "SELECT DISTINCT user_id AS uid, CASE (user_id // 2) % 2 WHEN 0 THEN 'female' ELSE 'male' END AS gender, 16 + (user_id * 13) % 65 AS age, 'job' || CAST(user_id % 9 AS VARCHAR) AS job FROM events"
 VISITS = """SELECT uid, datetime AS start_timestamp, coalesce(lead(datetime) OVER (PARTITION BY uid ORDER BY datetime), date_trunc('day', datetime) + INTERVAL 1 DAY) AS end_timestamp,
  CAST(loc AS VARCHAR) AS location_id, purpose, side, lat, lng FROM pings"""
