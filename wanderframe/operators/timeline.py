@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_range
 from ..functions.scalar import after_minutes, crp_weight, finite, minutes_between, seconds_of
 from .filters import envelope_meets, in_viewport, overlaps
 
-BY_ARRIVAL = Window.partitionBy("uid").orderBy("arrival", "stop_id")
+
+def by_arrival() -> WindowSpec:
+    return Window.partitionBy("uid").orderBy("arrival", "stop_id")
 
 
 def legs_index(stops: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def legs_index(stops: DataFrame) -> DataFrame:
     A leg ends at the arrival and began as many minutes before as the trip took; the first
     stop of a user has none."""
     category = F.col("category") if "category" in stops.columns else F.lit(None).cast("string")
-    s = stops.withColumns({"p_lat": F.lag("lat").over(BY_ARRIVAL), "p_lng": F.lag("lng").over(BY_ARRIVAL), "cat": category})
+    s = stops.withColumns({"p_lat": F.lag("lat").over(by_arrival()), "p_lng": F.lag("lng").over(by_arrival()), "cat": category})
     start = (F.col("arrival") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("trip_duration_minutes") * 60).cast("decimal(18,6)"))).cast("timestamp_ntz")
     dwell = F.struct(F.lit("dwell").alias("kind"), F.col("arrival").alias("t_start"), F.col("departure").alias("t_end"), F.col("lat").alias("o_lat"), F.col("lng").alias("o_lng"))
     leg = F.struct(F.lit("leg").alias("kind"), start.alias("t_start"), F.col("arrival").alias("t_end"), F.col("p_lat").alias("o_lat"), F.col("p_lng").alias("o_lng"))
@@ -89,7 +91,7 @@ def activity_at(intervals: DataFrame, uid, ts, order: str = "seq") -> DataFrame:
 def merged_trips(stops: DataFrame) -> DataFrame:
     """Consecutive stops of a user at one point merged: the most common purpose (the first
     seen of equals), first arrival, last departure and the minutes between."""
-    w = BY_ARRIVAL
+    w = by_arrival()
     moved = ~F.coalesce((F.lag("lat").over(w) == F.col("lat")) & (F.lag("lng").over(w) == F.col("lng")), F.lit(False))
     grouped = stops.withColumn("moved", moved.cast("long")).withColumn("trip", F.sum("moved").over(w))
     per = grouped.groupBy("uid", "trip", "purpose").agg(F.count("*").alias("n"), F.min(F.struct("arrival", "stop_id")).alias("first"), F.max(F.struct("arrival", "stop_id", "departure")).alias("last"), F.min("lat").alias("lat"), F.min("lng").alias("lng"))

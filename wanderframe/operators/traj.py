@@ -6,18 +6,24 @@ that one shuffle by uid serves a chain of these operators.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.geo import cell, cell_resolution, haversine, in_range
 from ..functions.scalar import finite, minutes_between, purpose
 
-BY_TIME = Window.partitionBy("uid").orderBy("datetime")
-BY_USER = Window.partitionBy("uid")
 PANEL_SHARE = 0.2
 SPEED_KMH = 50.0
 
 
+def by_time() -> WindowSpec:
+    return Window.partitionBy("uid").orderBy("datetime")
+
+
+def by_user() -> WindowSpec:
+    return Window.partitionBy("uid")
+
+
 def located(df: DataFrame) -> DataFrame:
     """Rows with user, time and a place on earth."""
     return df.dropna(subset=["uid", "datetime", "lat", "lng"]).where(in_range("lat", "lng"))
@@ -31,20 +37,20 @@ def place(df: DataFrame, res: int = 10, column: str | None = None) -> Column:
 
 def collapse_to_stays(df: DataFrame) -> DataFrame:
     """The first row of every run of rows of one user at exactly one point."""
-    seen = df.withColumns({"__lat": F.lag("lat").over(BY_TIME), "__lng": F.lag("lng").over(BY_TIME)})
+    seen = df.withColumns({"__lat": F.lag("lat").over(by_time()), "__lng": F.lag("lng").over(by_time())})
     same = (F.col("lat") == F.col("__lat")) & (F.col("lng") == F.col("__lng"))
     return seen.where(~F.coalesce(same, F.lit(False))).drop("__lat", "__lng")
 
 
 def collapse_by(df: DataFrame, key: str) -> DataFrame:
     """The first row of every run of one user with one key; null never equals."""
-    seen = df.withColumn("__key", F.lag(key).over(BY_TIME))
+    seen = df.withColumn("__key", F.lag(key).over(by_time()))
     return seen.where(~F.coalesce(F.col("__key") == F.col(key), F.lit(False))).drop("__key")
 
 
 def panel_share(df: DataFrame, key: str) -> DataFrame:
     """One row: the share of a user's consecutive rows that repeat the key."""
-    seen = df.withColumns({"__key": F.lag(key).over(BY_TIME), "__n": F.row_number().over(BY_TIME)}).where("__n > 1")
+    seen = df.withColumns({"__key": F.lag(key).over(by_time()), "__n": F.row_number().over(by_time())}).where("__n > 1")
     return seen.agg(F.coalesce(F.avg((F.coalesce(F.col("__key") == F.col(key), F.lit(False))).cast("double")), F.lit(0.0)).alias("share"))
 
 
@@ -66,7 +72,7 @@ def adapt(df: DataFrame, mode: str = "auto", key: str | None = None, res: int =
 
 
 def with_previous(df: DataFrame) -> DataFrame:
-    return df.withColumns({"prev_lat": F.lag("lat").over(BY_TIME), "prev_lng": F.lag("lng").over(BY_TIME), "prev_time": F.lag("datetime").over(BY_TIME)})
+    return df.withColumns({"prev_lat": F.lag("lat").over(by_time()), "prev_lng": F.lag("lng").over(by_time()), "prev_time": F.lag("datetime").over(by_time())})
 
 
 def jump_lengths(df: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def jump_lengths(df: DataFrame) -> DataFrame:
 
 def radius_of_gyration(df: DataFrame) -> DataFrame:
     """(uid, rog_km): root mean square distance to the mean point in degrees."""
-    centred = df.withColumns({"__lat": F.avg("lat").over(BY_USER), "__lng": F.avg("lng").over(BY_USER)})
+    centred = df.withColumns({"__lat": F.avg("lat").over(by_user()), "__lng": F.avg("lng").over(by_user())})
     d = haversine("lat", "lng", "__lat", "__lng")
     return centred.groupBy("uid").agg(F.sqrt(F.avg(d * d)).alias("rog_km"))
 
@@ -108,7 +114,7 @@ def trip_minutes(df: DataFrame, column: str | None = None) -> DataFrame:
 def visits(df: DataFrame, location: str | None = None, end: str | None = None, purpose_column: str | None = None, res: int = 10) -> DataFrame:
     """(uid, start_timestamp, end_timestamp, location_id, purpose): a visit ends with its
     column, else where the next begins, else at the next midnight."""
-    after = F.coalesce(F.lead("datetime").over(BY_TIME), (F.date_trunc("day", F.col("datetime")) + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz"))
+    after = F.coalesce(F.lead("datetime").over(by_time()), (F.date_trunc("day", F.col("datetime")) + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz"))
     ends = F.coalesce(F.col(end).try_cast("timestamp_ntz"), after) if end else after
     return df.select("uid", F.col("datetime").alias("start_timestamp"), ends.alias("end_timestamp"), place(df, res, location).alias("location_id"), (F.col(purpose_column) if purpose_column else F.lit(None).cast("string")).alias("purpose"))
 
