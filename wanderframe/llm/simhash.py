@@ -146,16 +146,107 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     return rows.join(label, "fp").select("doc_id", *carry, "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: one row of each stays.
+#: Part fingerprints of a document, shingles in each, and hashes kept of its shingle set.
+PARTS, PART, KEPT = 16, 4, 512
 
-    It is the row of the smallest doc_id (null last), and among rows of one doc_id the one of
-    the least fingerprint of its content; of rows that are alike in id and text one stays.
+
+def sketch(text: bytes, words: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(content, fingerprint, keys, set) of a text.
+
+    ``content`` identifies its sequence of words.  ``keys`` are fingerprints of parts of the
+    shingle set: the set is dealt by hash into as many classes as give about PART shingles
+    each, for both powers of two around that number, and PARTS classes are fingerprinted
+    (few shingles make the exclusive-or of their hashes a fingerprint as good as the
+    majority).  ``set`` has the KEPT least 32-bit hashes of the set, in order."""
+    w = text.lower().split()
+    joined = b" ".join(w)
+    content = xxhash.xxh64_intdigest(joined, SEED + 1)
+    digest = xxhash.xxh64_intdigest
+    shingles = [digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = np.array(shingles, np.uint64)
+    if not len(h):
+        return content, 0, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    fp = int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).tobytes(), "big")
+    own = np.unique(h)
+    mixed = own * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(31)
+    level = max(0, (len(own) // PART).bit_length() - 1)
+    keys = []
+    for at in (level, level + 1):
+        cls = mixed & np.uint64((1 << at) - 1)
+        few = cls < PARTS
+        order = np.argsort(cls[few], kind="stable")
+        c, x = cls[few][order], mixed[few][order]
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else np.zeros(0, np.int64)
+        if len(first):
+            part = np.bitwise_xor.reduceat(x, first) + (c[first] + np.uint64(at << 8)) * np.uint64(0xD6E8FEB86659FD93)
+            keys.append(part.view(np.int64))
+    small = np.unique((mixed >> np.uint64(32)).astype(np.uint32))[:KEPT]
+    return content, fp, np.concatenate(keys) if keys else np.zeros(0, np.int64), small
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets by their least hashes: exact up to KEPT shingles
+    in both together, else over the KEPT least of them."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = np.union1d(a, b)[:KEPT]
+    shared = np.intersect1d(a, b, assume_unique=True)
+    return float(np.searchsorted(shared, both[-1], "right") / len(both))
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sketch(t, words) for _, part in pieces(b.column(0)) for t in part]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(np.array([g[i] for g in got], np.uint64).view(np.int64)) for i in (0, 1)), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array([g[3].tobytes() for g in got], pa.binary())], names=["doc_id", "row", "content", "fp", "keys", "set"])
+
+    return docs.select("text", "doc_id", "row").mapInArrow(run, "doc_id long, row long, content long, fp long, keys array<bigint>, set binary")
+
+
+def similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of contents that resemble each other by at least ``similarity``.
+
+    Candidates are stars: whoever shares a part fingerprint, or has whole fingerprints at two
+    bits or fewer, links to the least of them; each link is verified on the sets."""
+    keyed = nodes.select("content", F.explode("keys").alias("k"))
+    least = keyed.groupBy("k").agg(F.min("content").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "a")
+    parts = keyed.join(least, "k").where("content <> a").select("a", F.col("content").alias("b"))
+    by_fp = stored(nodes.groupBy("fp").agg(F.min("content").alias("c")), "by_fp")
+    same = nodes.join(by_fp, "fp").where("content <> c").select(F.col("c").alias("a"), F.col("content").alias("b"))
+    near = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    pairs = stored(parts.unionByName(same).unionByName(near).distinct(), "pairs")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint32) for v in b.column(i)] for i in (2, 3))
+            ok = pa.array([resemblance(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
+
+    left = pairs.join(sets.select(F.col("content").alias("a"), F.col("set").alias("x")), "a")
+    return left.join(sets.select(F.col("content").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their group of near duplicates: one of each stays.
+
+    Groups are connected by documents whose sets of word shingles have a Jaccard similarity
+    of at least ``similarity``.  Edits move a whole fingerprint by more than two bits well
+    before that, so fingerprints of parts of the set find candidates too, and every link is
+    verified on the sets.  A pair at 0.8 shares a part with a chance above 0.99.
+    Of a group stays the row of the smallest doc_id (null last), and among rows of one doc_id
+    the one with the least hash of its content; of rows alike in id and text one stays.
+    Texts without words form one group.
     """
     keyed = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
-    found = near_duplicates(keyed.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), "__row"), words, carry=("__row",))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col("__row").alias("row"))).alias("best"))
-    best = first.select(F.col("best.doc_id").alias("__id"), F.col("best.row").alias("__best"))
-    kept = keyed.join(best, (keyed["__row"] == best["__best"]) & keyed[doc_id].cast("long").eqNullSafe(best["__id"]), "left_semi")
+    own = stored(sketches(keyed.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.col("__row").alias("row")), words), "sketches")
+    nodes = stored(own.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "nodes")
+    # The sets of one row of each content.
+    sets = own.join(nodes.select("content", F.col("best.row").alias("row")), ["content", "row"]).select("content", "set").dropDuplicates(["content"])
+    roots = components(similar(nodes, sets, similarity))
+    linked = nodes.select("content", "best").join(roots, nodes.content == roots.node, "left").groupBy(F.coalesce("root", "content").alias("root")).agg(F.min("best").alias("best"))
+    # The row key covers id and text: one shuffle of the texts serves the join and what follows.
+    kept = keyed.join(linked.select(F.col("best.row").alias("__row")), "__row", "left_semi")
     # Rows alike in id and text share a row key; the rest are single already.
     return kept.dropDuplicates(["__row", doc_id]).drop("__row")
