@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import stored, work_dir
 from .flatfiles import encoder, filesystem, token_ids
 
 LENGTH = 256
 SHARD = 8192
 ROUNDS = 6
+#: Up to so many files of the sequence table, their first indices go to every task; beyond,
+#: they are joined by a shuffle.
+FEW_FILES = 100_000
 
 
 def sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -93,9 +96,10 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
     seqs.write.option("compression", "zstd").parquet(table)
     rows = spark.read.schema(seqs.schema).parquet(table).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     # One row per file; a running sum turns counts into the files' first indices.
-    files = rows.groupBy("__file").agg(F.count("*").alias("__n"))
-    files = files.withColumn("__first", F.sum("__n").over(Window.orderBy("__file")) - F.col("__n"))
-    n = rows.count()
+    files = stored(rows.groupBy("__file").agg(F.count("*").alias("__n")), "files")
+    n = files.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    few = files.count() <= FEW_FILES
+    files = files.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__first"))
     slots = permutation(n, key)
     carry = [c for c in seqs.columns if c != "tokens"]
     names = [*carry, "slot", "shard", "byte_offset", "n_tokens"]
@@ -106,7 +110,7 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
         for b in batches:
             yield b.set_column(b.num_columns - 1, "slot", pa.array(slots(b.column(b.num_columns - 1).to_numpy())))
 
-    placed = rows.join(files.select("__file", "__first"), "__file").select(*carry, "tokens", (F.col("__first") + F.col("__row")).alias("slot"))
+    placed = rows.join(F.broadcast(files) if few else files, "__file").select(*carry, "tokens", (F.col("__first") + F.col("__row")).alias("slot"))
     placed = placed.mapInArrow(place, placed.schema).withColumn("shard", F.expr(f"slot div {shard}"))
     tasks = max(1, min(-(-n // shard), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ordered = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
