@@ -135,7 +135,7 @@ class WordBpe:
         ids[-1] = int(self.last[raw[-1]])
         n = len(ids)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        r, m = self.ranks(np.array(ids[:-1]), np.array(ids[1:]))
+        r, m = self.ranks(np.array(ids[:-1], np.int64), np.array(ids[1:], np.int64))
         heap = [(int(a), i, ids[i], ids[i + 1], int(b)) for i, (a, b) in enumerate(zip(r, m, strict=True)) if a < NONE]
         heapq.heapify(heap)
         while heap:

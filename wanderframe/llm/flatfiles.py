@@ -37,8 +37,8 @@ def encoder(path: str, pattern: str):
 
 
 def token_ids(enc, text: str | None) -> np.ndarray:
-    """Ids of a whole text.  Long runs without a break are encoded in parts of 1,000 letters,
-    as the merges of one such run would take quadratic time."""
+    """Ids of a whole text, which long ones are encoded in parts for: merges over one run of
+    letters take quadratic time."""
     if not text:
         return np.zeros(0, np.uint16)
     if len(text) > 5000:
@@ -49,18 +49,16 @@ def token_ids(enc, text: str | None) -> np.ndarray:
     return np.array(enc.encode_ordinary(text), np.uint16)
 
 
-def cut(text: str, least: int = 4000, run: int = 1000) -> Iterator[str]:
-    """Parts of the text that end before a space that has a letter on both sides."""
+def cut(text: str, least: int = 4000, run: int = 20_000) -> Iterator[str]:
+    """Parts of the text that end before a single space in front of a letter: no token of the
+    pattern reaches across.  Only a run of so many letters without one is cut within."""
     at = 0
     while len(text) - at > least:
-        to = at + least
-        while True:
-            to = text.find(" ", to, to + run)
-            if to < 0 or (text[to - 1].isalpha() and to + 1 < len(text) and text[to + 1].isalpha()):
-                break
-            to += 1
+        to = text.find(" ", at + least, at + run)
+        while to >= 0 and (text[to - 1].isspace() or not text[to + 1 : to + 2].isalpha()):
+            to = text.find(" ", to + 1, at + run)
         if to < 0:
-            to = at + least
+            to = min(at + run, len(text))
         yield text[at:to]
         at = to
     yield text[at:]

@@ -106,7 +106,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """(node, root): the least node of each connected component, for nodes that have an edge.
+    """(node, root): the least node of each connected component, for all of its other nodes.
 
     Alternating large-star and small-star rounds on the edge table; each is checkpointed and
     only a count comes to the driver.

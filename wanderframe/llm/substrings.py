@@ -169,7 +169,8 @@ def multikey_order(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
             out[at : at + len(part)] = part[np.lexsort([t[part] for t in reversed(tokens[depth:])])]
             continue
         key = tokens[depth][part]
-        pivot = np.partition(key[:: max(1, len(key) // 255)], 127)[127]
+        probe = np.sort(key[:: max(1, len(key) // 255)])
+        pivot = probe[len(probe) // 2]
         below, same = key < pivot, key == pivot
         n0, n1 = int(below.sum()), int(same.sum())
         todo += [(at, part[below], depth), (at + n0, part[same], depth + 1), (at + n0 + n1, part[~(below | same)], depth)]
