@@ -111,6 +111,14 @@ def test_motifs():
     assert profiles.motif_of(["h"]) == 1 << 36
 
 
+def test_published_motif_ids_are_canonical():
+    for m, _ in profiles.LITERATURE:
+        a = profiles.adjacency(m)
+        edges = frozenset((i, j) for i, r in enumerate(a) for j, x in enumerate(r) if x)
+        assert profiles.canonical_id(len(a), edges) == m
+    assert sum(p for _, p in profiles.LITERATURE) == pytest.approx(90.08)
+
+
 def test_distinct_runs():
     for s in ([], [1], [1, 1, 1], [1, 2, 1, 3, 1, 2], list(range(8)), [0, 1] * 5):
         assert profiles.distinct_runs(s) == len({tuple(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1)})
@@ -241,3 +249,31 @@ def test_generation_is_seeded(spark):
     assert t.count() == 100 and t.exceptAll(simulate.explore_and_return(spark, p, 5, 20)).count() == 0
     w = spark.createDataFrame([(1, 1, T0, T0 + timedelta(seconds=100), [1.0, 3.0])], "uid long, stop_id long, departure timestamp_ntz, arrival timestamp_ntz, weights array<double>")
     assert [r.t for r in simulate.waypoint_times(w).orderBy("seq").collect()] == [T0, T0 + timedelta(seconds=25), T0 + timedelta(seconds=100)]
+
+
+def test_report_and_registered_functions(spark, tmp_path):
+    from wanderframe.functions.register import register
+    from wanderframe.plans import compare
+
+    def side(shift):
+        rows = [(f"u{u}", T0 + timedelta(hours=4 * k), 48.8 + 0.01 * ((u + k + shift) % 3), 2.3 + 0.01 * (k % 2), ("HOME", "WORK", "OTHER")[k % 3], ("walk", "car")[k % 2]) for u in range(4) for k in range(6)]
+        return spark.createDataFrame(rows, "uid string, datetime timestamp_ntz, lat double, lng double, purpose string, mode string")
+
+    side(0).write.parquet(f"{tmp_path}/s")
+    side(1).write.parquet(f"{tmp_path}/o")
+    got = compare.report_from_paths(spark, f"{tmp_path}/s", f"{tmp_path}/o", f"{tmp_path}/r.json", sections=("distributions", "activity", "cpc", "transport"))
+    assert got["all"]["jsd_activity"] == 0 and got["all"]["w1_visits_per_user"] == 0 and 0 <= got["all"]["cpc_8"] <= 1
+    with pytest.raises(ValueError):
+        compare.report(side(0), side(1), ("nothing",))
+    assert "haversine_km" in register(spark)
+    r = spark.sql("SELECT haversine_km(0D, 0D, 0D, 1D) AS d, haversine_km(NULL, 0D, 0D, 1D) AS n, cell_lat(cell_id(48.85D, 2.35D, 9)) AS lat, motif_id(array('h', 'w', 'h')) AS m").first()
+    assert r.d == pytest.approx(111.195, abs=0.01) and r.n is None and abs(r.lat - 48.85) < 0.004 and r.m >> 36 == 2
+    days = spark.sql("SELECT * FROM split_midnight(TIMESTAMP_NTZ'2024-01-01 23:00:00', TIMESTAMP_NTZ'2024-01-02 01:00:00')").collect()
+    assert len(days) == 2
+
+
+def test_micro_activities_fill_the_stops(spark):
+    s = [(1, k, T0 + timedelta(hours=3 * k), T0 + timedelta(hours=3 * k + 2), ("HOME", "WORK")[k % 2]) for k in range(4)]
+    df = spark.createDataFrame(s, "uid long, stop_id long, arrival timestamp_ntz, departure timestamp_ntz, purpose string")
+    got = simulate.micro_activities(df).groupBy("stop_id").agg(F.min("arrival").alias("a"), F.max("departure").alias("d"), F.sum(scalar.minutes_between("arrival", "departure")).alias("m")).orderBy("stop_id").collect()
+    assert [(r.a, r.d, r.m) for r in got] == [(x[2], x[3], 120.0) for x in s]

@@ -103,3 +103,18 @@ def snap(points: DataFrame, nodes: DataFrame, metres: float = 750.0) -> DataFram
     d = haversine("lat", "lng", "nlat", "nlng", 6371000.0)
     best = p.join(n, ["gy", "gx"]).withColumn("metres", d).where(F.col("metres") <= metres).groupBy("id").agg(F.min(F.struct("metres", "node")).alias("m"))
     return points.select("id").join(best, "id", "left").select("id", F.coalesce(F.col("m.node"), F.lit(-1)).alias("node"), F.col("m.metres").alias("metres"))
+
+
+def hourly_transport(synthetic: DataFrame, observed: DataFrame, res: int, slices: int = 16, seed: int = 42) -> DataFrame:
+    """Sliced earth mover's distance of two visit histograms over cell centres in metres and
+    hours of the day, an hour counting as a kilometre."""
+    from ..functions.geo import cell_centre, mercator
+    from .distance import sliced_wasserstein
+
+    def points(df: DataFrame) -> DataFrame:
+        lat, lng = cell_centre("cell")
+        at = located(df).select(cell("lat", "lng", res).alias("cell"), F.hour("datetime").alias("h")).select(lat.alias("lat"), lng.alias("lng"), (F.col("h") * 1000.0).alias("t"))
+        x, y = mercator("lat", "lng")
+        return at.select(x.alias("x"), y.alias("y"), "t")
+
+    return sliced_wasserstein(points(synthetic), points(observed), ["x", "y", "t"], slices, seed)

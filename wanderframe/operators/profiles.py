@@ -13,6 +13,27 @@ from ..functions.scalar import minutes_between, tokens
 
 LARGEST = 6
 SHIFT = 36
+# The seventeen daily motifs of the literature, their ids and published shares
+# in percent, in the literature's order.
+LITERATURE = (
+    (0x1000000000, 10.10),
+    (0x2000000006, 30.80),
+    (0x30000000E4, 12.70),
+    (0x300000008C, 9.40),
+    (0x30000000E2, 0.60),
+    (0x4000006818, 7.30),
+    (0x4000004218, 5.00),
+    (0x4000007888, 1.70),
+    (0x4000006984, 0.70),
+    (0x5000C80830, 3.00),
+    (0x5000820830, 2.30),
+    (0x5000E84030, 1.30),
+    (0x5000C10610, 1.00),
+    (0x6620102060, 1.30),
+    (0x6408102060, 1.30),
+    (0x6720802060, 0.72),
+    (0x66040A0060, 0.86),
+)
 
 
 @lru_cache(maxsize=100_000)
@@ -64,10 +85,14 @@ def motif_shares(m: DataFrame) -> DataFrame:
     return n.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def motif_basis(shares: DataFrame, basis: DataFrame) -> DataFrame:
-    """Shares by the motifs of a basis (motif, name, reference_pct); the rest is 'other'."""
-    joined = shares.join(F.broadcast(basis), "motif", "left")
-    return joined.groupBy(F.coalesce("name", F.lit("other")).alias("name")).agg(F.sum("pct").alias("pct"), F.max("reference_pct").alias("reference_pct"))
+def motif_basis(shares: DataFrame) -> DataFrame:
+    """(name, pct, reference_pct): shares of the literature's motifs, m1 to m17, and of all
+    others together; motifs that do not occur have zero."""
+    spark = shares.sparkSession
+    rest = round(100 - sum(p for _, p in LITERATURE), 2)
+    basis = spark.createDataFrame([(f"m{i}", m, p) for i, (m, p) in enumerate(LITERATURE, 1)] + [("other", None, rest)], "name string, motif long, reference_pct double")
+    named = shares.join(F.broadcast(basis.select("name", "motif")), "motif", "left").groupBy(F.coalesce("name", F.lit("other")).alias("name")).agg(F.sum("pct").alias("pct"))
+    return basis.select("name", "reference_pct").join(named, "name", "left").select("name", F.coalesce("pct", F.lit(0.0)).alias("pct"), "reference_pct")
 
 
 def token_steps(v: DataFrame, minutes: int = 5) -> DataFrame:

@@ -165,3 +165,74 @@ def waypoint_times(legs: DataFrame) -> DataFrame:
 def ablation_summary(metrics: DataFrame, value: str, by: tuple[str, ...] = ("dataset", "variant")) -> DataFrame:
     """Mean, sample deviation and number of a metric per data set and variant."""
     return metrics.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"))
+
+
+# Activities with the mean and deviation of the log of their hours and the
+# purposes that allow them (0 home, 1 work, 2 other).
+ACTIVITIES = (
+    ("sleep", 2.08, 0.30, (0,)),
+    ("eatdrink", -0.35, 0.45, (0, 1, 2)),
+    ("selfcare", -0.69, 0.50, (0, 2)),
+    ("paidwork", 2.08, 0.30, (1,)),
+    ("educatn", 1.10, 0.50, (2,)),
+    ("foodprep", 0.00, 0.60, (0,)),
+    ("cleanetc", 0.00, 0.60, (0,)),
+    ("maintain", 0.00, 0.60, (0,)),
+    ("shopserv", -0.29, 0.50, (2,)),
+    ("garden", 0.41, 0.60, (0,)),
+    ("petcare", -0.69, 0.50, (0,)),
+    ("eldcare", 0.41, 0.70, (0, 2)),
+    ("pkidcare", 0.41, 0.70, (0, 2)),
+    ("ikidcare", 0.41, 0.70, (0, 2)),
+    ("religion", 0.69, 0.60, (2,)),
+    ("volorgwk", 0.69, 0.60, (2,)),
+    ("commute", -0.29, 0.50, (1, 2)),
+    ("travel", -0.29, 0.50, (2,)),
+    ("sportex", 0.41, 0.40, (2,)),
+    ("tvradio", 0.92, 0.60, (0, 2)),
+    ("read", 0.41, 0.50, (0, 2)),
+    ("compint", 0.41, 0.50, (0, 2)),
+    ("goout", 0.92, 0.50, (2,)),
+    ("leisure", 0.92, 0.60, (0, 2)),
+    ("missing", 0.00, 0.50, ()),
+)
+PURPOSES = ("HOME", "WORK", "OTHER")
+
+
+def micro_activities(stops: DataFrame, kappa: float = 1.0, seed: int = 47) -> DataFrame:
+    """(uid, stop_id, seq, activity, arrival, departure): a chain of activities fills each stop.
+
+    An agent's next activity is one it has done before, by its count, or a new one by kappa;
+    durations are log-normal, at least a minute, and the last one ends with the stop."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        uid = int(pdf["uid"].iloc[0])
+        rng = np.random.default_rng([seed, uid])
+        done = np.zeros(len(ACTIVITIES))
+        rows = []
+        for r in pdf.sort_values(["arrival", "stop_id"]).itertuples():
+            kind = PURPOSES.index(r.purpose) if r.purpose in PURPOSES else 2
+            fits = np.array([i for i, a in enumerate(ACTIVITIES) if kind in a[3] and a[0] not in ("commute", "travel")])
+            at, seq = r.arrival, 0
+            while at < r.departure:
+                w = done[fits] + kappa / len(fits)
+                i = int(rng.choice(fits, p=w / w.sum()))
+                hours = max(float(np.exp(ACTIVITIES[i][1] + ACTIVITIES[i][2] * rng.normal())), 1 / 60)
+                end = min(r.departure, at + pd.Timedelta(seconds=round(hours * 3600)))
+                rows.append((uid, int(r.stop_id), seq, ACTIVITIES[i][0], at, end))
+                done[i] += 1
+                at, seq = end, seq + 1
+        return pd.DataFrame(rows, columns=["uid", "stop_id", "seq", "activity", "arrival", "departure"])
+
+    return stops.select("uid", "stop_id", "arrival", "departure", "purpose").groupBy("uid").applyInPandas(run, "uid long, stop_id long, seq int, activity string, arrival timestamp_ntz, departure timestamp_ntz")
+
+
+def updated_friendships(edges: DataFrame, contacts: DataFrame, gain: float = 0.2, decay: float = 0.05, regularity: float = 0.3, days: int = 7) -> DataFrame:
+    """(u, v, strength): ties grow with each day of a window on which the pair met and fade
+    otherwise; pairs that meet on a share of days of at least ``regularity`` become ties."""
+    met = contacts.where("u < v").groupBy("u", "v").agg(F.countDistinct("day").alias("met"))
+    all_ = edges.select("u", "v", "strength").join(met, ["u", "v"], "full_outer").fillna(0)
+    new = F.col("strength") == 0
+    grown = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("strength") + gain * F.col("met") / days - F.when(F.col("met") == 0, decay).otherwise(0.0)))
+    kept = F.when(new, F.when(F.col("met") / days >= regularity, gain * F.col("met") / days)).otherwise(grown)
+    return all_.select("u", "v", kept.alias("strength")).where("strength > 0")

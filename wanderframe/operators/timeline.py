@@ -162,3 +162,14 @@ def induced(df: DataFrame, uids: DataFrame, *columns: str) -> DataFrame:
 def trip_times(stops: DataFrame) -> DataFrame:
     """When each trip began: arrival less its minutes."""
     return stops.withColumn("trip_start", after_minutes("arrival", -F.col("trip_duration_minutes")).cast("timestamp_ntz"))
+
+
+def agent_detail(stops: DataFrame, intervals: DataFrame, encounters: DataFrame, profiles: DataFrame, uid) -> DataFrame:
+    """One row: the profile of an agent with its trips, activities and encounters as arrays."""
+    trips = agent_trips(stops, uid).agg(F.sort_array(F.collect_list(F.struct("arrival", "departure", "stop_id", "lat", "lng", "purpose"))).alias("trips"))
+    acts = intervals.where(F.col("uid") == uid).agg(F.sort_array(F.collect_list(F.struct("seq", "activity", "arrival", "departure"))).alias("activities"))
+    met = recent_encounters(encounters, stops, uid).agg(F.sort_array(F.collect_list(F.struct("ts", "contact", "purpose", "stop_id")), asc=False).alias("encounters"))
+    one = profiles.where(F.col("uid") == uid).limit(1)
+    for part in (trips, acts, met):  # each is a single row
+        one = one.join(F.broadcast(part))
+    return one

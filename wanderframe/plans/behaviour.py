@@ -137,6 +137,11 @@ def motif_day_nodes(spark, sf):
     return profiles.daily_motifs(_visits(spark, sf)).select("uid", "day", "n_nodes")
 
 
+@query()
+def motif_literature_basis(spark, sf):
+    return profiles.motif_basis(profiles.motif_shares(profiles.daily_motifs(_visits(spark, sf)))).select("name", F.round("pct", 6).alias("pct"), "reference_pct")
+
+
 @query()
 def motif_divergence(spark, sf):
     a, b = (profiles.motif_shares(profiles.daily_motifs(_visits(spark, sf, s))) for s in (0, 1))

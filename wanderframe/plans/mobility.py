@@ -290,4 +290,10 @@ def distance_sliced_wasserstein(spark, sf):
     return distance.sliced_wasserstein(a, b, ["lat", "lng", "h"], 8).select(F.round("sliced_w1", 6).alias("sliced_w1"))
 
 
+@query()
+def distance_stvd_transport(spark, sf):
+    a, b = _sides(views.pings(spark, sf))
+    return od.hourly_transport(a, b, 7, 4).select(F.round("sliced_w1", 3).alias("sliced_w1"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle

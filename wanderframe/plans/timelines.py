@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import routing, simulate, timeline
+from ..operators import routing, simulate, tessellation, timeline
 from ..sources import io
 from ..streaming import twins
-from . import views
+from . import compare, views
 from .mobility import cell_sql, hav
 from .registry import Registry
 from .views import common
@@ -241,4 +241,58 @@ def simulate_ablation_summary(spark, sf):
     return s.select("dataset", "variant", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
+@query()
+def simulate_micro_activities(spark, sf):
+    m = simulate.micro_activities(views.stops(spark, sf).where("uid < 20"))
+    return m.select("uid", "stop_id", F.col("seq").cast("long").alias("seq"), "activity", "arrival", "departure")
+
+
+@query(common("encounters") + ", c AS (SELECT least(agent, contact) AS u, greatest(agent, contact) AS v, ts // 86400 AS day FROM encounters WHERE agent <> contact AND ts < 1704067200 + 7 * 86400), m AS (SELECT u, v, count(DISTINCT day) AS met FROM c GROUP BY ALL) SELECT u, v, round(0.2 * met / 7, 9) AS strength FROM m WHERE met / 7 >= 0.3")
+def simulate_new_friendships(spark, sf):
+    e = views.encounters(spark, sf).where("agent <> contact AND ts < 1704067200 + 7 * 86400").selectExpr("least(agent, contact) AS u", "greatest(agent, contact) AS v", "ts div 86400 AS day")
+    none = spark.createDataFrame([], "u long, v long, strength double")
+    return simulate.updated_friendships(none, e).select("u", "v", F.round("strength", 9).alias("strength"))
+
+
+@query(common("stops", "profiles") + " SELECT p.uid, gender, job, count(*) AS trips FROM profiles p JOIN stops s ON s.uid = p.uid WHERE p.uid = 7 GROUP BY ALL")
+def timeline_agent_detail(spark, sf):
+    d = timeline.agent_detail(views.stops(spark, sf), views.intervals(spark, sf), views.encounters(spark, sf), views.profiles(spark, sf), 7)
+    return d.select("uid", "gender", "job", F.size("trips").cast("long").alias("trips"))
+
+
+@query()
+def report_all_sections(spark, sf):
+    p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
+    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("distributions", "activity", "motifs", "cpc", "laws", "transport"))
+    return rows.select("filter_key", "metric_name", F.round("value", 6).alias("value"), "unit")
+
+
+@query(f"WITH r AS (SELECT unnest(range(CAST(floor((48.80 + 90) * 64) AS BIGINT), CAST(floor((48.86 + 90) * 64) AS BIGINT) + 1)) AS y), c AS (SELECT unnest(range(CAST(floor((2.25 + 180) * 64) AS BIGINT), CAST(floor((2.33 + 180) * 64) AS BIGINT) + 1)) AS x), t AS (SELECT {7 << 52} + y * {1 << 26} + x AS tile_id, (y + 0.5) / 64 - 90 AS lat, (x + 0.5) / 64 - 180 AS lng FROM r, c), " + common("pings").removeprefix("WITH ") + f", n AS (SELECT {cell_sql(7)} AS tile_id, count(*) AS k FROM pings GROUP BY 1) SELECT CAST(tile_id AS BIGINT) AS tile_id, round(lat, 9) AS lat, round(lng, 9) AS lng, coalesce(k, 0) AS total_poi_count FROM t LEFT JOIN n USING (tile_id) WHERE lat BETWEEN 48.80 AND 48.86 AND lng BETWEEN 2.25 AND 2.33")
+def tessellation_cover(spark, sf):
+    t = tessellation.with_counts(tessellation.cover(spark, (2.25, 48.80, 2.33, 48.86), 7), views.pings(spark, sf), 7)
+    return t.select("tile_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), "total_poi_count")
+
+
+@query()
+def tessellation_home_anchors(spark, sf):
+    t = tessellation.with_counts(tessellation.cover(spark, (2.25, 48.80, 2.33, 48.86), 9), views.pings(spark, sf), 9)
+    return tessellation.home_anchors(t, "total_poi_count", 25)
+
+
+@query()
+def social_friendships(spark, sf):
+    from ..functions import geo
+
+    p = views.pings(spark, sf).groupBy("uid").agg(F.min_by(F.struct("lat", "lng"), "datetime").alias("h"), F.max_by(F.struct("lat", "lng"), "datetime").alias("w"))
+    return tessellation.friendships(p.select("uid", geo.cell("h.lat", "h.lng", 7).alias("home"), geo.cell("w.lat", "w.lng", 7).alias("work")))
+
+
+@query("SELECT event_id, CASE upper(trim(event_type)) WHEN 'HOME' THEN 'HOME' WHEN 'WORK' THEN 'WORK' ELSE 'OTHER' END AS p FROM events WHERE event_id < 100")
+def sql_registered_functions(spark, sf):
+    from ..functions.register import register
+
+    register(spark)
+    return views.table(spark, sf, "events").where("event_id < 100").selectExpr("event_id", "purpose_of(event_type) AS p")
+
+
 QUERIES, ORACLE = query.queries, query.oracle
