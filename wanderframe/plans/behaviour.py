@@ -291,7 +291,7 @@ def graph_edge_sample(spark, sf):
 
 
 @query(
-    common("pings", "edges") + """, c AS (SELECT uid, loc, count(*) AS n FROM pings GROUP BY ALL), z AS (SELECT uid, sqrt(sum(n * n)) AS z FROM c GROUP BY uid) SELECT u, v, round(coalesce(sum(a.n * b.n), 0) / any_value(p.z) / any_value(q.z), 9) AS similarity FROM edges JOIN z p ON p.uid = u JOIN z q ON q.uid = v LEFT JOIN c a ON a.uid = u LEFT JOIN c b ON b.uid = v AND b.loc = a.loc GROUP BY u, v"""
+    common("pings", "edges") + """, c AS (SELECT uid, loc, count(*) AS n FROM pings GROUP BY ALL), z AS (SELECT uid, sqrt(sum(n * n)) AS z FROM c GROUP BY uid) SELECT u, v, round(coalesce(sum(a.n * b.n) / any_value(p.z) / any_value(q.z), 0), 9) AS similarity FROM edges LEFT JOIN z p ON p.uid = u LEFT JOIN z q ON q.uid = v LEFT JOIN c a ON a.uid = u LEFT JOIN c b ON b.uid = v AND b.loc = a.loc GROUP BY u, v"""
 )
 def graph_sparse_cosine(spark, sf):
     c = views.pings(spark, sf).groupBy("uid", "loc").agg(F.count("*").alias("n"))

@@ -136,7 +136,7 @@ def timeline_chunks(spark, sf):
     return timeline.chunks(_legs(spark, sf), 6).groupBy("chunk").agg(F.count("*").alias("n"))
 
 
-@query(common("encounters") + " SELECT agent, contact, ts FROM encounters WHERE agent < 40 AND contact < 40")
+@query(common("encounters", "profiles") + ", few AS (SELECT uid FROM profiles WHERE uid < 40) SELECT agent, contact, ts FROM encounters WHERE agent IN (SELECT uid FROM few) AND contact IN (SELECT uid FROM few)")
 def timeline_induced_sample(spark, sf):
     e = views.encounters(spark, sf)
     few = views.profiles(spark, sf).where("uid < 40").select("uid")
