@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import forget, pieces, stored
 
 SEED = 42
 SEGMENTS = 16  # of four bits; a count is 0 to 4, kept in three bits of the cell
@@ -225,7 +225,9 @@ def similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
     left = pairs.join(sets.select(F.col("content").alias("a"), F.col("set").alias("x")), "a")
-    return left.join(sets.select(F.col("content").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+    found = stored(left.join(sets.select(F.col("content").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "alike")
+    forget(by_fp, pairs)
+    return found
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,10 +245,13 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     own = stored(sketches(keyed.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.col("__row").alias("row")), words), "sketches")
     nodes = stored(own.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "nodes")
     # The sets of one row of each content.
-    sets = own.join(nodes.select("content", F.col("best.row").alias("row")), ["content", "row"]).select("content", "set").dropDuplicates(["content"])
+    sets = stored(own.join(nodes.select("content", F.col("best.row").alias("row")), ["content", "row"]).select("content", "set").dropDuplicates(["content"]), "sets")
+    forget(own)
     roots = components(similar(nodes, sets, similarity))
     linked = nodes.select("content", "best").join(roots, nodes.content == roots.node, "left").groupBy(F.coalesce("root", "content").alias("root")).agg(F.min("best").alias("best"))
+    best = stored(linked.select(F.col("best.row").alias("__row")), "best")
+    forget(nodes, sets)
     # The row key covers id and text: one shuffle of the texts serves the join and what follows.
-    kept = keyed.join(linked.select(F.col("best.row").alias("__row")), "__row", "left_semi")
+    kept = keyed.join(best, "__row", "left_semi")
     # Rows alike in id and text share a row key; the rest are single already.
     return kept.dropDuplicates(["__row", doc_id]).drop("__row")
