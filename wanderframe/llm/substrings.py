@@ -134,9 +134,13 @@ def find_blocks(docs: DataFrame) -> DataFrame:
 def sorted_out(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of records (h, g, doc_id, row, s, e, ...): those whose g repeats, as (doc_id, row, a, b)
     to remove; and those to look into, whose h has several g: one of each g."""
-    alike = records.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "s")).alias("one"))
-    kinds = alike.groupBy("h").agg(F.count("*").alias("kinds"))
-    known = stored(records.join(alike, ["h", "g"]).join(kinds, "h").where("n > 1 OR kinds > 1").withColumn("open", (F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct("doc_id", "row", "s") == F.col("one")))).drop("kinds", "one", "h", "g"), "known")
+    # Tables of their own: joins between plain exchanges are split where one key is hot.
+    alike = stored(records.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "s")).alias("one")), "alike")
+    kinds = stored(alike.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several")), "kinds")
+    joined = records.join(alike, ["h", "g"]).join(kinds, "h", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    open_ = F.col("several") & ((F.col("n") == 1) | (F.struct("doc_id", "row", "s") == F.col("one")))
+    known = stored(joined.where("n > 1 OR several").withColumn("open", open_).drop("several", "one", "h", "g"), "known")
+    forget(alike, kinds)
     whole = known.where("n > 1").select("doc_id", "row", F.col("s").alias("a"), (F.col("e") + LENGTH).alias("b"))
     return whole, known.where("open")
 
