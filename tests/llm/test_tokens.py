@@ -78,3 +78,29 @@ def test_shards_hold_every_sequence_in_its_slot(spark, docs_of):
             ids = [x for _, p in sorted(by_doc[i]) for x in p]
             assert ids == flatfiles.token_ids(enc, t).tolist() + [END]
     assert order.materialise(order.sequences(docs_of([]), PATH, PATTERN, END), work_dir(spark, "none"), "k", 0).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 7, 16, 5000])
+def test_packed_sequences_lose_nothing(spark, docs_of, length):
+    pairs = list(enumerate(TEXTS)) + [(3, TEXTS[3]), (None, "null id")]
+    rows = order.packed_sequences(docs_of(pairs).coalesce(1), PATH, PATTERN, END, length).collect()
+    enc = flatfiles.encoder(PATH, PATTERN)
+    each = [(i, flatfiles.token_ids(enc, t).tolist() + [END]) for i, t in pairs]
+    flat = [x for _, ids in each for x in ids]
+    got = [np.frombuffer(bytes(r.tokens), "<u2").tolist() for r in rows]
+    assert [x for g in got for x in g] == flat and all(len(g) == length for g in got[:-1])
+    owner = [k for k, (_, ids) in enumerate(each) for _ in ids]
+    for n, r in enumerate(rows):
+        ks = sorted(set(owner[n * length : (n + 1) * length]))
+        assert r.doc_ids == [each[k][0] for k in ks]
+
+
+def test_packed_shards(spark, docs_of):
+    pairs = list(enumerate(TEXTS))
+    uri = work_dir(spark, "packed")
+    seqs = order.packed_sequences(docs_of(pairs), PATH, PATTERN, END, 32)
+    rows = order.materialise(seqs, uri, "key", END, 32, 16).collect()
+    flat = order.read_slots(uri, 0, len(rows), 32, 16)
+    enc = flatfiles.encoder(PATH, PATTERN)
+    assert sum(r.n_tokens for r in rows) == sum(len(flatfiles.token_ids(enc, t)) + 1 for _, t in pairs)
+    assert flat.shape == (len(rows), 32) and {i for r in rows for i in r.doc_ids} == set(range(len(TEXTS)))

@@ -20,6 +20,8 @@ from .common import stored, work_dir
 from .flatfiles import encoder, filesystem, token_ids
 
 LENGTH = 256
+#: Ids of a packed sequence.
+PACKED = 512
 SHARD = 8192
 ROUNDS = 6
 #: Up to so many files of the sequence table, their first indices go to every task; beyond,
@@ -52,6 +54,48 @@ def sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece long, tokens binary")
 
 
+def packed_sequences(docs: DataFrame, path: str, pattern: str, end_id: int, length: int = PACKED, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_ids, tokens): texts and their end ids one after another, cut into ``length`` ids.
+
+    Only the last sequence of a task is shorter, so that fixed strides hold next to no
+    padding.  ``doc_ids`` lists the documents with an id in the sequence, in order.  Null and
+    empty texts are an end id alone; repeated rows stand as often as they do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path, pattern)
+        ids: list[int | None] = []
+        parts: list[np.ndarray] = []
+        size = 0
+
+        def cut(last: bool) -> pa.RecordBatch:
+            nonlocal ids, parts, size
+            flat = np.concatenate(parts)
+            ends = np.cumsum([len(p) for p in parts])
+            n = -(-len(flat) // length) if last else len(flat) // length
+            raw = flat.astype("<u2").tobytes()
+            at = np.arange(n) * length
+            first = np.searchsorted(ends, at, "right")
+            final = np.searchsorted(ends, np.minimum(at + length, len(flat)) - 1, "right")
+            batch = pa.RecordBatch.from_arrays([pa.array([ids[a : b + 1] for a, b in zip(first.tolist(), final.tolist(), strict=True)], pa.list_(pa.int64())), pa.array([raw[2 * a : 2 * (a + length)] for a in at.tolist()], pa.binary())], names=["doc_ids", "tokens"])
+            rest = flat[n * length :]
+            keep = int(np.searchsorted(ends, n * length, "right"))
+            starts = np.maximum(np.append(0, ends[:-1])[keep:], n * length) - n * length
+            ids, parts, size = ids[keep:], np.split(rest, starts[1:]) if len(rest) else [], len(rest)
+            return batch
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids.append(i)
+                parts.append(np.append(token_ids(enc, t.as_py()), np.uint16(end_id)))
+                size += len(parts[-1])
+                if size >= 1 << 21:
+                    yield cut(False)
+        if parts:
+            yield cut(True)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_ids array<bigint>, tokens binary")
+
+
 def round_keys(key: str) -> list[int]:
     return [int.from_bytes(hashlib.sha256(f"{key}|{r}".encode()).digest()[:7], "big") for r in range(ROUNDS)]
 

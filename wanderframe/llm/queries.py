@@ -21,8 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of all sequences of ``documents`` in training order; shards go to the shared folder."""
-    seqs = order.sequences(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, END_ID)
-    return order.materialise(seqs, work_dir(spark, "shards"), ORDER_KEY, END_ID)
+    seqs = order.packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, END_ID)
+    return order.materialise(seqs, work_dir(spark, "shards"), ORDER_KEY, END_ID, order.PACKED)
 
 
 def op2_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
