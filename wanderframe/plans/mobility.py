@@ -215,24 +215,23 @@ def density_annotated(spark, sf):
 
 
 @query(
-    common("pings") + f""", p AS (SELECT event_id AS id, lat + (event_id % 97) * 0.0003 AS lat, lng + (event_id % 89) * 0.0003 AS lng FROM pings WHERE event_id < 1500)
+    common("pings") + f""", p AS (SELECT event_id AS id, lat + (event_id % 97) * 0.0003 AS lat, lng + (event_id % 89) * 0.0003 AS lng FROM pings)
  SELECT a.id, count(b.id) AS n FROM p a LEFT JOIN p b ON a.id <> b.id AND abs(a.lat - b.lat) <= 0.0045 AND abs(a.lng - b.lng) <= 0.0045 AND {hav('a.lat', 'a.lng', 'b.lat', 'b.lng').replace('6371.0088', '6371000.0')} <= 500 GROUP BY a.id"""
 )
 def spatial_neighbours_within(spark, sf):
-    p = views.pings(spark, sf).where("event_id < 1500").selectExpr("event_id AS id", "lat + cast((event_id % 97) * 0.0003 as double) AS lat", "lng + cast((event_id % 89) * 0.0003 as double) AS lng")
+    p = views.pings(spark, sf).selectExpr("event_id AS id", "lat + cast((event_id % 97) * 0.0003 as double) AS lat", "lng + cast((event_id % 89) * 0.0003 as double) AS lng")
     return od.neighbours_within(p)
 
 
 @query(
-    common("pings") + f""", n AS (SELECT event_id AS node, lat + (event_id % 53) * 0.0007 AS nlat, lng + (event_id % 47) * 0.0007 AS nlng FROM pings WHERE event_id < 300), p AS (SELECT event_id AS id, lat + (event_id % 97) * 0.0003 AS lat, lng + (event_id % 89) * 0.0003 AS lng FROM pings WHERE event_id BETWEEN 1000 AND 1400),
+    common("pings") + f""", n AS (SELECT c_custkey AS node, 48.80 + CAST(c_custkey * 37 % 500 AS DOUBLE) / 10000 AS nlat, 2.25 + CAST(c_custkey * 91 % 800 AS DOUBLE) / 10000 AS nlng FROM customer), p AS (SELECT event_id AS id, lat + (event_id % 97) * 0.0003 AS lat, lng + (event_id % 89) * 0.0003 AS lng FROM pings),
  d AS (SELECT id, node, {hav('lat', 'lng', 'nlat', 'nlng').replace('6371.0088', '6371000.0')} AS m FROM p CROSS JOIN n), r AS (SELECT id, node, m, row_number() OVER (PARTITION BY id ORDER BY m, node) AS r FROM d WHERE m <= 750)
- SELECT p.id, coalesce(r.node, -1) AS node, round(r.m, 4) AS metres FROM p LEFT JOIN (SELECT * FROM r WHERE r = 1) r USING (id)"""
+ SELECT p.id, coalesce(r.node, -1) AS node, round(r.m, 2) AS metres FROM p LEFT JOIN (SELECT * FROM r WHERE r = 1) r USING (id)"""
 )
 def spatial_snap_to_nodes(spark, sf):
-    q = views.pings(spark, sf)
-    n = q.where("event_id < 300").selectExpr("event_id AS node", "lat + cast((event_id % 53) * 0.0007 as double) AS lat", "lng + cast((event_id % 47) * 0.0007 as double) AS lng")
-    p = q.where("event_id BETWEEN 1000 AND 1400").selectExpr("event_id AS id", "lat + cast((event_id % 97) * 0.0003 as double) AS lat", "lng + cast((event_id % 89) * 0.0003 as double) AS lng")
-    return od.snap(p, n).select("id", "node", F.round("metres", 4).alias("metres"))
+    n = views.table(spark, sf, "customer").selectExpr("c_custkey AS node", "48.80D + cast(c_custkey * 37 % 500 as double) / 10000 AS lat", "2.25D + cast(c_custkey * 91 % 800 as double) / 10000 AS lng")
+    p = views.pings(spark, sf).selectExpr("event_id AS id", "lat + cast((event_id % 97) * 0.0003 as double) AS lat", "lng + cast((event_id % 89) * 0.0003 as double) AS lng")
+    return od.snap(p, n).select("id", "node", F.round("metres", 2).alias("metres"))
 
 
 # Distances ------------------------------------------------------------------------------------------

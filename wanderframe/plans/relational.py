@@ -95,9 +95,9 @@ def filter_membership(spark, sf):
     return table(spark, sf, "orders").dropna(subset=["o_totalprice"]).where(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey", "o_orderpriority")
 
 
-@query("SELECT event_id, sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type) AS cache_key FROM events WHERE event_id < 500")
+@query("SELECT event_id, sha256(CAST(user_id AS VARCHAR) || chr(0) || event_type) AS cache_key FROM events")
 def scalar_content_key(spark, sf):
-    return table(spark, sf, "events").where("event_id < 500").select("event_id", scalar.content_key("user_id", "event_type").alias("cache_key"))
+    return table(spark, sf, "events").select("event_id", scalar.content_key("user_id", "event_type").alias("cache_key"))
 
 
 @query(
@@ -119,9 +119,9 @@ def scalar_times(spark, sf):
     return e.select("event_id", F.hour("ts").cast("long").alias("h"), F.weekday("ts").cast("long").alias("d"), day.alias("day_start"), scalar.after_minutes("ts", F.lit(90)).alias("later"), F.round(scalar.minutes_between(day, "ts"), 4).alias("minute_of_day"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE event_id % 7 = 0")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def scalar_json(spark, sf):
-    return table(spark, sf, "events").where("event_id % 7 = 0").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
 # Joins -----------------------------------------------------------------------------------------
@@ -151,11 +151,11 @@ def join_anti(spark, sf):
 
 
 @query(
-    """SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS clicks, coalesce(b.n, 0) AS errors FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 9 = 0 GROUP BY 1) a
- FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND event_id % 9 = 0 GROUP BY 1) b ON a.user_id = b.user_id"""
+    """SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.n, 0) AS clicks, coalesce(b.n, 0) AS errors FROM (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND value > 60 GROUP BY 1) a
+ FULL OUTER JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND value > 60 GROUP BY 1) b ON a.user_id = b.user_id"""
 )
 def join_full_outer(spark, sf):
-    side = lambda t, n: table(spark, sf, "events").where((F.col("event_type") == t) & (F.col("event_id") % 9 == 0)).groupBy("user_id").agg(F.count("*").alias(n))
+    side = lambda t, n: table(spark, sf, "events").where((F.col("event_type") == t) & (F.col("value") > 60)).groupBy("user_id").agg(F.count("*").alias(n))
     return side("click", "clicks").join(side("error", "errors"), "user_id", "full_outer").fillna(0)
 
 
@@ -273,10 +273,10 @@ def window_analytic(spark, sf):
     return table(spark, sf, "events").select("event_id", F.lag("value").over(w).alias("before"), F.lead("event_type").over(w).alias("after"), F.row_number().over(w).cast("long").alias("rn"), F.round(F.sum("value").over(w.rowsBetween(-2, 0)), 6).alias("last3"), F.count("*").over(w).alias("running"))
 
 
-@query("SELECT o_orderkey, rank() OVER w AS rnk, dense_rank() OVER w AS dense, ntile(4) OVER w AS quarter FROM orders WHERE o_orderkey % 10 = 0 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)")
+@query("SELECT o_orderkey, rank() OVER w AS rnk, dense_rank() OVER w AS dense, ntile(4) OVER w AS quarter FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey)")
 def window_ranking(spark, sf):
     w = Window.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf, "orders").where("o_orderkey % 10 = 0").select("o_orderkey", F.rank().over(w).cast("long").alias("rnk"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(4).over(w).cast("long").alias("quarter"))
+    return table(spark, sf, "orders").select("o_orderkey", F.rank().over(w).cast("long").alias("rnk"), F.dense_rank().over(w).cast("long").alias("dense"), F.ntile(4).over(w).cast("long").alias("quarter"))
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= 3")
@@ -329,23 +329,23 @@ def sample_stratified_pairs(spark, sf):
 # Sets --------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'c' AS side, c_nationkey AS nation, NULL AS s_suppkey FROM customer WHERE c_custkey < 50 UNION ALL SELECT 's', s_nationkey, s_suppkey FROM supplier")
+@query("SELECT 'c' AS side, c_nationkey AS nation, NULL AS s_suppkey FROM customer UNION ALL SELECT 's', s_nationkey, s_suppkey FROM supplier")
 def set_union_by_name(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey < 50").select(F.lit("c").alias("side"), F.col("c_nationkey").alias("nation"))
+    c = table(spark, sf, "customer").select(F.lit("c").alias("side"), F.col("c_nationkey").alias("nation"))
     s = table(spark, sf, "supplier").select(F.lit("s").alias("side"), F.col("s_nationkey").alias("nation"), "s_suppkey")
     return c.unionByName(s, allowMissingColumns=True)
 
 
-@query("SELECT user_id FROM events WHERE event_type = 'click' AND event_id % 5 = 0 INTERSECT SELECT user_id FROM events WHERE event_type = 'view' AND event_id % 5 = 0")
+@query("SELECT user_id FROM events WHERE event_type = 'click' AND value > 90 INTERSECT SELECT user_id FROM events WHERE event_type = 'view' AND value > 90")
 def set_intersect(spark, sf):
-    e = table(spark, sf, "events").where("event_id % 5 = 0")
+    e = table(spark, sf, "events").where("value > 90")
     return e.where("event_type = 'click'").select("user_id").intersect(e.where("event_type = 'view'").select("user_id"))
 
 
-@query("SELECT user_id FROM events WHERE event_id % 40 = 0 EXCEPT SELECT user_id FROM events WHERE event_type = 'view' AND event_id % 40 < 4")
+@query("SELECT user_id FROM events EXCEPT SELECT user_id FROM events WHERE event_type = 'view' AND value > 90")
 def set_except(spark, sf):
     e = table(spark, sf, "events")
-    return e.where("event_id % 40 = 0").select("user_id").subtract(e.where("event_type = 'view' AND event_id % 40 < 4").select("user_id"))
+    return e.select("user_id").subtract(e.where("event_type = 'view' AND value > 90").select("user_id"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -353,10 +353,10 @@ def set_distinct(spark, sf):
     return table(spark, sf, "events").dropDuplicates(["user_id", "event_type"]).select("user_id", "event_type")
 
 
-@query("SELECT event_id FROM events WHERE event_id < 2000 AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 3 = 0)")
+@query("SELECT event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM events WHERE event_type = 'click')")
 def set_missing_keys(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 2000").select("event_id", F.col("event_id").cast("string").alias("k"))
-    cached = e.where("event_id % 3 = 0").select(scalar.content_key("k").alias("cache_key"))
+    e = table(spark, sf, "events").select("event_id", "event_type", F.col("event_id").cast("string").alias("k"))
+    cached = e.where("event_type = 'click'").select(scalar.content_key("k").alias("cache_key"))
     return io.missing_keys(e, cached, ["k"]).select("event_id")
 
 

@@ -89,10 +89,9 @@ def timeline_merged_trips(spark, sf):
 ENCOUNTER = """SELECT e.agent, e.contact, e.ts, s.stop_id FROM {e} e LEFT JOIN LATERAL (SELECT stop_id FROM stops t WHERE t.uid = e.contact AND epoch(t.arrival) <= e.ts AND epoch(t.departure) >= e.ts ORDER BY arrival DESC LIMIT 1) s ON TRUE"""
 
 
-@query(common("stops", "encounters") + ", x AS (SELECT DISTINCT * FROM encounters WHERE agent < 20) " + ENCOUNTER.format(e="x"))
+@query(common("stops", "encounters") + ", x AS (SELECT DISTINCT * FROM encounters) SELECT e.agent, e.contact, e.ts, CASE WHEN epoch(s.departure) >= e.ts THEN s.stop_id END AS stop_id FROM x e ASOF LEFT JOIN stops s ON s.uid = e.contact AND epoch(s.arrival) <= e.ts")
 def timeline_encounter_stops(spark, sf):
-    e = views.encounters(spark, sf).where("agent < 20")
-    return timeline.encounter_stops(e, views.stops(spark, sf)).select("agent", "contact", "ts", "stop_id")
+    return timeline.encounter_stops(views.encounters(spark, sf), views.stops(spark, sf)).select("agent", "contact", "ts", "stop_id")
 
 
 @query(common("stops", "encounters") + ", x AS (SELECT * FROM encounters WHERE agent = 7 ORDER BY ts DESC, contact LIMIT 20) " + ENCOUNTER.format(e="x"))
@@ -112,10 +111,10 @@ def timeline_friends(spark, sf):
 
 
 def _crp(spark, sf):
-    return views.table(spark, sf, "events").selectExpr("user_id % 10 AS agent", "concat('d', event_id % 30) AS diary_id", "CASE event_id % 2 WHEN 0 THEN 'wd' ELSE 'we' END AS day_type", "cast(event_id % 17 as double) / 17 AS sim", "event_id % 5 AS usage_count", "cast(0.5 as double) AS T_a", "cast(1.5 as double) AS alpha_a", "event_id").where("event_id < 600")
+    return views.table(spark, sf, "events").selectExpr("user_id % 10 AS agent", "concat('d', event_id % 30) AS diary_id", "CASE event_id % 2 WHEN 0 THEN 'wd' ELSE 'we' END AS day_type", "cast(event_id % 17 as double) / 17 AS sim", "event_id % 5 AS usage_count", "cast(0.5 as double) AS T_a", "cast(1.5 as double) AS alpha_a", "event_id")
 
 
-CRP = "c AS (SELECT user_id % 10 AS agent, 'd' || CAST(event_id % 30 AS VARCHAR) AS diary_id, CASE event_id % 2 WHEN 0 THEN 'wd' ELSE 'we' END AS day_type, CAST(event_id % 17 AS DOUBLE) / 17 AS sim, event_id % 5 AS usage_count, event_id FROM events WHERE event_id < 600)"
+CRP = "c AS (SELECT user_id % 10 AS agent, 'd' || CAST(event_id % 30 AS VARCHAR) AS diary_id, CASE event_id % 2 WHEN 0 THEN 'wd' ELSE 'we' END AS day_type, CAST(event_id % 17 AS DOUBLE) / 17 AS sim, event_id % 5 AS usage_count, event_id FROM events)"
 
 
 @query(f"WITH {CRP} SELECT diary_id, usage_count, event_id FROM c WHERE agent = 3")
@@ -243,15 +242,15 @@ def simulate_ablation_summary(spark, sf):
 
 @query()
 def simulate_micro_activities(spark, sf):
-    m = simulate.micro_activities(views.stops(spark, sf).where("uid < 20"))
+    m = simulate.micro_activities(views.stops(spark, sf))
     return m.select("uid", "stop_id", F.col("seq").cast("long").alias("seq"), "activity", "arrival", "departure")
 
 
-@query(common("encounters") + ", c AS (SELECT least(agent, contact) AS u, greatest(agent, contact) AS v, ts // 86400 AS day FROM encounters WHERE agent <> contact AND ts < 1704067200 + 7 * 86400), m AS (SELECT u, v, count(DISTINCT day) AS met FROM c GROUP BY ALL) SELECT u, v, round(0.2 * met / 7, 9) AS strength FROM m WHERE met / 7 >= 0.3")
+@query(common("encounters") + ", c AS (SELECT least(agent, contact) AS u, greatest(agent, contact) AS v, ts // 86400 AS day FROM encounters WHERE agent <> contact), m AS (SELECT u, v, count(DISTINCT day) AS met FROM c GROUP BY ALL) SELECT u, v, round(0.2 * met / 30, 9) AS strength FROM m WHERE met / 30 >= 0.2")
 def simulate_new_friendships(spark, sf):
-    e = views.encounters(spark, sf).where("agent <> contact AND ts < 1704067200 + 7 * 86400").selectExpr("least(agent, contact) AS u", "greatest(agent, contact) AS v", "ts div 86400 AS day")
+    e = views.encounters(spark, sf).where("agent <> contact").selectExpr("least(agent, contact) AS u", "greatest(agent, contact) AS v", "ts div 86400 AS day")
     none = spark.createDataFrame([], "u long, v long, strength double")
-    return simulate.updated_friendships(none, e).select("u", "v", F.round("strength", 9).alias("strength"))
+    return simulate.updated_friendships(none, e, regularity=0.2, days=30).select("u", "v", F.round("strength", 9).alias("strength"))
 
 
 @query(common("stops", "profiles") + " SELECT p.uid, gender, job, count(*) AS trips FROM profiles p JOIN stops s ON s.uid = p.uid WHERE p.uid = 7 GROUP BY ALL")
@@ -287,12 +286,12 @@ def social_friendships(spark, sf):
     return tessellation.friendships(p.select("uid", geo.cell("h.lat", "h.lng", 7).alias("home"), geo.cell("w.lat", "w.lng", 7).alias("work")))
 
 
-@query("SELECT event_id, CASE upper(trim(event_type)) WHEN 'HOME' THEN 'HOME' WHEN 'WORK' THEN 'WORK' ELSE 'OTHER' END AS p FROM events WHERE event_id < 100")
+@query("SELECT event_id, CASE upper(trim(event_type)) WHEN 'HOME' THEN 'HOME' WHEN 'WORK' THEN 'WORK' ELSE 'OTHER' END AS p FROM events")
 def sql_registered_functions(spark, sf):
     from ..functions.register import register
 
     register(spark)
-    return views.table(spark, sf, "events").where("event_id < 100").selectExpr("event_id", "purpose_of(event_type) AS p")
+    return views.table(spark, sf, "events").selectExpr("event_id", "purpose_of(event_type) AS p")
 
 
 QUERIES, ORACLE = query.queries, query.oracle

@@ -19,7 +19,7 @@ ENCOUNTERS = "SELECT user_id AS agent, (user_id + 1 + event_id % 7) % 150 AS con
 PROFILES = "SELECT DISTINCT user_id AS uid, CASE (user_id // 2) % 2 WHEN 0 THEN 'female' ELSE 'male' END AS gender, 16 + (user_id * 13) % 65 AS age, 'job' || CAST(user_id % 9 AS VARCHAR) AS job FROM events"
 VISITS = """SELECT uid, datetime AS start_timestamp, coalesce(lead(datetime) OVER (PARTITION BY uid ORDER BY datetime), date_trunc('day', datetime) + INTERVAL 1 DAY) AS end_timestamp,
  CAST(loc AS VARCHAR) AS location_id, purpose, side, lat, lng FROM pings"""
-EDGES = "SELECT DISTINCT least(agent, contact) AS u, greatest(agent, contact) AS v FROM encounters WHERE agent <> contact AND (agent * 7 + contact * 3) % 5 < 2"
+EDGES = "SELECT DISTINCT least(agent, contact) AS u, greatest(agent, contact) AS v FROM encounters WHERE agent <> contact"
 SQL = {"pings": PINGS, "stops": STOPS, "intervals": INTERVALS, "encounters": ENCOUNTERS, "profiles": PROFILES, "visits": VISITS, "edges": EDGES}
 NEEDS = {"stops": ("pings",), "visits": ("pings",), "edges": ("encounters",)}
 
@@ -62,7 +62,7 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encounters(spark, sf_dir).where("agent <> contact AND (agent * 7 + contact * 3) % 5 < 2").selectExpr("least(agent, contact) AS u", "greatest(agent, contact) AS v").distinct()
+    return encounters(spark, sf_dir).where("agent <> contact").selectExpr("least(agent, contact) AS u", "greatest(agent, contact) AS v").distinct()
 
 
 #: A viewport over part of the test grid and a day of the test month.
