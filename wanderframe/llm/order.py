@@ -149,43 +149,54 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
     names = [*carry, "slot", "shard", "byte_offset", "n_tokens"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema.fields if f.name != "tokens"] + ["slot long", "shard long", "byte_offset long", "n_tokens long"])
     stride = 2 * length
+    shards = max(1, -(-n // shard))
+    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one range of shards travel together, compressed: far smaller than one by one."""
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for b in batches:
-            yield b.set_column(b.num_columns - 1, "slot", pa.array(slots(b.column(b.num_columns - 1).to_numpy())))
-
-    placed = rows.join(F.broadcast(files) if few else files, "__file").select(*carry, "tokens", (F.col("__first") + F.col("__row")).alias("slot"))
-    placed = placed.mapInArrow(place, placed.schema).withColumn("shard", F.expr(f"slot div {shard}"))
-    tasks = max(1, min(-(-n // shard), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ordered = placed.repartitionByRange(tasks, "shard").sortWithinPartitions("slot")
-    at = {c: ordered.columns.index(c) for c in ordered.columns}
+            slot = slots(b.column(b.num_columns - 1).to_numpy())
+            b = b.set_column(b.num_columns - 1, "slot", pa.array(slot))
+            part = slot // shard * tasks // shards
+            order = np.argsort(part, kind="stable")
+            cut = np.searchsorted(part[order], np.arange(tasks + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=options) as out:
+                    out.write_batch(b.take(pa.array(order[cut[p] : cut[p + 1]])))
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "rows"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sort a range of shards by slot and write each; a task holds its ranges one by one."""
         from pyspark import TaskContext
 
+        got: dict[int, list[bytes]] = {}
+        for b in batches:
+            for p, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got.setdefault(p, []).append(rows)
+        if not got:
+            return
         where, folder = filesystem(uri)
         where.create_dir(folder, recursive=True)
-        attempt, current, out = TaskContext.get().taskAttemptId(), None, None
+        attempt, pad = TaskContext.get().taskAttemptId(), np.full(length, pad_id, "<u2").tobytes()
+        for p in sorted(got):
+            t = pa.concat_tables([pa.ipc.open_stream(rows).read_all() for rows in got.pop(p)]).sort_by("slot").combine_chunks()
+            slot = t.column("slot").to_numpy()
+            of = slot // shard
+            for s in np.unique(of).tolist():
+                lo, hi = np.searchsorted(of, (s, s + 1)).tolist()
+                part = t.slice(lo, hi - lo)
+                tokens = part.column("tokens").to_pylist()
+                with where.open_output_stream(f"{folder}/_shard-{s:08d}.{attempt}") as out:
+                    out.write(b"".join([x if len(x) == stride else x + pad[len(x) :] for x in tokens]))
+                where.move(f"{folder}/_shard-{s:08d}.{attempt}", f"{folder}/shard-{s:08d}.bin")
+                columns = [*(part.column(c).combine_chunks() for c in carry), pa.array(slot[lo:hi]), pa.array(of[lo:hi]), pa.array(slot[lo:hi] % shard * stride), pa.array(np.array([len(x) // 2 for x in tokens], np.int64))]
+                yield from pa.table(columns, names=names).to_batches()
 
-        def close() -> None:
-            if out is not None:
-                out.close()
-                where.move(f"{folder}/_shard-{current:08d}.{attempt}", f"{folder}/shard-{current:08d}.bin")
-
-        for b in batches:
-            tokens, shards = b.column(at["tokens"]).to_pylist(), b.column(at["shard"]).to_pylist()
-            pad = np.full(length, pad_id, "<u2").tobytes()
-            for t, s in zip(tokens, shards, strict=True):
-                if s != current:
-                    close()
-                    current = s
-                    out = where.open_output_stream(f"{folder}/_shard-{s:08d}.{attempt}")
-                out.write(t + pad[len(t) :])
-            slot = b.column(at["slot"]).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(at[c]) for c in carry] + [b.column(at["slot"]), b.column(at["shard"]), pa.array(slot % shard * stride), pa.array(np.array([len(t) // 2 for t in tokens], np.int64))], names=names)
-        close()
-
-    return ordered.mapInArrow(write, schema)
+    placed = rows.join(F.broadcast(files) if few else files, "__file").select(*carry, "tokens", (F.col("__first") + F.col("__row")).alias("slot"))
+    dealt = placed.mapInArrow(deal, "part int, rows binary").repartitionByRange(tasks, "part")
+    return dealt.mapInArrow(write, schema)
 
 
 def read_slots(uri: str, first: int, count: int, length: int = LENGTH, shard: int = SHARD) -> np.ndarray:
