@@ -32,11 +32,24 @@ def once(df: DataFrame, **columns: F.Column) -> DataFrame:
     return df.select("*", F.inline(F.array(one)))
 
 
-def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``__text`` (null: empty), ``__words`` and ``__h``, the words' hashes."""
+def with_words(docs: DataFrame, text: str = "text", counts: bool = True, buckets_: int = BUCKETS) -> DataFrame:
+    """``docs`` with ``__h``, the hashes of the text's words, and ``__e``, the buckets of their
+    last three characters; with ``counts`` also what needs the text: n_words, word_chars,
+    n_symbols, n_dup_lines.  The words themselves go no further, so that rows stay small."""
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     words = F.filter(F.split("__text", BLANK), lambda w: w != "")
-    out = once(docs.withColumn("__text", F.coalesce(F.col(text).cast("string"), F.lit(""))), __words=words)
-    return once(out, __h=F.transform("__words", lambda w: F.xxhash64(w)))
+    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
+    out = once(docs.withColumn("__text", whole), __words=words, **({"__lines": lines} if counts else {}))
+    x = F.col("__text")
+    own = {
+        "n_words": F.size("__words").cast("long"),
+        "word_chars": F.length(F.translate(x, WS, "")).cast("long"),
+        "n_symbols": (F.length(x) - F.length(F.translate(x, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+    }
+    hashes = F.transform("__words", lambda w: F.xxhash64(w))
+    endings = F.transform("__words", lambda w: F.pmod(F.xxhash64(F.lit(0), F.substring(w, -3, 3)), F.lit(buckets_)).cast("int"))
+    return once(out, __h=hashes, __e=endings, **(own if counts else {})).drop("__words", "__lines", "__text")
 
 
 def buckets(buckets: int = BUCKETS) -> F.Column:
@@ -44,19 +57,16 @@ def buckets(buckets: int = BUCKETS) -> F.Column:
     words' last three characters."""
     single = F.transform("__h", lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
     pair = F.transform(F.slice("__h", 1, F.greatest(F.size("__h") - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(h, F.get("__h", i + 1)), F.lit(buckets)).cast("int"))
-    ending = F.transform("__words", lambda w: F.pmod(F.xxhash64(F.lit(0), F.substring(w, -3, 3)), F.lit(buckets)).cast("int"))
-    return F.concat(single, pair, ending)
+    return F.concat(single, pair, "__e")
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` of :func:`with_words` with the counts of the base rules."""
-    text, n = F.col("__text"), F.size("__words").cast("long")
-    lines = F.filter(F.split("__text", "\n"), lambda x: F.btrim(x, F.lit(WS)) != "")
+def repeated_words(docs: DataFrame) -> DataFrame:
+    """``docs`` of :func:`with_words` with ``n_repeat_words``."""
     three = F.when(
-        n >= 3,
+        F.size("__h") >= 3,
         F.transform(F.slice("__h", 1, F.greatest(F.size("__h") - 2, F.lit(1))), lambda h, i: F.xxhash64(h, F.get("__h", i + 1), F.get("__h", i + 2))),
     ).otherwise(F.array().cast("array<bigint>"))
-    out = once(docs, __lines=lines, __three=three)
+    out = once(docs, __three=three).drop("__h", "__e")
     # Windows in order of their hash, with their place in the low bits, for texts in which
     # any is repeated; neighbours alike but for those bits are looked at closely.
     repeats = F.size(F.array_distinct("__three")) < F.size("__three")
@@ -65,21 +75,13 @@ def base_counts(docs: DataFrame) -> DataFrame:
     out = once(out, __packed=F.when(repeats, packed).otherwise(none))
     top = lambda x: F.shiftright(x, 24)
     close = F.filter("__packed", lambda x, i: (top(x) == top(F.get("__packed", i + 1))) | ((i > 0) & (top(x) == top(F.get("__packed", i - 1)))))
-    out = once(out, __close=F.transform(close, lambda x: x.bitwiseAND(LOW).cast("int")))
+    out = once(out, __close=F.transform(close, lambda x: x.bitwiseAND(LOW).cast("int"))).drop("__packed")
     exact = F.sort_array(F.transform("__close", lambda p: F.struct(F.get("__three", p).alias("h"), p.alias("p"))))
-    out = once(out, __exact=F.when(F.size("__close") > 0, exact).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))
+    out = once(out, __exact=F.when(F.size("__close") > 0, exact).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))).drop("__three", "__close")
     twice = F.filter("__exact", lambda x, i: (x.h == F.get("__exact", i + 1).h) | ((i > 0) & (x.h == F.get("__exact", i - 1).h)))
-    out = once(out, __at=F.sort_array(F.transform(twice, lambda x: x.p)))
+    out = once(out, __at=F.sort_array(F.transform(twice, lambda x: x.p))).drop("__exact")
     covered = F.aggregate(F.transform("__at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("__at", i + 1) - p, F.lit(3))).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return out.withColumns(
-        {
-            "n_words": n,
-            "word_chars": F.length(F.translate(text, WS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": covered,
-        }
-    )
+    return out.withColumn("n_repeat_words", covered).drop("__at")
 
 
 def log_ratios(words: DataFrame, buckets_: int = BUCKETS) -> list[float]:
@@ -112,14 +114,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     docs = docs.select(*[docs[c] for c in docs.columns if c not in names])
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__good")).distinct()
     good = good.orderBy(F.xxhash64("__good"), "__good").limit(trusted).withColumn("__trusted", F.lit(True))
-    words = with_words(docs, text)
+    words = with_words(docs, text, counts=False, buckets_=buckets_)
     # At most ``trusted`` ids: a bound on what is broadcast.
-    flagged = words.join(F.broadcast(good), words[doc_id].cast("long") == good["__good"], "left").select("__words", "__h", F.coalesce("__trusted", F.lit(False)).alias("__trusted"))
+    flagged = words.join(F.broadcast(good), words[doc_id].cast("long") == good["__good"], "left").select("__h", "__e", F.coalesce("__trusted", F.lit(False)).alias("__trusted"))
     weights = F.from_json(F.lit(json.dumps(log_ratios(flagged, buckets_))), "array<double>")
-    counted = base_counts(words)
     sums = F.aggregate(buckets(buckets_), F.lit(0.0), lambda a, b: a + F.get(weights, b))
     grams = F.greatest(3 * F.col("n_words") - 1, F.lit(1))
-    out = once(counted, llr=F.round(sums / grams, 9))
+    out = repeated_words(once(with_words(docs, text, buckets_=buckets_), llr=F.round(sums / grams, 9)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
     return out.select(*docs.columns, *names)
