@@ -210,13 +210,13 @@ def spans_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, a, b): stretches of bytes to remove; they may overlap."""
     spark = docs.sparkSession
     runs = stored(find_runs(docs), "runs")
-    shared = runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = stored(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     near = stored(runs.join(shared, "h", "left_semi"), "near")
-    forget(runs)
+    forget(runs, shared)
     whole_runs, open_runs = sorted_out(near)
     texts = stored(with_spans(docs, open_runs, ("s", "e", "a")), "texts")
     blocks = stored(find_blocks(texts), "blocks")
-    shared = blocks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    shared = stored(blocks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     whole_blocks, open_blocks = sorted_out(blocks.join(shared, "h", "left_semi"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucketed = suffixes(with_spans(texts.drop("spans"), open_blocks, ("s", "e"))).repartitionByRange(parts, "t0", "t1", "doc_id", "row", "p")
