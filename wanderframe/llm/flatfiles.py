@@ -71,6 +71,15 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def settle(where, draft: str, final: str) -> None:
+    """Give a finished file its name; what an earlier attempt left there is replaced."""
+    try:
+        where.move(draft, final)
+    except OSError:
+        where.delete_file(final)
+        where.move(draft, final)
+
+
 def write_flat(docs: DataFrame, uri: str, path: str, pattern: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode ``docs`` into flat files below ``uri``; returns (file, ordinal, doc_id) of each.
 
@@ -97,7 +106,7 @@ def write_flat(docs: DataFrame, uri: str, path: str, pattern: str, end_id: int,
             draft = f"{folder}/_{file}.{task.taskAttemptId()}"
             with where.open_output_stream(draft) as out:
                 out.write(np.concatenate(parts).astype("<u2").tobytes())
-            where.move(draft, f"{folder}/{file}")
+            settle(where, draft, f"{folder}/{file}")
             batch = pa.RecordBatch.from_arrays([pa.array([file] * len(ids)), pa.array(range(len(ids)), pa.int64()), pa.array(ids, pa.int64())], names=["file", "ordinal", "doc_id"])
             parts, ids, size, name = [], [], 0, hashlib.sha256()
             return batch

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, work_dir
-from .flatfiles import encoder, filesystem, token_ids
+from .flatfiles import encoder, filesystem, settle, token_ids
 
 LENGTH = 256
 #: Ids of a packed sequence.
@@ -190,7 +190,7 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
                 tokens = part.column("tokens").to_pylist()
                 with where.open_output_stream(f"{folder}/_shard-{s:08d}.{attempt}") as out:
                     out.write(b"".join([x if len(x) == stride else x + pad[len(x) :] for x in tokens]))
-                where.move(f"{folder}/_shard-{s:08d}.{attempt}", f"{folder}/shard-{s:08d}.bin")
+                settle(where, f"{folder}/_shard-{s:08d}.{attempt}", f"{folder}/shard-{s:08d}.bin")
                 columns = [*(part.column(c).combine_chunks() for c in carry), pa.array(slot[lo:hi]), pa.array(of[lo:hi]), pa.array(slot[lo:hi] % shard * stride), pa.array(np.array([len(x) // 2 for x in tokens], np.int64))]
                 yield from pa.table(columns, names=names).to_batches()
 
