@@ -24,6 +24,8 @@ LENGTH = 256
 PACKED = 512
 SHARD = 8192
 ROUNDS = 6
+#: Level of compression of ids on their way.
+ZSTD = 6
 #: Up to so many files of the sequence table, their first indices go to every task; beyond,
 #: they are joined by a shuffle.
 FEW_FILES = 100_000
@@ -137,7 +139,7 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
     """
     spark = seqs.sparkSession
     table = work_dir(spark, "sequences")
-    seqs.write.option("compression", "zstd").parquet(table)
+    seqs.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(ZSTD)).parquet(table)
     rows = spark.read.schema(seqs.schema).parquet(table).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     # One row per file; a running sum turns counts into the files' first indices.
     files = stored(rows.groupBy("__file").agg(F.count("*").alias("__n")), "files")
@@ -154,7 +156,7 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one range of shards travel together, compressed: far smaller than one by one."""
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD))
         for b in batches:
             slot = slots(b.column(b.num_columns - 1).to_numpy())
             b = b.set_column(b.num_columns - 1, "slot", pa.array(slot))
