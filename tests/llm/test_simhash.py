@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -82,3 +83,53 @@ def test_empty_and_singles(spark, docs_of):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     r = simhash.near_duplicates(docs_of([(1, "alone")])).select("component_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("f")).first()
     assert r.component_id == 1 and int(r.f, 16) == slow_fingerprint("alone")
+
+
+def survivors(texts, words=5, similarity=0.8):
+    """Indices that stay of ``texts``, by all pairs."""
+    sets = [{hash(tuple(w[i : i + words])) for i in range(len(w) - words + 1)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] == root[j]:
+                continue
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return sorted(set(root))
+
+
+def swapped(rng, words, n, far=5):
+    """``words`` with n of them replaced, each ``far`` or more from the next."""
+    w = list(words)
+    free = list(range(far, len(w) - far))
+    for _ in range(n):
+        at = rng.choice(free)
+        free = [f for f in free if abs(f - at) >= far]
+        w[at] = f"n{rng.getrandbits(40)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("group", [1 << 21, 30_000])
+def test_a_hub_with_many_edited_copies(spark, docs_of, monkeypatch, group):
+    monkeypatch.setattr(simhash, "GROUP", group)
+    rng = random.Random(11)
+    words = [f"w{rng.getrandbits(30)}" for _ in range(204)]
+    # 180 of 220 shingles in common with the original, far fewer with each other.
+    texts = [swapped(rng, words, 4) for _ in range(1000)]
+    texts.insert(500, " ".join(words))
+    texts += [swapped(rng, words, 9) for _ in range(30)]
+    got = simhash.keep_one(docs_of(list(enumerate(texts))))
+    assert sorted(r.doc_id for r in got.collect()) == survivors(texts)
+
+
+def test_long_texts_are_verified_on_their_whole_sets(spark, docs_of):
+    rng = random.Random(4)
+    texts = []
+    for copies in range(40):  # 3000 shingles each, alternately just above and below 0.8
+        words = [f"w{rng.getrandbits(40)}" for _ in range(3004)]
+        texts += [" ".join(words), swapped(rng, words, 66 if copies % 2 else 67)]
+    got = simhash.keep_one(docs_of(list(enumerate(texts))))
+    want = survivors(texts)
+    assert len(want) == 60 and sorted(r.doc_id for r in got.collect()) == want

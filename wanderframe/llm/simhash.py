@@ -92,17 +92,25 @@ def midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(mid).view(np.int64)), pa.array(np.concatenate(of).view(np.int64))], names=["mid", "fp"])
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges (a, b), a < b, that connect all distinct ``fp`` at two or fewer differing bits.
+def neighbours(fps: DataFrame) -> DataFrame:
+    """(mid, fp, a): the distinct ``fp`` within one bit of a midpoint, of which a is the least.
 
-    The edges are stars: all fingerprints within one bit of a midpoint link to the least of
-    them.  Two fingerprints are at two bits or fewer exactly if they share a midpoint.
-    """
+    Two fingerprints are at two bits or fewer exactly if they share a midpoint; midpoints of
+    one alone are left out."""
     grid = fps.mapInArrow(cells, "cell long, step int, fp long")
     crowded = grid.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     near = grid.join(crowded, "cell", "left_semi").select("step", "fp").mapInArrow(midpoints, "mid long, fp long")
     stars = near.groupBy("mid").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("mid", "a")
-    return near.join(stars, "mid").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
+    return near.join(stars, "mid")
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b), a < b, that connect all distinct ``fp`` at two or fewer differing bits.
+
+    The edges are stars: all fingerprints within one bit of a midpoint link to the least of
+    them.
+    """
+    return neighbours(fps).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def components(edges: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
@@ -146,8 +154,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     return rows.join(label, "fp").select("doc_id", *carry, "fp", "root", "component_id")
 
 
-#: Part fingerprints of a document, shingles in each, and hashes kept of its shingle set.
-PARTS, PART, KEPT = 16, 4, 512
+#: Part fingerprints of a document, and shingles in each.
+PARTS, PART = 16, 4
+
+
+def shingle_hashes(w: list[bytes], words: int) -> np.ndarray:
+    """Hashes of the word shingles in order of the text, repeats included."""
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))] if w else [], np.uint64)
 
 
 def sketch(text: bytes, words: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -157,15 +171,12 @@ def sketch(text: bytes, words: int) -> tuple[int, int, np.ndarray, np.ndarray]:
     shingle set: the set is dealt by hash into as many classes as give about PART shingles
     each, for both powers of two around that number, and PARTS classes are fingerprinted
     (few shingles make the exclusive-or of their hashes a fingerprint as good as the
-    majority).  ``set`` has the KEPT least 32-bit hashes of the set, in order."""
+    majority).  ``set`` has the hashes of all distinct shingles, in order."""
     w = text.lower().split()
-    joined = b" ".join(w)
-    content = xxhash.xxh64_intdigest(joined, SEED + 1)
-    digest = xxhash.xxh64_intdigest
-    shingles = [digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))] if w else []
-    h = np.array(shingles, np.uint64)
+    content = xxhash.xxh64_intdigest(b" ".join(w), SEED + 1)
+    h = shingle_hashes(w, words)
     if not len(h):
-        return content, 0, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        return content, 0, np.zeros(0, np.int64), h
     bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
     fp = int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).tobytes(), "big")
     own = np.unique(h)
@@ -182,51 +193,145 @@ def sketch(text: bytes, words: int) -> tuple[int, int, np.ndarray, np.ndarray]:
         if len(first):
             part = np.bitwise_xor.reduceat(x, first) + (c[first] + np.uint64(at << 8)) * np.uint64(0xD6E8FEB86659FD93)
             keys.append(part.view(np.int64))
-    small = np.unique((mixed >> np.uint64(32)).astype(np.uint32))[:KEPT]
-    return content, fp, np.concatenate(keys) if keys else np.zeros(0, np.int64), small
+    return content, fp, np.concatenate(keys) if keys else np.zeros(0, np.int64), own
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets by their least hashes: exact up to KEPT shingles
-    in both together, else over the KEPT least of them."""
+    """Jaccard similarity of two whole shingle sets."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:KEPT]
-    shared = np.intersect1d(a, b, assume_unique=True)
-    return float(np.searchsorted(shared, both[-1], "right") / len(both))
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [sketch(t, words) for _, part in pieces(b.column(0)) for t in part]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(np.array([g[i] for g in got], np.uint64).view(np.int64)) for i in (0, 1)), pa.array([g[2] for g in got], pa.list_(pa.int64())), pa.array([g[3].tobytes() for g in got], pa.binary())], names=["doc_id", "row", "content", "fp", "keys", "set"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *(pa.array(np.array([g[i] for g in got], np.uint64).view(np.int64)) for i in (0, 1)), pa.array([g[2] for g in got], pa.list_(pa.int64()))], names=["doc_id", "row", "content", "fp", "keys"])
+
+    return docs.select("text", "doc_id", "row").mapInArrow(run, "doc_id long, row long, content long, fp long, keys array<bigint>")
 
-    return docs.select("text", "doc_id", "row").mapInArrow(run, "doc_id long, row long, content long, fp long, keys array<bigint>, set binary")
 
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """(content, set) of ``docs`` (text, content): all distinct shingle hashes of the text, in order."""
 
-def similar(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of contents that resemble each other by at least ``similarity``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, part in pieces(b.column(0)):
+                sets = [np.unique(shingle_hashes(t.lower().split(), words)).tobytes() for t in part]
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(start, len(part)), pa.array(sets, pa.binary())], names=["content", "set"])
 
-    Candidates are stars: whoever shares a part fingerprint, or has whole fingerprints at two
-    bits or fewer, links to the least of them; each link is verified on the sets."""
-    keyed = nodes.select("content", F.explode("keys").alias("k"))
+    return docs.select("text", "content").mapInArrow(run, "content long, set binary")
+
+
+def keys_of(nodes: DataFrame) -> DataFrame:
+    """(k, content) of the keys that several contents share: part fingerprints, whole
+    fingerprints, and midpoints of whole fingerprints at two bits or fewer."""
+    by_fp = nodes.select("fp", "content")
+    near = stored(neighbours(by_fp.select("fp").distinct()).select("mid", "fp").join(by_fp, "fp"), "near")
+    keyed = nodes.select(F.explode("keys").alias("k"), "content").unionByName(by_fp.select(F.xxhash64(F.lit("fp"), "fp").alias("k"), "content")).unionByName(near.select(F.xxhash64(F.lit("mid"), "mid").alias("k"), "content"))
     least = keyed.groupBy("k").agg(F.min("content").alias("a"), F.count("*").alias("n")).where("n > 1").select("k", "a")
-    parts = keyed.join(least, "k").where("content <> a").select("a", F.col("content").alias("b"))
-    by_fp = stored(nodes.groupBy("fp").agg(F.min("content").alias("c")), "by_fp")
-    same = nodes.join(by_fp, "fp").where("content <> c").select(F.col("c").alias("a"), F.col("content").alias("b"))
-    near = links(by_fp.select("fp")).join(by_fp.select(F.col("fp").alias("a"), F.col("c").alias("ca")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("c").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    pairs = stored(parts.unionByName(same).unionByName(near).distinct(), "pairs")
+    shared = stored(keyed.join(least, "k").select("k", "a", F.col("content").alias("b")), "shared")
+    forget(near)
+    return shared
+
+
+def centre_links(shared: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the members b of a key that resemble its least member a by ``similarity``."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint32) for v in b.column(i)] for i in (2, 3))
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(i)] for i in (2, 3))
             ok = pa.array([resemblance(p, q) >= similarity for p, q in zip(x, y, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
 
+    pairs = shared.where("a <> b").select("a", "b").distinct()
     left = pairs.join(sets.select(F.col("content").alias("a"), F.col("set").alias("x")), "a")
-    found = stored(left.join(sets.select(F.col("content").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), "alike")
-    forget(by_fp, pairs)
+    return left.join(sets.select(F.col("content").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def joined(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of labels to unite: all that pairs of ``sets`` alike by ``similarity`` connect.
+
+    Members are compared with all others at once, by the counts of shared shingles in an
+    inverted index.  Who was just united goes next, so that a hub soon unites its group, and
+    the largest class last: once all members left are of one class, every pair of two classes
+    has been compared."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    shingle, token = np.unique(np.concatenate(sets), return_inverse=True)
+    member = np.repeat(np.arange(len(sets)), size)
+    by_token = np.argsort(token, kind="stable")
+    posting = member[by_token]
+    first = np.append(0, np.cumsum(np.bincount(token, minlength=len(shingle))))
+    begin = np.append(0, np.cumsum(size))
+    names, cls = np.unique(labels, return_inverse=True)
+    cls = cls.copy()
+    united = []
+    left = np.ones(len(sets), bool)
+    wanted: list[int] = []
+    order = iter(np.argsort(np.bincount(cls)[cls], kind="stable").tolist())
+    while True:
+        x = wanted.pop() if wanted else next(order, None)
+        if x is None:
+            return united
+        if not left[x]:
+            continue
+        rest = cls[left]
+        if (rest == rest[0]).all():
+            return united
+        left[x] = False
+        t = token[begin[x] : begin[x + 1]]
+        n = first[t + 1] - first[t]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[t], n)
+        shared = np.bincount(posting[at], minlength=len(sets))
+        alike = (cls != cls[x]) & (shared / np.maximum(size + size[x] - shared, 1) >= similarity)
+        for c in np.unique(cls[alike]).tolist():
+            united.append((int(names[cls[x]]), int(names[c])))
+            wanted += np.flatnonzero((cls == c) & alike & left).tolist()
+            cls[cls == c] = cls[x]
+
+
+#: Shingles of a block of a key's members; members of a larger key meet block by block.
+GROUP = 1 << 21
+
+
+def member_links(shared: DataFrame, sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): roots of ``roots`` that pairs of other members of a key connect.
+
+    Of each key the members but the least remain, which has been compared with all, and of
+    keys with the same members one.  Members of one component need no comparing.  Keys with
+    many shingles are parted into blocks, each pair of which is a group of its own."""
+    label = shared.where("a <> b").select("k", F.col("b").alias("content")).join(roots.select(F.col("node").alias("content"), "root"), "content", "left").select("k", "content", F.coalesce("root", "content").alias("root"))
+    sized = stored(label.join(sets.select("content", (F.octet_length("set") / 8).cast("long").alias("size")), "content"), "sized")
+    members = [F.count("*"), F.bit_xor(F.xxhash64("content")), F.bit_xor(F.xxhash64("content", F.lit(1)))]
+    open_ = sized.groupBy("k").agg(F.struct(*[m.alias(f"m{i}") for i, m in enumerate(members)]).alias("of"), F.greatest(F.lit(1), F.ceil(F.sum("size") / GROUP).cast("int")).alias("blocks"), F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s")
+    one = open_.groupBy("of").agg(F.min(F.struct("k", "blocks")).alias("g")).select("g.k", "g.blocks")
+    own = F.pmod(F.xxhash64("content", F.lit(2)), F.col("blocks")).cast("int")
+    parted = sized.join(one, "k").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    parted = parted.where("blocks = 1 OR own <> other").select("k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "content", "root")
+    groups = parted.join(sets, "content").select("k", "i", "j", "root", "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, at, of = None, [], []
+
+        def unite() -> pa.RecordBatch:
+            pairs = joined(at, np.array(of, np.int64), similarity) if len(set(of)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            for k, i, j, root, s in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+                if group != (k, i, j):
+                    if len(at) > 1:
+                        yield unite()
+                    group, at, of = (k, i, j), [], []
+                at.append(np.frombuffer(s, np.uint64))
+                of.append(root)
+        if len(at) > 1:
+            yield unite()
+
+    found = stored(groups.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j").mapInArrow(run, "a long, b long").distinct(), "united")
+    forget(sized)
     return found
 
 
@@ -236,7 +341,8 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     Groups are connected by documents whose sets of word shingles have a Jaccard similarity
     of at least ``similarity``.  Edits move a whole fingerprint by more than two bits well
     before that, so fingerprints of parts of the set find candidates too, and every link is
-    verified on the sets.  A pair at 0.8 shares a part with a chance above 0.99.
+    verified on the whole sets.  A pair at 0.8 shares a part with a chance above 0.99; of all
+    who share one, every pair is compared that other links do not connect already.
     Of a group stays the row of the smallest doc_id (null last), and among rows of one doc_id
     the one with the least hash of its content; of rows alike in id and text one stays.
     Texts without words form one group.
@@ -244,13 +350,17 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     keyed = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
     own = stored(sketches(keyed.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.col("__row").alias("row")), words), "sketches")
     nodes = stored(own.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "nodes")
-    # The sets of one row of each content.
-    sets = stored(own.join(nodes.select("content", F.col("best.row").alias("row")), ["content", "row"]).select("content", "set").dropDuplicates(["content"]), "sets")
     forget(own)
-    roots = components(similar(nodes, sets, similarity))
-    linked = nodes.select("content", "best").join(roots, nodes.content == roots.node, "left").groupBy(F.coalesce("root", "content").alias("root")).agg(F.min("best").alias("best"))
+    shared = keys_of(nodes)
+    # The sets of one row of each content that shares a key.
+    wanted = nodes.join(shared.select(F.col("b").alias("content")).distinct(), "content").select(F.col("best.row").alias("__row"), "content")
+    texts = keyed.select("__row", F.col(text).cast("string").alias("text")).join(wanted, "__row")
+    sets = stored(shingle_sets(texts, words).dropDuplicates(["content"]), "sets")
+    first = components(centre_links(shared, sets, similarity))
+    top = components(member_links(shared, sets, first, similarity)).select(F.col("node").alias("first"), F.col("root").alias("top"))
+    linked = nodes.select("content", "best").join(first, nodes.content == first.node, "left").select("best", F.coalesce("root", "content").alias("first")).join(top, "first", "left").groupBy(F.coalesce("top", "first").alias("root")).agg(F.min("best").alias("best"))
     best = stored(linked.select(F.col("best.row").alias("__row")), "best")
-    forget(nodes, sets)
+    forget(nodes, shared, sets)
     # The row key covers id and text: one shuffle of the texts serves the join and what follows.
     kept = keyed.join(best, "__row", "left_semi")
     # Rows alike in id and text share a row key; the rest are single already.
