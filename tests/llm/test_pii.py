@@ -56,3 +56,14 @@ def test_documents(spark, docs_of):
     assert got[0].text[s[0].start :][: s[0].length] == got[0].text[s[1].start :][: s[1].length]
     assert pii.pseudonymize_documents(docs_of([]), "key").count() == 0
     assert pii.pseudonymize_documents(docs_of(pairs), "key", counts=None, spans=None).columns == docs_of(pairs).columns
+
+
+def test_secrets_in_upper_case():
+    low = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    want, _ = pii.pseudonymize(f"token={low}", KEY)
+    for name in ("TOKEN = ", "API_KEY=", "Password: ", "Access-Key="):
+        for value in (low, low.upper()):
+            new, found = pii.pseudonymize(name + value, KEY)
+            assert [k for k, _, _ in found] == ["secret"] and value not in new
+            assert new == name + (want[6:].upper() if value != low else want[6:])
+    assert pii.pseudonymize("PASSWORD=QwErTyUiOpAsDfGh", KEY)[1]

@@ -154,16 +154,17 @@ def email(s: str, key: bytes) -> str | None:
 
 
 def secret(s: str, key: bytes) -> str | None:
-    """The value of a named credential: long hexadecimal stays hexadecimal."""
-    if re.fullmatch(r"[0-9a-f]+", s):
-        return f"{permuted(int(s, 16), 16 ** len(s), key, f'hex{len(s)}'):0{len(s)}x}"
+    """The value of a named credential: long hexadecimal stays hexadecimal, in its case."""
+    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+        new = f"{permuted(int(s, 16), 16 ** len(s), key, f'hex{len(s)}'):0{len(s)}x}"
+        return new.upper() if s != s.lower() else new
     return alnum_permuted(s, key, "secret")
 
 
 #: Patterns in order of precedence; the group named as the kind is what is replaced.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=-]{16,})"
+    r"|\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=-]{16,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[-/.])\d{2}(?P=s2)\d{4})(?![\d/-]|\.\d))"
     r"|(?P<national_id>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
@@ -172,7 +173,7 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d))"
 )
 #: Texts without any of these hold nothing to replace.
-HINT = re.compile(r"\d\d|\d\.\d|@|token|secret|passw|[_-]?key")
+HINT = re.compile(r"\d\d|\d\.\d|@|(?i:token|secret|passw|[_-]?key)")
 MAKE = {"email": email, "phone": phone, "ip": ip, "card": card, "iban": iban, "national_id": national_id, "date": day, "secret": secret}
 
 
