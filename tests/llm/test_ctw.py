@@ -79,14 +79,18 @@ def slow_tree(texts, depth):
     return score
 
 
-def test_tree_against_recursion(spark, docs_of):
-    rng = random.Random(4)
-    texts = ["".join(rng.choice("abc ") for _ in range(120)) for _ in range(12)]
-    pairs = list(enumerate(texts))
-    got = {r.doc_id: r.score for r in ctw.score_documents(docs_of(pairs), depth=3).collect()}
-    score = slow_tree([t.encode() for i, t in pairs if not ctw.is_held_out(i)], 3)
-    for i, t in pairs:
-        assert got[i] == pytest.approx(score(t.encode()), rel=1e-4), i
+@pytest.mark.parametrize(("depth", "cache_bits"), [(1, 20), (2, 4), (3, 20), (3, 6), (5, 20), (5, 3), (6, 8)])
+def test_tree_against_recursion(spark, docs_of, depth, cache_bits):
+    """With a large and a small cache: cells then come from the buckets' subtrees."""
+    rng = random.Random(depth)
+    texts = ["".join(rng.choice("abc \xe9") for _ in range(120)) for _ in range(14)] + ["unseen zzz", None, "x" * 3000]
+    pairs = list(enumerate(texts)) + [(3, texts[3]), (6, texts[6]), (6, texts[6])]
+    got = [(r.doc_id, r.score) for r in ctw.score_documents(docs_of(pairs), depth=depth, cache_bits=cache_bits).collect()]
+    assert len(got) == len(pairs)
+    score = slow_tree([(t or "").encode() for i, t in pairs if not ctw.is_held_out(i)], depth)
+    want = {i: score((t or "").encode()) for i, t in pairs}
+    for i, x in got:
+        assert x == pytest.approx(want[i], rel=1e-4), i
 
 
 def test_nothing_to_learn_from(spark, docs_of):

@@ -6,9 +6,14 @@ probability is the even mixture of its own estimate and the product of its child
 that all depths are weighted by what they have earned in training.  The trained tree is
 frozen and gives the code length of each byte.
 
-A context is a node of its own if it holds at least 2 ** -CONTEXT_BITS of the training
-bytes, which bounds the tree to 2 ** CONTEXT_BITS contexts a depth at any size of input; the
-rarer contexts below one parent share a child.
+No context is pruned or pooled, so the tree grows with the corpus; it never stands in one
+place.  Contexts are dealt by a hash of their nearest SPLIT bytes, which have at most
+256 ** (depth - SPLIT) contexts below them at any size of corpus: a bucket has whole
+subtrees.  What is left above, contexts of fewer bytes, is bounded likewise, is summed by an
+aggregation and goes to every task.  The values of the most frequent cells (context and
+byte), at most 2 ** CACHE_BITS, go to every task too; a position whose cell is not among
+them sends it to the bucket that has its subtree, and its value comes back as a part of the
+document's sum.  The cache saves shuffling and changes no value.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import flat, forget, pieces, stored
 
 DEPTH = 5
-CONTEXT_BITS = 19
-TABLE_BITS = 22
+#: Contexts that share their nearest bytes, so many, lie in one bucket.
+SPLIT = 3
+CACHE_BITS = 21
 #: Words counted beside the shuffle; which ones does not change any result.
 HEAD = 16384
 SAMPLE = 16
@@ -57,9 +63,19 @@ def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def train(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, n): how often each byte follows each context of ``depth`` bytes in ``text``."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bucket_of(key: np.ndarray, depth: int, parts: int) -> np.ndarray:
+    """The bucket of each key, by a hash of the nearest bytes of its context."""
+    near = (key >> (8 * (depth - min(SPLIT, depth)) + 8)).astype(np.uint64)
+    near = (near + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    near ^= near >> np.uint64(29)
+    return (near * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def train(docs: DataFrame, depth: int = DEPTH, parts: int | None = None) -> DataFrame:
+    """(bucket, keys, counts, sizes): how often each byte follows each context of ``depth``
+    bytes in ``text``, a row per bucket: sorted keys and counts packed, and how many of the
+    counts have each number of bits."""
+    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -70,14 +86,12 @@ def train(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             key, n = folded()
-            # Contexts that share their last two bytes go to one bucket.
-            bucket = (key >> (8 * (depth - 1))) * 0x9E3779B1 % parts
+            bucket = bucket_of(key, depth, parts)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-            for p in range(parts):
-                if cut[p] < cut[p + 1]:
-                    at = order[cut[p] : cut[p + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed(key[at])]), pa.array([n[at].astype("<u4").tobytes()])], names=["bucket", "keys", "counts"])
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                at = order[cut[p] : cut[p + 1]]
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed(key[at])]), pa.array([n[at].astype("<u8").tobytes()])], names=["bucket", "keys", "counts"])
 
         for b in batches:
             for _, texts in pieces(b.column(0)):
@@ -95,18 +109,24 @@ def train(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield from out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
         for b in batches:
-            for k, n in zip(b.column(1), b.column(2), strict=True):
-                kept.append((unpacked(k.as_py()), np.frombuffer(n.as_py(), "<u4").astype(np.int64)))
-                if sum(len(k) for k, _ in kept) > 8_000_000:
-                    kept = [summed(np.concatenate([k for k, _ in kept]), np.concatenate([n for _, n in kept]))]
-        if kept:
-            key, n = summed(np.concatenate([k for k, _ in kept]), np.concatenate([n for _, n in kept]))
-            for at in range(0, len(key), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 200_000]), pa.array(n[at : at + 200_000])], names=["key", "n"])
-
-    return docs.select("text").mapInArrow(count, "bucket int, keys binary, counts binary").repartition(parts, "bucket").mapInArrow(merge, "key long, n long")
+            for p, k, n in zip(*(b.column(c) for c in range(3)), strict=True):
+                own = kept.setdefault(p.as_py(), [])
+                own.append((unpacked(k.as_py()), np.frombuffer(n.as_py(), "<u8").astype(np.int64)))
+                size += len(own[-1][0])
+                if size > 8_000_000:
+                    own[:] = [summed(np.concatenate([k for k, _ in own]), np.concatenate([n for _, n in own]))]
+                    size = 0
+        for p in sorted(kept):
+            own = kept.pop(p)
+            key, n = summed(np.concatenate([k for k, _ in own]), np.concatenate([n for _, n in own]))
+            sizes = np.bincount(np.floor(np.log2(n)).astype(np.int64), minlength=64)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([packed(key)]), pa.array([n.astype("<u8").tobytes()]), pa.array([sizes.tolist()], pa.list_(pa.int64()))], names=["bucket", "keys", "counts", "sizes"])
+
+    dealt = docs.select("text").mapInArrow(count, "bucket int, keys binary, counts binary").repartitionById(parts, "bucket")
+    return dealt.mapInArrow(merge, "bucket int, keys binary, counts binary, sizes array<bigint>")
 
 
 def packed(key: np.ndarray) -> bytes:
@@ -139,113 +159,109 @@ def log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """Nodes of the frozen tree by depth: sorted keys, counts, and the weight of their own estimate."""
-
-    def __init__(self, cells: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.depth = len(cells) - 1
-        self.contexts = [np.unique(c) for c, _, _ in cells]
-        self.nodes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        for ctx, sym, n in cells:
-            key = np.concatenate([ctx << 8 | (1 << j) | sym >> (8 - j) for j in range(8)])
-            bit = np.concatenate([sym >> (7 - j) & 1 for j in range(8)])
-            node, at = np.unique(key, return_inverse=True)
-            both = [np.bincount(at, np.tile(n, 8) * (bit == v), minlength=len(node)) for v in (0, 1)]
-            self.nodes.append(node)
-            self.counts.append(np.stack(both, axis=1))
-        self.rest: list[np.ndarray] = [np.zeros((0, 2))] * len(cells)
-        self.own: list[np.ndarray] = [np.zeros(0)] * len(cells)
-        weighted = log_kt(*self.counts[-1].T)
-        self.own[-1] = np.ones(len(weighted))
-        for d in range(self.depth - 1, -1, -1):
-            node, counts = self.nodes[d], self.counts[d]
-            child = self.nodes[d + 1]
-            parent = (child >> 16) << 8 | child & 255
-            at = np.searchsorted(node, parent)
-            below = np.bincount(at, weighted, minlength=len(node)).astype(np.float64)
-            rest = np.stack([counts[:, v] - np.bincount(at, self.counts[d + 1][:, v], minlength=len(node)) for v in (0, 1)], axis=1)
-            below += np.where(rest.sum(axis=1) > 0, log_kt(*rest.T), 0)
-            own = log_kt(*counts.T)
-            bare = ~np.isin(np.arange(len(node)), at) & (rest.sum(axis=1) == counts.sum(axis=1))
-            # A context without children of its own is a leaf.
-            mixed = np.where(bare, own, np.logaddexp(own, below) - np.log(2))
-            self.own[d] = np.where(bare, 1.0, np.exp(own - np.log(2) - mixed))
-            self.rest[d], weighted = rest, mixed
-        # The answers for all that training has seen, by the deepest context that is held.
-        self.cell: list[np.ndarray] = []
-        self.value: list[np.ndarray] = []
-        for d, (ctx, sym, n) in enumerate(cells):
-            key = ctx << 8 | sym
-            order = np.argsort(key)
-            key = key[order]
-            full = ctx[order] << (8 * (self.depth - d) + 8) | sym[order]
-            value = np.concatenate([self.evaluate(full[i : i + 100_000], d) for i in range(0, len(full), 100_000)] or [np.zeros(0)]).astype(np.float32)
-            self.cell.append(key)
-            self.value.append(value)
-        # One probe without chains: where cells collide the more frequent stays.
-        often = np.argsort(n[order], kind="stable")
-        slot = self.slot(key[often])
-        self.table, self.score = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS, np.float32)
-        self.table[slot], self.score[slot] = key[often], value[often]
-
-    @staticmethod
-    def slot(key: np.ndarray) -> np.ndarray:
-        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
-
-    def evaluate(self, key: np.ndarray, deepest: int | None = None) -> np.ndarray:
-        """log10 probability of the byte of each key behind its context, of which no more
-        than ``deepest`` bytes are held."""
-        deepest = self.depth if deepest is None else deepest
+    """Nodes of the frozen tree by depth: sorted keys, counts, and the weight of their own
+    estimate.  A bucket's tree has no nodes above SPLIT bytes until :meth:`under` lends it
+    those of the top."""
+
+    def __init__(self, depth: int):
+        self.depth = depth
+        self.nodes = [np.zeros(0, np.int64)] * (depth + 1)
+        self.counts = [np.zeros((0, 2))] * (depth + 1)
+        self.own = [np.zeros(0)] * (depth + 1)
+        self.weighted = np.zeros(0)
+
+    def grow(self, d: int, node: np.ndarray, counts: np.ndarray, below: np.ndarray | None = None) -> None:
+        """Add the level ``d``; ``below`` sums the children's log probabilities (None: leaves)."""
+        own = log_kt(*counts.T)
+        mixed = own if below is None else np.logaddexp(own, below) - np.log(2)
+        self.nodes[d], self.counts[d], self.weighted = node, counts, mixed
+        self.own[d] = np.ones(len(own)) if below is None else np.exp(own - np.log(2) - mixed)
+
+    def parents(self, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The level above ``d``, which was grown last: nodes, counts and ``below``."""
+        child = self.nodes[d]
+        node, at = np.unique((child >> 16) << 8 | child & 255, return_inverse=True)
+        counts = np.stack([np.bincount(at, self.counts[d][:, v], len(node)) for v in (0, 1)], axis=1)
+        return node, counts, np.bincount(at, self.weighted, len(node))
+
+    @classmethod
+    def bucket(cls, key: np.ndarray, n: np.ndarray, depth: int) -> Tree:
+        """The subtrees of sorted keys and their counts."""
+        tree = cls(depth)
+        ctx, sym = key >> 8, key & 255
+        node = np.concatenate([ctx << 8 | (1 << j) | sym >> (8 - j) for j in range(8)])
+        bit = np.concatenate([sym >> (7 - j) & 1 for j in range(8)])
+        node, at = np.unique(node, return_inverse=True)
+        tree.grow(depth, node, np.stack([np.bincount(at, np.tile(n, 8) * (bit == v), len(node)) for v in (0, 1)], axis=1))
+        for d in range(depth - 1, min(SPLIT, depth) - 1, -1):
+            tree.grow(d, *tree.parents(d + 1))
+        return tree
+
+    @classmethod
+    def top(cls, node: np.ndarray, counts: np.ndarray, below: np.ndarray, depth: int) -> Tree:
+        """The levels above the buckets, from the sums of what all of them pass up."""
+        tree = cls(depth)
+        d = min(SPLIT, depth) - 1
+        tree.grow(d, node, counts, below)
+        for d in range(d - 1, -1, -1):
+            tree.grow(d, *tree.parents(d + 1))
+        return tree
+
+    def under(self, top: Tree) -> Tree:
+        for d in range(min(SPLIT, self.depth)):
+            self.nodes[d], self.counts[d], self.own[d] = top.nodes[d], top.counts[d], top.own[d]
+        return self
+
+    def evaluate(self, key: np.ndarray) -> np.ndarray:
+        """log10 probability of the byte of each key behind its context."""
         sym = key & 255
         total = np.zeros(len(key))
-        held = []
-        for d in range(self.depth + 1):
-            ctx = key >> (8 * (self.depth - d) + 8)
-            at = np.minimum(np.searchsorted(self.contexts[d], ctx), max(0, len(self.contexts[d]) - 1))
-            held.append((self.contexts[d][at] == ctx) if len(self.contexts[d]) and d <= deepest else np.zeros(len(key), bool))
         for j in range(8):
             bit = sym >> (7 - j) & 1
             p = np.full(len(key), 0.5)
             known = np.zeros(len(key), bool)  # p holds a child's estimate
             for d in range(self.depth, -1, -1):
                 node = (key >> (8 * (self.depth - d) + 8)) << 8 | (1 << j) | sym >> (8 - j)
-                at = np.minimum(np.searchsorted(self.nodes[d], node), max(0, len(self.nodes[d]) - 1))
-                here = held[d] & (self.nodes[d][at] == node) if len(self.nodes[d]) else np.zeros(len(key), bool)
-                n = self.counts[d][at[here]]
+                at, here = contains(self.nodes[d], node)
+                at = at[here]
+                n = self.counts[d][at]
                 kt = (n[np.arange(len(n)), bit[here]] + 0.5) / (n.sum(axis=1) + 1)
-                child, has = p[here], known[here]
-                if d < self.depth and len(self.rest[d]):
-                    rest = self.rest[d][at[here]]
-                    pooled = ~held[d + 1][here] & (rest.sum(axis=1) > 0)
-                    child = np.where(pooled, (rest[np.arange(len(rest)), bit[here]] + 0.5) / (rest.sum(axis=1) + 1), child)
-                    has = has | pooled
-                own = np.where(has, self.own[d][at[here]], 1.0)
-                p[here] = own * kt + (1 - own) * child
+                own = np.where(known[here], self.own[d][at], 1.0)
+                p[here] = own * kt + (1 - own) * p[here]
                 known[here] = True
             total += np.log10(p)
         return total
 
-    def lookup(self, key: np.ndarray) -> np.ndarray:
-        """As :meth:`evaluate`, by table for what training has seen."""
+    def values(self, key: np.ndarray) -> np.ndarray:
+        """As :meth:`evaluate`, in slices."""
+        return np.concatenate([self.evaluate(key[i : i + 200_000]) for i in range(0, len(key), 200_000)] or [np.zeros(0)])
+
+
+class Cache:
+    """Values of frequent cells: one probe without chains, then a search in the sorted keys."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray, n: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order].astype(np.float32)
+        self.bits = max(4, len(key).bit_length() + 1)
+        # Where cells collide the more frequent stays.
+        often = np.argsort(n[order], kind="stable")
+        slot = self.slot(self.key[often])
+        self.table, self.score = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.float32)
+        self.table[slot], self.score[slot] = self.key[often], self.value[often]
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def lookup(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the keys (0 where it has none), and the places of those it does not have."""
         slot = self.slot(key)
-        out = self.score[slot]
+        out = self.score[slot].astype(np.float64)
         miss = np.flatnonzero(self.table[slot] != key)
-        if len(miss):
-            rare, back = np.unique(key[miss], return_inverse=True)
-            value = np.full(len(rare), np.nan)
-            open_ = np.arange(len(rare))
-            for d in range(self.depth, -1, -1):
-                ctx = rare[open_] >> (8 * (self.depth - d) + 8)
-                held = contains(self.contexts[d], ctx)[1]
-                at, seen = contains(self.cell[d], ctx[held] << 8 | rare[open_[held]] & 255)
-                mine = open_[held]
-                value[mine[seen]] = self.value[d][at[seen]]
-                value[mine[~seen]] = self.evaluate(rare[mine[~seen]], d)
-                open_ = open_[~held]
-            if len(open_):
-                value[open_] = self.evaluate(rare[open_])
-            out[miss] = value[back]
-        return out
+        at, here = contains(self.key, key[miss])
+        out[miss] = 0
+        out[miss[here]] = self.value[at[here]]
+        return out, miss[~here]
 
 
 def contains(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,17 +272,88 @@ def contains(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, table[at] == key
 
 
-def grown(counts: DataFrame, depth: int = DEPTH, context_bits: int = CONTEXT_BITS) -> Tree:
-    """The tree of the contexts that hold at least 2 ** -context_bits of all counts."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // (1 << context_bits)))
-    cells = []
-    for d in range(depth + 1):
-        c = counts.groupBy(F.shiftright("key", 8 * (depth - d) + 8).alias("ctx"), F.col("key").bitwiseAND(255).alias("sym")).agg(F.sum("n").alias("n"))
-        frequent = c.groupBy("ctx").agg(F.sum("n").alias("all")).where(F.col("all") >= least).select("ctx")
-        got = c.join(frequent, "ctx").select("ctx", "sym", "n").toArrow()
-        cells.append(tuple(got.column(i).to_numpy().astype(np.int64) for i in range(3)))
-    return Tree(cells)
+def pass_up(counts: DataFrame, depth: int) -> DataFrame:
+    """(node, n0, n1, below) of the buckets' subtrees for the level above them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n in zip(b.column(0), b.column(1), strict=True):
+                tree = Tree.bucket(unpacked(k.as_py()), np.frombuffer(n.as_py(), "<u8").astype(np.int64), depth)
+                node, both, below = tree.parents(min(SPLIT, depth))
+                yield pa.RecordBatch.from_arrays([pa.array(node), *(pa.array(both[:, v].astype(np.int64)) for v in (0, 1)), pa.array(below)], names=["node", "n0", "n1", "below"])
+
+    return counts.select("keys", "counts").mapInArrow(run, "node long, n0 long, n1 long, below double")
+
+
+def crown(counts: DataFrame, depth: int) -> Tree:
+    """The top of the tree: contexts of fewer than SPLIT bytes, of which there are at most
+    65,793 at any size of corpus."""
+    sums = pass_up(counts, depth).groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below"))
+    got = sums.toArrow().sort_by("node").combine_chunks()
+    node, n0, n1, below = (got.column(i).to_numpy() for i in range(4))
+    return Tree.top(node.astype(np.int64), np.stack([n0, n1], axis=1).astype(np.float64), below.astype(np.float64), depth)
+
+
+def frequent(counts: DataFrame, top, depth: int, cache_bits: int) -> Cache:
+    """The values of the most frequent cells: all that occur at least 2 ** x times, for the
+    least x that leaves no more than 2 ** cache_bits of them."""
+    sizes = counts.select(F.posexplode("sizes").alias("x", "n")).groupBy("x").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("x")).collect()
+    least, held = 64, 0
+    for r in sizes:
+        if held + r.n > 1 << cache_bits:
+            break
+        least, held = r.x, held + r.n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, n in zip(b.column(0), b.column(1), strict=True):
+                key, n = unpacked(k.as_py()), np.frombuffer(n.as_py(), "<u8").astype(np.int64)
+                often = n >> least > 0
+                value = Tree.bucket(key, n, depth).under(top.value).values(key[often])
+                yield pa.RecordBatch.from_arrays([pa.array(key[often]), pa.array(value.astype(np.float32)), pa.array(n[often])], names=["key", "value", "n"])
+
+    if least > 62:
+        return Cache(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    got = counts.select("keys", "counts").mapInArrow(run, "key long, value float, n long").toArrow()
+    return Cache(*(got.column(i).to_numpy() for i in range(3)))
+
+
+def missed_sums(counts: DataFrame, missed: DataFrame, top, depth: int, parts: int) -> DataFrame:
+    """(bucket, row, s, k, c, v) as :func:`tail_sums` packs them, with c the sums of the cells
+    that were sent to the buckets' subtrees."""
+    trees = counts.select("bucket", F.lit(0).alias("kind"), F.col("keys").alias("a"), F.col("counts").alias("b"), F.lit(b"").alias("n"))
+    cells = missed.select("bucket", F.lit(1).alias("kind"), "a", "b", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = Tree(depth).under(top.value)
+        for batch in batches:
+            for kind, a, b, n in zip(*(batch.column(c) for c in range(1, 5)), strict=True):
+                if kind.as_py() == 0:
+                    tree = Tree.bucket(unpacked(a.as_py()), np.frombuffer(b.as_py(), "<u8").astype(np.int64), depth).under(top.value)
+                    continue
+                key, row, n = np.frombuffer(a.as_py(), np.int64), np.frombuffer(b.as_py(), np.int64), np.frombuffer(n.as_py(), np.uint32)
+                each, at = np.unique(key, return_inverse=True)
+                rows, of = np.unique(row, return_inverse=True)
+                yield from dealt_sums(rows, None, None, np.bincount(of, tree.values(each)[at] * n), 0, parts)
+
+    both = trees.unionByName(cells).repartitionById(parts, "bucket").sortWithinPartitions("kind")
+    return both.mapInArrow(run, SUMS)
+
+
+#: Sums of rows on their way: by the rows' own buckets, packed.
+SUMS = "bucket int, row binary, s binary, k binary, c binary, v long"
+
+
+def dealt_sums(rows: np.ndarray, s: np.ndarray | None, k: np.ndarray | None, c: np.ndarray | None, known: int, parts: int) -> Iterator[pa.RecordBatch]:
+    bucket = (rows.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+    kinds = ((s, np.float64), (k, np.uint32), (c, np.float64))
+    for p in range(parts):
+        at = order[cut[p] : cut[p + 1]]
+        if len(at) or (p == 0 and known):
+            packed_ = [rows[at].tobytes(), *((np.zeros(len(at), kind) if x is None else x[at]).tobytes() for x, kind in kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x]) for x in packed_), pa.array([known if p == 0 else 0], pa.int64())], names=["bucket", "row", "s", "k", "c", "v"])
 
 
 def is_held_out(doc_id: int | None, fold: int = 1, folds: int = 5) -> bool:
@@ -313,9 +400,9 @@ def word_parts(docs: DataFrame, head: dict[bytes, int], parts: int) -> DataFrame
     return docs.select("text", "held_out", "row").mapInArrow(run, "bucket int, h binary, row binary, n binary, trained binary")
 
 
-def tail_sums(blobs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Sums over the words of the buckets: (row, ts, tk) with log10(c + 0.5) and the known
-    tokens of each row, and one row (v) per task with its number of known words.
+def tail_sums(blobs: DataFrame, parts: int) -> DataFrame:
+    """SUMS over the words of the buckets: log10(c + 0.5) and the known tokens of each row,
+    and ``v``, the number of known words of the bucket.
 
     A bucket has a sum for most rows, so the sums travel packed by the rows' own buckets."""
 
@@ -334,28 +421,28 @@ def tail_sums(blobs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
         rows, of = np.unique(row, return_inverse=True)
         s = np.bincount(of, n * np.log10(each + 0.5))
         k = np.bincount(of, n * (each > 0)).astype(np.uint32)
-        bucket = (rows.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(parts + 1))
-        names = ["bucket", "row", "s", "k", "v"]
-        for p in range(parts):
-            at = order[cut[p] : cut[p + 1]]
-            if len(at) or p == 0:
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()]) for x in (rows[at], s[at], k[at])), pa.array([int((c > 0).sum()) if p == 0 else 0], pa.int64())], names=names)
+        yield from dealt_sums(rows, s, k, None, int((c > 0).sum()), parts)
+
+    return blobs.where("bucket >= 0").repartitionById(parts, "bucket").mapInArrow(count, SUMS)
+
+
+def row_sums(sums: DataFrame, parts: int) -> DataFrame:
+    """(row, ts, tk, cs): the sums of SUMS for each row."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list[list[np.ndarray]] = [[], [], []]
+        got: list[list[np.ndarray]] = [[], [], [], []]
         for b in batches:
-            for i, kind in enumerate((np.int64, np.float64, np.uint32)):
+            for i, kind in enumerate((np.int64, np.float64, np.uint32, np.float64)):
                 got[i] += [np.frombuffer(x.as_py(), kind) for x in b.column(i + 1)]
         if not got[0]:
             return
-        row, s, k = (np.concatenate(x) for x in got)
+        row, s, k, c = (np.concatenate(x) for x in got)
         rows, of = np.unique(row, return_inverse=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(of, s)), pa.array(np.bincount(of, k).astype(np.int64))], names=["row", "ts", "tk"])
+        for at in range(0, len(rows), 100_000):
+            cut = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[cut]), pa.array(np.bincount(of, s)[cut]), pa.array(np.bincount(of, k).astype(np.int64)[cut]), pa.array(np.bincount(of, c)[cut])], names=["row", "ts", "tk", "cs"])
 
-    counted = stored(blobs.where("bucket >= 0").repartition(parts, "bucket").mapInArrow(count, "bucket int, row binary, s binary, k binary, v long"), "counted")
-    return counted.repartition(parts, "bucket").mapInArrow(merge, "row long, ts double, tk long"), counted.select("v")
+    return sums.repartitionById(parts, "bucket").mapInArrow(merge, "row long, ts double, tk long, cs double")
 
 
 def head_words(docs: DataFrame) -> list[bytes]:
@@ -376,40 +463,65 @@ def head_words(docs: DataFrame) -> list[bytes]:
     return [bytes(r.w) for r in found.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(HEAD).collect()]
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, cache_bits: int = CACHE_BITS) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score, bits_per_byte``.
 
     Both models learn from the rows whose crc32 of the decimal doc_id is not 1 modulo 5.
     ``base_score`` is the smoothed unigram sum over lower-cased words and one end;
     ``score`` the context tree's log10 probability of the bytes and an end byte, and
-    ``bits_per_byte`` its code length over n_bytes + 1.  Null texts are as empty: an end
-    alone.  A null doc_id counts as the text 'None'.  Repeated rows count as often as they
-    stand.  With nothing to learn from, base_score is 0 and every bit costs one bit.
+    ``bits_per_byte`` its code length over n_bytes + 1.  ``depth`` may be 1 to 6 bytes;
+    ``cache_bits`` bounds what is broadcast and changes no result.  Null texts are as empty:
+    an end alone.  A null doc_id counts as the text 'None'.  Repeated rows count as often as
+    they stand; other columns are not read, whatever their names.  With nothing to learn
+    from, base_score is 0 and every bit costs one bit.
     """
+    if not 1 <= depth <= 6:
+        raise ValueError("a cell of a context and its byte must fit in 56 bits: depth is 1 to 6")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")).cast("binary")) % 5 == 1).alias("held_out"))
     words = head_words(rows)
     head = {w: i for i, w in enumerate(words)}
-    blobs = stored(word_parts(rows, head, parts))
+    blobs = stored(word_parts(rows, head, parts), "words")
     common = np.zeros(len(head), np.int64)
     for r in blobs.where("bucket < 0").select("n").toLocalIterator():
         common += np.frombuffer(r.n, np.int64)
-    rest, known = tail_sums(blobs, parts)
+    tail = stored(tail_sums(blobs, parts), "tail")
     forget(blobs)
-    counts = stored(train(rows.where("NOT held_out"), depth))
-    tree = grown(counts, depth)
+    counts = stored(train(rows.where("NOT held_out"), depth, parts), "counts")
+    top = spark.sparkContext.broadcast(crown(counts, depth))
     logs = {w: (float(np.log10(c + 0.5)), int(c > 0)) for w, c in zip(words, common.tolist(), strict=True)}
-    shared = spark.sparkContext.broadcast((tree, logs))
+    shared = spark.sparkContext.broadcast((frequent(counts, top, depth, cache_bits), logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, front = shared.value
+        """A record of each document, and records of cells for the buckets."""
+        cache, front = shared.value
         nothing = (0.0, 0)
+        cells = ["bucket", "a", "b", "n"]
+        own = ["doc_id", "row", "held_out", "n_tokens", "s", "k", "score", "n_bytes"]
+        kinds = dict(zip([*cells, *own], [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64()], strict=True))
+
+        def record(got: dict, n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([got.get(c, pa.nulls(n, kind)) for c, kind in kinds.items()], names=list(kinds))
+
+        open_: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            key, row, n = (np.concatenate(x) for x in zip(*open_, strict=True))
+            bucket = bucket_of(key, depth, parts)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cut)).tolist():
+                at = order[cut[p] : cut[p + 1]]
+                yield record({"bucket": pa.array([p], pa.int32()), "a": pa.array([key[at].tobytes()]), "b": pa.array([row[at].tobytes()]), "n": pa.array([n[at].astype(np.uint32).tobytes()])}, 1)
+
         for b in batches:
             n_tokens, s, k, score, n_bytes = [], [], [], [], []
-            for _, texts in pieces(b.column(3)):
+            ids = b.column(1).to_numpy()
+            for start, texts in pieces(b.column(3)):
                 for t in texts:
                     w = t.lower().split()
                     got = [front.get(x, nothing) for x in w]
@@ -418,22 +530,41 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     k.append(sum([x for _, x in got]))
                     n_bytes.append(len(t))
                 key, n = cells_of(texts, depth)
-                score += np.add.reduceat(model.lookup(key).astype(np.float64), np.cumsum(n) - n).tolist()
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, kind) for x, kind in ((n_tokens, pa.int64()), (s, pa.float64()), (k, pa.int64()), (score, pa.float64()), (n_bytes, pa.int64())))], names=["doc_id", "row", "held_out", "n_tokens", "s", "k", "score", "n_bytes"])
-
-    own = stored(rows.select("doc_id", "row", "held_out", "text").mapInArrow(run, "doc_id long, row long, held_out boolean, n_tokens long, s double, k long, score double, n_bytes long"))
+                value, miss = cache.lookup(key)
+                first = np.cumsum(n) - n
+                score += np.add.reduceat(value, first).tolist()
+                if len(miss):
+                    # Each cell of a document once, with how often it stands there.
+                    of = np.searchsorted(first, miss, "right") - 1
+                    order = np.lexsort((key[miss], of))
+                    of, cell = of[order], key[miss][order]
+                    new = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (cell[1:] != cell[:-1])))
+                    open_.append((cell[new], ids[start + of[new]], np.diff(np.append(new, len(cell)))))
+                    size += len(new)
+                    if size > 1_000_000:
+                        yield from sent()
+                        open_, size = [], 0
+            yield record({"doc_id": b.column(0), "row": b.column(1), "held_out": b.column(2), "n_tokens": pa.array(n_tokens, pa.int64()), "s": pa.array(s, pa.float64()), "k": pa.array(k, pa.int64()), "score": pa.array(score, pa.float64()), "n_bytes": pa.array(n_bytes, pa.int64())}, b.num_rows)
+        if open_:
+            yield from sent()
+
+    scored = rows.select("doc_id", "row", "held_out", "text").mapInArrow(run, "bucket int, a binary, b binary, n binary, doc_id long, row long, held_out boolean, n_tokens long, s double, k long, score double, n_bytes long")
+    scored = stored(scored, "scored")
+    own = scored.where("bucket IS NULL")
     ends, tokens = own.where("NOT held_out").agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    known_words = (known.agg(F.sum("v")).first()[0] or 0) + int((common > 0).sum()) + (ends > 0)
+    known_words = (tail.agg(F.sum("v")).first()[0] or 0) + int((common > 0).sum()) + (ends > 0)
     below = float(np.log10(tokens + 0.5 * (known_words + 1)))
     end_log = float(np.log10(ends + 0.5))
-    # Rows that are alike sent their words twice: their sums are shared out again.
+    rest = row_sums(tail.unionByName(missed_sums(counts, scored.where("bucket IS NOT NULL"), top, depth, parts)), parts)
+    # Rows that are alike sent their words and cells twice: their sums are shared out again.
     many = own.groupBy("row").agg(F.count("*").alias("many"))
     full = own.join(many.join(rest, "row", "left"), "row", "left")
+    score = F.col("score") + F.coalesce(F.col("cs") / F.col("many"), F.lit(0.0))
     return full.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("k") + F.coalesce(F.expr("tk div many"), F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("s") + F.coalesce(F.col("ts") / F.col("many"), F.lit(0.0)) + end_log - F.col("n_tokens") * below).alias("base_score"),
-        "score",
-        (-F.col("score") / float(np.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score / float(np.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )
