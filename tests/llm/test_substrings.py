@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from wanderframe.llm import substrings
+from wanderframe.llm.common import stored
 
 
 def brute(texts):
@@ -58,18 +59,50 @@ def test_multikey_order():
         assert pairs == sorted(pairs)
 
 
-def test_bucket_edges_meet(spark):
-    """One string over many buckets: the ties are split by place and met at the edges."""
-    import pyarrow as pa
-
-    def batch(t0):
-        n = len(t0)
-        return pa.RecordBatch.from_arrays([pa.array(t0), pa.array([0] * n), pa.array(range(n)), pa.array([1] * n), pa.array([0] * n, pa.int32())], names=["t0", "t1", "doc_id", "row", "p"])
-
-    out = pa.Table.from_batches(substrings.repeated_in_bucket(iter([batch([5, 7, 7, 9])]))).to_pylist()
-    assert sorted((r["t0"], r["edge"]) for r in out) == [(5, True), (7, False), (7, False), (9, True)]
-    assert list(substrings.repeated_in_bucket(iter([]))) == []
-    assert len(pa.Table.from_batches(substrings.repeated_in_bucket(iter([batch([5])]))).to_pylist()) == 1
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_order_against_counts(spark, parts):
+    """Few tokens over many buckets: ties are parted by place and met at the edges."""
+    rng = random.Random(parts)
+    rows = [(rng.choice([1, 1, 1, 5, rng.randrange(9, 2000)]), rng.choice([0, 0, 0, 0, rng.randrange(40)]), k % 7, k, k, k) for k in range(400)]
+    records = stored(spark.createDataFrame(rows, "h long, g long, doc_id long, row long, s int, e int"))
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    known, _ = substrings.ordered(records)
+    got = known.collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    both, kinds = Counter(r[:2] for r in rows), Counter(h for h, _ in {r[:2] for r in rows})
+    assert {r.s for r in got if r.whole} == {r[4] for r in rows if both[r[:2]] > 1}
+    assert sorted((r.h, r.g) for r in got if r.open) == sorted(k for k in both if kinds[k[0]] > 1)
+
+
+def test_places_beyond_sixteen_mebibytes(spark, docs_of):
+    """A passage far behind in one text repeats at the start of others; nothing else does."""
+    rng = np.random.default_rng(3)
+    letters = lambda n: bytes(rng.integers(97, 123, n, np.uint8)).decode()
+    first, second = letters(400), letters(230)
+    texts = [letters(17_500_000) + first + letters(2_000_000) + second + letters(100), first + letters(50), letters(60) + second]
+    got = {r.doc_id: r for r in substrings.remove_repeats(docs_of(list(enumerate(texts)))).collect()}
+    assert [(got[i].n_removed, got[i].n_spans) for i in range(3)] == [(630, 2), (400, 1), (230, 1)]
+    assert bytes(got[0].kept).decode() == texts[0].replace(first, "").replace(second, "")
+
+
+@pytest.mark.parametrize("chunk", [450, 700, 5000])
+def test_no_run_is_parted(monkeypatch, chunk):
+    text = (words(random.Random(chunk), 700) + "z" * 900 + words(random.Random(1), 100)).encode()
+    want = substrings.runs_of([text])
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    got = list(substrings.chunked_runs(text))
+    assert len(got) > 1 and all(np.array_equal(np.concatenate(x), w) for x, w in zip(zip(*got, strict=True), want, strict=True))
+
+
+@pytest.mark.parametrize("chunk", [500, 1000, 3000])
+def test_stretches_of_long_texts(spark, docs_of, monkeypatch, chunk):
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    shared = [words(rng, 80) for _ in range(3)]
+    texts = ["".join(rng.choice([*shared, words(rng, 30), "z" * 300]) for _ in range(rng.randint(1, 25))) for _ in range(12)]
+    got = substrings.remove_repeats(docs_of(list(enumerate(texts)))).collect()
+    want = [(i, *w) for i, w in enumerate(brute(texts))]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 64, 137, 300])

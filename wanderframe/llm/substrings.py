@@ -1,23 +1,28 @@
 """Suffix-array dedup (operator 2): every byte under a repeated string of ``LENGTH`` bytes.
 
-A suffix is compared on its first two tokens, 64-bit hashes of 100 bytes each.  Sampled
-splitters range-partition the suffixes by their leading tokens (ties by place, so that equal
-suffixes may spread over buckets), each bucket is sorted by multikey quicksort, neighbours
-with equal tokens repeat, and the edges of buckets are compared with each other.
-
-Not all suffixes are sorted.  In each window of LENGTH bytes the least hash of its
-``GRAM``-byte strings is its anchor; equal windows have equal anchors at the same offset, so
-windows whose anchor occurs once repeat nothing.  Neighbouring windows of one anchor make a
-run.  Runs with equal bytes repeat as a whole; one of each, and all runs that share an
-anchor only, are cut into blocks of ``BLOCK`` windows at fixed offsets from the anchor.
-Again blocks with equal bytes repeat as a whole, and a block whose core, the bytes that all
-its windows have, occurs once repeats nothing.  The windows of what is left, at the edges of
-repeated passages, go on to the suffix sort.
+Suffixes are brought into order by their leading tokens: sampled splitters range-partition
+them (ties by place, so that equal suffixes may spread over buckets), each bucket is sorted by
+multikey quicksort, neighbours with equal tokens repeat, and the edges of buckets are compared
+with each other.  What is removed is what this order finds twice.
+
+The order is taken at three grains, each of which leaves less to the next, so that not every
+byte's suffix is shuffled.  In each window of LENGTH bytes the least hash of its ``GRAM``-byte
+strings is its anchor; equal windows have equal anchors at the same offset.
+
+1. Neighbouring windows of one anchor make a run.  Its tokens are the hashes of its anchor
+   and of all its bytes.  Runs with equal tokens repeat as a whole; an anchor without an equal
+   neighbour repeats nothing.
+2. Of runs that share the anchor only, one of each kind is cut into blocks of ``BLOCK`` windows
+   at fixed offsets from the anchor.  The tokens are hashes of the block's core, the bytes that
+   all its windows have, and of all its bytes.
+3. Of blocks that share the core only, one of each kind gives its windows.  Their tokens are
+   the hashes of their two halves of 100 bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +33,12 @@ from pyspark.sql import functions as F
 from .common import forget, pieces, stored
 
 LENGTH, GRAM, BLOCK = 200, 64, 16
+#: Bytes of a text that are hashed at once; longer texts are taken stretch by stretch.
+CHUNK = 4 << 20
+#: Records of a bucket of the order.
+BUCKET = 4_000_000
 MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+#: Places within a stretch take the low bits beside an anchor's hash.
 LOW = np.uint64((1 << 24) - 1)
 
 
@@ -92,13 +102,33 @@ def stretch(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return g
 
 
+def chunked_runs(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """The runs of a long text as from :func:`runs_of`, stretch by stretch.
+
+    The last run of a stretch may go on behind it: the next stretch starts with its first
+    window, so that no run is ever parted."""
+    at = 0
+    while True:
+        of, s, e, a, h, g = runs_of([text[at : at + CHUNK]])
+        final = at + CHUNK >= len(text)
+        n = len(s) if final else len(s) - 1
+        yield of[:n], s[:n] + at, e[:n] + at, a[:n] + at, h[:n], g[:n]
+        if final:
+            return
+        at += int(s[-1])
+
+
 def find_runs(docs: DataFrame) -> DataFrame:
+    """(h, g, doc_id, row, s, e, a): the runs of all texts, h the anchor's hash, g the content's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, texts in pieces(b.column(2)):
-                of, s, e, a, h, g = runs_of(texts)
-                take = pa.array(of + start)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), b.column(0).take(take), b.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (s, e, a))], names=["h", "g", "doc_id", "row", "s", "e", "a"])
+            for start, texts in pieces(b.column(2), CHUNK):
+                long = len(texts[-1]) > CHUNK
+                parts = [(start, runs_of(texts[:-1] if long else texts))]
+                for at, (of, s, e, a, h, g) in itertools.chain(parts, ((start + len(texts) - 1, x) for x in (chunked_runs(texts[-1]) if long else ()))):
+                    take = pa.array(of + at)
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), b.column(0).take(take), b.column(1).take(take), *(pa.array(x.astype(np.int32)) for x in (s, e, a))], names=["h", "g", "doc_id", "row", "s", "e", "a"])
 
     return docs.mapInArrow(run, "h long, g long, doc_id long, row long, s int, e int, a int")
 
@@ -108,56 +138,57 @@ def expanded(s: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(s, n)
 
 
+def hashed(text: pa.Scalar, spans: pa.Scalar, fields: int) -> Iterator[tuple]:
+    """(gram hashes, their first place, length of the text, spans) of stretches of the text
+    that hold the spans with a margin; the spans are arrays of their fields in order of s."""
+    raw = np.frombuffer(text.as_buffer(), np.uint8)
+    own = [spans.values.field(f).to_numpy().astype(np.int64) for f in range(fields)]
+    order = np.argsort(own[0], kind="stable")
+    own = [x[order] for x in own]
+    i = 0
+    while i < len(order):
+        j = int(np.searchsorted(own[0], own[0][i] + CHUNK, "right"))
+        low = max(0, int(own[0][i]) - 2 * LENGTH)
+        high = min(len(raw), int(own[1][i:j].max()) + 3 * LENGTH)
+        yield gram_hashes(raw[low:high]), low, len(raw), [x[i:j] for x in own]
+        i = j
+
+
 def find_blocks(docs: DataFrame) -> DataFrame:
     """The blocks of the runs in ``spans`` (s, e, a): h the core's hash, g the content's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, spans in enumerate(b.column(3)):
-                h = gram_hashes(np.frombuffer(b.column(2)[i].as_buffer(), np.uint8))
-                s, e, a = (spans.values.field(f).to_numpy().astype(np.int64) for f in range(3))
-                low, high = (s - a) // BLOCK, (e - a) // BLOCK
-                n = high - low + 1
-                first = np.repeat(a, n) + BLOCK * expanded(low, n)
-                s, e = np.maximum(np.repeat(s, n), first), np.minimum(np.repeat(e, n), first + BLOCK - 1)
-                # With the offset from the anchor: blocks of two runs of one document may cover the same place.
-                offset = (first - np.repeat(a, n)).astype(np.uint64) * MULTIPLIERS[4]
-                core = mixed((stretch(h, first + BLOCK - 1, first + LENGTH) ^ offset) * MULTIPLIERS[5])
-                # At either end of the document a block is cut off.
-                x, y = np.maximum(first, 0), np.minimum(first + BLOCK - 1 + LENGTH, len(h) + GRAM - 1)
-                full = mixed((stretch(h, x, y) ^ offset ^ (x - first).astype(np.uint64)) * MULTIPLIERS[5])
-                yield pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in (core, full)), *(pa.repeat(b.column(c)[i], len(first)) for c in (0, 1)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["h", "g", "doc_id", "row", "s", "e"])
+                for h, base, size, (s, e, a) in hashed(b.column(2)[i], spans, 3):
+                    low, high = (s - a) // BLOCK, (e - a) // BLOCK
+                    n = high - low + 1
+                    first = np.repeat(a, n) + BLOCK * expanded(low, n)
+                    s, e = np.maximum(np.repeat(s, n), first), np.minimum(np.repeat(e, n), first + BLOCK - 1)
+                    # With the offset from the anchor: blocks of two runs of one document may cover the same place.
+                    offset = (first - np.repeat(a, n)).astype(np.uint64) * MULTIPLIERS[4]
+                    core = mixed((stretch(h, first + BLOCK - 1 - base, first + LENGTH - base) ^ offset) * MULTIPLIERS[5])
+                    # At either end of the document a block is cut off.
+                    x, y = np.maximum(first, 0), np.minimum(first + BLOCK - 1 + LENGTH, size)
+                    full = mixed((stretch(h, x - base, y - base) ^ offset ^ (x - first).astype(np.uint64)) * MULTIPLIERS[5])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v.view(np.int64)) for v in (core, full)), *(pa.repeat(b.column(c)[i], len(first)) for c in (0, 1)), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["h", "g", "doc_id", "row", "s", "e"])
 
     return docs.mapInArrow(run, "h long, g long, doc_id long, row long, s int, e int")
 
 
-def sorted_out(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of records (h, g, doc_id, row, s, e, ...): those whose g repeats, as (doc_id, row, a, b)
-    to remove; and those to look into, whose h has several g: one of each g."""
-    # Tables of their own: joins between plain exchanges are split where one key is hot.
-    alike = stored(records.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "s")).alias("one")), "alike")
-    kinds = stored(alike.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h", F.lit(True).alias("several")), "kinds")
-    joined = records.join(alike, ["h", "g"]).join(kinds, "h", "left").withColumn("several", F.coalesce("several", F.lit(False)))
-    open_ = F.col("several") & ((F.col("n") == 1) | (F.struct("doc_id", "row", "s") == F.col("one")))
-    known = stored(joined.where("n > 1 OR several").withColumn("open", open_).drop("several", "one", "h", "g"), "known")
-    forget(alike, kinds)
-    whole = known.where("n > 1").select("doc_id", "row", F.col("s").alias("a"), (F.col("e") + LENGTH).alias("b"))
-    return whole, known.where("open")
-
-
-def suffixes(docs: DataFrame) -> DataFrame:
-    """(t0, t1, doc_id, row, p) for the windows listed in ``spans`` (s, e) of each document."""
+def find_windows(docs: DataFrame) -> DataFrame:
+    """The windows in ``spans`` (s, e) of each document: h and g the hashes of their halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, spans in enumerate(b.column(3)):
-                h = gram_hashes(np.frombuffer(b.column(2)[i].as_buffer(), np.uint8))
-                s = spans.values.field(0).to_numpy().astype(np.int64)
-                p = expanded(s, spans.values.field(1).to_numpy() - s + 1)
-                t = [mixed((h[p + j] * MULTIPLIERS[2] + h[p + j + LENGTH // 2 - GRAM]) * MULTIPLIERS[3]).view(np.int64) for j in (0, LENGTH // 2)]
-                yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), *(pa.repeat(b.column(c)[i], len(p)) for c in (0, 1)), pa.array(p.astype(np.int32))], names=["t0", "t1", "doc_id", "row", "p"])
+                for h, base, _, (s, e) in hashed(b.column(2)[i], spans, 2):
+                    p = expanded(s, e - s + 1)
+                    t = [mixed((h[p - base + j] * MULTIPLIERS[2] + h[p - base + j + LENGTH // 2 - GRAM]) * MULTIPLIERS[3]).view(np.int64) for j in (0, LENGTH // 2)]
+                    at = pa.array(p.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), *(pa.repeat(b.column(c)[i], len(p)) for c in (0, 1)), at, at], names=["h", "g", "doc_id", "row", "s", "e"])
 
-    return docs.mapInArrow(run, "t0 long, t1 long, doc_id long, row long, p int")
+    return docs.mapInArrow(run, "h long, g long, doc_id long, row long, s int, e int")
 
 
 def multikey_order(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
@@ -181,23 +212,66 @@ def multikey_order(tokens: list[np.ndarray], small: int = 4096) -> np.ndarray:
     return out
 
 
-def repeated_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that repeat in the bucket (edge false), and its first and last (edge true)."""
+def sorted_bucket(batches: Iterator[pa.RecordBatch], part: int, look: bool) -> Iterator[pa.RecordBatch]:
+    """The records of a bucket that repeat, or have neighbours alike in the first token only,
+    or stand at its edges, with what the bucket can tell of them.
+
+    Added are ``whole`` (both tokens repeat), ``several`` (its first token goes with several
+    second ones), ``one`` (the first of its tokens here), ``n`` (records with its tokens
+    here), ``edge`` (its first token is the bucket's first or last) and ``part``, the bucket."""
     got = list(batches)
     if not sum(b.num_rows for b in got):
         return
     t = pa.Table.from_batches(got).combine_chunks()
-    tokens = [t.column(c).to_numpy() for c in ("t0", "t1")]
+    tokens = [t.column(c).to_numpy() for c in ("h", "g")]
     order = multikey_order(tokens)
-    a, b = tokens[0][order], tokens[1][order]
-    same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-    twice = np.zeros(len(order), bool)
-    twice[1:] |= same
-    twice[:-1] |= same
-    ends = np.unique([0, len(order) - 1])
-    for rows, edge in ((order[twice], False), (order[ends], True)):
-        part = t.take(pa.array(rows)).append_column("edge", pa.array(np.full(len(rows), edge)))
-        yield from part.to_batches(max_chunksize=500_000)
+    h, g = tokens[0][order], tokens[1][order]
+    new_h = np.append(True, h[1:] != h[:-1])
+    new = new_h | np.append(True, g[1:] != g[:-1])
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(h)))
+    whole = np.repeat(n > 1, n)
+    group = np.cumsum(new_h) - 1
+    several = (np.bincount(group[first]) > 1)[group]
+    edge = (h == h[0]) | (h == h[-1])
+    keep = np.flatnonzero(edge | whole | (several & look))
+    out = t.take(pa.array(order[keep]))
+    for name, column in (("whole", whole), ("several", several), ("one", new), ("n", np.repeat(n, n)), ("edge", edge)):
+        out = out.append_column(name, pa.array(column[keep]))
+    out = out.append_column("part", pa.array(np.full(len(keep), part, np.int32)))
+    yield from out.to_batches(max_chunksize=500_000)
+
+
+def ordered(records: DataFrame, look: bool = True) -> tuple[DataFrame, list[DataFrame]]:
+    """Of records (h, g, doc_id, row, s, e, ...): those with ``whole``, whose two tokens stand
+    twice in the order of all, and with ``open``, whose first token goes with several second
+    ones: one of each of these.  Also returns the tables behind, to be dropped in the end.
+
+    ``records`` is a stored table.  Ties are parted by place: a token that very many records
+    have spreads over as many buckets as it needs."""
+    spark = records.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // BUCKET))
+    added = "whole boolean, several boolean, one boolean, n long, edge boolean, part int"
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields] + [added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        yield from sorted_bucket(batches, TaskContext.get().partitionId(), look)
+
+    found = stored(records.repartitionByRange(parts, "h", "g", "doc_id", "row", "s").mapInArrow(run, schema), "found")
+    # The edges of buckets, summed up by each before they meet: of its first and last h, the
+    # first and last g, so at most four rows of a bucket.
+    of = Window.partitionBy("part", "h").orderBy("g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tips = found.where("edge AND one").withColumn("low", F.first("g").over(of)).withColumn("high", F.last("g").over(of)).where("g = low OR g = high")
+    tips = stored(tips.select("h", "g", "n", "several", "part"), "tips")
+    by_both = tips.groupBy("h", "g").agg((F.sum("n") > 1).alias("whole_"), F.min("part").alias("part_"))
+    by_h = tips.groupBy("h").agg((F.max("several") | (F.min("g") < F.max("g"))).alias("several_"))
+    # At most four rows a partition: a bound on what is broadcast.
+    joined = found.join(F.broadcast(by_both), ["h", "g"], "left").join(F.broadcast(by_h), "h", "left")
+    whole, several = F.coalesce("whole_", "whole"), F.coalesce("several_", "several")
+    known = joined.select(*records.columns, whole.alias("whole"), (several & (~whole | (F.col("one") & (F.coalesce("part_", "part") == F.col("part"))))).alias("open"))
+    return known.where("whole OR open"), [found, tips]
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, fields: tuple[str, ...], how: str = "inner") -> DataFrame:
@@ -208,24 +282,31 @@ def with_spans(docs: DataFrame, spans: DataFrame, fields: tuple[str, ...], how:
 
 def spans_of(docs: DataFrame) -> DataFrame:
     """(doc_id, row, a, b): stretches of bytes to remove; they may overlap."""
-    spark = docs.sparkSession
+    removed = lambda known: known.where("whole").select("doc_id", "row", F.col("s").alias("a"), (F.col("e") + LENGTH).alias("b"))
     runs = stored(find_runs(docs), "runs")
-    shared = stored(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    near = stored(runs.join(shared, "h", "left_semi"), "near")
-    forget(runs, shared)
-    whole_runs, open_runs = sorted_out(near)
-    texts = stored(with_spans(docs, open_runs, ("s", "e", "a")), "texts")
+    known, _ = ordered(runs)
+    forget(runs)
+    whole = [removed(known)]
+    texts = stored(with_spans(docs, known.where("open"), ("s", "e", "a")), "texts")
     blocks = stored(find_blocks(texts), "blocks")
-    shared = stored(blocks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    whole_blocks, open_blocks = sorted_out(blocks.join(shared, "h", "left_semi"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucketed = suffixes(with_spans(texts.drop("spans"), open_blocks, ("s", "e"))).repartitionByRange(parts, "t0", "t1", "doc_id", "row", "p")
-    found = stored(bucketed.mapInArrow(repeated_in_bucket, "t0 long, t1 long, doc_id long, row long, p int, edge boolean"), "found")
-    forget(near, texts)
-    # Edges: two rows for each bucket, grouped by their tokens.
-    meet = found.where("edge").withColumn("n", F.count("*").over(Window.partitionBy("t0", "t1"))).where("n > 1")
-    ends = found.where("NOT edge").select("doc_id", "row", "p").unionByName(meet.select("doc_id", "row", "p"))
-    return whole_runs.unionByName(whole_blocks).unionByName(ends.select("doc_id", "row", F.col("p").alias("a"), (F.col("p") + LENGTH).alias("b")))
+    known, _ = ordered(blocks)
+    forget(blocks)
+    whole.append(removed(known))
+    windows = stored(find_windows(with_spans(texts.drop("spans"), known.where("open"), ("s", "e"))), "windows")
+    known, _ = ordered(windows, look=False)
+    forget(windows, texts)
+    return whole[0].unionByName(whole[1]).unionByName(removed(known))
+
+
+def merged(spans: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the maximal stretches that the spans (a, b) cover; null: none."""
+    if not spans.is_valid or not len(spans.values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = (spans.values.field(f).to_numpy() for f in range(2))
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.append(True, a[1:] > b[:-1])
+    return a[new], b[np.append(np.flatnonzero(new)[1:], len(b)) - 1]
 
 
 def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -240,8 +321,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Removed is each byte covered by a string of LENGTH bytes that starts anywhere else too,
     in the same document or another, judged on the input.  Null is as empty: no bytes, no
-    spans.  Texts shorter than LENGTH stay whole.  Repeated rows repeat each other and lose
-    all of LENGTH bytes or more.  Null doc_ids are allowed.
+    spans.  Texts shorter than LENGTH stay whole; longer ones may be of any length.  Repeated rows repeat each other and lose
+    all of LENGTH bytes or more.  Null doc_ids are allowed; other columns are not read.
     """
     rows = keyed(docs, doc_id, text)
     joined = with_spans(rows, spans_of(rows), ("a", "b"), "left")
@@ -251,17 +332,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for b in batches:
             rows = []
             for t, spans in zip(b.column(1), b.column(2), strict=True):
-                raw = np.frombuffer(t.as_buffer(), np.uint8)
-                removed, n = np.zeros(len(raw), bool), 0
-                if spans.is_valid:
-                    v = spans.values
-                    step = np.zeros(len(raw) + 1, np.int64)
-                    np.add.at(step, v.field(0).to_numpy(), 1)
-                    np.add.at(step, v.field(1).to_numpy(), -1)
-                    removed = np.cumsum(step)[:-1] > 0
-                    n = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
-                kept = raw[~removed].tobytes()
-                rows.append((len(raw), int(removed.sum()), n, hashlib.sha256(kept).hexdigest(), kept))
+                raw = memoryview(t.as_buffer())
+                at, gone, kept = 0, 0, []
+                begin, end = merged(spans)
+                for x, y in zip(begin.tolist(), end.tolist(), strict=True):
+                    kept.append(raw[at:x])
+                    gone, at = gone + y - x, y
+                kept = b"".join([*kept, raw[at:]])
+                rows.append((len(raw), gone, len(begin), hashlib.sha256(kept).hexdigest(), kept))
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())) if i < 4 or texts]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=names)
 
