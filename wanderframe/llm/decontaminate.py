@@ -1,9 +1,14 @@
 """Benchmark decontamination (operator 9): q-gram lemma filter, then banded alignment.
 
-Items are cut into overlapping segments.  A segment within ``k`` edits of a stretch of text
-shares at least ``length + 1 - q * (k + 1)`` of its q-grams with it, on diagonals at most
-``k`` apart.  Shared q-grams are counted in overlapping bands of diagonals; bands that meet
-the bound are verified by an alignment restricted to the band.
+Items are cut into overlapping segments of SEGMENT bytes, one every STRIDE.  A segment within
+``k`` edits of a stretch of text shares at least ``length + 1 - q * (k + 1)`` of its q-grams
+with it, on diagonals at most ``k`` apart.  Shared q-grams are counted in overlapping bands
+of diagonals, segment by segment; those that meet the bound are verified by an alignment
+restricted to the band.
+
+Q-grams are indexed once each by their place in the item, whatever number of segments covers
+them.  A document's q-grams count only where enough of them stand close together, and
+q-grams that very many items have are expanded slice by slice, so that memory is bounded.
 """
 
 from __future__ import annotations
@@ -16,16 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, work_dir, worker_cache
+from .flatfiles import filesystem
 
 Q = 12
-SEGMENT, STRIDE = 96, 48
-#: One edit is allowed for so many bytes of a segment.
+SEGMENT, STRIDE = 96, 8
+#: One edit is allowed for so many bytes of a segment, where the lemma still promises a q-gram.
 BYTES_PER_EDIT = 16
-#: Bytes of benchmark text held by a task at once; more is read in several blocks.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in an index; a larger benchmark is read in several blocks.
+BLOCK_BYTES = 8 << 20
+#: Pairs of places with one q-gram that are held at once.
+PAIRS = 1 << 21
 NOT_WORD = re.compile(r"[\W_]+")
 BITS = 22
+#: Places take so many bits: a block's bytes and the gaps between items.
+PLACE = np.int64(28)
 
 
 def normal(text: bytes) -> bytes:
@@ -52,48 +62,106 @@ def qgrams(a: np.ndarray) -> np.ndarray:
     return h
 
 
+def edits_allowed(size: int) -> int:
+    """The edits allowed in a segment of ``size`` bytes: one for BYTES_PER_EDIT, but no more
+    than leave the lemma one q-gram that must be shared."""
+    return max(0, min(size // BYTES_PER_EDIT, size // Q - 1))
+
+
 class Index:
-    """Segments of benchmark items and their q-grams."""
+    """Normalised benchmark items and the places of their q-grams."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        self.items, self.starts, self.segments, self.short = [], [], [], []
-        for item, raw in items:
+        """Items with one normalised text are a class, named by its least item id."""
+        self.short: dict[bytes, int] = {}
+        whole: dict[bytes, int] = {}
+        for item, raw in sorted(items):
             text = normal(raw)
-            if len(text) < Q:
-                if text:
-                    self.short.append((item, b" " + text + b" "))
-                continue
-            cuts = range(0, max(1, len(text) - SEGMENT + 1), STRIDE)
-            for s in dict.fromkeys([*cuts, max(0, len(text) - SEGMENT)]):
-                self.items.append(item)
-                self.starts.append(s)
-                self.segments.append(text[s : s + SEGMENT])
-        size = np.array([len(s) for s in self.segments], np.int64)
-        budget = size // BYTES_PER_EDIT
-        least = size + 1 - Q * (budget + 1)
-        # Where the lemma promises nothing, only exact copies count.
-        self.budget = np.where(least < 1, 0, budget)
-        self.least = size + 1 - Q * (self.budget + 1)
-        grams = [qgrams(np.frombuffer(s, np.uint8)) for s in self.segments]
+            if text:
+                (self.short if len(text) < Q else whole).setdefault(text, item)
+        self.texts, self.ids = list(whole), list(whole.values())
+        size = np.fromiter(map(len, self.texts), np.int64, len(self.texts))
+        # Places are counted through all items, with gaps that no segment bridges.
+        self.base = np.cumsum(size + SEGMENT) - size - SEGMENT
+        self.size = size
+        self.length = np.minimum(size, SEGMENT)
+        self.budget = np.array([edits_allowed(n) for n in self.length.tolist()], np.int64)
+        self.need = self.length + 1 - Q * (self.budget + 1)
+        grams = [qgrams(np.frombuffer(t, np.uint8)) for t in self.texts]
         key = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        pos = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+        place = np.concatenate([b + np.arange(len(g)) for b, g in zip(self.base.tolist(), grams, strict=True)]) if grams else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
-        self.seg, self.pos = seg[order], pos[order]
+        self.place = place[order]
         self.key, self.first, self.many = np.unique(key[order], return_index=True, return_counts=True)
+        # The least that any item with the q-gram asks for.
+        need = self.need[np.searchsorted(self.base, self.place, "right") - 1]
+        self.least = np.minimum.reduceat(need, self.first) if len(need) else need
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[(self.key >> np.uint64(64 - BITS)).astype(np.int64)] = True
 
-    def hits(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, segment, position in the segment) of every shared q-gram."""
+    def shared(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text position, number of the q-gram) of the q-grams of ``a`` that some item has,
+        where enough of them stand close together for any segment."""
         h = qgrams(a)
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(64 - BITS)).astype(np.int64)])
         where = np.minimum(np.searchsorted(self.key, h[at]), max(0, len(self.key) - 1))
         ok = self.key[where] == h[at] if len(self.key) else np.zeros(0, bool)
         at, where = at[ok], where[ok]
+        most = SEGMENT + 1 - Q * (edits_allowed(SEGMENT) + 1)
+        # A segment's shared q-grams lie within its length and its edits.
+        end = np.searchsorted(at, at + SEGMENT - Q + edits_allowed(SEGMENT), "right")
+        full = np.flatnonzero(end - np.arange(len(at)) >= most)
+        step = np.zeros(len(at) + 1, np.int64)
+        np.add.at(step, full, 1)
+        np.add.at(step, end[full], -1)
+        keep = (np.cumsum(step)[:-1] > 0) | (self.least[where] < most)
+        return at[keep], where[keep]
+
+    def candidates(self, at: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Rows (item, segment start, lowest diagonal, highest) of the segments that meet the bound."""
         many = self.many[where]
-        place = np.repeat(self.first[where] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        return np.repeat(at, many), self.seg[place], self.pos[place]
+        place = self.place[np.repeat(self.first[where] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+        at = np.repeat(at, many)
+        item = np.searchsorted(self.base, place, "right") - 1
+        shift = int(self.base[-1] + self.size[-1]) + 2 * SEGMENT
+        diagonal, width = at - place + shift, self.budget[item] + 1
+        found = []
+        for half in (0, 1):
+            # Bands are 2k + 2 wide and begin every 2k + 2; those of the other half lie between.
+            band = (diagonal + half * width) // (2 * width)
+            key = np.unique(band << PLACE | place)
+            band, p = key >> PLACE, key & ((1 << 28) - 1)
+            i = np.searchsorted(self.base, p, "right") - 1
+            reach = self.length[i] - Q
+            full = np.searchsorted(key, key + reach, "right") - np.arange(len(key)) >= self.need[i]
+            # The segments in which a place is the first that is shared.
+            inside, last = p - self.base[i], self.size[i] - self.length[i]
+            before = np.append(-1, np.where(band[1:] == band[:-1], p[:-1], -1)) - self.base[i]
+            low = np.maximum(np.maximum(before + 1, inside - reach), 0)
+            first, stop = -(-low // STRIDE), np.minimum(inside, last) // STRIDE
+            n = np.where(full, np.maximum(stop - first + 1, 0), 0)
+            start = STRIDE * (np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum()))
+            own = np.repeat(np.arange(len(key)), n)
+            tail = np.flatnonzero(full & (low <= last) & (last <= inside) & (last % STRIDE > 0))
+            start, own = np.append(start, last[tail]), np.append(own, tail)
+            begin = band[own] << PLACE | (self.base[i[own]] + start)
+            count = np.searchsorted(key, begin + reach[own], "right") - np.searchsorted(key, begin)
+            ok = count >= self.need[i[own]]
+            own, start = own[ok], start[ok]
+            w = self.budget[i[own]] + 1
+            lowest = band[own] * 2 * w - half * w - shift + self.base[i[own]]
+            found.append(np.stack([i[own], start, lowest, lowest + 2 * w - 1], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def slices(self, at: np.ndarray, where: np.ndarray) -> Iterator[slice]:
+        """Slices of the shared q-grams of about PAIRS pairs each, that overlap by a segment."""
+        total = np.cumsum(self.many[where])
+        reach = SEGMENT + edits_allowed(SEGMENT)
+        i = 0
+        while i < len(at):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+            yield slice(int(np.searchsorted(at, at[i] - reach)), j)
+            i = j
 
     def search(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, matching segments, least edits) of every contaminated pair."""
@@ -101,44 +169,29 @@ class Index:
         if self.short:
             for i, t in enumerate(clean):
                 padded = b" " + t + b" "
-                for item, s in self.short:
-                    if s in padded:
+                for s, item in self.short.items():
+                    if b" " + s + b" " in padded:
                         yield i, item, 1, 0
-        if not self.segments:
+        if not self.texts:
             return
-        gap = Q + SEGMENT  # diagonals of two texts never meet in a band
+        gap = 2 * (Q + SEGMENT)  # diagonals of two texts never meet in a band
         joined = b"".join(t + b"\0" * gap for t in clean)
         starts = np.cumsum([0] + [len(t) + gap for t in clean])
-        at, seg, pos = self.hits(np.frombuffer(joined, np.uint8))
-        diagonal = at - pos + SEGMENT
-        width = self.budget[seg] + 1
-        band = diagonal // width
-        key = seg << np.int64(34) | band
-        cells, inverse = np.unique(key, return_inverse=True)
-        count = np.bincount(inverse, minlength=len(cells))
-        follows = np.zeros(len(cells), np.int64)
-        if len(cells) > 1:
-            follows[:-1] = np.where(cells[1:] == cells[:-1] + 1, count[1:], 0)
-        # A band and the next overlap with the next and the one after: every 2k + 2 diagonals.
-        full = np.flatnonzero(count + follows >= self.least[cells >> np.int64(34)])
-        found: dict[tuple[int, int], set[int]] = {}
-        edits: dict[tuple[int, int], int] = {}
-        for c in full.tolist():
-            s, b = int(cells[c]) >> 34, int(cells[c]) & ((1 << 34) - 1)
-            w = int(self.budget[s]) + 1
-            low = b * w - SEGMENT
-            text = int(np.searchsorted(starts, max(low, 0) + w, "right")) - 1
-            if text >= len(clean):
-                continue
-            pair = (text, self.items[s])
-            if s in found.get(pair, ()):
-                continue
-            d = banded(self.segments[s], clean[text], low - int(starts[text]), low - int(starts[text]) + 2 * w - 1, int(self.budget[s]))
-            if d is not None:
-                found.setdefault(pair, set()).add(s)
-                edits[pair] = min(d, edits.get(pair, d))
-        for (text, item), segs in found.items():
-            yield text, item, len(segs), edits[text, item]
+        at, where = self.shared(np.frombuffer(joined, np.uint8))
+        found: dict[tuple[int, int], dict[int, int]] = {}
+        for cut in self.slices(at, where):
+            for i, s, low, high in self.candidates(at[cut], where[cut]).tolist():
+                # The middle of the segment, which lies in the text or in the gap beside it.
+                text = int(np.searchsorted(starts, max(s + (low + high) // 2 + SEGMENT // 2, 0), "right")) - 1
+                if text >= len(clean):
+                    continue
+                offset, k = int(starts[text]), int(self.budget[i])
+                d = banded(self.texts[i][s : s + SEGMENT], clean[text], low + s - offset, high + s - offset, k)
+                if d is not None:
+                    segments = found.setdefault((text, self.ids[i]), {})
+                    segments[s] = min(d, segments.get(s, d))
+        for (text, item), segments in found.items():
+            yield text, item, len(segments), min(segments.values())
 
 
 def banded(a: bytes, t: bytes, low: int, high: int, k: int) -> int | None:
@@ -170,54 +223,95 @@ def banded(a: bytes, t: bytes, low: int, high: int, k: int) -> int | None:
     return min(row) if min(row) <= k else None
 
 
+def blocks_of(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> list[str]:
+    """Folders below the shared one with the benchmark's items, each of about BLOCK_BYTES.
+
+    The items go from task to task through these; none comes to the driver."""
+    bench = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+    folder = work_dir(benchmark.sparkSession, "benchmark")
+    bench.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).repartitionById(n, "block").write.partitionBy("block").parquet(folder)
+    where, at = filesystem(folder)
+    from pyarrow import fs
+
+    names = sorted(x.base_name for x in where.get_file_info(fs.FileSelector(at)) if x.base_name.startswith("block="))
+    return [f"{folder}/{x}" for x in names]
+
+
+def index_of(folder: str) -> Index:
+    """The index of one block of the benchmark, once per worker."""
+
+    def make() -> Index:
+        import pyarrow.parquet as pq
+
+        where, at = filesystem(folder)
+        from pyarrow import fs
+
+        items = []
+        for f in sorted(x.path for x in where.get_file_info(fs.FileSelector(at)) if x.path.endswith(".parquet")):
+            with where.open_input_file(f) as source:
+                t = pq.ParquetFile(source).read(["item_id", "text"])
+            items += zip(t.column(0).to_pylist(), (x.encode() for x in t.column(1).to_pylist()), strict=True)
+        return Index([(-1 if i is None else i, x) for i, x in items])
+
+    return worker_cache(f"benchmark:{folder}", make)
+
+
+def benchmark_classes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, class_id): items whose normalised texts are equal form a class, which
+    results name by its least item id (null ids as -1).  Items without a word have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([normal((x or "").encode()) for x in b.column(1).to_pylist()], pa.binary())], names=["item_id", "norm"])
+
+    plain = benchmark.select(F.coalesce(F.col(item_id).cast("long"), F.lit(-1)).alias("item_id"), F.col(item_text).cast("string").alias("text"))
+    keyed = plain.mapInArrow(run, "item_id long, norm binary").where("octet_length(norm) > 0")
+    return keyed.join(keyed.groupBy("norm").agg(F.min("item_id").alias("class_id")), "norm").select("item_id", "class_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, carry: list[str], doc_text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of documents and benchmark items that they hold, within the edit budget.
 
     Returns the columns ``carry`` of the document, then ``item_id`` (long), ``n_segments``
     (segments of the item found) and ``edits`` (least of any).  Texts are compared in lower
     case with one space between words; an item of under Q bytes so must stand in the text as
-    whole words.  Null or empty texts and items match nothing; documents or items that
-    repeat give a row each; equal rows of both are not merged.  The benchmark is held by every task in
-    blocks of at most BLOCK_BYTES, so that its size is bounded there; a larger benchmark
-    costs a scan for each block.
+    whole words.  An item is found by any of its segments of SEGMENT bytes (the whole item if
+    it is shorter), so every excerpt of SEGMENT + STRIDE - 1 bytes is.  Items that are alike
+    are one, named by the least id (:func:`benchmark_classes` has the members); null or empty
+    texts and items match nothing; repeated documents give a row each.  A column of ``carry``
+    named as one of the three new ones has to be renamed before.  Each task reads the
+    benchmark from the shared folder, block by block: its size is bounded there, and a larger
+    benchmark costs a scan of the documents for each block.
     """
-    bench = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text IS NOT NULL")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     fields = [docs.schema[c] for c in carry]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["item_id long", "n_segments long", "edits long"])
-    out = None
-    for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else bench
-        items = [(r.item_id, r.text.encode()) for r in part.orderBy("item_id", "text").collect()]
+    plain = docs.select(F.col(doc_text).cast("string").alias("__text"), *carry)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for folder in blocks_of(benchmark, item_id, item_text):
 
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
+        def run(batches: Iterator[pa.RecordBatch], folder=folder) -> Iterator[pa.RecordBatch]:
+            index = index_of(folder)
             for batch in batches:
                 for start, texts in pieces(batch.column(0)):
                     rows = list(index.search(texts))
                     take = pa.array([start + r[0] for r in rows], pa.int64())
                     yield pa.RecordBatch.from_arrays([batch.column(i + 1).take(take) for i in range(len(carry))] + [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], names=[*carry, "item_id", "n_segments", "edits"])
 
-        got = docs.select(F.col(doc_text).cast("string").alias("__text"), *carry).mapInArrow(run, schema)
-        out = got if out is None else out.unionByName(got)
+        out = out.unionByName(plain.mapInArrow(run, schema))
     return out
 
 
-def flag_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a boolean ``contaminated``, row by row and without a shuffle."""
-    bench = benchmark.select("item_id", "text").where("text IS NOT NULL")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    out = docs.withColumn("contaminated", F.lit(False))
-    at = out.columns.index("contaminated")
-    for b in range(blocks):
-        part = bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else bench
-        items = [(r.item_id, r.text.encode()) for r in part.orderBy("item_id", "text").collect()]
-        place = docs.columns.index(text)
-
-        def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Index(items)
+def flag_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", flag: str = "contaminated") -> DataFrame:
+    """``docs`` with a boolean ``flag``, row by row and without a shuffle; a column of that
+    name is replaced.  What counts as found is as in :func:`contaminated`."""
+    out = docs.withColumn(flag, F.lit(False))
+    at, place = out.columns.index(flag), out.columns.index(text)
+    for folder in blocks_of(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], folder=folder) -> Iterator[pa.RecordBatch]:
+            index = index_of(folder)
             for batch in batches:
                 bad = batch.column(at).to_numpy(zero_copy_only=False).copy()
                 for start, texts in pieces(batch.column(place)):
