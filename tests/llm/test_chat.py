@@ -1,4 +1,9 @@
-from wanderframe.llm import chat
+from collections import Counter
+
+import duckdb
+import pytest
+
+from wanderframe.llm import chat, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 
@@ -36,12 +41,46 @@ def test_neighbours_are_ranked_across_blocks(spark):
         assert sorted(tuple(r) for r in chat.neighbours(convs, block).collect()) == want
 
 
-def test_answers_of_the_next(spark):
-    got = chat.preferences(chat.answered(frame(spark))).collect()
-    assert sorted((r.chosen_id, r.rejected_id, r.n_prompt_turns) for r in got) == [(1, 2, 3), (5, 6, 2)]
-    assert next(r for r in got if r.chosen_id == 1).rejected == render([("assistant", "c é")])
+def brute_branches(convs, block):
+    out = []
+    for c, turns in convs.items():
+        own = sorted(x for x in convs if x // block == c // block)
+        other = own[(own.index(c) + 1) % len(own)]
+        at = [i for i, (r, _) in enumerate(turns) if r == "assistant"]
+        if other != c and at:
+            k = at[c % len(at)]
+            out.append((c, other, turns, turns[:k] + convs[other][k:]))
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 4, 1024])
+def test_branches_are_cut_where_they_part(spark, block):
+    convs = {**CONVS, 7: [("", "")]}
+    got = chat.preferences(chat.branched(frame(spark), block)).collect()
+    want = []
+    for a, b, c, r in brute_branches(convs, block):
+        k = next((i for i, (x, y) in enumerate(zip(c, r, strict=False)) if x != y), min(len(c), len(r)))
+        want.append((a, b, k, render(c[:k]), render(c[k:]), render(r[k:])))
+    assert sorted((r.chosen_id, r.rejected_id, r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in got) == sorted(want)
 
 
 def test_empty(spark):
     none = chat.conversations(spark.createDataFrame([], SCHEMA))
-    assert chat.preferences(chat.answered(none)).count() == 0 and chat.neighbours(none).count() == 0
+    assert chat.preferences(chat.branched(none)).count() == 0 and chat.neighbours(none).count() == 0
+
+
+def test_query_equals_sql(spark, tmp_path):
+    """Nulls, ties, repeats, shared prefixes, very long and empty texts, clashing columns."""
+    rows = [(c, i, r, t, "x") for c, turns in CONVS.items() for i, (r, t) in enumerate(turns)]
+    rows += [(None, 0, "user", "lost", "x"), (7, 0, None, None, "x"), (8, None, "user", "tie", "x"), (8, None, "assistant", "tie", "x"), (8, 1, "user", "\u00e9" * 50_000, "x"), (8, 1, "user", "\u00e9" * 50_000, "x")]
+    rows += [(c, i, "assistant" if i % 2 else "user", "same" if i < 2 + c % 3 else f"{c}", "x") for c in range(900, 1100) for i in range(5)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
+    table.coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = queries.op6_preferences(spark, f"file://{tmp_path}")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    found = con.execute(queries.ORACLE["op6_preferences"])
+    cols = [d[0] for d in found.description]
+    want = Counter(found.fetchall())
+    assert Counter(tuple(r) for r in got.select(*cols).collect()) == want
+    assert {k[cols.index("kind")] for k in want} == {"shared", "branched"} and max(k[cols.index("n_prompt_turns")] for k in want) == 3

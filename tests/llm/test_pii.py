@@ -1,7 +1,10 @@
+import ipaddress
+import json
+import random
 import re
-from datetime import date
+from datetime import date, timedelta
 
-from wanderframe.llm import pii
+from wanderframe.llm import pii, queries
 
 KEY = b"k" * 32
 
@@ -67,3 +70,90 @@ def test_secrets_in_upper_case():
             assert [k for k, _, _ in found] == ["secret"] and value not in new
             assert new == name + (want[6:].upper() if value != low else want[6:])
     assert pii.pseudonymize("PASSWORD=QwErTyUiOpAsDfGh", KEY)[1]
+
+
+def luhn_ok(d):
+    return sum(int(c) if i % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def iban_ok(v):
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
+def planted(rng):
+    """(kind or None where the value is not valid, value, what stands before it)."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    good, bad = [], []
+    while len(good) < 3:
+        c = "4" + digits(15)
+        (good if luhn_ok(c) else bad).append(c)
+    body = digits(14)
+    iban = next(f"DE{k:02d}{body}" for k in range(100) if iban_ok(f"DE{k:02d}{body}"))
+    d = date(1950, 1, 1) + timedelta(rng.randrange(30_000))
+    hexa = "".join(rng.choice("0123456789abcdef") for _ in range(36))
+    return [
+        ("email", f"{rng.choice('xyz')}{digits(2)}.b@mail-{rng.choice('pq')}.example.com", ""), ("card", good[0], ""), (None, bad[0], ""), ("iban", iban, ""), ("date", d.isoformat(), ""),
+        ("date", f"{d.day}/{d.month}/{d.year}", ""), (None, f"{d.year}-02-30", ""), ("ip", f"10.{rng.randrange(256)}.0.{rng.randrange(256)}", ""), (None, "10.300.0.1", ""), ("national_id", f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}", ""),
+        ("phone", f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", ""), ("phone", f"415555{digits(4)}", ""), (None, f"17000{digits(5)}", ""), ("secret", hexa, "token = "), ("secret", hexa.upper(), "API_KEY="), ("secret", f"pass{digits(4)}", "Password: "), (None, "required", "password: "), ("secret", "AKIA" + hexa[:16].upper(), ""),
+        ("ipv6", f"2001:db8::{hexa[:4]}:{hexa[4:8]}", ""), (None, "12:30:45", ""),
+    ]
+
+
+def test_query_against_what_was_planted(spark, tmp_path):
+    """Every valid value is replaced, nothing else is; pseudonyms are valid and one to one."""
+    rng = random.Random(9)
+    pool = [v for _ in range(12) for v in planted(rng)]
+    rows, want = [], {}
+    for i in range(300):
+        text, spans = "", []
+        for _ in range(rng.randint(0, 6)):
+            kind, value, before = rng.choice(pool)
+            text += rng.choice(["lorem ", "ipsum dolor\n", "(sit) ", "\u00e9t\u00e9 "]) + before
+            if kind:
+                spans.append((kind, len(text), value))
+            text += value + rng.choice([" ", "\n", ", "])
+        rows.append((i, text + "end"))
+        want[i] = spans
+    rows += [(900, None), (901, ""), (902, "word " * 50_000)]
+    spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, spans long").write.parquet(f"file://{tmp_path}/documents.parquet")
+    texts, names, seen = dict(rows), {}, 0
+    for r in queries.op7_pseudonyms(spark, f"file://{tmp_path}").collect():
+        if r.doc_id >= 900:
+            assert (r.text, r.n_replaced) == (texts[r.doc_id], 0)
+            continue
+        found = json.loads(r.spans)
+        assert [x["kind"] for x in found] == [k for k, _, _ in want[r.doc_id]], texts[r.doc_id]
+        at = now = 0
+        for x, (kind, start, value) in zip(found, want[r.doc_id], strict=True):
+            assert r.text[now : x["start"]] == texts[r.doc_id][at:start]
+            new = r.text[x["start"] : x["start"] + x["length"]]
+            at, now = start + len(value), x["start"] + x["length"]
+            assert names.setdefault((kind, value), new) == new
+            seen += 1
+            if kind == "card":
+                assert luhn_ok(new) and len(new) == len(value)
+            elif kind == "iban":
+                assert iban_ok(new)
+            elif kind in ("ip", "ipv6"):
+                ipaddress.ip_address(new)
+            elif kind == "date":
+                y, m, d = map(int, new.split("-") if "-" in new else reversed(new.split("/")))
+                assert date(y, m, d) and len(new) == len(value)
+            elif kind == "email":
+                assert re.fullmatch(r"[a-z]\d\d\.[a-z]@[a-z]{4}-[a-z]\.[a-z]{7}\.com", new)
+            else:
+                assert re.sub("[A-Za-z]", "a", re.sub("[0-9]", "9", new)) == re.sub("[A-Za-z]", "a", re.sub("[0-9]", "9", value)) or kind == "secret"
+        assert r.text[now:] == texts[r.doc_id][at:]
+    assert seen > 500 and len(set(names.values())) == len(names)
+
+
+def test_spellings_of_one_address_stay_linked():
+    a, b = (pii.pseudonymize(t, KEY)[0] for t in ("Bob.X@Mail.com", "bob.x@mail.com"))
+    assert a.lower() == b and a != b and a[0].isupper()
+
+
+def test_the_key_is_a_setting(spark):
+    assert queries.pseudonym_key(spark) == queries.PSEUDONYM_KEY
+    spark.conf.set(queries.PSEUDONYM_SETTING, "other")
+    assert queries.pseudonym_key(spark) == "other"
+    spark.conf.unset(queries.PSEUDONYM_SETTING)

@@ -66,13 +66,22 @@ def spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc.spans)
 
 
-def answered(convs: DataFrame) -> DataFrame:
-    """(chosen_id, rejected_id, c, r): each conversation, and the same with its last trained
-    turn answered by the conversation of the next id instead (left out where there is none)."""
-    at = F.size("turns") - F.array_position(F.transform(F.reverse("turns"), lambda t: t.role == TRAINED), True).cast("int")
-    ends = convs.withColumn("at", at).where("at < size(turns)")
-    other = ends.select((F.col("conv_id") - 1).alias("conv_id"), F.get("turns", F.col("at")).alias("other"))
-    return ends.join(other, "conv_id").select(F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"), F.col("turns").alias("c"), F.concat(F.slice("turns", F.lit(1), F.col("at")), F.array("other"), F.slice("turns", F.col("at") + 2, F.size("turns"))).alias("r"))
+def branched(convs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(chosen_id, rejected_id, c, r): each conversation, and the same led on from one of its
+    trained turns, the one of number conv_id modulo their count, by the turns that stand
+    there and after in the next conversation.
+
+    The next is the one of the next higher id in the same block of ids, and the first after
+    the last.  Conversations without a trained turn, or alone in their block, are left out."""
+    w = Window.partitionBy("block").orderBy("conv_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keyed = convs.withColumn("block", F.floor(F.col("conv_id") / block))
+    other = keyed.select("conv_id", "turns", F.coalesce(F.lead(F.struct("conv_id", "turns")).over(w), F.first(F.struct("conv_id", "turns")).over(whole)).alias("o"))
+    trained = F.filter(F.transform("turns", lambda t, i: F.when(t.role == TRAINED, i)), lambda i: i.isNotNull())
+    at = F.get("trained", F.pmod("conv_id", F.size("trained").cast("long")).cast("int"))
+    cut = other.where("o.conv_id <> conv_id").withColumn("trained", trained).where("size(trained) > 0").withColumn("at", at)
+    r = F.concat(F.slice("turns", F.lit(1), F.col("at")), F.slice("o.turns", F.col("at") + 1, F.greatest(F.size("o.turns") - F.col("at"), F.lit(0))))
+    return cut.select(F.col("conv_id").alias("chosen_id"), F.col("o.conv_id").alias("rejected_id"), F.col("turns").alias("c"), r.alias("r"))
 
 
 def paired(convs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -86,7 +95,7 @@ def preferences(pairs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per pair: the columns ``carry``, ``chosen_id, rejected_id, n_prompt_turns, prompt, chosen, rejected,
     chosen_spans, rejected_spans``.
 
-    ``pairs`` is as from :func:`paired` or :func:`answered`: pairs that name an unknown or
+    ``pairs`` is as from :func:`paired` or :func:`branched`: pairs that name an unknown or
     null conversation are left out there, repeated pairs keep a row each.  Two conversations that are
     alike share all their turns: both completions are empty.  Without a common turn the
     prompt is empty.  Spans cover the text and closing of assistant turns in a completion.

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ROUNDS = 8
-KINDS = ("email", "phone", "ip", "card", "iban", "national_id", "date", "secret")
+KINDS = ("email", "phone", "ip", "ipv6", "card", "iban", "national_id", "date", "secret")
 
 
 def permuted(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -62,14 +62,27 @@ def card(s: str, key: bytes) -> str | None:
 
 
 def phone(s: str, key: bytes) -> str | None:
-    """10 to 15 digits written as a phone number; the country code stays."""
+    """10 to 15 digits written as a phone number; the country code stays.
+
+    Bare digits are one only if area and exchange may begin so; their pseudonym is such too."""
     d = re.sub(r"\D", "", s)
     if not 10 <= len(d) <= 15:
         return None
+    if s == d:
+        if not NUMBERED.fullmatch(d):
+            return None
+        while True:
+            d = digits_permuted(d, key, "phone")
+            if NUMBERED.fullmatch(d):
+                return d
     head = len(d) - 10 if s.startswith("+") else 0
     return refill(s, d[:head] + digits_permuted(d[head:], key, "phone"), r"\d")
 
 
+#: Area and exchange of ten bare digits.
+NUMBERED = re.compile(r"[2-9]\d{2}[2-9]\d{6}")
+
+
 def ip(s: str, key: bytes) -> str | None:
     """Four octets of 0 to 255: permuted as one 32-bit number."""
     octets = s.split(".")
@@ -79,6 +92,21 @@ def ip(s: str, key: bytes) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def ipv6(s: str, key: bytes) -> str | None:
+    """An address in hexadecimal groups: its digits are permuted as one number, groups stay."""
+    import ipaddress
+
+    digits = re.sub("[^0-9A-Fa-f]", "", s)
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    if len(digits) < 8:  # loopback and its kin name nobody
+        return None
+    new = f"{permuted(int(digits, 16), 16 ** len(digits), key, f'ipv6{len(digits)}'):0{len(digits)}x}"
+    return refill(s, new.upper() if s != s.lower() else new, "[0-9A-Fa-f]")
+
+
 def iban(s: str, key: bytes) -> str | None:
     """An IBAN that passes its mod-97 test: country and layout stay, check digits are renewed."""
     raw = s.replace(" ", "")
@@ -127,7 +155,10 @@ DAYS = (date(1900, 1, 1), date(2100, 1, 1))
 
 
 def day(s: str, key: bytes) -> str | None:
-    """yyyy-mm-dd, or dd/mm/yyyy and its kin, naming a real day of 1900 to 2099."""
+    """yyyy-mm-dd, or dd/mm/yyyy and its kin, naming a real day of 1900 to 2099.
+
+    Days and months may be written without a leading zero; the pseudonym is then a day that
+    is written with as many digits, found by walking on along the permutation."""
     sep = next(c for c in s if not c.isdigit())
     p = s.split(sep)
     year_first = len(p[0]) == 4
@@ -141,40 +172,68 @@ def day(s: str, key: bytes) -> str | None:
     size = (DAYS[1] - DAYS[0]).days
     if not 0 <= n < size:
         return None
-    x = DAYS[0] + timedelta(permuted(n, size, key, "day"))
-    m2, d2 = (f"{x.day:02d}", f"{x.month:02d}") if swap else (f"{x.month:02d}", f"{x.day:02d}")
+    while True:
+        n = permuted(n, size, key, "day")
+        x = DAYS[0] + timedelta(n)
+        if all(len(w) == 2 or v < 10 for w, v in ((m, x.month), (d, x.day))):
+            break
+    m2, d2 = str(x.month).zfill(len(m)), str(x.day).zfill(len(d))
+    if swap:
+        m2, d2 = d2, m2
     return sep.join((f"{x.year:04d}", m2, d2) if year_first else (d2, m2, f"{x.year:04d}"))
 
 
 def email(s: str, key: bytes) -> str | None:
-    """The local part and the domain's names are permuted apart; the last label stays."""
-    local, _, domain = s.rpartition("@")
+    """The local part and the domain's names are permuted apart; the last label stays.
+
+    Letters are permuted in lower case and take their case from the original, so that one
+    address in two spellings keeps one pseudonym."""
+    low = s.lower()
+    local, _, domain = low.rpartition("@")
     name, dot, last = domain.rpartition(".")
-    return f"{alnum_permuted(local, key, 'local')}@{alnum_permuted(name, key, 'domain')}{dot}{last}"
+    new = f"{alnum_permuted(local, key, 'local')}@{alnum_permuted(name, key, 'domain')}{dot}{last}"
+    return "".join(c.upper() if o.isupper() else c for c, o in zip(new, s, strict=True))
 
 
 def secret(s: str, key: bytes) -> str | None:
-    """The value of a named credential: long hexadecimal stays hexadecimal, in its case."""
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
+    """The value of a named credential: long hexadecimal stays hexadecimal, in its case.
+
+    Under 16 characters only a mix of letters and digits is one: other values are words."""
+    if len(s) < 16 and not (re.search("[A-Za-z]", s) and re.search("[0-9]", s)):
+        return None
+    if len(s) >= 16 and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         new = f"{permuted(int(s, 16), 16 ** len(s), key, f'hex{len(s)}'):0{len(s)}x}"
         return new.upper() if s != s.lower() else new
     return alnum_permuted(s, key, "secret")
 
 
+def key_id(s: str, key: bytes) -> str | None:
+    """A credential known by its prefix, which stays."""
+    head = next(h for h in KEY_HEADS if s.startswith(h))
+    return head + alnum_permuted(s[len(head) :], key, f"key:{head}")
+
+
+# Prefixes of published credential formats.
+KEY_HEADS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "eyJ")
+
 #: Patterns in order of precedence; the group named as the kind is what is replaced.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|\b(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=-]{16,})"
+    r"|\b(?i:token|secret|password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=-]{8,})"
+    r"|(?<![A-Za-z0-9_])(?P<key_id>(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[\w-]{35}|gh[po]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20,}|[sr]k_live_[A-Za-z0-9]{16,}|xox[bp]-[A-Za-z0-9-]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9_])"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?P<date>(?<![\d/.-])(?:\d{4}(?P<s1>[-/.])\d{2}(?P=s1)\d{2}|\d{2}(?P<s2>[-/.])\d{2}(?P=s2)\d{4})(?![\d/-]|\.\d))"
+    r"|(?P<date>(?<![\w/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d/-]|\.\d))"
     r"|(?P<national_id>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?::[0-9A-Fa-f]{1,4})*(?![\w:]))"
     r"|(?P<card>(?<![\d+-])(?:\d{13,19}|\d{4}(?P<s3>[ -])\d{4}(?P=s3)\d{4}(?P=s3)\d{1,4}(?:(?P=s3)\d{1,3})?|\d{4}(?P<s4>[ -])\d{6}(?P=s4)\d{5})(?!\d))"
-    r"|(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d))"
+    r"|(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|(?<![\w.+-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d))"
 )
 #: Texts without any of these hold nothing to replace.
-HINT = re.compile(r"\d\d|\d\.\d|@|(?i:token|secret|passw|[_-]?key)")
-MAKE = {"email": email, "phone": phone, "ip": ip, "card": card, "iban": iban, "national_id": national_id, "date": day, "secret": secret}
+HINT = re.compile(r"\d\d|\d[./-]\d|@|[0-9A-Fa-f]:[:0-9A-Fa-f]|eyJ|xox[bp]-|A[KS]IA|AIza|gh[po]_|_pat_|glpat-|_live_|(?i:token|secret|passw|passp|pwd|[_-]?key)")
+MAKE = {"email": email, "phone": phone, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "national_id": national_id, "date": day, "secret": secret, "key_id": key_id}
+#: Groups that are reported as another kind.
+SHOWN = {"key_id": "secret"}
 
 
 def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
@@ -184,7 +243,7 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, list[tuple[s
     out, found, at, length, made = [], [], 0, 0, {}
     pos = 0
     while m := PATTERN.search(text, pos):
-        kind = m.lastgroup if m.lastgroup in MAKE else next(k for k in KINDS if m[k] is not None)
+        kind = m.lastgroup if m.lastgroup in MAKE else next(k for k in MAKE if m[k] is not None)
         value = m[kind]
         new = made[kind, value] if (kind, value) in made else made.setdefault((kind, value), MAKE[kind](value, key))
         if new is None:
@@ -193,7 +252,7 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, list[tuple[s
         a, b = m.span(kind)
         out += [text[at:a], new]
         length += a - at
-        found.append((kind, length, len(new)))
+        found.append((SHOWN.get(kind, kind), length, len(new)))
         length += len(new)
         at = pos = b
     return "".join([*out, text[at:]]), found
@@ -213,7 +272,8 @@ def pseudonymize_documents(docs: DataFrame, key: str, text: str = "text", counts
     new text, in code points) are added unless None; columns of these names are replaced.
     Null and empty texts stay as they are, with empty maps and lists.  All other columns,
     rows, ties and repeats pass through.  Values that fail validation are left alone: cards
-    without a right Luhn digit, octets over 255, dates not in the calendar.
+    without a right Luhn digit, octets over 255, dates not in the calendar, short
+    credentials that are words.
     """
     keep = [f for f in docs.schema.fields if f.name not in (counts, spans)]
     schema = T.StructType([*keep])

@@ -12,13 +12,18 @@ from .common import stored, work_dir
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE, END_ID = "byte_bpe_50k.tiktoken", 50256
 ORDER_KEY = "training order, epoch 0"
-PSEUDONYM_KEY = "documents"
+#: The key of pseudonyms is this setting of the session; the default is for test tables only.
+PSEUDONYM_SETTING, PSEUDONYM_KEY = "spark.wanderframe.pseudonymKey", "documents"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(PSEUDONYM_SETTING, PSEUDONYM_KEY)
+
+
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of all sequences of ``documents`` in training order; shards go to the shared folder."""
     seqs = order.packed_sequences(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, END_ID)
@@ -45,17 +50,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of conversations that share their first turn, and each conversation against
-    itself with the answer of the next one."""
-    convs = chat.conversations(table(spark, sf_dir, "conversations"))
+    itself led on from one of its answers as the next conversation goes on there."""
+    convs = stored(chat.conversations(table(spark, sf_dir, "conversations")), "conversations")
     shared = chat.paired(convs, chat.neighbours(convs)).withColumn("kind", F.lit("shared"))
-    other = chat.answered(convs).withColumn("kind", F.lit("answered"))
-    pairs = shared.unionByName(other)
-    keep = chat.preferences(pairs.select("chosen_id", "rejected_id", "c", "r", "kind"), ("kind",))
+    branched = chat.branched(convs).withColumn("kind", F.lit("branched"))
+    keep = chat.preferences(shared.unionByName(branched).select("chosen_id", "rejected_id", "c", "r", "kind"), ("kind",))
     return keep.select("kind", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen", "rejected", F.to_json("chosen_spans").alias("chosen_spans"), F.to_json("rejected_spans").alias("rejected_spans"))
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.pseudonymize_documents(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+    docs = pii.pseudonymize_documents(table(spark, sf_dir, "documents"), pseudonym_key(spark))
     return docs.select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_replaced"), F.to_json("pii_spans").alias("spans"))
 
 
@@ -77,5 +81,34 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_training_order, op2_repeated_substrings, op3_quality, op4_bpe, op5_simhash, op6_preferences, op7_pseudonyms, op8_token_counts, op9_decontamination, op10_ctw)}
 
-#: SQL cannot state these in a time that whole tables allow; tests hold them against brute force.
-ORACLE: dict[str, str] = {}
+#: One rendered turn, and the spans of the trained turns of a list of turns, in SQL.
+RENDERED = "'<|im_start|>' || {t}.role || chr(10) || {t}.text || '<|im_end|>' || chr(10)"
+SPANS = """CAST(to_json(list_transform(list_filter(range(1, len({p}) + 1), lambda i: {p}[i].role = 'assistant'), lambda i: {{
+  'start': CAST(coalesce(list_sum(list_transform({p}[1:i - 1], lambda t: length(t.role) + length(t.text) + 24)), 0) + length({p}[i].role) + 13 AS BIGINT),
+  'end': CAST(coalesce(list_sum(list_transform({p}[1:i - 1], lambda t: length(t.role) + length(t.text) + 24)), 0) + length({p}[i].role) + length({p}[i].text) + 23 AS BIGINT)}})) AS VARCHAR)"""
+PREFERENCES = f"""
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+ranked AS (SELECT conv_id, turns, row_number() OVER (PARTITION BY turns[1] ORDER BY conv_id) - 1 AS k, turns[1] AS first FROM c),
+shared AS (
+  SELECT 'shared' AS kind, a.conv_id AS chosen_id, b.conv_id AS rejected_id, a.turns AS c, b.turns AS r
+  FROM ranked a JOIN ranked b ON a.first = b.first AND a.k % 2 = 0 AND b.k = a.k + 1),
+n AS (
+  SELECT conv_id, turns, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS other_id, coalesce(lead(turns) OVER w, first_value(turns) OVER w) AS other,
+    list_filter(range(0, len(turns)), lambda i: turns[i + 1].role = 'assistant') AS trained
+  FROM c WINDOW w AS (PARTITION BY floor(conv_id / {chat.BLOCK}) ORDER BY conv_id)),
+b AS (SELECT *, trained[((conv_id % len(trained)) + len(trained)) % len(trained) + 1] AS cut_at FROM n WHERE other_id <> conv_id AND len(trained) > 0),
+pairs AS (
+  SELECT * FROM shared
+  UNION ALL SELECT 'branched', conv_id, other_id, turns, turns[1:cut_at] || list_slice(other, cut_at + 1, len(other)) FROM b),
+cut AS (
+  SELECT *, coalesce(list_position(list_transform(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i]), true) - 1, least(len(c), len(r))) AS p FROM pairs),
+parts AS (SELECT kind, chosen_id, rejected_id, CAST(p AS BIGINT) AS n_prompt_turns, c[1:p] AS p, list_slice(c, p + 1, len(c)) AS c, list_slice(r, p + 1, len(r)) AS r FROM cut)
+SELECT kind, chosen_id, rejected_id, n_prompt_turns,
+  {", ".join(f"coalesce(array_to_string(list_transform({x}, lambda t: {RENDERED.format(t='t')}), ''), '') AS {name}" for x, name in (("p", "prompt"), ("c", "chosen"), ("r", "rejected")))},
+  {SPANS.format(p="c")} AS chosen_spans, {SPANS.format(p="r")} AS rejected_spans
+FROM parts"""
+
+#: SQL cannot state the others in a time that whole tables allow; tests hold them against brute force.
+ORACLE: dict[str, str] = {"op6_preferences": PREFERENCES}
