@@ -1,5 +1,9 @@
+import math
+import random
 import re
+from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from wanderframe.llm import quality
@@ -52,3 +56,44 @@ def test_no_python_on_the_main_path(spark, docs_of):
     df = quality.score_documents(docs_of([(1, "a b")]), labels).where(F.col("kept"))
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def spark_hash(*values):
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True)
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def test_ratio_against_brute_force(spark, docs_of):
+    """Two multinomials over hashed words, pairs and word endings, counted one by one."""
+    rng = random.Random(1)
+    texts = TEXTS + [" ".join(rng.choice(["ab", "cd", "\u00e9f", "a-long-word", "x"]) for _ in range(rng.randint(0, 90))) for _ in range(20)]
+    pairs = list(enumerate(texts)) + [(2, texts[20]), (None, texts[21])]
+    labels = spark.createDataFrame([(i, 1, i % 5 == 0) for i in range(0, len(texts), 3)], "doc_id long, quality long, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as long) toxic")
+    trusted = {i for i in range(0, len(texts), 3) if i % 5}
+
+    def grams(t):
+        w = [v for v in re.split(r"[\x20\x09-\x0D]+", t or "") if v]
+        h = [spark_hash(v) for v in w]
+        return [x % 97 for x in h] + [spark_hash((a, 8), (b, 8)) % 97 for a, b in zip(h, h[1:], strict=False)] + [spark_hash((0, 4), v[-3:]) % 97 for v in w]
+
+    raw, target = Counter(), Counter()
+    for i, t in pairs:
+        raw.update(grams(t))
+        if i in trusted:
+            target.update(grams(t))
+    log = lambda c, b: math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * 97))
+    mean = lambda g: sum(log(target, b) - log(raw, b) for b in g) / max(len(g), 1)
+    want = sorted((str(i), round(mean(grams(t)), 6)) for i, t in pairs)
+    got = quality.score_documents(docs_of(pairs), labels, buckets_=97).collect()
+    assert sorted((str(r.doc_id), round(r.llr, 6) + 0.0) for r in got) == [(i, x + 0.0) for i, x in want]
+    assert all(r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD) for r in got)
+
+
+def test_a_very_long_text(spark, docs_of):
+    none = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    text = " ".join(f"w{i % 70_001}" for i in range(140_000)) + " one two three four one two three"
+    r = quality.score_documents(docs_of([(1, text)]), none).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(text)

@@ -17,9 +17,13 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is
+    unset and the driver is all there is; on a cluster an unset folder is an error."""
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="wanderframe-checkpoint-")

@@ -1,6 +1,7 @@
 """Quality rules (operator 3), built of DataFrame functions only.
 
-A document's words, pairs of neighbouring words and word endings are hashed into buckets.  Two
+A document's n-grams are hashed into buckets: its words, pairs of neighbouring words, and the
+last three characters of each word, which recur where the words themselves are rare.  Two
 multinomials over the buckets, of a trusted target and of the raw corpus, give each document
 a log-likelihood ratio, normalised by its number of n-grams.  Base rules on counts of words
 and repeats come first.
@@ -22,7 +23,9 @@ THRESHOLD = -0.25
 #: The target is fitted on so many trusted documents at most.
 TRUSTED = 100_000
 SYMBOLS = "#*$%&|<>"
-LOW = (1 << 24) - 1
+#: Places of windows take the low bits; no array has more elements.
+PLACE_BITS = 31
+LOW = (1 << PLACE_BITS) - 1
 
 
 def once(df: DataFrame, **columns: F.Column) -> DataFrame:
@@ -73,7 +76,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     packed = F.sort_array(F.transform("__three", lambda h, i: h.bitwiseAND(F.lit(~LOW)).bitwiseOR(i.cast("long"))))
     none = F.array().cast("array<bigint>")
     out = once(out, __packed=F.when(repeats, packed).otherwise(none))
-    top = lambda x: F.shiftright(x, 24)
+    top = lambda x: F.shiftright(x, PLACE_BITS)
     close = F.filter("__packed", lambda x, i: (top(x) == top(F.get("__packed", i + 1))) | ((i > 0) & (top(x) == top(F.get("__packed", i - 1)))))
     out = once(out, __close=F.transform(close, lambda x: x.bitwiseAND(LOW).cast("int"))).drop("__packed")
     exact = F.sort_array(F.transform("__close", lambda p: F.struct(F.get("__three", p).alias("h"), p.alias("p"))))

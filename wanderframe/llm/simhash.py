@@ -116,11 +116,17 @@ def links(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
     """(node, root): the least node of each connected component, for all of its other nodes.
 
-    Alternating large-star and small-star rounds on the edge table; each is checkpointed and
-    only a count comes to the driver.
+    Alternating large-star and small-star rounds on the edge table; each is checkpointed, its
+    predecessor dropped, and only a count and a fingerprint of the edges come to the driver,
+    which stay the same once a round changes nothing.
     """
     a, b = names
-    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+    now = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    was = state(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
@@ -129,10 +135,10 @@ def components(edges: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFra
         # Small star: a node and its lesser neighbours link to the least of these.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = stored(small)
-        changed = new.exceptAll(now).limit(1).count() + now.exceptAll(new).limit(1).count()
-        now = new
-        if not changed:
+        new = stored(small, "edges")
+        forget(now)
+        now, before, was = new, was, state(new)
+        if was == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
