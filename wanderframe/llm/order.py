@@ -26,6 +26,8 @@ SHARD = 8192
 ROUNDS = 6
 #: Level of compression of ids on their way.
 ZSTD = 6
+#: Bytes of records in a range of shards, which one task sorts and writes.
+RANGE_BYTES = 64 << 20
 #: Up to so many files of the sequence table, their first indices go to every task; beyond,
 #: they are joined by a shuffle.
 FEW_FILES = 100_000
@@ -152,7 +154,8 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in seqs.schema.fields if f.name != "tokens"] + ["slot long", "shard long", "byte_offset long", "n_tokens long"])
     stride = 2 * length
     shards = max(1, -(-n // shard))
-    tasks = min(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A task holds one range of shards: of bounded bytes at every size of input.
+    tasks = min(shards, max(-(-n * stride // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of one range of shards travel together, compressed: far smaller than one by one."""
@@ -197,7 +200,7 @@ def materialise(seqs: DataFrame, uri: str, key: str, pad_id: int, length: int =
                 yield from pa.table(columns, names=names).to_batches()
 
     placed = rows.join(F.broadcast(files) if few else files, "__file").select(*carry, "tokens", (F.col("__first") + F.col("__row")).alias("slot"))
-    dealt = placed.mapInArrow(deal, "part int, rows binary").repartitionByRange(tasks, "part")
+    dealt = placed.mapInArrow(deal, "part int, rows binary").repartitionById(tasks, "part")
     return dealt.mapInArrow(write, schema)
 
 
