@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import pi
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KM, METRES = 6371.0088, 6371000.0
@@ -104,3 +104,68 @@ def deterrence(distance, mass_from, mass_to, power: float = -2.0, out: float = 1
 def friction(distance, rate: float, least: float, power: float) -> Column:
     """Exponential decay over distance, corrected for the density of far places."""
     return F.exp(-rate * c(distance)) / F.pow(F.greatest(c(distance), F.lit(least)), F.lit(power))
+
+
+# The ellipsoid of 1980 and the plane of zone VII of the Japanese grid (origin,
+# scale); step, stretches and anchor in metres of the obfuscated pings' grid.
+AXIS, FLATTENING = 6378137.0, 1 / 298.257222101
+ORIGIN_LAT, ORIGIN_LNG, SCALE = 36.0, 137 + 10 / 60, 0.9999
+STEP, STRETCH_X, STRETCH_Y, ANCHOR_X, ANCHOR_Y = 500.0, 1.1, 0.9, -11610.0, -104950.0
+
+
+def undistorted(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """``df`` with metric_x and metric_y: the pings' grid turned back by a quarter, its
+    stretches undone about its mean, in metres about the anchor."""
+    mean = df.agg(F.avg(y).alias("__mx"), F.avg(-F.col(x)).alias("__my"))  # one row
+    out = df.join(F.broadcast(mean))
+    mx = ANCHOR_X + (F.col(y) - F.col("__mx")) / STRETCH_X * STEP
+    my = ANCHOR_Y + (-F.col(x) - F.col("__my")) / STRETCH_Y * STEP
+    return out.withColumns({"metric_x": mx, "metric_y": my}).drop("__mx", "__my")
+
+
+def _series() -> tuple[float, list[float], list[float], float]:
+    """Rectifying radius and the coefficients of the transverse Mercator projection and of
+    its inverse, as series in the third flattening."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = AXIS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    ahead = [n / 2 - 2 / 3 * n**2 + 5 / 16 * n**3, 13 / 48 * n**2 - 3 / 5 * n**3, 61 / 240 * n**3]
+    back = [n / 2 - 2 / 3 * n**2 + 37 / 96 * n**3, n**2 / 48 + n**3 / 15, 17 / 480 * n**3]
+    return radius, ahead, back, 2 * n**0.5 / (1 + n)
+
+
+def _conformal(sine: Column, e: float) -> Column:
+    """Tangent of the conformal latitude."""
+    return F.sinh(F.atanh(sine) - e * F.atanh(e * sine))
+
+
+def to_plane(lat, lng, origin: tuple[float, float] = (ORIGIN_LAT, ORIGIN_LNG), scale: float = SCALE) -> tuple[Column, Column]:
+    """(x, y) in metres east and north of the origin: transverse Mercator."""
+    radius, ahead, _, e = _series()
+
+    def plane(t: Column, turn: Column) -> tuple[Column, Column]:
+        xi, eta = F.atan2(t, F.cos(turn)), F.atanh(F.sin(turn) / F.sqrt(1 + t * t))
+        north = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ahead, 1)), F.lit(0.0))
+        east = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ahead, 1)), F.lit(0.0))
+        return east * scale * radius, north * scale * radius
+
+    x, y = plane(_conformal(F.sin(F.radians(c(lat))), e), F.radians(c(lng) - origin[1]))
+    _, zero = plane(_conformal(F.sin(F.radians(F.lit(origin[0]))), e), F.lit(0.0))
+    return x, y - zero
+
+
+def from_plane(x, y, origin: tuple[float, float] = (ORIGIN_LAT, ORIGIN_LNG), scale: float = SCALE) -> tuple[Column, Column]:
+    """(lat, lng) of metres east and north of the origin."""
+    from math import atan, atanh, radians, sin, sinh
+
+    radius, ahead, back, e = _series()
+    sine = sin(radians(origin[0]))
+    xi0 = atan(sinh(atanh(sine) - e * atanh(e * sine)))
+    zero = xi0 + sum(a * sin(2 * j * xi0) for j, a in enumerate(ahead, 1))
+    xi, eta = c(y) / (scale * radius) + zero, c(x) / (scale * radius)
+    xi1 = xi - sum((b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(back, 1)), F.lit(0.0))
+    eta1 = eta - sum((b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(back, 1)), F.lit(0.0))
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    n = FLATTENING / (2 - FLATTENING)
+    turn = [2 * n - 2 / 3 * n**2 - 2 * n**3, 7 / 3 * n**2 - 8 / 5 * n**3, 56 / 15 * n**3]
+    phi = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(turn, 1)), F.lit(0.0))
+    return F.degrees(phi), F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + origin[1]

@@ -113,8 +113,10 @@ def cosine(a, b) -> Column:
 
 
 def uniform(seed: int, *cols) -> Column:
-    """A number in (0, 1) that depends on the seed and the columns alone."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *[c(x) for x in cols]), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """A number in (0, 1) that depends on the seed and the columns' texts alone: the first 52
+    bits of their md5, so that any engine can repeat the draw."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[c(x).cast("string") for x in cols])
+    return (F.conv(F.left(F.md5(text), F.lit(13)), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
 def normal(seed: int, *cols) -> Column:
@@ -136,3 +138,17 @@ def crp_weight(count, similarity, temperature, top=0.0) -> Column:
     """count exp((similarity - top) / temperature)."""
     top = F.lit(top) if isinstance(top, (int, float)) else c(top)
     return c(count) * F.exp((c(similarity) - top) / c(temperature))
+
+
+# What the five grades of health are called.
+HEALTH = ("very poor", "poor", "fair", "good", "very good")
+
+
+def narrative(transport: bool = True) -> Column:
+    """A profile's description in prose, of its columns name, age, gender, job, education,
+    health, household, has_car and has_bike."""
+    health = F.coalesce(F.get(F.array(*[F.lit(x) for x in HEALTH]), (F.col("health") - 1).cast("int")), F.col("health").cast("string"))
+    own = F.concat_ws(" and ", F.when(F.col("has_car"), "a car"), F.when(F.col("has_bike"), "a bike"))
+    moves = F.when(own == "", "They rely on public transport or walking.").otherwise(F.concat(F.lit("They own "), own, F.lit(".")))
+    text = F.format_string("%s is a %s-year-old %s working as a %s. They have %s level education and %s health. They live as: %s. ", *[F.col(x).cast("string") for x in ("name", "age", "gender", "job", "education")], health, F.col("household"))
+    return F.concat(text, moves) if transport else text

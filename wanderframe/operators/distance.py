@@ -18,28 +18,30 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str, by: list[str] | None = N
     by = by or []
     tag = lambda df, x, y: df.where(finite(value)).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n")).select(*by, "v", (F.col("n") * x).alias("na"), (F.col("n") * y).alias("nb"))
     both = tag(a, 1, 0).unionByName(tag(b, 0, 1)).groupBy(*by, "v").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-    if not by:
-        return _one_distance(both)
-    w = Window.partitionBy(*by).orderBy("v")
-    whole = Window.partitionBy(*by)
-    run = both.select(*by, "v", F.sum("na").over(w).alias("fa"), F.sum("nb").over(w).alias("fb"), F.sum("na").over(whole).alias("ta"), F.sum("nb").over(whole).alias("tb"), (F.lead("v").over(w) - F.col("v")).alias("width"))
-    part = F.abs(F.col("fa") / F.nullif("ta", F.lit(0)) - F.col("fb") / F.nullif("tb", F.lit(0))) * F.coalesce("width", F.lit(0.0))
-    return run.groupBy(*by).agg(F.sum(part).alias("w1"))
+    return _distances(both, by)
 
 
-def _one_distance(both: DataFrame, ranges: int = 256) -> DataFrame:
-    """W1 of one group without a window over all of it: values are put into ranges by value,
+def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the columns of the row of ``right`` that has its keys, null for null."""
+    if not keys:
+        return left.join(F.broadcast(right))  # one row
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    return left.join(named, [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]).drop(*[f"__{k}" for k in keys])
+
+
+def _distances(both: DataFrame, by: list[str], ranges: int = 256) -> DataFrame:
+    """W1 per group without a window over all of a group: values are put into ranges by value,
     each with its own running counts; the ranges' totals are summed up before."""
-    span = both.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    placed = both.join(F.broadcast(span)).withColumn("part", F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * ranges), F.lit(ranges - 1))).otherwise(0))
-    order = Window.orderBy("part")  # a row for each range
-    sums = placed.groupBy("part").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.min("v").alias("first"))
-    sums = sums.select("part", (F.sum("sa").over(order) - F.col("sa")).alias("ba"), (F.sum("sb").over(order) - F.col("sb")).alias("bb"), F.lead("first").over(order).alias("next"))
-    w = Window.partitionBy("part").orderBy("v")
-    run = placed.join(F.broadcast(sums), "part")
+    span = both.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    placed = _matched(both, span, by).withColumn("part", F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * ranges), F.lit(ranges - 1))).otherwise(0))
+    order = Window.partitionBy(*by).orderBy("part")  # a row for each range
+    sums = placed.groupBy(*by, "part").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.min("v").alias("first"))
+    sums = sums.select(*by, "part", (F.sum("sa").over(order) - F.col("sa")).alias("ba"), (F.sum("sb").over(order) - F.col("sb")).alias("bb"), F.lead("first").over(order).alias("next"))
+    w = Window.partitionBy(*by, "part").orderBy("v")
+    run = _matched(placed, sums, [*by, "part"])
     width = F.coalesce(F.lead("v").over(w), F.col("next")) - F.col("v")
     gap = F.abs((F.col("ba") + F.sum("na").over(w)) / F.nullif("ta", F.lit(0)) - (F.col("bb") + F.sum("nb").over(w)) / F.nullif("tb", F.lit(0)))
-    return run.select((gap * F.coalesce(width, F.lit(0.0))).alias("x")).agg(F.sum("x").alias("w1"))
+    return run.select(*by, (gap * F.coalesce(width, F.lit(0.0))).alias("x")).groupBy(*by).agg(F.sum("x").alias("w1"))
 
 
 def jensen_shannon(a: DataFrame, b: DataFrame, keys: list[str], weight: str, by: list[str] | None = None) -> DataFrame:
@@ -112,11 +114,16 @@ def metric_rows(values: DataFrame, name: str, value: str, unit: str | None = Non
     return values.where(finite(value)).select(key.alias("filter_key"), F.lit(name).alias("metric_name"), F.col(value).cast("double").alias("value"), F.lit(unit).cast("string").alias("unit"))
 
 
-def sliced_wasserstein(a: DataFrame, b: DataFrame, coords: list[str], slices: int = 16, seed: int = 42) -> DataFrame:
-    """Mean W1 over seeded random directions in the space of ``coords``."""
+def directions(n: int, dimensions: int, seed: int = 42) -> list[list[float]]:
+    """Seeded random unit vectors."""
     import numpy as np
 
-    d = np.random.default_rng(seed).normal(size=(slices, len(coords)))
-    d /= np.linalg.norm(d, axis=1, keepdims=True)
+    d = np.random.default_rng(seed).normal(size=(n, dimensions))
+    return (d / np.linalg.norm(d, axis=1, keepdims=True)).tolist()
+
+
+def sliced_wasserstein(a: DataFrame, b: DataFrame, coords: list[str], slices: int = 16, seed: int = 42) -> DataFrame:
+    """Mean W1 over seeded random directions in the space of ``coords``."""
+    d = directions(slices, len(coords), seed)
     spun = lambda df: df.select(F.posexplode(F.array(*[sum((F.col(c) * float(x) for c, x in zip(coords, row, strict=True)), F.lit(0.0)) for row in d])).alias("slice", "v"))
     return wasserstein(spun(a), spun(b), "v", ["slice"]).agg(F.avg("w1").alias("sliced_w1"))

@@ -6,10 +6,11 @@ from functools import lru_cache
 from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import minutes_between, tokens
+from .sampling import weighted
 
 LARGEST = 6
 SHIFT = 36
@@ -95,6 +96,26 @@ def motif_basis(shares: DataFrame) -> DataFrame:
     return basis.select("name", "reference_pct").join(named, "name", "left").select("name", F.coalesce("pct", F.lit(0.0)).alias("pct"), "reference_pct")
 
 
+# The outings of each literature motif, by the stops before the return home.
+EXCURSIONS = ((), (1,), (1, 1), (2,), (2, 1), (2, 1), (3,), (1, 1, 1), (1, 3), (3, 1), (4,), (2, 1, 1), (2, 2), (4, 1), (5,), (3, 1, 1), (3, 2))
+
+
+def motif_prior(spark: SparkSession) -> DataFrame:
+    """(motif, n_locations, weight, excursions) of the literature's motifs by their number: the
+    weights of those with as many places add up to one."""
+    rows = [(i, m >> SHIFT, p, list(out)) for i, ((m, p), out) in enumerate(zip(LITERATURE, EXCURSIONS, strict=True), 1)]
+    table = spark.createDataFrame(rows, "motif long, n_locations long, pct double, excursions array<long>")
+    return table.select("motif", "n_locations", (F.col("pct") / F.sum("pct").over(Window.partitionBy("n_locations"))).alias("weight"), "excursions")
+
+
+def draw_motifs(diaries: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``diaries`` (key, n_locations) with a motif of as many places, drawn by weight, and its
+    excursions; null where the literature has none of that size."""
+    options = diaries.select(key, "n_locations").join(F.broadcast(motif_prior(diaries.sparkSession)), "n_locations")
+    drawn = weighted(options, [key], "motif", "weight", 1, seed).select(key, "motif", "excursions")
+    return diaries.join(drawn, key, "left")
+
+
 def token_steps(v: DataFrame, minutes: int = 5) -> DataFrame:
     """(uid, t, token): a visit's place and purpose at every so many minutes inside it; of
     two visits at one moment the later start holds."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine
+from ..sources.work import dense_ranks, forget, stored
 
 # Speeds in km/h by class, where a segment states none.
 SPEEDS = {"motorway": 120.0, "trunk": 90.0, "primary": 70.0, "secondary": 60.0, "tertiary": 50.0, "residential": 30.0, "service": 20.0}
@@ -50,14 +51,41 @@ def edges(segments: DataFrame, both: bool = False, table: dict[str, float] = SPE
 def nodes(segments: DataFrame) -> DataFrame:
     """(node_idx, connector_id, lat, lng): connectors in order of their id."""
     c = segments.select(F.explode("connectors").alias("c")).groupBy("c.id").agg(F.min(F.struct("c.lat", "c.lng")).alias("p"))
-    return c.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("node_idx"), F.col("id").alias("connector_id"), "p.lat", "p.lng")
+    return dense_ranks(c, ["id"], "node_idx").select("node_idx", F.col("id").alias("connector_id"), "p.lat", "p.lng")
+
+
+def relaxed(light: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As :func:`shortest`, by joins alone, for graphs that no task can hold.
+
+    The reach of each origin is a table; a round joins what the last one improved with the
+    edges, keeps the least of each origin and node, and is stored.  Rounds end with the first
+    that improves nothing, at the latest after as many as the longest path has edges."""
+    key = ["a", "node"]
+    origins = pairs.select("a").distinct()
+    reach = stored(origins.select("a", F.col("a").alias("node"), F.lit(0).cast("long").alias("w"), F.lit(0.0).alias("m"), F.lit(True).alias("fresh")))
+    e = light.select("from_node", "to_node", "m.weight_ds", "m.length_m")
+    while True:
+        step = reach.where("fresh").join(e, F.col("node") == F.col("from_node")).select("a", F.col("to_node").alias("node"), (F.col("w") + F.col("weight_ds")).alias("w"), (F.col("m") + F.col("length_m")).alias("m"))
+        step = step.groupBy(*key).agg(F.min(F.struct("w", "m")).alias("s"))
+        both = reach.join(step, key, "full_outer")
+        old = F.when(F.col("w").isNotNull(), F.struct("w", "m"))
+        best = F.least(old, F.col("s"))  # least passes over nulls
+        new = stored(both.select(*key, best.alias("x"), (old.isNull() | (best < old)).alias("fresh")).select(*key, "x.w", "x.m", "fresh"))
+        forget(reach)
+        reach = new
+        if reach.where("fresh").isEmpty():
+            break
+    out = pairs.select("a", "b").distinct().join(reach.select("a", F.col("node").alias("b"), "m"), ["a", "b"], "left")
+    return out.select("a", "b", F.coalesce("m", F.lit(0.0)).alias("metres"), F.col("m").isNotNull().alias("connected"))
 
 
 def shortest(graph: DataFrame, pairs: DataFrame, limit_mb: int = 512) -> DataFrame:
-    """(a, b, metres, connected): length of the fastest path of each distinct pair of nodes.
+    """(a, b, metres, connected): length of the fastest path of each distinct pair of nodes,
+    of equally fast ones the shortest; negative nodes are connected to nothing.
 
-    Of parallel edges the lightest holds.  The graph is sent to every task once it is known
-    to be small enough; pairs are dealt by origin, so that one search serves all its targets.
+    Of parallel edges the lightest holds.  A graph of at most ``limit_mb`` is sent to every
+    task; pairs are dealt by origin, so that one search serves all its targets.  A larger one
+    stays distributed (:func:`relaxed`).
     """
     import heapq
 
@@ -67,7 +95,9 @@ def shortest(graph: DataFrame, pairs: DataFrame, limit_mb: int = 512) -> DataFra
     light = graph.where("from_node <> to_node AND from_node >= 0 AND to_node >= 0").groupBy("from_node", "to_node").agg(F.min(F.struct("weight_ds", "length_m")).alias("m"))
     size = light.count() * 32 / 1e6
     if size > limit_mb:
-        raise ValueError(f"a graph of {size:.0f} MB: cut it into regions first")
+        known = relaxed(light, pairs.where("a >= 0 AND b >= 0"))
+        lost = pairs.select("a", "b").distinct().where("NOT (a >= 0 AND b >= 0)").select("a", "b", F.lit(0.0).alias("metres"), F.lit(False).alias("connected"))
+        return known.unionByName(lost)
     e = light.select("from_node", "to_node", "m.weight_ds", "m.length_m").toArrow()
     src, dst, weight, length = (e.column(i).to_numpy() for i in range(4))
     order = np.argsort(src, kind="stable")
@@ -76,10 +106,10 @@ def shortest(graph: DataFrame, pairs: DataFrame, limit_mb: int = 512) -> DataFra
 
     def search(start: int, targets: set[int], g) -> dict[int, float]:
         s, d, w, m = g
-        best, done, found = {start: 0}, set(), {}
-        heap = [(0, start, 0.0)]
+        best, done, found = {start: (0, 0.0)}, set(), {}
+        heap = [(0, 0.0, start)]
         while heap and len(found) < len(targets):
-            t, x, metres = heapq.heappop(heap)
+            t, metres, x = heapq.heappop(heap)
             if x in done:
                 continue
             done.add(x)
@@ -87,9 +117,9 @@ def shortest(graph: DataFrame, pairs: DataFrame, limit_mb: int = 512) -> DataFra
                 found[x] = metres
             lo, hi = np.searchsorted(s, (x, x + 1))
             for y, c, q in zip(d[lo:hi].tolist(), w[lo:hi].tolist(), m[lo:hi].tolist(), strict=True):
-                if y not in done and t + c < best.get(y, 1 << 62):
-                    best[y] = t + c
-                    heapq.heappush(heap, (t + c, y, metres + q))
+                if y not in done and (t + c, metres + q) < best.get(y, (1 << 62, 0.0)):
+                    best[y] = (t + c, metres + q)
+                    heapq.heappush(heap, (t + c, metres + q, y))
         return found
 
     def run(batches):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import deterrence, haversine
-from ..functions.scalar import normal, uniform
+from ..functions.scalar import content_key, normal, uniform
 from .sampling import weighted
 
 # Shares of the default population.
@@ -150,6 +150,43 @@ def choose_modes(legs: DataFrame, profiles: DataFrame, walk_km: float = 1.0, bik
     return j.withColumn("mode", mode).drop("has_car", "has_bike")
 
 
+def stop_times(moves: DataFrame, uid: str, order: list[str], at: str, duration: str, buffer: int = 0) -> DataFrame:
+    """``moves`` with departure and arrival in seconds: a move leaves as late as its moment
+    ``at`` allows, its duration and the buffer before, but not before the arrival of the last.
+
+    arrival = max(ready, last arrival) + duration is a running maximum over what is ready less
+    the durations before it, plus the running sum of durations: two windows, no loop."""
+    w = Window.partitionBy(uid).orderBy(*order)
+    total = F.sum(duration).over(w)
+    ready = F.col(at) - F.col(duration) - buffer
+    run = moves.withColumn("__total", total).withColumn("__lead", ready - (F.col("__total") - F.col(duration)))
+    arrival = F.col("__total") + F.max("__lead").over(w)
+    return run.withColumn("arrival", arrival).withColumn("departure", F.col("arrival") - F.col(duration)).drop("__total", "__lead")
+
+
+def calibrated(answers: DataFrame, defaults: DataFrame) -> DataFrame:
+    """(field, label, weight, calibrated): a field's weights from ``answers`` (field, label,
+    weight), normalised, if they are of use: a weight for each of the field's labels, none
+    negative and not all zero; else the defaults, normalised."""
+    a = answers.groupBy("field", "label").agg(F.sum(F.col("weight").cast("double")).alias("answer"))
+    both = defaults.select("field", "label", F.col("weight").cast("double").alias("weight")).join(a, ["field", "label"], "left")
+    of = Window.partitionBy("field")
+    good = F.min(F.coalesce(F.col("answer") >= 0, F.lit(False))).over(of) & (F.sum("answer").over(of) > 0)
+    used = both.withColumn("calibrated", F.coalesce(good, F.lit(False))).withColumn("w", F.when(F.col("calibrated"), F.col("answer")).otherwise(F.col("weight")))
+    return used.select("field", "label", (F.col("w") / F.sum("w").over(of)).alias("weight"), "calibrated")
+
+
+def aligned(pairs: DataFrame, cached: DataFrame, model: str, texts: list[str], default: float = 0.5) -> DataFrame:
+    """``pairs`` with ``score`` from 0 to 1 and ``missing``: scores of a model for texts, looked
+    up by the content key of model and texts; where the cache (cache_key, score) has none the
+    default stands in, and the rows that miss are what is left to score."""
+    key = content_key(F.lit(model), *texts)
+    scores = cached.groupBy("cache_key").agg(F.max("score").alias("score"))
+    out = pairs.withColumn("cache_key", key).join(scores, "cache_key", "left").withColumn("missing", F.col("score").isNull())
+    # greatest and least pass over nulls: a score that is missing must not become a bound.
+    return out.withColumn("score", F.when(F.col("missing"), default).otherwise(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)))).drop("cache_key")
+
+
 def waypoint_times(legs: DataFrame) -> DataFrame:
     """(uid, stop_id, seq, t): the times of a leg's points, in proportion to their weights.
 

@@ -314,18 +314,6 @@ def scale_min_max(spark, sf):
     return sampling.scaled(table(spark, sf, "events"), "value", ["event_type"]).select("event_id", F.round("scaled", 9).alias("scaled"))
 
 
-@query()
-def sample_weighted_without_replacement(spark, sf):
-    e = table(spark, sf, "events")
-    return sampling.weighted(e, ["event_type"], "event_id", "value", 5).select("event_type", "event_id", F.col("draw").cast("long").alias("draw"))
-
-
-@query()
-def sample_stratified_pairs(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.round(F.stddev_pop("value"), 6).alias("variation")).withColumn("day_type", F.when(F.col("user_id") % 3 == 0, "we").otherwise("wd"))
-    return sampling.stratified_pairs(e, 24, "day_type", "user_id")
-
-
 # Sets --------------------------------------------------------------------------------------------
 
 

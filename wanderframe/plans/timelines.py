@@ -210,11 +210,6 @@ def stream_stays(spark, sf):
 # Generation ------------------------------------------------------------------------------------------------
 
 
-@query()
-def simulate_profiles(spark, sf):
-    return simulate.population(spark, 500)
-
-
 @query()
 def simulate_diary_choice(spark, sf):
     c = _crp(spark, sf).groupBy("agent", "day_type", "diary_id").agg(F.max("sim").alias("sim"), F.max("T_a").alias("T_a"), F.max("alpha_a").alias("alpha_a"))
@@ -227,12 +222,6 @@ def simulate_trajectories(spark, sf):
     return simulate.explore_and_return(spark, places, agents=60, steps=48)
 
 
-@query()
-def simulate_mode_choice(spark, sf):
-    legs = views.pings(spark, sf).selectExpr("uid", "event_id", "value / 10 AS km")
-    return simulate.choose_modes(legs, views.profiles(spark, sf)).select("uid", "event_id", "mode")
-
-
 @query("SELECT user_id % 3 AS dataset, event_type AS variant, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM events GROUP BY ALL")
 def simulate_ablation_summary(spark, sf):
     e = views.table(spark, sf, "events").select((F.col("user_id") % 3).alias("dataset"), F.col("event_type").alias("variant"), "value")

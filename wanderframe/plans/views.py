@@ -32,6 +32,16 @@ def common(*names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in order)
 
 
+def draw(seed: int, *cols: str) -> str:
+    """SQL of the seeded draw of ``functions.scalar.uniform``."""
+    return f"((CAST(('0x' || left(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in cols)})), 13))::BIGINT AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+
+
+def normal(seed: int, *cols: str) -> str:
+    """SQL of ``functions.scalar.normal``."""
+    return f"(sqrt(-2 * ln({draw(seed, *cols)})) * cos(6.283185307179586 * {draw(seed + 7919, *cols)}))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,14 +5,17 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import threading
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.scalar import content_key
 from .schema import TrajSchema, canonical, require
+from .work import dense_ranks, hadoop
 
 STAMP = re.compile(r"^(?P<stem>.+)_(?P<stamp>\d{8}T\d{6})\.parquet$")
 
@@ -48,7 +51,7 @@ def social_network(spark: SparkSession, path: str, visible: int = 2000) -> tuple
     the first ``visible`` nodes and the edges among them are given."""
     rows = spark.read.option("multiLine", True).schema("nodes array<array<string>>, edges array<array<string>>, degrees array<bigint>, node_count bigint, edge_count bigint").json(path)
     sizes = rows.select(F.size("nodes"), "node_count", F.size("edges"), "edge_count", F.size("degrees"), F.expr("forall(slice(nodes, 1, 10), n -> size(n) >= 4)"), F.expr("forall(slice(edges, 1, 10), e -> size(e) >= 3)")).first()
-    if sizes is None or sizes[0] != sizes[1] or sizes[2] != sizes[3] or sizes[4] not in (-1, sizes[0]) or not sizes[5] or not sizes[6]:
+    if sizes is None or sizes[0] != sizes[1] or sizes[2] != sizes[3] or sizes[4] not in (None, -1, sizes[0]) or not sizes[5] or not sizes[6]:
         raise ValueError(f"network file {path} contradicts itself")
     nodes = rows.select(F.posexplode("nodes")).select(F.col("pos").cast("long").alias("id"), *[F.get("col", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("x", "y", "size"))], F.get("col", F.lit(3)).alias("uid"))
     edges = rows.select(F.explode("edges").alias("e")).select(*[F.get("e", F.lit(i)).cast("double").cast("long").alias(n) for i, n in enumerate(("u", "v"))], F.get("e", F.lit(2)).cast("double").alias("weight"))
@@ -91,8 +94,12 @@ def metrics_json(rows: DataFrame, by: list[str], value: str, path: str | None =
             at = at.setdefault(r[k], {})
         at[r[by[-1]]] = r[value]
     if path:
-        with open(path, "w") as f:
-            json.dump(out, f, indent=1, default=str)
+        fs, p = hadoop(rows.sparkSession, path)
+        sink = fs.create(p, True)
+        try:
+            sink.write(bytearray(json.dumps(out, indent=1, default=str).encode()))
+        finally:
+            sink.close()
     return out
 
 
@@ -111,9 +118,10 @@ def first_users(df: DataFrame, n: int, uid: str = "uid") -> DataFrame:
 
 def split_users(df: DataFrame, seed: str, uid: str = "uid") -> tuple[DataFrame, DataFrame]:
     """Two halves of the population by a seeded order of its ids."""
-    ids = df.select(uid).distinct()
-    ranked = ids.withColumn("__half", F.ntile(2).over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(uid).cast("string"))), uid)))
-    return tuple(df.join(ranked.where(F.col("__half") == h), uid, "left_semi") for h in (1, 2))
+    ids = df.select(uid).distinct().withColumn("__key", F.md5(F.concat_ws("|", F.lit(seed), F.col(uid).cast("string"))))
+    ranked = dense_ranks(ids, ["__key", uid], "__rank")
+    middle = (ranked.count() + 1) // 2
+    return tuple(df.join(ranked.where(half), uid, "left_semi") for half in (F.col("__rank") < middle, F.col("__rank") >= middle))
 
 
 def discover_runs(spark: SparkSession, folder: str, stem: str) -> list[tuple[str, str]]:
@@ -139,3 +147,109 @@ def derived(spark: SparkSession, folder: str, name: str, key_parts: Iterable, bu
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+class PayloadCache:
+    """JSON payloads under a key of their inputs, built once however many ask at a time.
+
+    The key covers a version, the name and the parts; give file names with their times of
+    change as parts (:func:`changed`).  A payload that ``stale`` calls so is built anew."""
+
+    def __init__(self, spark: SparkSession, folder: str, version: str = "1", stale: Callable[[dict], bool] = lambda p: False):
+        self.spark, self.folder, self.version, self.stale = spark, folder, version, stale
+        self.locks: dict[str, threading.Lock] = {}
+        self.guard = threading.Lock()
+
+    def get(self, name: str, parts: Iterable, build: Callable[[], dict]) -> dict:
+        key = hashlib.sha256("\0".join(map(str, [self.version, name, *parts])).encode()).hexdigest()[:24]
+        with self.guard:
+            lock = self.locks.setdefault(key, threading.Lock())
+        with lock:  # who comes while another builds waits for that result
+            fs, path = hadoop(self.spark, f"{self.folder}/{name}-{key}.json")
+            if fs.exists(path):
+                found = json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])
+                if not self.stale(found):
+                    return found
+            payload = build()
+            sink = fs.create(path, True)
+            try:
+                sink.write(bytearray(json.dumps(payload, default=str).encode()))
+            finally:
+                sink.close()
+            return payload
+
+
+def changed(spark: SparkSession, path: str) -> str:
+    """A path with the time it was last changed, for the keys of caches."""
+    fs, p = hadoop(spark, path)
+    return f"{path}@{fs.getFileStatus(p).getModificationTime()}"
+
+
+def wkb_centroid(df: DataFrame, geometry: str) -> tuple[Column, Column]:
+    """(lng, lat) of the centroids of well-known binary geometries: points, lines by their
+    length, polygons by their area, and collections of one kind; null for what it cannot read.
+
+    The binary is walked in Arrow batches: no built-in function reads it."""
+
+    @F.pandas_udf("lng double, lat double")
+    def centre(shapes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([wkb_centre(x) for x in shapes], columns=["lng", "lat"], dtype="float64")
+
+    at = centre(df[geometry])
+    return at.getField("lng"), at.getField("lat")
+
+
+def wkb_centre(raw: bytes | None) -> tuple[float | None, float | None]:
+    """The centroid of one geometry: mean of parts weighted by area, else length, else count."""
+    import struct
+
+    sums: dict[int, list[float]] = {0: [0.0, 0.0, 0.0], 1: [0.0, 0.0, 0.0], 2: [0.0, 0.0, 0.0]}
+
+    def add(dimension: int, weight: float, x: float, y: float) -> None:
+        s = sums[dimension]
+        s[0], s[1], s[2] = s[0] + weight, s[1] + weight * x, s[2] + weight * y
+
+    def points(at: int, order: str, n: int, size: int) -> tuple[list[tuple[float, float]], int]:
+        return [struct.unpack_from(order + "dd", raw, at + i * 8 * size) for i in range(n)], at + n * 8 * size
+
+    def walk(at: int) -> int:
+        order = "<" if raw[at] else ">"
+        kind = struct.unpack_from(order + "I", raw, at + 1)[0]
+        size = 2 + bool(kind & 0x80000000 or kind // 1000 % 10 in (1, 3)) + bool(kind & 0x40000000 or kind // 1000 % 10 in (2, 3))
+        at += 5 + 4 * bool(kind & 0x20000000)
+        shape = kind & 0xFFFF
+        shape %= 1000
+        if shape == 1:
+            (p,), at = points(at, order, 1, size)
+            add(0, 1.0, *p)
+            return at
+        n, at = struct.unpack_from(order + "I", raw, at)[0], at + 4
+        if shape == 2:
+            line, at = points(at, order, n, size)
+            for a, b in zip(line, line[1:], strict=False):
+                add(1, ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5, (a[0] + b[0]) / 2, (a[1] + b[1]) / 2)
+        elif shape == 3:
+            for ring_number in range(n):
+                m, at = struct.unpack_from(order + "I", raw, at)[0], at + 4
+                ring, at = points(at, order, m, size)
+                doubled = [(a[0] * b[1] - b[0] * a[1], a[0] + b[0], a[1] + b[1]) for a, b in zip(ring, ring[1:], strict=False)]
+                area = sum(d for d, _, _ in doubled) / 2
+                if area:
+                    sign = (1 if ring_number == 0 else -1) * (1 if area > 0 else -1)
+                    add(2, sign * area, sum(d * x for d, x, _ in doubled) / (6 * area), sum(d * y for d, _, y in doubled) / (6 * area))
+        elif shape in (4, 5, 6, 7):
+            for _ in range(n):
+                at = walk(at)
+        else:
+            raise ValueError(f"geometry of kind {shape}")
+        return at
+
+    try:
+        walk(0)
+    except (ValueError, TypeError, IndexError, struct.error):
+        return None, None
+    for dimension in (2, 1, 0):
+        weight, x, y = sums[dimension]
+        if weight:
+            return x / weight, y / weight
+    return None, None

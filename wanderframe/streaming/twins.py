@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.work import scratch
+
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of its files."""
@@ -54,12 +55,21 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and return its result as a table in memory."""
-    name = f"drained_{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Run a stream over what is there and return its result as a table in the shared folder:
+    of ``complete`` the last batch, else the batches one after another."""
+    at = scratch(spark, "drained")
+
+    def put(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/{'last' if mode == 'complete' else epoch}")
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # windows begin at full hours of UTC
+    try:
+        q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(at)
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str):
