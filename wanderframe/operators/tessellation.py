@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import FINEST, cell, cell_centre, cell_disk
 from ..functions.scalar import purpose, uniform
+from ..sources.work import dense_ranks, stored
 from .od import neighbours_within
 from .sampling import scaled, weighted
 
@@ -62,16 +63,43 @@ def home_anchors(tiles: DataFrame, weight: str, n: int, spread: float = 0.4, see
     return picked.select("anchor", "tile_id", (F.col("lat") + move(1)).alias("lat"), (F.col("lng") + move(2)).alias("lng"))
 
 
-def friendships(people: DataFrame, mu: float = 1.5, sigma: float = 0.6, most: int = 30, ring: int = 1, seed: int = 42) -> DataFrame:
+def friendships(people: DataFrame, mu: float = 1.5, sigma: float = 0.6, most: int = 30, ring: int = 1, seed: int = 42, few: int = 1024) -> DataFrame:
     """(src, dst, weight): friends among those who live in the same or a neighbouring cell.
 
     ``people`` has uid, home (cell) and work (cell).  An agent wants a log-normal number of
     friends, clipped, and draws them by weight without replacement; sharing the work cell
-    counts double."""
+    counts double.  Where the cells around a home have at most ``few`` people all of them are
+    candidates by name; of more, places in the order of the cell are drawn, so that a
+    crowded cell never pairs out: a place is kept with half its chance unless the work cell
+    is shared, a repeated one counts once, and the first that are kept are the friends."""
     from ..functions.scalar import normal
 
     want = F.least(F.greatest(F.round(F.exp(mu + sigma * normal(seed, "uid"))), F.lit(1)), F.lit(most)).cast("long")
-    a = people.select(F.col("uid").alias("src"), F.col("work").alias("w1"), want.alias("want"), F.explode(cell_disk("home", ring)).alias("home"))
+    sizes = people.groupBy("home").agg(F.count("*").alias("n"))
+    around = sizes.select(F.col("home").alias("centre"), F.explode(cell_disk("home", ring)).alias("home")).join(sizes, "home")
+    total = around.groupBy("centre").agg(F.sum("n").alias("total"))
+    wanting = people.select(F.col("uid").alias("src"), F.col("work").alias("w1"), want.alias("want"), "home").join(total.withColumnRenamed("centre", "home"), "home")
+    named = _named(wanting.where(F.col("total") <= few), people, most, ring, seed)
+    crowd = wanting.where(F.col("total") > few)
+    if crowd.isEmpty():
+        return named
+    # Everyone's place in the order of cells, and where each cell begins in it.
+    ranked = stored(dense_ranks(people.select("home", "uid", "work"), ["home", "uid"], "place"), "places")
+    starts = ranked.groupBy("home").agg(F.min("place").alias("start"), F.count("*").alias("n"))
+    spans = around.select("centre", "home").join(starts, "home").groupBy("centre").agg(F.sort_array(F.collect_list(F.struct("home", "start", "n"))).alias("spans"))  # at most a disk's cells
+    tries = crowd.join(spans.withColumnRenamed("centre", "home"), "home").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8 * most))))
+    at = F.floor(uniform(seed + 2, "src", "k") * F.col("total")).cast("long")
+    step = F.aggregate("spans", F.struct(at.alias("left"), F.lit(None).cast("long").alias("place")), lambda a, x: F.when(a.place.isNotNull(), a).when(a.left < x.n, F.struct(a.left.alias("left"), (x.start + a.left).alias("place"))).otherwise(F.struct((a.left - x.n).alias("left"), F.lit(None).cast("long").alias("place"))))
+    met = tries.select("src", "w1", "want", "k", step.getField("place").alias("place")).join(ranked.select("place", F.col("uid").alias("dst"), F.col("work").alias("w2")), "place")
+    same = F.coalesce(F.col("w1") == F.col("w2"), F.lit(False))
+    kept = met.where((F.col("src") != F.col("dst")) & (same | (uniform(seed + 3, "src", "k") < 0.5))).groupBy("src", "dst", "want").agg(F.min("k").alias("k"), F.max(F.when(same, 2.0).otherwise(1.0)).alias("weight"))
+    order = F.row_number().over(Window.partitionBy("src").orderBy("k"))
+    return named.unionByName(kept.withColumn("draw", order).where("draw <= want").select("src", "dst", "weight"))
+
+
+def _named(wanting: DataFrame, people: DataFrame, most: int, ring: int, seed: int) -> DataFrame:
+    """Friends of those with few around, each by name."""
+    a = wanting.select("src", "w1", "want", F.explode(cell_disk("home", ring)).alias("home"))
     b = people.select(F.col("uid").alias("dst"), F.col("work").alias("w2"), "home")
     near = a.join(b, "home").where("src <> dst").select("src", "dst", "want", F.when(F.col("w1") == F.col("w2"), 2.0).otherwise(1.0).alias("weight")).distinct()
     return weighted(near, ["src"], "dst", "weight", most, seed + 1).where("draw <= want").select("src", "dst", "weight")

@@ -8,7 +8,7 @@ from ..operators import activity, distance, graph, laws, profiles, traj
 from . import views
 from .mobility import hav
 from .registry import Registry
-from .views import common
+from .views import common, draw
 
 query = Registry()
 
@@ -127,7 +127,18 @@ def diary_annotation(spark, sf):
 # Motifs, profiles, laws ------------------------------------------------------------------------------
 
 
-@query()
+#: The motif of every user's day: the greatest adjacency matrix over all orders of its nodes.
+MOTIFS = """t AS (SELECT uid, side, CAST(start_timestamp AS DATE) AS day, start_timestamp AS s, location_id || '_' || CASE purpose WHEN 'HOME' THEN 'HOME' ELSE 'VISIT' END AS node FROM visits),
+ f AS (SELECT uid, side, day, node, row_number() OVER (PARTITION BY uid, day ORDER BY min(s), node) - 1 AS k FROM t GROUP BY uid, side, day, node), n AS (SELECT uid, side, day, count(*) AS n FROM f GROUP BY uid, side, day),
+ e AS (SELECT DISTINCT x.uid, x.day, p.k AS a, q.k AS b FROM (SELECT *, lag(node) OVER (PARTITION BY uid, day ORDER BY s, node) AS prev FROM t) x JOIN f p ON p.uid = x.uid AND p.day = x.day AND p.node = x.prev JOIN f q ON q.uid = x.uid AND q.day = x.day AND q.node = x.node WHERE x.prev <> x.node),
+ g AS (SELECT n.uid, n.side, n.day, n.n, coalesce(list(e.a * 10 + e.b ORDER BY e.a, e.b) FILTER (WHERE e.a IS NOT NULL), []) AS es FROM n LEFT JOIN e ON e.uid = n.uid AND e.day = n.day GROUP BY n.uid, n.side, n.day, n.n),
+ p(n, l) AS (SELECT n, []::BIGINT[] FROM range(1, 7) r(n) UNION ALL SELECT n, list_append(l, i) FROM p, range(6) t(i) WHERE i < n AND len(l) < n AND NOT list_contains(l, i)), k AS (SELECT DISTINCT n, es FROM g WHERE n <= 6),
+ c AS (SELECT k.n, k.es, max(coalesce(list_sum(list_transform(k.es, lambda x: 1::BIGINT << CAST(k.n * k.n - 1 - p.l[x // 10 + 1] * k.n - p.l[x % 10 + 1] AS BIGINT))), 0)) AS bits FROM k JOIN p ON p.n = k.n AND len(p.l) = k.n GROUP BY k.n, k.es),
+ m AS (SELECT g.uid, g.side, g.day, CASE WHEN g.n > 6 THEN -1 ELSE CAST((g.n << 36) + c.bits AS BIGINT) END AS motif FROM g LEFT JOIN c ON c.n = g.n AND c.es = g.es)"""
+WITH_MOTIFS = common("visits").replace("WITH", "WITH RECURSIVE", 1) + ", " + MOTIFS
+
+
+@query(WITH_MOTIFS + " SELECT motif, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 9) AS pct FROM m GROUP BY motif")
 def motif_daily_shares(spark, sf):
     return profiles.motif_shares(profiles.daily_motifs(_visits(spark, sf))).select("motif", "n", F.round("pct", 9).alias("pct"))
 
@@ -137,12 +148,21 @@ def motif_day_nodes(spark, sf):
     return profiles.daily_motifs(_visits(spark, sf)).select("uid", "day", "n_nodes")
 
 
-@query()
+BASIS = ", ".join(f"('m{i}', {m}, {p}::DOUBLE)" for i, (m, p) in enumerate(profiles.LITERATURE, 1)) + f", ('other', NULL, {round(100 - sum(p for _, p in profiles.LITERATURE), 2)}::DOUBLE)"
+
+
+@query(
+    WITH_MOTIFS + f""", b AS (SELECT * FROM (VALUES {BASIS}) t(name, motif, reference_pct)), h AS (SELECT motif, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM m GROUP BY motif), x AS (SELECT coalesce(b.name, 'other') AS name, sum(pct) AS pct FROM h LEFT JOIN b ON b.motif = h.motif GROUP BY 1)
+ SELECT b.name, round(coalesce(pct, 0), 6) AS pct, reference_pct FROM b LEFT JOIN x ON x.name = b.name"""
+)
 def motif_literature_basis(spark, sf):
     return profiles.motif_basis(profiles.motif_shares(profiles.daily_motifs(_visits(spark, sf)))).select("name", F.round("pct", 6).alias("pct"), "reference_pct")
 
 
-@query()
+@query(
+    WITH_MOTIFS + """, h AS (SELECT motif, count(*) FILTER (WHERE side = 0) / (SELECT count(*) FROM m WHERE side = 0) AS p, count(*) FILTER (WHERE side = 1) / (SELECT count(*) FROM m WHERE side = 1) AS q FROM m GROUP BY motif)
+ SELECT round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 9) AS jsd FROM h"""
+)
 def motif_divergence(spark, sf):
     a, b = (profiles.motif_shares(profiles.daily_motifs(_visits(spark, sf, s))) for s in (0, 1))
     return distance.jensen_shannon(a, b, ["motif"], "n").select(F.round("jsd", 9).alias("jsd"))
@@ -158,7 +178,10 @@ def profile_metrics(spark, sf):
     return m.select("uid", "n", F.round("regularity", 9).alias("regularity"), F.round("entropy", 9).alias("entropy"), F.round("stationarity", 6).alias("stationarity"))
 
 
-@query()
+@query(
+    common("visits") + """, l AS (SELECT uid, list(location_id || '_' || purpose ORDER BY start_timestamp, location_id || '_' || purpose) AS l FROM visits GROUP BY uid), i AS (SELECT uid, l, unnest(range(1, len(l) + 1)) AS i FROM l), j AS (SELECT uid, l, i, unnest(range(i, len(l) + 1)) AS j FROM i)
+ SELECT uid, round(count(DISTINCT md5(array_to_string(l[i:j], '>'))) / (any_value(len(l)) * (any_value(len(l)) + 1) / 2.0), 9) AS diversity FROM j GROUP BY uid"""
+)
 def profile_diversity(spark, sf):
     return profiles.profile_metrics(_visits(spark, sf)).select("uid", F.round("diversity", 9).alias("diversity"))
 
@@ -307,12 +330,25 @@ def graph_knn_exact(spark, sf):
     return graph.knn(e, 3, probe=e.where("vec_id % 50 = 0")).select("id", "neighbour", "rank")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS v FROM embeddings),
+ r(rn, id, leader, ids, vs) AS (SELECT rn, id, id, [id], [v] FROM e WHERE rn = 1 UNION ALL SELECT e.rn, e.id, coalesce(r.ids[p], e.id), CASE WHEN p IS NULL THEN list_append(r.ids, e.id) ELSE r.ids END, CASE WHEN p IS NULL THEN list_append(r.vs, e.v) ELSE r.vs END
+  FROM (SELECT r.*, n.rn AS nrn, list_position(list_transform(r.vs, lambda w: list_inner_product(w, n.v) >= 0.5), TRUE) AS p FROM r JOIN e n ON n.rn = r.rn + 1) r JOIN e ON e.rn = r.nrn)
+ SELECT CAST(0 AS BIGINT) AS g, id, leader FROM r"""
+)
 def graph_leader_clusters(spark, sf):
     e = views.table(spark, sf, "embeddings").select(F.lit(0).cast("long").alias("g"), F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v"))
     return graph.leader_clusters(e, 0.5)
 
 
+@query(
+    f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id AS centre, v AS cv FROM e ORDER BY {draw(42, 'vec_id')}, vec_id LIMIT 12), a AS (SELECT vec_id, v, (SELECT arg_max(centre, round(list_cosine_similarity(e.v, cv), 12) - centre * 1e-18) FROM c) AS centre FROM e),
+ s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(a.v, b.v) AS c FROM a JOIN a b ON a.centre = b.centre AND a.vec_id <> b.vec_id) SELECT id, neighbour, rank FROM (SELECT id, neighbour, CAST(row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, neighbour) AS INTEGER) AS rank FROM s) WHERE rank <= 3"""
+)
+def graph_knn_clustered(spark, sf):
+    return graph.knn_clustered(views.table(spark, sf, "embeddings"), 3, 12).select("id", "neighbour", "rank")
+
+
 @query()
 def graph_layout(spark, sf):
     return graph.layout(spark, views.table(spark, sf, "embeddings")).select("id", F.round(F.abs("x"), 3).alias("x"), F.round(F.abs("y"), 3).alias("y"))

@@ -47,7 +47,7 @@ def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame)
     if name == "motifs":
         return [_row(distance.jensen_shannon(*(profiles.motif_shares(profiles.daily_motifs(v)) for v in (vs, vo)), ["motif"], "n"), "jsd_motifs", "jsd")]
     if name == "profiles":
-        m = [profiles.profile_metrics(v) for v in (vs, vo)]
+        m = [profiles.profile_metrics(v).persist() for v in (vs, vo)]  # four distances read each
         return [_row(distance.wasserstein(*m, c), f"w1_{c}", "w1") for c in ("regularity", "diversity", "entropy", "stationarity")]
     if name == "cpc":
         return [_row(od.common_part(od.flows(s, r), od.flows(o, r)), f"cpc_{r}", "cpc") for r in (7, 8, 9)]

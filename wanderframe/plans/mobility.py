@@ -241,6 +241,10 @@ W1 = """, c AS (SELECT v, sum(na) AS na, sum(nb) AS nb FROM (SELECT {v} AS v, 1
  SELECT round(sum(abs(fa / ta - fb / tb) * coalesce(w, 0)), 9) AS w1 FROM f CROSS JOIN t"""
 
 
+W1_BY = """, c AS (SELECT {g} AS g, {v} AS v, count(*) FILTER (WHERE side = 0) AS na, count(*) FILTER (WHERE side = 1) AS nb FROM {t} GROUP BY ALL),
+ f AS (SELECT g, sum(na) OVER w AS fa, sum(nb) OVER w AS fb, sum(na) OVER (PARTITION BY g) AS ta, sum(nb) OVER (PARTITION BY g) AS tb, lead(v) OVER w - v AS w FROM c WINDOW w AS (PARTITION BY g ORDER BY v)) SELECT g AS {g}, round(sum(abs(fa / nullif(ta, 0) - fb / nullif(tb, 0)) * coalesce(w, 0)), 9) AS w1 FROM f GROUP BY g"""
+
+
 def _sides(df):
     return df.where("side = 0"), df.where("side = 1")
 
@@ -283,13 +287,28 @@ def distance_ecdf(spark, sf):
     return distance.ecdf(views.pings(spark, sf).where("side = 0"), "value").select(F.round("x", 6).alias("x"), F.round("p", 9).alias("p"))
 
 
-@query()
+def _sliced(coords: list[str], points: str, slices: int) -> str:
+    """SQL of the mean W1 over the seeded directions: ``points`` has the coordinates and side."""
+    rows = [f"SELECT {i} AS slice, side, {' + '.join([f'(0.0::DOUBLE + {coords[0]} * ({row[0]!r}::DOUBLE))'] + [f'{c} * ({x!r}::DOUBLE)' for c, x in zip(coords[1:], row[1:], strict=True)])} AS v FROM {points}" for i, row in enumerate(distance.directions(slices, len(coords)))]
+    return f""", spun AS ({" UNION ALL ".join(rows)}), c AS (SELECT slice, v, count(*) FILTER (WHERE side = 0) AS na, count(*) FILTER (WHERE side = 1) AS nb FROM spun GROUP BY ALL),
+ f AS (SELECT slice, sum(na) OVER w AS fa, sum(nb) OVER w AS fb, sum(na) OVER (PARTITION BY slice) AS ta, sum(nb) OVER (PARTITION BY slice) AS tb, lead(v) OVER w - v AS w FROM c WINDOW w AS (PARTITION BY slice ORDER BY v)), d AS (SELECT slice, sum(abs(fa / ta - fb / tb) * coalesce(w, 0)) AS w1 FROM f GROUP BY slice)"""
+
+
+@query(common("pings") + W1_BY.format(v="value", g="purpose", t="pings"))
+def distance_wasserstein_by_group(spark, sf):
+    a, b = _sides(views.pings(spark, sf))
+    return distance.wasserstein(a, b, "value", ["purpose"]).select("purpose", F.round("w1", 9).alias("w1"))
+
+
+@query(common("pings") + ", h AS (SELECT side, lat, lng, CAST(hour(datetime) AS DOUBLE) AS h FROM pings)" + _sliced(["lat", "lng", "h"], "h", 8) + " SELECT round(avg(w1), 6) AS sliced_w1 FROM d")
 def distance_sliced_wasserstein(spark, sf):
     a, b = _sides(views.pings(spark, sf).withColumn("h", F.hour("datetime").cast("double")))
     return distance.sliced_wasserstein(a, b, ["lat", "lng", "h"], 8).select(F.round("sliced_w1", 6).alias("sliced_w1"))
 
 
-@query()
+@query(
+    common("pings") + ", h AS (SELECT side, radians((floor((lng + 180) * 64) + 0.5) / 64 - 180) * 6378137 AS x, ln(tan(pi() / 4 + radians((floor((lat + 90) * 64) + 0.5) / 64 - 90) / 2)) * 6378137 AS y, hour(datetime) * 1000.0::DOUBLE AS t FROM pings)" + _sliced(["x", "y", "t"], "h", 4) + " SELECT round(avg(w1), 3) AS sliced_w1 FROM d"
+)
 def distance_stvd_transport(spark, sf):
     a, b = _sides(views.pings(spark, sf))
     return od.hourly_transport(a, b, 7, 4).select(F.round("sliced_w1", 3).alias("sliced_w1"))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import routing, simulate, tessellation, timeline
 from ..sources import io
 from ..streaming import twins
-from . import compare, views
+from ..functions import geo
+from . import behaviour, compare, mobility, views
 from .mobility import cell_sql, hav
 from .registry import Registry
-from .views import common
+from .views import common, draw, normal
 
 query = Registry()
 
@@ -71,11 +72,11 @@ def timeline_stop_activities(spark, sf):
     return a.select(F.col("stop_id").alias("activity"), F.size("activities").cast("long").alias("n"), F.get("activities", F.lit(0)).getField("seq").alias("first_seq"), F.round(total, 4).alias("minutes"))
 
 
-@query(common("intervals") + f" SELECT uid, activity, seq FROM intervals WHERE uid = 7 AND arrival <= TIMESTAMP '2024-01-10 12:00:00' AND departure >= TIMESTAMP '2024-01-10 12:00:00' ORDER BY seq DESC LIMIT 1")
+@query(common("intervals") + ", t AS (SELECT median(arrival) AS t FROM (SELECT arrival FROM intervals WHERE uid = 7 ORDER BY arrival LIMIT 1)) SELECT uid, activity, seq FROM intervals, t WHERE uid = 7 AND arrival <= t AND departure >= t ORDER BY seq DESC LIMIT 1")
 def timeline_activity_at(spark, sf):
-    from datetime import datetime
-
-    return timeline.activity_at(views.intervals(spark, sf), 7, datetime(2024, 1, 10, 12)).select("uid", "activity", "seq")
+    i = views.intervals(spark, sf)
+    first = i.where("uid = 7").agg(F.min("arrival")).first()[0]
+    return timeline.activity_at(i, 7, first).select("uid", "activity", "seq")
 
 
 @query(
@@ -144,8 +145,6 @@ def timeline_induced_sample(spark, sf):
 
 @query(common("pings") + f", c AS (SELECT {cell_sql(8)} AS cell, count(*) AS n FROM pings GROUP BY 1) SELECT cell, n, lower(to_hex(cell)) AS hex FROM c")
 def sink_geojson_cells(spark, sf):
-    from ..functions import geo
-
     c = views.pings(spark, sf).groupBy(geo.cell("lat", "lng", 8).alias("cell")).agg(F.count("*").alias("n"))
     f = io.features(c)
     return f.select("cell", F.get_json_object("feature", "$.properties.n").cast("long").alias("n"), F.get_json_object("feature", "$.properties.cell").alias("hex"))
@@ -164,22 +163,49 @@ def _segments(spark, sf):
     return row.unionByName(col).withColumn("access_restrictions", F.when(F.col("segment_id") == "r2", F.array(F.struct(F.lit("denied").alias("access"), F.lit("backward").alias("heading")))))
 
 
+ROADS = f"""WITH p AS (SELECT i, j, CAST(48.80 + i * 0.01 AS DOUBLE) AS lat, CAST(2.25 + j * 0.01 AS DOUBLE) AS lng FROM range(5) a(i), range(8) b(j)), e AS (SELECT a.i * 8 + a.j AS x, b.i * 8 + b.j AS y, 'primary' AS class, a.i, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng').replace('6371.0088', '6371000.0')} AS m FROM p a JOIN p b ON b.i = a.i AND b.j = a.j + 1
+ UNION ALL SELECT a.i * 8 + a.j, b.i * 8 + b.j, 'residential', -1, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng').replace('6371.0088', '6371000.0')} FROM p a JOIN p b ON b.j = a.j AND b.i = a.i + 1), d AS (SELECT x AS from_node, y AS to_node, class, m FROM e UNION ALL SELECT y, x, class, m FROM e WHERE i <> 2)"""
+DECI = "CAST(greatest(1, round(m / (CASE class WHEN 'primary' THEN 56.0 ELSE 24.0 END / 3.6) * 10)) AS BIGINT)"
+#: The fastest paths between all nodes, of equally fast ones the shortest, round by round.
+PATHS = (
+    ROADS.replace("WITH", "WITH RECURSIVE", 1) + f""", l AS (SELECT from_node AS x, to_node AS y, min({{{{'w': {DECI}, 'm': m}}}}) AS s FROM d GROUP BY ALL),
+ r(k, a, b, s) AS (SELECT 0, i, i, {{{{'w': 0::BIGINT, 'm': 0.0::DOUBLE}}}} FROM range(40) t(i) UNION ALL SELECT k + 1, a, b, min(s) FROM (SELECT k, a, b, s FROM r UNION ALL SELECT r.k, r.a, l.y, {{{{'w': r.s.w + l.s.w, 'm': r.s.m + l.s.m}}}} FROM r JOIN l ON l.x = r.b) WHERE k < 40 GROUP BY k, a, b),
+ best AS (SELECT a, b, s.m AS metres FROM r WHERE k = 40)"""
+).replace("{{", "{").replace("}}", "}")
+
+
 @query(
-    f"""WITH p AS (SELECT i, j, CAST(48.80 + i * 0.01 AS DOUBLE) AS lat, CAST(2.25 + j * 0.01 AS DOUBLE) AS lng FROM range(5) a(i), range(8) b(j)), e AS (SELECT a.i * 8 + a.j AS x, b.i * 8 + b.j AS y, 'primary' AS class, a.i, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng').replace('6371.0088', '6371000.0')} AS m FROM p a JOIN p b ON b.i = a.i AND b.j = a.j + 1
- UNION ALL SELECT a.i * 8 + a.j, b.i * 8 + b.j, 'residential', -1, {hav('a.lat', 'a.lng', 'b.lat', 'b.lng').replace('6371.0088', '6371000.0')} FROM p a JOIN p b ON b.j = a.j AND b.i = a.i + 1), d AS (SELECT x AS from_node, y AS to_node, class, m FROM e UNION ALL SELECT y, x, class, m FROM e WHERE i <> 2)
+    f"""{ROADS}
  SELECT from_node, to_node, class, round(m, 4) AS length_m, CAST(greatest(1, round(m / (CASE class WHEN 'primary' THEN 56.0 ELSE 24.0 END / 3.6) * 10)) AS BIGINT) AS weight_ds FROM d"""
 )
 def routing_road_edges(spark, sf):
     return routing.edges(_segments(spark, sf)).select("from_node", "to_node", "class", F.round("length_m", 4).alias("length_m"), "weight_ds")
 
 
-@query()
+PAIRS = "p2 AS (SELECT DISTINCT loc % 40 AS a, (loc * 7 + uid) % 40 AS b FROM pings)"
+ASKED = PATHS + ", " + common("pings").removeprefix("WITH ") + f", {PAIRS} SELECT p2.a, p2.b, round(coalesce(metres, 0), 3) AS metres, metres IS NOT NULL AS connected FROM p2 LEFT JOIN best ON best.a = p2.a AND best.b = p2.b"
+
+
+def _pairs(spark, sf):
+    return views.pings(spark, sf).select((F.col("loc") % 40).alias("a"), ((F.col("loc") * 7 + F.col("uid")) % 40).alias("b"))
+
+
+@query(ASKED)
+def routing_paths_by_joins(spark, sf):
+    """The way that is left where no task can hold the graph."""
+    return routing.shortest(routing.edges(_segments(spark, sf)), _pairs(spark, sf), limit_mb=0).select("a", "b", F.round("metres", 3).alias("metres"), "connected")
+
+
+@query(ASKED)
 def routing_shortest_paths(spark, sf):
-    pairs = views.pings(spark, sf).select((F.col("loc") % 40).alias("a"), ((F.col("loc") * 7 + F.col("uid")) % 40).alias("b"))
+    pairs = _pairs(spark, sf)
     return routing.shortest(routing.edges(_segments(spark, sf)), pairs).select("a", "b", F.round("metres", 3).alias("metres"), "connected")
 
 
-@query()
+@query(
+    PATHS + ", " + common("pings").removeprefix("WITH ") + """, j AS (SELECT uid, loc AS b, lag(loc) OVER (PARTITION BY uid ORDER BY datetime) AS a FROM pings)
+ SELECT uid, count(*) AS n, round(sum(metres) / 1000, 3) AS km, count(*) AS routed FROM j JOIN best USING (a, b) GROUP BY uid"""
+)
 def routing_road_jumps(spark, sf):
     s = _segments(spark, sf)
     j = routing.road_jumps(views.pings(spark, sf).select("uid", "datetime", "lat", "lng"), routing.nodes(s), routing.edges(s))
@@ -235,52 +261,112 @@ def simulate_micro_activities(spark, sf):
     return m.select("uid", "stop_id", F.col("seq").cast("long").alias("seq"), "activity", "arrival", "departure")
 
 
-@query(common("encounters") + ", c AS (SELECT least(agent, contact) AS u, greatest(agent, contact) AS v, ts // 86400 AS day FROM encounters WHERE agent <> contact), m AS (SELECT u, v, count(DISTINCT day) AS met FROM c GROUP BY ALL) SELECT u, v, round(0.2 * met / 30, 9) AS strength FROM m WHERE met / 30 >= 0.2")
+@query(
+    common("encounters") + """, c AS (SELECT least(agent, contact) AS u, greatest(agent, contact) AS v, ts // 86400 AS day FROM encounters WHERE agent <> contact), m AS (SELECT u, v, count(DISTINCT day) AS met FROM c GROUP BY ALL), t AS (SELECT DISTINCT user_id AS u, user_id + 1 + user_id % 12 AS v, CAST(user_id % 11 AS DOUBLE) / 10 AS strength FROM events),
+ j AS (SELECT u, v, coalesce(strength, 0) AS s, coalesce(met, 0) AS met FROM t FULL JOIN m USING (u, v)), n AS (SELECT u, v, CASE WHEN s = 0 THEN CASE WHEN met / 30 >= 0.2 THEN 0.2 * met / 30 END ELSE least(1.0, greatest(0.0, s + 0.2 * met / 30 - CASE WHEN met = 0 THEN 0.05 ELSE 0 END)) END AS strength FROM j) SELECT u, v, round(strength, 9) AS strength FROM n WHERE strength > 0"""
+)
 def simulate_new_friendships(spark, sf):
+    """Ties that grow, fade, are clipped at one, begin, or stay away."""
     e = views.encounters(spark, sf).where("agent <> contact").selectExpr("least(agent, contact) AS u", "greatest(agent, contact) AS v", "ts div 86400 AS day")
-    none = spark.createDataFrame([], "u long, v long, strength double")
-    return simulate.updated_friendships(none, e, regularity=0.2, days=30).select("u", "v", F.round("strength", 9).alias("strength"))
+    ties = views.table(spark, sf, "events").selectExpr("user_id AS u", "user_id + 1 + user_id % 12 AS v", "cast(user_id % 11 as double) / 10 AS strength").distinct()
+    return simulate.updated_friendships(ties, e, regularity=0.2, days=30).select("u", "v", F.round("strength", 9).alias("strength"))
 
 
-@query(common("stops", "profiles") + " SELECT p.uid, gender, job, count(*) AS trips FROM profiles p JOIN stops s ON s.uid = p.uid WHERE p.uid = 7 GROUP BY ALL")
+@query(
+    common("stops", "intervals", "encounters", "profiles") + """, x AS (SELECT * FROM encounters WHERE agent = 7 ORDER BY ts DESC, contact LIMIT 20), m AS (""" + ENCOUNTER.format(e="x") + """)
+ SELECT uid, gender, job, (SELECT string_agg(stop_id || ':' || purpose, ',' ORDER BY arrival) FROM stops WHERE uid = 7) AS trips, (SELECT string_agg(seq || ':' || activity, ',' ORDER BY seq) FROM intervals WHERE uid = 7) AS activities,
+ (SELECT string_agg(ts || ':' || contact || ':' || coalesce(CAST(stop_id AS VARCHAR), '-'), ',' ORDER BY ts DESC, contact DESC, stop_id DESC) FROM m) AS encounters FROM profiles WHERE uid = 7"""
+)
 def timeline_agent_detail(spark, sf):
     d = timeline.agent_detail(views.stops(spark, sf), views.intervals(spark, sf), views.encounters(spark, sf), views.profiles(spark, sf), 7)
-    return d.select("uid", "gender", "job", F.size("trips").cast("long").alias("trips"))
+    text = lambda c, *fields: F.array_join(F.transform(c, lambda x: F.concat_ws(":", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])), ",").alias(c)
+    return d.select("uid", "gender", "job", text("trips", "stop_id", "purpose"), text("activities", "seq", "activity"), text("encounters", "ts", "contact", "stop_id"))
 
 
 @query()
 def report_all_sections(spark, sf):
     p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
-    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("distributions", "activity", "motifs", "cpc", "laws", "transport"))
+    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"))
     return rows.select("filter_key", "metric_name", F.round("value", 6).alias("value"), "unit")
 
 
+@query(
+    f"SELECT 'all' AS filter_key, 'cpc_' || res AS metric_name, cpc AS value, CAST(NULL AS VARCHAR) AS unit FROM ({mobility.ORACLE['od_common_part_of_commuters']}) UNION ALL SELECT 'all', 'jsd_activity', jsd, NULL FROM ({mobility.ORACLE['distance_jensen_shannon_activity']})"
+    f" UNION ALL SELECT 'all', 'jsd_transitions', jsd, NULL FROM ({behaviour.ORACLE['activity_transition_divergence']}) UNION ALL SELECT 'all', 'jsd_daily_profile', jsd, NULL FROM ({behaviour.ORACLE['activity_daily_profile_divergence']})"
+    f" UNION ALL SELECT 'all', 'jsd_motifs', jsd, NULL FROM ({behaviour.ORACLE['motif_divergence']})"
+)
+def report_divergence_sections(spark, sf):
+    p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
+    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("cpc", "activity", "motifs"))
+    return rows.select("filter_key", "metric_name", F.round("value", 9).alias("value"), "unit")
+
+
 @query(f"WITH r AS (SELECT unnest(range(CAST(floor((48.80 + 90) * 64) AS BIGINT), CAST(floor((48.86 + 90) * 64) AS BIGINT) + 1)) AS y), c AS (SELECT unnest(range(CAST(floor((2.25 + 180) * 64) AS BIGINT), CAST(floor((2.33 + 180) * 64) AS BIGINT) + 1)) AS x), t AS (SELECT {7 << 52} + y * {1 << 26} + x AS tile_id, (y + 0.5) / 64 - 90 AS lat, (x + 0.5) / 64 - 180 AS lng FROM r, c), " + common("pings").removeprefix("WITH ") + f", n AS (SELECT {cell_sql(7)} AS tile_id, count(*) AS k FROM pings GROUP BY 1) SELECT CAST(tile_id AS BIGINT) AS tile_id, round(lat, 9) AS lat, round(lng, 9) AS lng, coalesce(k, 0) AS total_poi_count FROM t LEFT JOIN n USING (tile_id) WHERE lat BETWEEN 48.80 AND 48.86 AND lng BETWEEN 2.25 AND 2.33")
 def tessellation_cover(spark, sf):
     t = tessellation.with_counts(tessellation.cover(spark, (2.25, 48.80, 2.33, 48.86), 7), views.pings(spark, sf), 7)
     return t.select("tile_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), "total_poi_count")
 
 
-@query()
+TILES_9 = f"r AS (SELECT unnest(range(CAST(floor((48.80 + 90) * 256) AS BIGINT), CAST(floor((48.86 + 90) * 256) AS BIGINT) + 1)) AS y), c AS (SELECT unnest(range(CAST(floor((2.25 + 180) * 256) AS BIGINT), CAST(floor((2.33 + 180) * 256) AS BIGINT) + 1)) AS x), t AS (SELECT CAST({9 << 52} + y * {1 << 26} + x AS BIGINT) AS tile_id, (y + 0.5) / 256 - 90 AS lat, (x + 0.5) / 256 - 180 AS lng FROM r, c)"
+
+
+@query(
+    common("pings") + f""", {TILES_9}, n AS (SELECT {cell_sql(9)} AS tile_id, count(*) AS k FROM pings GROUP BY 1), w AS (SELECT t.*, row_number() OVER (ORDER BY ln(k) - ln(-ln({draw(42, '0', 'tile_id')})) DESC, tile_id) - 1 AS anchor FROM t JOIN n USING (tile_id) WHERE lat BETWEEN 48.80 AND 48.86 AND lng BETWEEN 2.25 AND 2.33)
+ SELECT anchor, tile_id, round(lat + ({draw(43, 'anchor')} - 0.5) * 2 * 0.4 / 256, 9) AS lat, round(lng + ({draw(44, 'anchor')} - 0.5) * 2 * 0.4 / 256, 9) AS lng FROM w WHERE anchor < 25"""
+)
 def tessellation_home_anchors(spark, sf):
     t = tessellation.with_counts(tessellation.cover(spark, (2.25, 48.80, 2.33, 48.86), 9), views.pings(spark, sf), 9)
-    return tessellation.home_anchors(t, "total_poi_count", 25)
+    return tessellation.home_anchors(t, "total_poi_count", 25).select("anchor", "tile_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"))
 
 
-@query()
-def social_friendships(spark, sf):
-    from ..functions import geo
+@query(common("pings") + f", n AS (SELECT {cell_sql(7)} AS tile_id, count(*) AS total_poi_count FROM pings GROUP BY 1) SELECT tile_id, total_poi_count, CAST(NULL AS BIGINT) AS anchor FROM n UNION ALL SELECT -1 - id, NULL, id FROM range(3) t(id)")
+def set_appended_anchors(spark, sf):
+    """Anchors appended to the tiles: each side lacks a column of the other."""
+    n = views.pings(spark, sf).groupBy(geo.cell("lat", "lng", 7).alias("tile_id")).agg(F.count("*").alias("total_poi_count"))
+    a = spark.range(3).select((-1 - F.col("id")).alias("tile_id"), F.col("id").alias("anchor"))
+    return n.unionByName(a, allowMissingColumns=True)
 
+
+NEAR = ", ".join(str(i * (1 << 26) + j) for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
+@query(
+    common("pings") + f""", h AS (SELECT uid, arg_min(c, datetime) AS home, arg_max(c, datetime) AS work FROM (SELECT *, {cell_sql(7)} AS c FROM pings) GROUP BY uid), a AS (SELECT *, least(greatest(round(exp(1.5 + 0.6 * {normal(42, 'uid')})), 1), 30) AS want FROM h),
+ n AS (SELECT a.uid AS src, b.uid AS dst, want, CASE WHEN a.work = b.work THEN 2.0 ELSE 1.0 END AS weight FROM a JOIN h b ON b.home - a.home IN ({NEAR}) AND a.uid <> b.uid), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ln(weight) - ln(-ln({draw(43, 'src', 'dst')})) DESC, dst) AS draw FROM n)
+ SELECT src, dst, CAST(weight AS DOUBLE) AS weight FROM r WHERE draw <= want"""
+)
+def social_friendships(spark, sf):
     p = views.pings(spark, sf).groupBy("uid").agg(F.min_by(F.struct("lat", "lng"), "datetime").alias("h"), F.max_by(F.struct("lat", "lng"), "datetime").alias("w"))
     return tessellation.friendships(p.select("uid", geo.cell("h.lat", "h.lng", 7).alias("home"), geo.cell("w.lat", "w.lng", 7).alias("work")))
 
 
-@query("SELECT event_id, CASE upper(trim(event_type)) WHEN 'HOME' THEN 'HOME' WHEN 'WORK' THEN 'WORK' ELSE 'OTHER' END AS p FROM events")
+@query(
+    common("pings") + f""" SELECT event_id, purpose AS p, round({hav('lat', 'lng', '48.83', '2.27')}, 6) AS km, {cell_sql(8)} AS cell, round((floor((lat + 90) * 128) + 0.5) / 128 - 90, 9) AS c_lat, round((floor((lng + 180) * 128) + 0.5) / 128 - 180, 9) AS c_lng FROM pings"""
+)
 def sql_registered_functions(spark, sf):
     from ..functions.register import register
 
     register(spark)
-    return views.table(spark, sf, "events").selectExpr("event_id", "purpose_of(event_type) AS p")
+    views.pings(spark, sf).createOrReplaceTempView("pings_sql")
+    return spark.sql("SELECT event_id, purpose_of(purpose) AS p, round(haversine_km(lat, lng, 48.83D, 2.27D), 6) AS km, cell_id(lat, lng, 8) AS cell, round(cell_lat(cell_id(lat, lng, 8)), 9) AS c_lat, round(cell_lng(cell_id(lat, lng, 8)), 9) AS c_lng FROM pings_sql")
+
+
+@query(behaviour.WITH_MOTIFS + " SELECT uid, day, motif FROM m")
+def sql_motif_function(spark, sf):
+    from ..functions.register import register
+
+    register(spark)
+    behaviour._visits(spark, sf).createOrReplaceTempView("visits_sql")
+    return spark.sql("SELECT uid, day, motif_id(transform(array_sort(collect_list(struct(s, node))), x -> x.node)) AS motif FROM (SELECT uid, cast(start_timestamp AS date) AS day, start_timestamp AS s, concat_ws('_', location_id, if(purpose = 'HOME', 'HOME', 'VISIT')) AS node FROM visits_sql) GROUP BY uid, day")
+
+
+@query(common("intervals") + f", {behaviour.SEGMENTS} SELECT uid, activity, CAST(day AS DATE) AS day, a AS seg_start, b AS seg_end FROM seg")
+def sql_midnight_function(spark, sf):
+    from ..functions.register import register
+
+    register(spark)
+    views.intervals(spark, sf).createOrReplaceTempView("intervals_sql")
+    return spark.sql("SELECT uid, activity, m.day, m.seg_start, m.seg_end FROM intervals_sql, LATERAL split_midnight(arrival, departure) m")
 
 
 QUERIES, ORACLE = query.queries, query.oracle
