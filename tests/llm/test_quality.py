@@ -66,6 +66,24 @@ def spark_hash(*values):
     return seed - (1 << 64) if seed >> 63 else seed
 
 
+def ratios(pairs, trusted, buckets):
+    """Mean log ratio of each (doc_id, text), by two multinomials counted one by one."""
+
+    def grams(t):
+        w = [v for v in re.split(r"[\x20\x09-\x0D]+", t or "") if v]
+        h = [spark_hash(v) for v in w]
+        return [x % buckets for x in h] + [spark_hash((a, 8), (b, 8)) % buckets for a, b in zip(h, h[1:], strict=False)] + [spark_hash((0, 4), v[-3:]) % buckets for v in w]
+
+    raw, target = Counter(), Counter()
+    each = [grams(t) for _, t in pairs]
+    for (i, _), g in zip(pairs, each, strict=True):
+        raw.update(g)
+        if i in trusted:
+            target.update(g)
+    n, m = sum(raw.values()) + 0.5 * buckets, sum(target.values()) + 0.5 * buckets
+    return [sum(math.log((target[b] + 0.5) / m) - math.log((raw[b] + 0.5) / n) for b in g) / max(len(g), 1) for g in each]
+
+
 def test_ratio_against_brute_force(spark, docs_of):
     """Two multinomials over hashed words, pairs and word endings, counted one by one."""
     rng = random.Random(1)
@@ -74,19 +92,7 @@ def test_ratio_against_brute_force(spark, docs_of):
     labels = spark.createDataFrame([(i, 1, i % 5 == 0) for i in range(0, len(texts), 3)], "doc_id long, quality long, toxic boolean").selectExpr("doc_id", "quality", "cast(toxic as long) toxic")
     trusted = {i for i in range(0, len(texts), 3) if i % 5}
 
-    def grams(t):
-        w = [v for v in re.split(r"[\x20\x09-\x0D]+", t or "") if v]
-        h = [spark_hash(v) for v in w]
-        return [x % 97 for x in h] + [spark_hash((a, 8), (b, 8)) % 97 for a, b in zip(h, h[1:], strict=False)] + [spark_hash((0, 4), v[-3:]) % 97 for v in w]
-
-    raw, target = Counter(), Counter()
-    for i, t in pairs:
-        raw.update(grams(t))
-        if i in trusted:
-            target.update(grams(t))
-    log = lambda c, b: math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * 97))
-    mean = lambda g: sum(log(target, b) - log(raw, b) for b in g) / max(len(g), 1)
-    want = sorted((str(i), round(mean(grams(t)), 6)) for i, t in pairs)
+    want = sorted((str(i), round(x, 6)) for (i, _), x in zip(pairs, ratios(pairs, trusted, 97), strict=True))
     got = quality.score_documents(docs_of(pairs), labels, buckets_=97).collect()
     assert sorted((str(r.doc_id), round(r.llr, 6) + 0.0) for r in got) == [(i, x + 0.0) for i, x in want]
     assert all(r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD) for r in got)
