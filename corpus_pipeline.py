@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wanderframe.llm import bpe, decontaminate, pii, quality, simhash
 from wanderframe.llm.common import work_dir
-from wanderframe.llm.queries import PSEUDONYM_KEY, WORD_BPE
+from wanderframe.llm.queries import WORD_BPE, pseudonym_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data in the texts; ``n_chars`` follows the new text."""
-    clean = pii.pseudonymize_documents(docs, PSEUDONYM_KEY, counts=None, spans=None)
+    clean = pii.pseudonymize_documents(docs, pseudonym_key(spark), counts=None, spans=None)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
