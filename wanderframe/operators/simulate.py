@@ -54,18 +54,24 @@ def repaired(profiles: DataFrame, scores: DataFrame, threshold: float = 0.2, see
     return j.drop("coherence")
 
 
-def workplaces(homes: DataFrame, places: DataFrame, km: float = 30.0, rate: float = -2.0, seed: int = 45) -> DataFrame:
-    """(uid, work): a place by gravity among those within the distance of home.
+def within(points: DataFrame, places: DataFrame, km: float) -> DataFrame:
+    """(uid, place, relevance, d): the places within the distance of each agent's point.
 
-    Agents and places meet in squares of a grid as wide as the distance."""
+    Points and places meet in squares of a grid as wide as the distance."""
     step = km / 111.0
     at = lambda lat, lng: (F.floor(F.col(lat) / step), F.floor(F.col(lng) / (2 * step)))
     hy, hx = at("lat", "lng")
     around = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    h = homes.withColumn("s", F.explode(around)).select("uid", "lat", "lng", (hy + F.col("s.dy")).alias("gy"), (hx + F.col("s.dx")).alias("gx"))
+    h = points.withColumn("s", F.explode(around)).select("uid", "lat", "lng", (hy + F.col("s.dy")).alias("gy"), (hx + F.col("s.dx")).alias("gx"))
     py, px = at("lat", "lng")
     p = places.select(F.col("place"), F.col("lat").alias("plat"), F.col("lng").alias("plng"), "relevance", py.alias("gy"), px.alias("gx"))
     near = h.join(p, ["gy", "gx"]).withColumn("d", haversine("lat", "lng", "plat", "plng")).where(F.col("d") <= km)
+    return near.select("uid", "place", "relevance", "d")
+
+
+def workplaces(homes: DataFrame, places: DataFrame, km: float = 30.0, rate: float = -2.0, seed: int = 45) -> DataFrame:
+    """(uid, work): a place by gravity among those within the distance of home."""
+    near = within(homes, places, km)
     w = near.withColumn("w", deterrence("d", F.lit(1.0), "relevance", rate))
     return weighted(w, ["uid"], "place", "w", 1, seed).select("uid", F.col("place").alias("work"))
 

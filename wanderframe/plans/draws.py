@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
-from ..operators import distance, graph, profiles, sampling, simulate
+from ..operators import distance, graph, profiles, sampling, simulate, windows
 from . import views
 from .mobility import hav
 from .registry import Registry
@@ -210,4 +210,40 @@ def geo_plane_round_trip(spark, sf):
     return q.select("event_id", F.round("la", 7).alias("lat"), F.round("lo", 7).alias("lng"), (geo.haversine("lat", "lng", "la", "lo") < 0.001).alias("back"))
 
 
+def _window(w: int, seed: int = 50) -> str:
+    """SQL of one window: from what agents knew (v), where they were (h) and their ties (t)."""
+    days = f"{min(w + 1, 3)}"
+    seen = " UNION ALL ".join(f"SELECT u, v, day FROM z{k}" for k in range(max(0, w - 2), w + 1))
+    d = hav("q.lat", "q.lng", "p.lat", "p.lng")
+    return f""", s{w} AS (SELECT uid, count(*) AS s FROM v{w} GROUP BY uid), g{w} AS (SELECT uid, {draw(seed + 10 * w + 1, 'uid')} < 0.3 AS social FROM s{w} WHERE {draw(seed + 10 * w, 'uid')} < 0.6 * pow(greatest(s, 1), -0.21)),
+ f{w} AS (SELECT u AS uid, v AS friend, strength FROM t{w} UNION ALL SELECT v, u, strength FROM t{w}), o{w} AS (SELECT uid, place, CAST(n AS DOUBLE) AS w, 2 AS kind FROM v{w}
+ UNION ALL SELECT f.uid, x.place, sum(f.strength * x.n), 0 FROM f{w} f JOIN g{w} g ON g.uid = f.uid AND g.social JOIN v{w} x ON x.uid = f.friend WHERE NOT EXISTS (SELECT 1 FROM v{w} y WHERE y.uid = f.uid AND y.place = x.place) GROUP BY f.uid, x.place
+ UNION ALL SELECT h.uid, p.place, p.relevance * pow(greatest({d}, 0.001), -2.0), 1 FROM h{w} h JOIN g{w} g ON g.uid = h.uid JOIN places q ON q.place = h.place CROSS JOIN places p WHERE {d} <= 30 AND NOT EXISTS (SELECT 1 FROM v{w} y WHERE y.uid = h.uid AND y.place = p.place)),
+ k{w} AS (SELECT uid, kind, place, row_number() OVER (PARTITION BY uid, kind ORDER BY ln(w) - ln(-ln({draw(seed + 10 * w + 2, 'uid', 'kind', 'place')})) DESC, place) AS r FROM o{w} WHERE w > 0), h{w + 1} AS (SELECT uid, arg_min(place, kind) AS place, CAST(min(kind) AS INTEGER) AS kind FROM k{w} WHERE r = 1 GROUP BY uid),
+ v{w + 1} AS (SELECT uid, place, sum(n) AS n FROM (SELECT uid, place, n FROM v{w} UNION ALL SELECT uid, place, 1 FROM h{w + 1}) GROUP BY ALL), c{w} AS (SELECT place FROM h{w + 1} GROUP BY place HAVING count(*) BETWEEN 2 AND 12), z{w} AS (SELECT a.uid AS u, b.uid AS v, {w} AS day FROM h{w + 1} a JOIN h{w + 1} b ON a.place = b.place AND a.uid < b.uid WHERE a.place IN (SELECT place FROM c{w})),
+ m{w} AS (SELECT u, v, count(DISTINCT day) AS met FROM ({seen}) GROUP BY ALL), t{w + 1} AS (SELECT u, v, strength FROM (SELECT u, v, CASE WHEN coalesce(strength, 0) = 0 THEN CASE WHEN coalesce(met, 0) / {days} >= 0.3 THEN 0.2 * met / {days} END
+  ELSE least(1.0, greatest(0.0, strength + 0.2 * coalesce(met, 0) / {days} - CASE WHEN coalesce(met, 0) = 0 THEN 0.05 ELSE 0 END)) END AS strength FROM t{w} FULL JOIN m{w} USING (u, v)) WHERE strength > 0)"""
+
+
+WINDOWS = common("pings", "edges") + ", places AS (SELECT loc AS place, lat, lng, CAST(count(*) AS DOUBLE) AS relevance FROM pings GROUP BY ALL), h0 AS (SELECT uid, arg_min(loc, datetime) AS place FROM pings GROUP BY uid), v0 AS (SELECT uid, place, 1 AS n FROM h0), t0 AS (SELECT u, v, 0.5::DOUBLE AS strength FROM edges WHERE (u + v) % 5 = 0)" + "".join(_window(w) for w in range(3))
+
+
+def _moved(spark, sf):
+    p = views.pings(spark, sf)
+    places = p.groupBy(F.col("loc").alias("place"), "lat", "lng").agg(F.count("*").cast("double").alias("relevance"))
+    homes = p.groupBy("uid").agg(F.min_by("loc", "datetime").alias("place"))
+    ties = views.edges(spark, sf).where("(u + v) % 5 = 0").withColumn("strength", F.lit(0.5))
+    return windows.move_in_windows(homes, places, ties, 3, crowd=12)
+
+
+@query(WINDOWS + " " + " UNION ALL ".join(f"SELECT CAST({w} AS INTEGER) AS \"window\", uid, place, kind FROM h{w + 1}" for w in range(3)))
+def simulate_windows(spark, sf):
+    return _moved(spark, sf)[0]
+
+
+@query(WINDOWS + " SELECT u, v, round(strength, 9) AS strength FROM t3")
+def simulate_window_ties(spark, sf):
+    return _moved(spark, sf)[1].select("u", "v", F.round("strength", 9).alias("strength"))
+
+
 QUERIES, ORACLE = query.queries, query.oracle
