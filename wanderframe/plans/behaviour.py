@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity, distance, graph, laws, profiles, traj
 from . import views
-from .mobility import hav
+from .mobility import W1_BY, hav
 from .registry import Registry
 from .views import common, draw
 
@@ -300,6 +300,23 @@ def graph_triangle_count(spark, sf):
     return graph.triangles(graph.normalized(views.edges(spark, sf))).agg(F.count("*").alias("n"))
 
 
+def _metrics(g: str) -> str:
+    """SQL of degree, clustering and overlap over the edges ``e{g}``, as ``m{g}``."""
+    return f""", n{g} AS (SELECT u AS a, v AS b FROM e{g} UNION ALL SELECT v, u FROM e{g}), d{g} AS (SELECT a AS node, count(*) AS k FROM n{g} GROUP BY a), t{g} AS (SELECT x.a AS node, count(*) AS c FROM n{g} x JOIN n{g} y ON x.a = y.a AND x.b < y.b JOIN e{g} e ON e.u = x.b AND e.v = y.b GROUP BY x.a),
+ o{g} AS (SELECT e.u, e.v, count(y.b) AS common FROM e{g} e LEFT JOIN n{g} x ON x.a = e.u LEFT JOIN n{g} y ON y.a = e.v AND y.b = x.b GROUP BY e.u, e.v), m{g} AS (SELECT 'degree' AS metric, CAST(k AS DOUBLE) AS value FROM d{g} UNION ALL SELECT 'clustering', CASE WHEN k > 1 THEN 2.0 * coalesce(c, 0) / (k * (k - 1)) ELSE 0 END FROM d{g} LEFT JOIN t{g} USING (node)
+ UNION ALL SELECT 'overlap', common / (p.k + q.k - common) FROM o{g} o JOIN d{g} p ON p.node = o.u JOIN d{g} q ON q.node = o.v), y{g} AS (SELECT metric, count(*) AS {g}_n, round(avg(value), 6) AS {g}_mean, round(quantile_cont(value, 0.5), 6) AS {g}_median, round(stddev_pop(value), 6) AS {g}_std, round(quantile_cont(value, 0.1), 6) AS {g}_p10, round(quantile_cont(value, 0.9), 6) AS {g}_p90 FROM m{g} GROUP BY metric)"""
+
+
+@query(
+    common("pings", "edges") + ", " + CO.format(cap=12) + ", esyn AS (SELECT u, v FROM edges), eobs AS (SELECT DISTINCT u, v FROM pr)" + _metrics("syn") + _metrics("obs") + """, vs AS (SELECT metric AS g, round(value, 12) AS v, 0 AS side FROM msyn UNION ALL SELECT metric, round(value, 12), 1 FROM mobs), w AS (SELECT * FROM (WITH x AS (SELECT 1)"""
+    + W1_BY.format(v="v", g="g", t="vs").replace("SELECT g AS g, round(", "SELECT g, round(").replace(", 9) AS w1", ", 5) AS w1") + """)) SELECT y.*, z.* EXCLUDE (metric), w1 AS syn_w1 FROM ysyn y JOIN yobs z USING (metric) JOIN w ON w.g = y.metric"""
+)
+def graph_metric_summaries(spark, sf):
+    co, _ = graph.co_presence(views.pings(spark, sf), 12, location="loc")
+    v = graph.compared({"syn": graph.normalized(views.edges(spark, sf)), "obs": graph.normalized(co)})
+    return v.select("metric", *[F.round(c, 5 if c == "syn_w1" else 6).alias(c) for c in v.columns if c != "metric"])
+
+
 @query()
 def graph_validation(spark, sf):
     e = graph.normalized(views.edges(spark, sf))
