@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import activity, distance, filters, graph, laws, od, profiles, traj, transport
+from ..operators import activity, distance, filters, graph, laws, od, profiles, sampling, traj, transport
 from ..sources import io, schema
 
 SECTIONS = ("distributions", "activity", "motifs", "profiles", "cpc", "stvd", "laws", "transport", "network")
@@ -40,7 +40,7 @@ def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame)
     if name == "activity":
         daily = [activity.daily_profile(v, "start_timestamp", "end_timestamp", "purpose") for v in (vs, vo)]
         return [
-            _row(distance.jensen_shannon(*(distance.shares(v, "purpose") for v in (vs, vo)), ["purpose"], "n"), "jsd_activity", "jsd"),
+            _row(distance.jensen_shannon(*(distance.shares(filters.by_filter(v, "start_timestamp"), "purpose", ["filter_key"]) for v in (vs, vo)), ["purpose"], "n", ["filter_key"]), "jsd_activity", "jsd"),
             _row(distance.jensen_shannon(*(activity.transitions(v) for v in (vs, vo)), ["a", "b"], "n"), "jsd_transitions", "jsd"),
             _row(activity.profile_divergence(*daily), "jsd_daily_profile", "jsd"),
         ]
@@ -68,6 +68,42 @@ def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame)
     raise ValueError(f"unknown section {name}")
 
 
+def _aligned(s: DataFrame, o: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Both sides' values of each key, zero where one lacks it."""
+    a, b = s.select(*keys, F.col(value).alias("synthetic")), o.select(*keys, F.col(value).alias("observed"))
+    return a.join(b, keys, "full_outer").fillna(0.0, ["synthetic", "observed"])
+
+
+def activity_block(vs: DataFrame, vo: DataFrame) -> dict[str, DataFrame]:
+    """What the activity charts show of synthetic and observed visits, in long form: purpose
+    (percent), transition (a, b) and daily (activity, hour) with ``diff``, observed less
+    synthetic, and ``bound``, the largest difference but one at least, for the scale."""
+    share = lambda v: distance.shares(v, "purpose").withColumn("pct", 100 * F.col("share"))
+    purpose = _aligned(share(vs), share(vo), ["purpose"], "pct").select("purpose", F.round("synthetic", 2).alias("synthetic"), F.round("observed", 2).alias("observed"))
+
+    def difference(s: DataFrame, o: DataFrame, keys: list[str]) -> DataFrame:
+        d = _aligned(s, o, keys, "pct").select(*keys, (F.col("observed") - F.col("synthetic")).alias("d"))
+        top = d.agg(F.greatest(F.max(F.abs("d")), F.lit(1.0)).alias("bound"))  # one row
+        return d.join(F.broadcast(top)).select(*keys, F.round("d", 3).alias("diff"), "bound")
+
+    daily = [activity.daily_profile(v, "start_timestamp", "end_timestamp", "purpose") for v in (vs, vo)]
+    return {"purpose": purpose, "transition": difference(activity.transitions(vs), activity.transitions(vo), ["a", "b"]), "daily": difference(*daily, ["activity", "bin"])}
+
+
+def profiles_block(vs: DataFrame, vo: DataFrame, minutes: int = 5, most: int = 4000) -> dict[str, DataFrame]:
+    """What the profile charts show: ``scatter``, at most so many users of each side by md5
+    order, and ``box``, the quartiles of each metric by side and profile."""
+    sides = []
+    for name, v in (("synthetic", vs), ("observed", vo)):
+        kinds = profiles.clustered(profiles.intermittency(profiles.token_steps(v, minutes)))
+        m = profiles.profile_metrics(v).join(kinds.select("uid", "profile", "intermittency", "degree_of_return"), "uid")
+        sides.append(m.withColumn("dataset", F.lit(name)).persist())
+    points = [sampling.hashed_rows(m.select("dataset", "uid", "profile", F.col("degree_of_return").alias("x"), F.col("intermittency").alias("y")), "uid", most) for m in sides]
+    metrics = ("regularity", "diversity", "entropy", "stationarity")
+    long = reduce(DataFrame.unionByName, sides).select("dataset", "profile", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in metrics])).alias("m")).select("dataset", "profile", "m.metric", "m.value")
+    return {"scatter": points[0].unionByName(points[1]), "box": distance.box(long, "value", ["metric", "dataset", "profile"])}
+
+
 def report(synthetic: DataFrame, observed: DataFrame, sections: tuple[str, ...] = SECTIONS, adaptation: str = "auto") -> tuple[DataFrame, list[str]]:
     """(filter_key, metric_name, value, unit) of all sections, and warnings.
 

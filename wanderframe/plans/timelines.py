@@ -298,7 +298,7 @@ def report_all_sections(spark, sf):
 def report_divergence_sections(spark, sf):
     p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
     rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("cpc", "activity", "motifs"))
-    return rows.select("filter_key", "metric_name", F.round("value", 9).alias("value"), "unit")
+    return rows.where("filter_key = 'all'").select("filter_key", "metric_name", F.round("value", 9).alias("value"), "unit")
 
 
 @query(f"WITH r AS (SELECT unnest(range(CAST(floor((48.80 + 90) * 64) AS BIGINT), CAST(floor((48.86 + 90) * 64) AS BIGINT) + 1)) AS y), c AS (SELECT unnest(range(CAST(floor((2.25 + 180) * 64) AS BIGINT), CAST(floor((2.33 + 180) * 64) AS BIGINT) + 1)) AS x), t AS (SELECT {7 << 52} + y * {1 << 26} + x AS tile_id, (y + 0.5) / 64 - 90 AS lat, (x + 0.5) / 64 - 180 AS lng FROM r, c), " + common("pings").removeprefix("WITH ") + f", n AS (SELECT {cell_sql(7)} AS tile_id, count(*) AS k FROM pings GROUP BY 1) SELECT CAST(tile_id AS BIGINT) AS tile_id, round(lat, 9) AS lat, round(lng, 9) AS lng, coalesce(k, 0) AS total_poi_count FROM t LEFT JOIN n USING (tile_id) WHERE lat BETWEEN 48.80 AND 48.86 AND lng BETWEEN 2.25 AND 2.33")
@@ -307,6 +307,47 @@ def tessellation_cover(spark, sf):
     return t.select("tile_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"), "total_poi_count")
 
 
+FILTERS = "k AS (SELECT side, purpose, unnest(list_filter(['all', CASE WHEN isodow(datetime) < 6 THEN 'weekday' ELSE 'weekend' END, CASE WHEN hour(datetime) < 6 THEN 'night' WHEN hour(datetime) < 12 THEN 'morning' WHEN hour(datetime) < 18 THEN 'afternoon' ELSE 'evening' END], lambda x: TRUE)) AS filter_key FROM pings)"
+
+
+@query(
+    common("pings") + f""", {FILTERS}, n AS (SELECT filter_key, purpose, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS o FROM k GROUP BY ALL), p AS (SELECT filter_key, s / sum(s) OVER w AS p, o / sum(o) OVER w AS q FROM n WINDOW w AS (PARTITION BY filter_key))
+ SELECT filter_key, round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * ln(2 * q / (p + q)) ELSE 0 END) / 2, 9) AS value FROM p GROUP BY filter_key"""
+)
+def report_activity_by_filter(spark, sf):
+    p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
+    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("activity",))
+    return rows.where("metric_name = 'jsd_activity'").select("filter_key", F.round("value", 9).alias("value"))
+
+
+def _both(spark, sf):
+    return behaviour._visits(spark, sf, 0), behaviour._visits(spark, sf, 1)
+
+
+@query(common("pings") + ", n AS (SELECT purpose, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS o FROM pings GROUP BY 1) SELECT purpose, round(100.0 * s / sum(s) OVER (), 2) AS synthetic, round(100.0 * o / sum(o) OVER (), 2) AS observed FROM n")
+def report_purpose_bars(spark, sf):
+    return compare.activity_block(*_both(spark, sf))["purpose"]
+
+
+DIFFERENCE = """, d AS (SELECT {k}, coalesce(o.pct, 0) - coalesce(s.pct, 0) AS d FROM s FULL JOIN o USING ({k})) SELECT {k}, round(d, 3) AS diff, round(greatest((SELECT max(abs(d)) FROM d), 1.0), 6) AS bound FROM d"""
+
+
+@query(common("visits") + "".join(f", {n} AS (SELECT a, b, 100.0 * n / sum(n) OVER () AS pct FROM ({behaviour.TRANSITIONS.format(where=f'WHERE side = {i}')}))" for i, n in enumerate("so")) + DIFFERENCE.format(k="a, b"))
+def report_transition_difference(spark, sf):
+    return compare.activity_block(*_both(spark, sf))["transition"].withColumn("bound", F.round("bound", 6))
+
+
+@query(common("visits") + "".join(f", {n} AS (SELECT activity, bin, 100.0 * seconds / sum(seconds) OVER (PARTITION BY bin) AS pct FROM ({behaviour._bins('visits', 'purpose', 60, f'AND side = {i}')}))" for i, n in enumerate("so")) + DIFFERENCE.format(k="activity, bin"))
+def report_daily_difference(spark, sf):
+    return compare.activity_block(*_both(spark, sf))["daily"].withColumn("bound", F.round("bound", 6))
+
+
+@query()
+def report_profile_boxes(spark, sf):
+    b = compare.profiles_block(*_both(spark, sf), minutes=60)["box"]
+    return b.select("metric", "dataset", "profile", *[F.round(c, 6).alias(c) for c in ("least", "q1", "median", "q3", "most")])
+
+
 TILES_9 = f"r AS (SELECT unnest(range(CAST(floor((48.80 + 90) * 256) AS BIGINT), CAST(floor((48.86 + 90) * 256) AS BIGINT) + 1)) AS y), c AS (SELECT unnest(range(CAST(floor((2.25 + 180) * 256) AS BIGINT), CAST(floor((2.33 + 180) * 256) AS BIGINT) + 1)) AS x), t AS (SELECT CAST({9 << 52} + y * {1 << 26} + x AS BIGINT) AS tile_id, (y + 0.5) / 256 - 90 AS lat, (x + 0.5) / 256 - 180 AS lng FROM r, c)"
 
 
