@@ -98,6 +98,13 @@ def test_ratio_against_brute_force(spark, docs_of):
     assert all(r.kept == (not r.base_failed and r.llr >= quality.THRESHOLD) for r in got)
 
 
+def test_clashing_names(spark, docs_of):
+    none = spark.createDataFrame([], "doc_id long, quality long, toxic long")
+    docs = docs_of([(1, TEXTS[11])]).withColumnsRenamed({"lang": "__h", "source": "__text", "n_chars": "__good"})
+    r = quality.score_documents(docs, none)
+    assert r.columns[:5] == ["doc_id", "text", "__h", "__text", "__good"] and r.first()["__h"] == "en"
+
+
 def test_a_very_long_text(spark, docs_of):
     none = spark.createDataFrame([], "doc_id long, quality long, toxic long")
     text = " ".join(f"w{i % 70_001}" for i in range(140_000)) + " one two three four one two three"

@@ -85,6 +85,18 @@ def test_empty_and_singles(spark, docs_of):
     assert r.component_id == 1 and int(r.f, 16) == slow_fingerprint("alone")
 
 
+def test_a_very_long_text_and_clashing_names(spark, docs_of):
+    text = " ".join(f"w{i * 7919 % 5003}" for i in range(60_000))
+    docs = docs_of([(1, text), (2, text + " tail"), (3, "alone")])
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs, carry=("lang",)).collect()}
+    assert got[1].fp % (1 << 64) == slow_fingerprint(text) and got[2].component_id == 1 and got[3].component_id == 3 and got[1].lang == "en"
+    with pytest.raises(ValueError, match="fp"):
+        simhash.near_duplicates(docs, carry=("fp",))
+    odd = docs.withColumnsRenamed({"lang": "__row", "source": "content", "kept": "k"})
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and {r.doc_id: r["__row"] for r in kept.collect()} == {1: "en", 3: "en"}
+
+
 def survivors(texts, words=5, similarity=0.8):
     """Indices that stay of ``texts``, by all pairs."""
     sets = [{hash(tuple(w[i : i + words])) for i in range(len(w) - words + 1)} for w in map(str.split, texts)]

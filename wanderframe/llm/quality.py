@@ -112,9 +112,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     multinomial covers every document.  Null texts are as empty: no words, base_failed.  A
     document without words has ratio 0.  Without trusted documents every ratio is 0 and the
     base rules decide alone.  A null doc_id is never trusted; repeated rows count each.
+    Columns of any other name pass through.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
-    docs = docs.select(*[docs[c] for c in docs.columns if c not in names])
+    own = [c for c in docs.columns if c not in names]
+    # Under names of their own, so that none clashes with a column on the way.
+    docs = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(own)])
+    doc_id, text = (f"c{own.index(c)}" for c in (doc_id, text))
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__good")).distinct()
     good = good.orderBy(F.xxhash64("__good"), "__good").limit(trusted).withColumn("__trusted", F.lit(True))
     words = with_words(docs, text, counts=False, buckets_=buckets_)
@@ -126,4 +130,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     out = repeated_words(once(with_words(docs, text, buckets_=buckets_), llr=F.round(sums / grams, 9)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
-    return out.select(*docs.columns, *names)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(own)], *names)

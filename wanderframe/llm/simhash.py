@@ -149,8 +149,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", tex
     Fingerprints at two or fewer differing bits are linked; ``component_id`` is the smallest
     doc_id reachable and ``root`` the least fingerprint.  Null, empty and wordless texts have
     fingerprint zero and link like any other.  A null doc_id is never the smallest unless a
-    component has no other.  Repeated rows each keep their row.
+    component has no other.  Repeated rows each keep their row.  Columns that are not carried
+    are not read, whatever their names; a carried one may not be named as a result's.
     """
+    if clash := {"doc_id", "fp", "root", "component_id"} & set(carry):
+        raise ValueError(f"carried columns named as results: {', '.join(sorted(clash))}")
     rows = stored(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), *carry, F.col(text).alias("text")), ["doc_id", *carry], words))
     ids = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(ids.select("fp")))
@@ -351,8 +354,11 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     who share one, every pair is compared that other links do not connect already.
     Of a group stays the row of the smallest doc_id (null last), and among rows of one doc_id
     the one with the least hash of its content; of rows alike in id and text one stays.
-    Texts without words form one group.
+    Texts without words form one group.  All columns pass through, whatever their names.
     """
+    names = docs.columns
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = (f"c{names.index(c)}" for c in (doc_id, text))
     keyed = docs.withColumn("__row", F.xxhash64(F.col(doc_id), F.col(text)))
     own = stored(sketches(keyed.select(F.col(text).cast("string").alias("text"), F.col(doc_id).cast("long").alias("doc_id"), F.col("__row").alias("row")), words), "sketches")
     nodes = stored(own.groupBy("content").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")), "nodes")
@@ -370,4 +376,4 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: s
     # The row key covers id and text: one shuffle of the texts serves the join and what follows.
     kept = keyed.join(best, "__row", "left_semi")
     # Rows alike in id and text share a row key; the rest are single already.
-    return kept.dropDuplicates(["__row", doc_id]).drop("__row")
+    return kept.dropDuplicates(["__row", doc_id]).drop("__row").toDF(*names)
