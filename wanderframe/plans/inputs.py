@@ -24,6 +24,33 @@ def source_csv_scan(spark, sf):
     return io.csv(spark, at, "c_custkey long, c_mktsegment string, c_acctbal double").where("c_acctbal > 0")
 
 
+@query("SELECT r_regionkey AS id, r_name AS name FROM region")
+def source_stata_scan(spark, sf):
+    from io import BytesIO
+
+    from ..sources.work import hadoop
+
+    rows = table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name")).toPandas()
+    made = BytesIO()
+    rows.to_stata(made, write_index=False)
+    at = scratch(spark, "region") + ".dta"
+    fs, path = hadoop(spark, at)
+    sink = fs.create(path, True)
+    sink.write(bytearray(made.getvalue()))
+    sink.close()
+    return io.stata(spark, at).select(F.col("id").cast("long").alias("id"), "name")
+
+
+@query("SELECT c_custkey AS id FROM (SELECT c_custkey, c_custkey % 360 - 180.0 AS x, c_custkey % 170 - 85.0 AS y FROM customer WHERE c_custkey % 2 = 0) WHERE x <= -60 AND x + 1 >= -150 AND y <= 20 AND y + 1 >= -40")
+def source_geo_box(spark, sf):
+    """A table of boxes in two partitions, of which one is read."""
+    x, y = F.col("c_custkey") % 360 - 180.0, F.col("c_custkey") % 170 - 85.0
+    boxes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.struct(x.alias("xmin"), (x + 1).alias("xmax"), y.alias("ymin"), (y + 1).alias("ymax")).alias("bbox"), F.when(F.col("c_custkey") % 2 == 0, "place").otherwise("building").alias("type"))
+    at = scratch(spark, "geo")
+    boxes.write.partitionBy("type").parquet(at)
+    return io.geo_parquet(spark, at, (-150.0, -40.0, -60.0, 20.0), ["id"], type="place")
+
+
 NETWORK = "few AS (SELECT DISTINCT u, v FROM edges WHERE u < 60 AND v < 60)"
 
 
@@ -57,8 +84,9 @@ def source_discovered_runs(spark, sf):
 def source_derived_table(spark, sf):
     at = scratch(spark, "derived")
     build = lambda: table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    io.derived(spark, at, "counts", ["a"], build)
-    return io.derived(spark, at, "counts", ["a"], lambda: build().limit(0))
+    inputs = [f"{sf}/events.parquet"]
+    io.derived(spark, at, "counts", ["a"], build, inputs)
+    return io.derived(spark, at, "counts", ["a"], lambda: build().limit(0), inputs)
 
 
 @query("SELECT 'fresh' AS step, CAST(1 AS BIGINT) AS builds UNION ALL SELECT 'kept', 1 UNION ALL SELECT 'stale', 2 UNION ALL SELECT 'changed', 3")

@@ -7,6 +7,7 @@ import json
 import re
 import threading
 from collections.abc import Callable, Iterable
+from io import BytesIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,10 +39,10 @@ def csv(spark: SparkSession, path: str, schema: str, header: bool = True) -> Dat
 
 
 def stata(spark: SparkSession, path: str) -> DataFrame:
-    """A Stata file read on the driver; large ones belong in Parquet first."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_stata(path, convert_categoricals=False))
+    """A Stata file, from any file system that Spark reads, parsed on the driver: the format
+    cannot be split, and one file is one array there.  Large ones belong in Parquet first."""
+    raw = spark.read.format("binaryFile").load(path).select("content").first()[0]
+    return spark.createDataFrame(pd.read_stata(BytesIO(raw), convert_categoricals=False))
 
 
 def social_network(spark: SparkSession, path: str, visible: int = 2000) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +69,15 @@ def in_box(df: DataFrame, west: float, south: float, east: float, north: float,
     return df.where((F.col(f"{bbox}.xmin") <= east) & (F.col(f"{bbox}.xmax") >= west) & (F.col(f"{bbox}.ymin") <= north) & (F.col(f"{bbox}.ymax") >= south))
 
 
+def geo_parquet(spark: SparkSession, path: str, box: tuple[float, float, float, float], columns: Iterable[str] = (), bbox: str = "bbox", **partitions: str) -> DataFrame:
+    """Rows of a hive-partitioned geo table, local or remote, that meet (west, south, east,
+    north), with the partitions named: both prune what is read."""
+    df = in_box(spark.read.parquet(path), *box, bbox=bbox)
+    for name, value in partitions.items():
+        df = df.where(F.col(name) == value)
+    return df.select(*columns) if columns else df
+
+
 def schema_rows(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 
@@ -139,9 +149,10 @@ def run_summary(df: DataFrame, schema: TrajSchema | None = None) -> DataFrame:
     return t.agg(F.count("*").alias("n_rows"), F.countDistinct("uid").alias("n_users"), F.min("datetime").cast("string").alias("first"), F.max("datetime").cast("string").alias("last"))
 
 
-def derived(spark: SparkSession, folder: str, name: str, key_parts: Iterable, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table kept under a key of its inputs; built when it is not there yet."""
-    key = hashlib.sha256("\0".join(map(str, key_parts)).encode()).hexdigest()[:24]
+def derived(spark: SparkSession, folder: str, name: str, key_parts: Iterable, build: Callable[[], DataFrame], inputs: Iterable[str] = ()) -> DataFrame:
+    """A derived table kept under a key of its parts and of the times its input files last
+    changed; built when it is not there yet."""
+    key = hashlib.sha256("\0".join(map(str, [*key_parts, *(changed(spark, p) for p in inputs)])).encode()).hexdigest()[:24]
     path = f"{folder}/{name}-{key}.parquet"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
