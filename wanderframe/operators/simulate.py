@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,15 +78,26 @@ def workplaces(homes: DataFrame, places: DataFrame, km: float = 30.0, rate: floa
     return weighted(w, ["uid"], "place", "w", 1, seed).select("uid", F.col("place").alias("work"))
 
 
+def drawn_number(seed: int, *values) -> float:
+    """What :func:`uniform` gives for these values, outside of Spark."""
+    return (int(hashlib.md5("|".join(map(str, (seed, *values))).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+
+def fallen(weights: np.ndarray, u: float) -> int:
+    """The place at which a share of the whole falls into the running sum of the weights."""
+    run = np.cumsum(weights)
+    return min(int(np.searchsorted(run, u * run[-1], "right")), int(np.flatnonzero(weights)[-1]))
+
+
 def choose_diaries(bank: DataFrame, days: int, seed: int = 42) -> DataFrame:
     """(agent, day, day_type, diary_id): a day's diary is one used before, by its count, or a
     new one, by alpha, each times exp(similarity / T): a restaurant process in days.
 
-    The days of an agent depend on each other; agents are groups of their own."""
+    A day's draw falls into the weights' running sum in order of the diaries.  The days of an
+    agent depend on each other; agents are groups of their own."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         agent = int(pdf["agent"].iloc[0])
-        rng = np.random.default_rng([seed, agent])
         used = dict.fromkeys(pdf["diary_id"], 0)
         rows = []
         for day in range(days):
@@ -96,7 +109,7 @@ def choose_diaries(bank: DataFrame, days: int, seed: int = 42) -> DataFrame:
             n = np.array([used[d] for d in pool["diary_id"]], float)
             fresh = max(1, int((n == 0).sum()))
             w = np.where(n > 0, n, pool["alpha_a"].to_numpy() / fresh) * np.exp((s - s.max()) / pool["T_a"].to_numpy())
-            pick = pool["diary_id"].iloc[int(rng.choice(len(w), p=w / w.sum()))]
+            pick = pool["diary_id"].iloc[fallen(w, drawn_number(seed, agent, day))]
             used[pick] += 1
             rows.append((agent, day, kind, pick))
         return pd.DataFrame(rows, columns=["agent", "day", "day_type", "diary_id"])
@@ -108,8 +121,8 @@ def explore_and_return(spark: SparkSession, places: DataFrame, agents: int, step
     """(uid, step, place, lat, lng): exploration and preferential return on a gravity field.
 
     With chance rho S ** -gamma an agent of S known places explores, by relevance and
-    distance from where it is; else it returns by how often it has been there.  The places
-    are a bounded table (``limit``) that every task holds; agents are independent."""
+    distance from where it is; else it returns by how often it has been there.  A draw falls
+    into the weights' running sum in order of the places.  The places are a bounded table (``limit``) that every task holds; agents are independent."""
     table = places.select("loc", "lat", "lng", "relevance").orderBy("loc").limit(limit + 1).toPandas()
     if len(table) > limit:
         raise ValueError(f"more than {limit} places: coarsen the tessellation first")
@@ -121,22 +134,22 @@ def explore_and_return(spark: SparkSession, places: DataFrame, agents: int, step
         for pdf in batches:
             rows = []
             for uid in pdf["uid"]:
-                rng = np.random.default_rng([seed, int(uid)])
-                here = int(rng.choice(len(ids), p=mass / mass.sum()))
+                here = fallen(mass, drawn_number(seed, uid, -1))
                 count = {here: 1}
                 for step in range(steps):
                     rows.append((int(uid), step, int(ids[here]), lat[here], lng[here]))
-                    if rng.random() < rho * len(count) ** -gamma and len(count) < len(ids):
+                    u = drawn_number(seed, uid, step, 1)
+                    if drawn_number(seed, uid, step, 0) < rho * len(count) ** -gamma and len(count) < len(ids):
                         p, q = np.radians(lat), np.radians(lat[here])
                         a = np.sin((p - q) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lng - lng[here]) / 2) ** 2
                         d = np.maximum(2 * 6371.0088 * np.arcsin(np.sqrt(a)), 0.001)
                         w = mass * d**power
                         w[list(count)] = 0
-                        here = int(rng.choice(len(ids), p=w / w.sum()))
+                        here = fallen(w, u)
                     else:
                         known = sorted(count)
                         w = np.array([count[k] for k in known], float)
-                        here = known[int(rng.choice(len(known), p=w / w.sum()))]
+                        here = known[fallen(w, u)]
                     count[here] = count.get(here, 0) + 1
             yield pd.DataFrame(rows, columns=["uid", "step", "place", "lat", "lng"])
 

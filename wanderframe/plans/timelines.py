@@ -236,16 +236,31 @@ def stream_stays(spark, sf):
 # Generation ------------------------------------------------------------------------------------------------
 
 
-@query()
+DIARIES = f"""WITH RECURSIVE {CRP}, bank AS (SELECT agent, day_type, diary_id, max(sim) AS sim FROM c GROUP BY ALL), top AS (SELECT agent, day_type, max(sim) AS top FROM bank GROUP BY ALL),
+ r(agent, day, pick, used) AS (SELECT DISTINCT agent, -1, NULL::VARCHAR, []::VARCHAR[] FROM bank UNION ALL SELECT agent, day, pick, list_append(used, pick) FROM (SELECT agent, day, any_value(used) AS used, arg_min(diary_id, run) FILTER (WHERE run > u * total) AS pick FROM (SELECT *, sum(w) OVER (PARTITION BY agent ORDER BY diary_id) AS run, sum(w) OVER (PARTITION BY agent) AS total, {draw(42, 'agent', 'day')} AS u FROM
+  (SELECT *, CASE WHEN n > 0 THEN n ELSE 1.5 / greatest(1, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY agent)) END * exp((sim - top) / 0.5) AS w FROM (SELECT r.agent, r.day + 1 AS day, r.used, b.diary_id, b.sim, t.top, len(list_filter(r.used, lambda x: x = b.diary_id)) AS n
+   FROM r JOIN bank b ON b.agent = r.agent AND b.day_type = CASE WHEN (r.day + 1) % 7 >= 5 THEN 'we' ELSE 'wd' END JOIN top t ON t.agent = b.agent AND t.day_type = b.day_type WHERE r.day < 13))) GROUP BY agent, day))"""
+
+
+@query(DIARIES + " SELECT agent, CAST(day AS BIGINT) AS day, CASE WHEN day % 7 >= 5 THEN 'we' ELSE 'wd' END AS day_type, pick AS diary_id FROM r WHERE day >= 0")
 def simulate_diary_choice(spark, sf):
     c = _crp(spark, sf).groupBy("agent", "day_type", "diary_id").agg(F.max("sim").alias("sim"), F.max("T_a").alias("T_a"), F.max("alpha_a").alias("alpha_a"))
     return simulate.choose_diaries(c, 14)
 
 
-@query()
+TRAILS = (
+    common("pings").replace("WITH", "WITH RECURSIVE", 1) + f""", pl AS (SELECT row_number() OVER (ORDER BY loc) - 1 AS i, loc, lat, lng, CAST(count(*) AS DOUBLE) AS mass FROM pings GROUP BY loc, lat, lng), m AS (SELECT *, sum(mass) OVER (ORDER BY i) AS run, sum(mass) OVER () AS total FROM pl), a AS (SELECT id + 1 AS uid FROM range(60) t(id)),
+ r(uid, step, here, seen) AS (SELECT uid, 0, arg_min(i, run), [arg_min(i, run)] FROM a JOIN m ON run > total * {draw(42, 'uid', '-1')} GROUP BY uid
+ UNION ALL SELECT uid, step + 1, pick, list_append(seen, pick) FROM (SELECT uid, step, any_value(seen) AS seen, arg_min(i, run) FILTER (WHERE w > 0 AND run > total * u) AS pick FROM (SELECT *, sum(w) OVER (PARTITION BY uid ORDER BY i) AS run, sum(w) OVER (PARTITION BY uid) AS total, {draw(42, 'uid', 'step', '1')} AS u FROM
+  (SELECT *, CASE WHEN {draw(42, 'uid', 'step', '0')} < 0.6 * pow(known, -0.21) AND known < (SELECT count(*) FROM pl) THEN CASE WHEN n = 0 THEN mass * pow(greatest(d, 0.001), -2.0) ELSE 0 END ELSE n END AS w
+   FROM (SELECT r.uid, r.step, r.seen, p.i, p.mass, len(list_filter(r.seen, lambda x: x = p.i)) AS n, len(list_distinct(r.seen)) AS known, {hav('q.lat', 'q.lng', 'p.lat', 'p.lng')} AS d FROM r JOIN pl q ON q.i = r.here CROSS JOIN pl p WHERE r.step < 47))) GROUP BY uid, step))"""
+)
+
+
+@query(TRAILS + " SELECT uid, CAST(step AS BIGINT) AS step, loc AS place, round(lat, 9) AS lat, round(lng, 9) AS lng FROM r JOIN pl ON pl.i = r.here")
 def simulate_trajectories(spark, sf):
     places = views.pings(spark, sf).groupBy("loc", "lat", "lng").agg(F.count("*").cast("double").alias("relevance"))
-    return simulate.explore_and_return(spark, places, agents=60, steps=48)
+    return simulate.explore_and_return(spark, places, agents=60, steps=48).select("uid", "step", "place", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"))
 
 
 @query("SELECT user_id % 3 AS dataset, event_type AS variant, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, count(*) AS n FROM events GROUP BY ALL")
