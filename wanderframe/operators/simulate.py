@@ -263,7 +263,6 @@ def micro_activities(stops: DataFrame, kappa: float = 1.0, seed: int = 47) -> Da
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         uid = int(pdf["uid"].iloc[0])
-        rng = np.random.default_rng([seed, uid])
         done = np.zeros(len(ACTIVITIES))
         rows = []
         for r in pdf.sort_values(["arrival", "stop_id"]).itertuples():
@@ -272,8 +271,10 @@ def micro_activities(stops: DataFrame, kappa: float = 1.0, seed: int = 47) -> Da
             at, seq = r.arrival, 0
             while at < r.departure:
                 w = done[fits] + kappa / len(fits)
-                i = int(rng.choice(fits, p=w / w.sum()))
-                hours = max(float(np.exp(ACTIVITIES[i][1] + ACTIVITIES[i][2] * rng.normal())), 1 / 60)
+                u = [drawn_number(seed, uid, r.stop_id, seq, k) for k in range(3)]
+                i = int(fits[fallen(w, u[0])])
+                z = np.sqrt(-2 * np.log(u[1])) * np.cos(6.283185307179586 * u[2])
+                hours = max(float(np.exp(ACTIVITIES[i][1] + ACTIVITIES[i][2] * z)), 1 / 60)
                 end = min(r.departure, at + pd.Timedelta(seconds=round(hours * 3600)))
                 rows.append((uid, int(r.stop_id), seq, ACTIVITIES[i][0], at, end))
                 done[i] += 1

@@ -270,7 +270,19 @@ def simulate_ablation_summary(spark, sf):
     return s.select("dataset", "variant", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n")
 
 
-@query()
+ACTS = ", ".join(f"({i}, '{a}', {mu}::DOUBLE, {sd}::DOUBLE, {list(ok)}::BIGINT[])" for i, (a, mu, sd, ok) in enumerate(simulate.ACTIVITIES) if a not in ("commute", "travel"))
+_U = [draw(47, "uid", "stop_id", "seq", str(k)) for k in range(3)]
+CHAINS = (
+    common("stops").replace("WITH", "WITH RECURSIVE", 1) + f""", acts AS (SELECT * FROM (VALUES {ACTS}) t(i, activity, mu, sd, ok)), st AS (SELECT uid, stop_id, arrival, departure, CASE purpose WHEN 'HOME' THEN 0 WHEN 'WORK' THEN 1 ELSE 2 END AS kind, row_number() OVER (PARTITION BY uid ORDER BY arrival, stop_id) AS k FROM stops WHERE arrival < departure),
+ r(uid, k, stop_id, seq, activity, beg, fin, dep, done) AS (SELECT DISTINCT uid, 0::BIGINT, -1::BIGINT, -1::BIGINT, NULL::VARCHAR, NULL::TIMESTAMP, NULL::TIMESTAMP, NULL::TIMESTAMP, []::INTEGER[] FROM st
+ UNION ALL SELECT uid, k, stop_id, seq, activity, beg, least(departure, beg + to_seconds(CAST(round(greatest(exp(mu + sd * sqrt(-2 * ln({_U[1]})) * cos(6.283185307179586 * {_U[2]})), 1 / 60.0) * 3600) AS BIGINT))), departure, list_append(done, i) FROM
+ (SELECT uid, k, stop_id, seq, beg, departure, any_value(done) AS done, arg_min(i, run) FILTER (WHERE hit) AS i, arg_min(activity, run) FILTER (WHERE hit) AS activity, arg_min(mu, run) FILTER (WHERE hit) AS mu, arg_min(sd, run) FILTER (WHERE hit) AS sd FROM (SELECT *, run > {_U[0]} * total AS hit FROM
+  (SELECT *, sum(w) OVER (PARTITION BY uid ORDER BY i) AS run, sum(w) OVER (PARTITION BY uid) AS total FROM (SELECT n.*, a.i, a.activity, a.mu, a.sd, len(list_filter(n.done, lambda x: x = a.i)) + 1.0::DOUBLE / count(*) OVER (PARTITION BY n.uid) AS w FROM
+   (SELECT r.uid, st.k, st.stop_id, CASE WHEN st.k = r.k THEN r.seq + 1 ELSE 0 END AS seq, CASE WHEN st.k = r.k THEN r.fin ELSE st.arrival END AS beg, st.departure, st.kind, r.done FROM r JOIN st ON st.uid = r.uid AND st.k = CASE WHEN r.fin < r.dep THEN r.k ELSE r.k + 1 END) n JOIN acts a ON list_contains(a.ok, n.kind)))) GROUP BY uid, k, stop_id, seq, beg, departure))"""
+)
+
+
+@query(CHAINS + " SELECT uid, stop_id, seq, activity, beg AS arrival, fin AS departure FROM r WHERE seq >= 0")
 def simulate_micro_activities(spark, sf):
     m = simulate.micro_activities(views.stops(spark, sf))
     return m.select("uid", "stop_id", F.col("seq").cast("long").alias("seq"), "activity", "arrival", "departure")
