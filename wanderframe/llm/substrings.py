@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, pieces, stored
@@ -218,7 +218,8 @@ def sorted_bucket(batches: Iterator[pa.RecordBatch], part: int, look: bool) -> I
 
     Added are ``whole`` (both tokens repeat), ``several`` (its first token goes with several
     second ones), ``one`` (the first of its tokens here), ``n`` (records with its tokens
-    here), ``edge`` (its first token is the bucket's first or last) and ``part``, the bucket."""
+    here), ``tip`` (it stands for the first or last second token of the bucket's first or last
+    first one: at most four records) and ``part``, the bucket."""
     got = list(batches)
     if not sum(b.num_rows for b in got):
         return
@@ -234,9 +235,12 @@ def sorted_bucket(batches: Iterator[pa.RecordBatch], part: int, look: bool) -> I
     group = np.cumsum(new_h) - 1
     several = (np.bincount(group[first]) > 1)[group]
     edge = (h == h[0]) | (h == h[-1])
+    ends = h[first]
+    tip = np.zeros(len(h), bool)
+    tip[first[[0, np.searchsorted(ends, h[0], "right") - 1, np.searchsorted(ends, h[-1]), -1]]] = True
     keep = np.flatnonzero(edge | whole | (several & look))
     out = t.take(pa.array(order[keep]))
-    for name, column in (("whole", whole), ("several", several), ("one", new), ("n", np.repeat(n, n)), ("edge", edge)):
+    for name, column in (("whole", whole), ("several", several), ("one", new), ("n", np.repeat(n, n)), ("tip", tip)):
         out = out.append_column(name, pa.array(column[keep]))
     out = out.append_column("part", pa.array(np.full(len(keep), part, np.int32)))
     yield from out.to_batches(max_chunksize=500_000)
@@ -251,7 +255,7 @@ def ordered(records: DataFrame, look: bool = True) -> tuple[DataFrame, list[Data
     have spreads over as many buckets as it needs."""
     spark = records.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // BUCKET))
-    added = "whole boolean, several boolean, one boolean, n long, edge boolean, part int"
+    added = "whole boolean, several boolean, one boolean, n long, tip boolean, part int"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields] + [added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +266,7 @@ def ordered(records: DataFrame, look: bool = True) -> tuple[DataFrame, list[Data
     found = stored(records.repartitionByRange(parts, "h", "g", "doc_id", "row", "s").mapInArrow(run, schema), "found")
     # The edges of buckets, summed up by each before they meet: of its first and last h, the
     # first and last g, so at most four rows of a bucket.
-    of = Window.partitionBy("part", "h").orderBy("g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tips = found.where("edge AND one").withColumn("low", F.first("g").over(of)).withColumn("high", F.last("g").over(of)).where("g = low OR g = high")
-    tips = stored(tips.select("h", "g", "n", "several", "part"), "tips")
+    tips = stored(found.where("tip").select("h", "g", "n", "several", "part"), "tips")
     by_both = tips.groupBy("h", "g").agg((F.sum("n") > 1).alias("whole_"), F.min("part").alias("part_"))
     by_h = tips.groupBy("h").agg((F.max("several") | (F.min("g") < F.max("g"))).alias("several_"))
     # At most four rows a partition: a bound on what is broadcast.
