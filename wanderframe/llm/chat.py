@@ -15,6 +15,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
 #: Conversations are ranked within blocks of so many ids.
 BLOCK = 1024
+#: The next conversation is sought within blocks of so many ids.
+BRANCH = 64
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -66,7 +68,7 @@ def spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc.spans)
 
 
-def branched(convs: DataFrame, block: int = BLOCK) -> DataFrame:
+def branched(convs: DataFrame, block: int = BRANCH) -> DataFrame:
     """(chosen_id, rejected_id, c, r): each conversation, and the same led on from one of its
     trained turns, the one of number conv_id modulo their count, by the turns that stand
     there and after in the next conversation.
