@@ -56,10 +56,13 @@ def forget(*tables: DataFrame) -> None:
         released(spark)
 
 
-def worker_cache(key: str, make: Callable[[], object]) -> object:
-    """One value per Python worker process, kept across tasks."""
+def worker_cache(key: str, make: Callable[[], object], alone: str | None = None) -> object:
+    """One value per Python worker process, kept across tasks; of the keys that begin with
+    ``alone`` the last one only, so that a worker never holds two large values of a kind."""
     kept = sys.__dict__.setdefault("_wanderframe_cache", {})
     if key not in kept:
+        for old in [k for k in kept if alone and k.startswith(alone)]:
+            del kept[old]
         kept[key] = make()
     return kept[key]
 

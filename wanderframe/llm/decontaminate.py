@@ -240,7 +240,7 @@ def blocks_of(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "
 
 
 def index_of(folder: str) -> Index:
-    """The index of one block of the benchmark, once per worker."""
+    """The index of one block of the benchmark, once per worker, which holds one at a time."""
 
     def make() -> Index:
         import pyarrow.parquet as pq
@@ -255,7 +255,7 @@ def index_of(folder: str) -> Index:
             items += zip(t.column(0).to_pylist(), (x.encode() for x in t.column(1).to_pylist()), strict=True)
         return Index([(-1 if i is None else i, x) for i, x in items])
 
-    return worker_cache(f"benchmark:{folder}", make)
+    return worker_cache(f"benchmark:{folder}", make, alone="benchmark:")
 
 
 def benchmark_classes(benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
