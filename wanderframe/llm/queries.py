@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, ctw, decontaminate, flatfiles, order, pii, quality, simhash, substrings
+from . import audit, bpe, chat, ctw, decontaminate, flatfiles, knn, negatives, order, pii, quality, simhash, substrings
 from .common import stored, work_dir
 
 WORD_BPE = "word_bpe_49k.json"
@@ -79,7 +79,20 @@ def op10_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_training_order, op2_repeated_substrings, op3_quality, op4_bpe, op5_simhash, op6_preferences, op7_pseudonyms, op8_token_counts, op9_decontamination, op10_ctw)}
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_training_order, op2_repeated_substrings, op3_quality, op4_bpe, op5_simhash, op6_preferences, op7_pseudonyms, op8_token_counts, op9_decontamination, op10_ctw, op11_negatives, op12_filter_audit, op13_top_k)}
 
 #: One rendered turn, and the spans of the trained turns of a list of turns, in SQL.
 RENDERED = "'<|im_start|>' || {t}.role || chr(10) || {t}.text || '<|im_end|>' || chr(10)"
@@ -110,5 +123,50 @@ SELECT kind, chosen_id, rejected_id, n_prompt_turns,
   {SPANS.format(p="c")} AS chosen_spans, {SPANS.format(p="r")} AS rejected_spans
 FROM parts"""
 
+#: Vectors of whole numbers, a number for each row; those with unknown components left out.
+VECTORS = """v AS (
+  SELECT row_number() OVER () AS r, vec_id, {label} AS label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+NEGATIVES = f"""
+WITH {VECTORS.format(label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END", scale=256)},
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id, br) <= 5),
+n AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.id, s.br) AS INTEGER) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM n WHERE rank <= 10"""
+TOP_K = f"""
+WITH {VECTORS.format(label="0", scale=64).replace("AND label IS NOT NULL ", "")},
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score,
+    CAST(row_number() OVER (PARTITION BY a.r ORDER BY list_dot_product(a.x, b.x) DESC, b.vec_id, b.r) AS INTEGER) AS rank
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.r <> b.r)
+SELECT * FROM s WHERE rank <= 20"""
+AUDIT = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM t),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, {
+    'A': len(words) < 100, 'B': 100 * len(list_distinct(words)) < 80 * len(words), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+    'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(first < w.doc_id, false)} AS f
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+d AS (
+  SELECT part, good, toxic, map(['A', 'B', 'C', 'D', 'E'], [f.A, f.B, f.C, f.D, f.E]) AS f, CAST(f.A AS INT) + CAST(f.B AS INT) + CAST(f.C AS INT) + CAST(f.D AS INT) + CAST(f.E AS INT) AS fails, count(*) AS n
+  FROM m GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) u(x) WHERE NOT contains(o, x)),
+s AS (SELECT o AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS x, o[1:step - 1] AS before FROM o, range(1, 6) r(step) WHERE length(o) = 5),
+e AS (SELECT d.*, s.*, f[x] AS failed, len(list_filter(string_split(before, ''), lambda b: coalesce(f[b], false))) > 0 AS gone FROM d, s),
+g AS (
+  SELECT part, filter_order, step, x, sum(n) FILTER (NOT failed AND NOT gone) AS kept, sum(n) FILTER (failed AND NOT gone) AS removed, sum(n) FILTER (failed AND gone) AS redundant,
+    sum(n) FILTER (failed AND fails = 1) AS unique_fails, sum(n) FILTER (failed AND NOT gone AND good) AS good_lost, sum(n) FILTER (failed AND NOT gone AND toxic) AS toxic_lost
+  FROM e GROUP BY ALL)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley
+FROM g"""
+
 #: SQL cannot state the others in a time that whole tables allow; tests hold them against brute force.
-ORACLE: dict[str, str] = {"op6_preferences": PREFERENCES}
+ORACLE: dict[str, str] = {"op6_preferences": PREFERENCES, "op11_negatives": NEGATIVES, "op12_filter_audit": AUDIT, "op13_top_k": TOP_K}
