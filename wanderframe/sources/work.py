@@ -57,5 +57,6 @@ def dense_ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(at)
     rows = spark.read.schema(df.schema).parquet(at).select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     files = rows.groupBy("__file").agg(F.count("*").alias("__n"))  # a row for each file
-    before = files.select("__file", (F.sum("__n").over(Window.orderBy("__file")) - F.col("__n")).alias("__before"))
+    number = F.regexp_extract("__file", r"part-(\d+)", 1).cast("long")  # of the range: as text, 100000 would come before 99999
+    before = files.select("__file", (F.sum("__n").over(Window.orderBy(number)) - F.col("__n")).alias("__before"))
     return rows.join(F.broadcast(before), "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
