@@ -41,11 +41,10 @@ def test_neighbours_are_ranked_across_blocks(spark):
         assert sorted(tuple(r) for r in chat.neighbours(convs, block).collect()) == want
 
 
-def brute_branches(convs, block):
-    out = []
+def brute_branches(convs):
+    out, ids = [], sorted(convs)
     for c, turns in convs.items():
-        own = sorted(x for x in convs if x // block == c // block)
-        other = own[(own.index(c) + 1) % len(own)]
+        other = ids[(ids.index(c) + 1) % len(ids)]
         at = [i for i, (r, _) in enumerate(turns) if r == "assistant"]
         if other != c and at:
             k = at[c % len(at)]
@@ -53,15 +52,29 @@ def brute_branches(convs, block):
     return out
 
 
-@pytest.mark.parametrize("block", [2, 4, 1024])
-def test_branches_are_cut_where_they_part(spark, block):
+def cut(c, r):
+    k = next((i for i, (x, y) in enumerate(zip(c, r, strict=False)) if x != y), min(len(c), len(r)))
+    return k, render(c[:k]), render(c[k:]), render(r[k:])
+
+
+def test_branches_are_cut_where_they_part(spark):
     convs = {**CONVS, 7: [("", "")]}
-    got = chat.preferences(chat.branched(frame(spark), block)).collect()
-    want = []
-    for a, b, c, r in brute_branches(convs, block):
-        k = next((i for i, (x, y) in enumerate(zip(c, r, strict=False)) if x != y), min(len(c), len(r)))
-        want.append((a, b, k, render(c[:k]), render(c[k:]), render(r[k:])))
+    got = chat.preferences(chat.branched(frame(spark))).collect()
+    want = [(a, b, *cut(c, r)) for a, b, c, r in brute_branches(convs)]
+    assert sorted((r.chosen_id, r.rejected_id, r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("ids", [range(100), range(0, 6400, 64), range(0, 100_000, 1000), range(-50, 50), [((i * 2654435761) % 2**40 - 2**39) for i in range(100)], [-(2**63), 0, 2**63 - 1], [5]])
+def test_branches_of_any_ids(spark, ids):
+    """Consecutive, spaced, negative, random and extreme ids: a row for every conversation
+    with a trained turn and another one."""
+    convs = {c: [("user", f"q{n % 3}"), ("assistant", f"a{n}"), ("user", "r"), ("assistant", "b" * (n % 4))] for n, c in enumerate(ids)}
+    rows = [(c, i, r, t) for c, turns in convs.items() for i, (r, t) in enumerate(turns)]
+    found = chat.conversations(spark.createDataFrame(rows, SCHEMA).repartition(6))
+    got = chat.preferences(chat.branched(found)).collect()
+    want = [(a, b, *cut(c, r)) for a, b, c, r in brute_branches(convs)]
     assert sorted((r.chosen_id, r.rejected_id, r.n_prompt_turns, r.prompt, r.chosen, r.rejected) for r in got) == sorted(want)
+    assert len(got) == (len(convs) if len(convs) > 1 else 0)
 
 
 def test_empty(spark):
@@ -73,8 +86,8 @@ def test_query_equals_sql(spark, tmp_path):
     """Nulls, ties, repeats, shared prefixes, very long and empty texts, clashing columns."""
     rows = [(c, i, r, t, "x") for c, turns in CONVS.items() for i, (r, t) in enumerate(turns)]
     rows += [(None, 0, "user", "lost", "x"), (7, 0, None, None, "x"), (8, None, "user", "tie", "x"), (8, None, "assistant", "tie", "x"), (8, 1, "user", "\u00e9" * 50_000, "x"), (8, 1, "user", "\u00e9" * 50_000, "x")]
-    rows += [(c, i, "assistant" if i % 2 else "user", "same" if i < 2 + c % 3 else f"{c}", "x") for c in range(900, 1100) for i in range(5)]
-    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
+    rows += [(c, i, "assistant" if i % 2 else "user", "same" if i < 2 + c % 3 else f"{c}", "x") for c in range(90_000, 110_000, 100) for i in range(5)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place string")
     table.coalesce(1).write.parquet(f"file://{tmp_path}/conversations.parquet")
     got = queries.op6_preferences(spark, f"file://{tmp_path}")
     con = duckdb.connect()

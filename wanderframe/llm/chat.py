@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import dense_ranks
+
 #: Opening and closing of a rendered turn.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
 #: Conversations are ranked within blocks of so many ids.
 BLOCK = 1024
-#: The next conversation is sought within blocks of so many ids.
-BRANCH = 64
 
 
 def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -32,7 +32,8 @@ def conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn"
 
 def neighbours(convs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(chosen_id, rejected_id): among conversations with one first turn, in order of their
-    id, the first and second, third and fourth, and so on; a last odd one stays alone.
+    id, the first and second, third and fourth, and so on; a last odd one stays alone.  No
+    conversation is in two pairs, so that none is trained on twice.
 
     A first turn that very many share is ranked block by block of ids, and the blocks by a
     running sum of their sizes, so that no task sees all of them.
@@ -68,22 +69,29 @@ def spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc.spans)
 
 
-def branched(convs: DataFrame, block: int = BRANCH) -> DataFrame:
+def followers(convs: DataFrame) -> DataFrame:
+    """(conv_id, other_id): of each conversation the one of the next higher id, whatever lies
+    between them, and of the last the first; none of a conversation that is alone.
+
+    Ids are ranked in ranges of bounded tasks; the next one is the one of the next rank."""
+    ranked = dense_ranks(convs.select("conv_id"), ["conv_id"], "place")
+    n = ranked.count()
+    other = ranked.select(F.col("conv_id").alias("other_id"), F.pmod(F.col("place") - 1, F.lit(max(n, 1))).alias("place"))
+    return ranked.join(other, "place").where("conv_id <> other_id").select("conv_id", "other_id")
+
+
+def branched(convs: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id, c, r): each conversation, and the same led on from one of its
     trained turns, the one of number conv_id modulo their count, by the turns that stand
-    there and after in the next conversation.
-
-    The next is the one of the next higher id in the same block of ids, and the first after
-    the last.  Conversations without a trained turn, or alone in their block, are left out."""
-    w = Window.partitionBy("block").orderBy("conv_id")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keyed = convs.withColumn("block", F.floor(F.col("conv_id") / block))
-    other = keyed.select("conv_id", "turns", F.coalesce(F.lead(F.struct("conv_id", "turns")).over(w), F.first(F.struct("conv_id", "turns")).over(whole)).alias("o"))
-    trained = F.filter(F.transform("turns", lambda t, i: F.when(t.role == TRAINED, i)), lambda i: i.isNotNull())
-    at = F.get("trained", F.pmod("conv_id", F.size("trained").cast("long")).cast("int"))
-    cut = other.where("o.conv_id <> conv_id").withColumn("trained", trained).where("size(trained) > 0").withColumn("at", at)
-    r = F.concat(F.slice("turns", F.lit(1), F.col("at")), F.slice("o.turns", F.col("at") + 1, F.greatest(F.size("o.turns") - F.col("at"), F.lit(0))))
-    return cut.select(F.col("conv_id").alias("chosen_id"), F.col("o.conv_id").alias("rejected_id"), F.col("turns").alias("c"), r.alias("r"))
+    there and after in the next conversation, as :func:`followers` says.
+
+    Conversations without a trained turn are left out, and one that is alone."""
+    both = paired(convs, followers(convs).withColumnsRenamed({"conv_id": "chosen_id", "other_id": "rejected_id"}))
+    trained = F.filter(F.transform("c", lambda t, i: F.when(t.role == TRAINED, i)), lambda i: i.isNotNull())
+    at = F.get("trained", F.pmod("chosen_id", F.size("trained").cast("long")).cast("int"))
+    cut = both.withColumn("trained", trained).where("size(trained) > 0").withColumn("at", at)
+    r = F.concat(F.slice("c", F.lit(1), F.col("at")), F.slice("r", F.col("at") + 1, F.greatest(F.size("r") - F.col("at"), F.lit(0))))
+    return cut.select("chosen_id", "rejected_id", "c", r.alias("r"))
 
 
 def paired(convs: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ shared AS (
 n AS (
   SELECT conv_id, turns, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS other_id, coalesce(lead(turns) OVER w, first_value(turns) OVER w) AS other,
     list_filter(range(0, len(turns)), lambda i: turns[i + 1].role = 'assistant') AS trained
-  FROM c WINDOW w AS (PARTITION BY floor(conv_id / {chat.BRANCH}) ORDER BY conv_id)),
+  FROM c WINDOW w AS (ORDER BY conv_id)),
 b AS (SELECT *, trained[((conv_id % len(trained)) + len(trained)) % len(trained) + 1] AS cut_at FROM n WHERE other_id <> conv_id AND len(trained) > 0),
 pairs AS (
   SELECT * FROM shared
