@@ -138,7 +138,7 @@ def test_query_against_what_was_planted(spark, tmp_path):
                 ipaddress.ip_address(new)
             elif kind == "date":
                 y, m, d = map(int, new.split("-") if "-" in new else reversed(new.split("/")))
-                assert date(y, m, d) and len(new) == len(value)
+                assert date(y, m, d) and (len(new) == 10 if len(value) == 10 else not re.search(r"(?<!\d)0", new))
             elif kind == "email":
                 assert re.fullmatch(r"[a-z]\d\d\.[a-z]@[a-z]{4}-[a-z]\.[a-z]{7}\.com", new)
             else:
@@ -152,6 +152,43 @@ def test_spellings_of_one_address_stay_linked():
     assert a.lower() == b and a != b and a[0].isupper()
 
 
+def digits(s):
+    return re.sub(r"\D", "", s)
+
+
+def test_spellings_of_one_number_stay_linked():
+    """Phones bare and laid out, days with and without zeros, addresses short and long."""
+    rng = random.Random(4)
+    for _ in range(200):
+        d = f"{rng.randint(2, 9)}{rng.randint(0, 99):02d}{rng.randint(2, 9)}{rng.randint(0, 999999):06d}"
+        bare, dashed, country = (pii.pseudonymize(t, KEY)[0] for t in (d, f"{d[:3]}-{d[3:6]}-{d[6:]}", f"+1 ({d[:3]}) {d[3:6]}-{d[6:]}"))
+        assert bare != d and bare == digits(dashed) == digits(country)[1:]
+    for y, m, d in ((2024, 1, 5), (1999, 12, 3), (2031, 10, 10)):
+        new = [pii.pseudonymize(t, KEY)[0] for t in (f"{y}-{m:02d}-{d:02d}", f"{y}-{m}-{d}", f"{y}/{m}/{d}", f"{d:02d}.{m:02d}.{y}")]
+        days = [tuple(map(int, re.split("[-/.]", t))) for t in new]
+        assert days[0] == days[1] == days[2] == days[3][::-1] and days[0] != (y, m, d)
+    full, short = (pii.pseudonymize(t, KEY)[0] for t in ("2001:0db8:0000:0000:0000:0000:0000:0001", "2001:db8::1"))
+    assert ipaddress.ip_address(full) == ipaddress.ip_address(short) != ipaddress.ip_address("2001:db8::1") and len(full) == 39
+    assert pii.pseudonymize("::1 0000:0000:0000:0000:0000:0000:0000:0001", KEY)[1] == []
+
+
+def test_secrets_behind_prefixes_and_bearers():
+    value = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [f"MY_TOKEN={value}", f"aws_secret_access_key = {value}", f"Authorization: Bearer {value}", f'"authorization": "Basic {value}"', f"x-api-key: {value}", f"token={value}"]
+    new = [pii.pseudonymize(t, KEY) for t in texts]
+    assert all(value not in t and [k for k, _, _ in found] == ["secret"] for t, found in new)
+    assert len({t[s : s + n] for t, [(_, s, n)] in new}) == 1
+    assert "hunter2xyz" not in pii.pseudonymize("db_password=hunter2xyz", KEY)[0]
+    for t in ("the bearer of this letter", "my tokens = words", "secretary: Mr. Smithson"):
+        assert pii.pseudonymize(t, KEY) == (t, [])
+
+
+def test_columns_of_result_names_are_replaced(spark):
+    rows = spark.createDataFrame([(1, "call 212-555-0142", "mine", 3)], "doc_id long, text string, pii_counts string, pii_spans int")
+    r = pii.pseudonymize_documents(rows, "k").first()
+    assert r.pii_counts == {"phone": 1} and r.pii_spans[0].kind == "phone" and "212-555-0142" not in r.text
+
+
 def test_the_key_is_a_setting(spark):
     assert queries.pseudonym_key(spark) == queries.PSEUDONYM_KEY
     spark.conf.set(queries.PSEUDONYM_SETTING, "other")

@@ -1,8 +1,11 @@
-"""PII (operator 7): format-preserving Feistel pseudonyms for validated numbers, dates and names.
+"""PII (operator 7): format-preserving Feistel pseudonyms for validated numbers, dates and credentials.
 
 Equal values get equal pseudonyms under one key, in whatever documents they stand, so links
-survive.  Each pseudonym keeps its format: length, separators, letter case and whatever
-makes the value valid (check digits, octet ranges, calendar dates).
+survive.  What is permuted is the value (a phone's digits, the day, the 128 bits of an
+address), not its spelling, so that spellings of one value stay linked.  Each pseudonym keeps
+the original's format: separators, letter case, padding and whatever makes the value valid
+(check digits, octet ranges, calendar dates).  The length stays but where a format has none:
+days and months without leading zeros and shortened IPv6 addresses are as long as their value.
 """
 
 from __future__ import annotations
@@ -62,21 +65,21 @@ def card(s: str, key: bytes) -> str | None:
 
 
 def phone(s: str, key: bytes) -> str | None:
-    """10 to 15 digits written as a phone number; the country code stays.
+    """10 to 15 digits written as a phone number; what stands before the last ten stays.
 
-    Bare digits are one only if area and exchange may begin so; their pseudonym is such too."""
+    Bare digits are one only if area and exchange may begin so; the pseudonym of a number that
+    may be written bare may be too, in whatever layout it stands."""
     d = re.sub(r"\D", "", s)
     if not 10 <= len(d) <= 15:
         return None
-    if s == d:
-        if not NUMBERED.fullmatch(d):
-            return None
-        while True:
-            d = digits_permuted(d, key, "phone")
-            if NUMBERED.fullmatch(d):
-                return d
-    head = len(d) - 10 if s.startswith("+") else 0
-    return refill(s, d[:head] + digits_permuted(d[head:], key, "phone"), r"\d")
+    if s == d and not NUMBERED.fullmatch(d):
+        return None
+    head = len(d) - 10
+    own = new = d[head:]
+    while True:  # numbers that may stand bare and others are permuted among themselves
+        new = digits_permuted(new, key, "phone")
+        if bool(NUMBERED.fullmatch(new)) == bool(NUMBERED.fullmatch(own)):
+            return refill(s, d[:head] + new, r"\d")
 
 
 #: Area and exchange of ten bare digits.
@@ -93,18 +96,25 @@ def ip(s: str, key: bytes) -> str | None:
 
 
 def ipv6(s: str, key: bytes) -> str | None:
-    """An address in hexadecimal groups: its digits are permuted as one number, groups stay."""
+    """An address in hexadecimal groups, permuted as one 128-bit number.
+
+    Padded groups stay padded; a shortened address is written as short as its pseudonym
+    allows.  Addresses below 2 ** 32, loopback and its kin, name nobody and stay."""
     import ipaddress
 
-    digits = re.sub("[^0-9A-Fa-f]", "", s)
     try:
-        ipaddress.IPv6Address(s)
+        x = int(ipaddress.IPv6Address(s))
     except ValueError:
         return None
-    if len(digits) < 8:  # loopback and its kin name nobody
+    if x < 1 << 32:
         return None
-    new = f"{permuted(int(digits, 16), 16 ** len(digits), key, f'ipv6{len(digits)}'):0{len(digits)}x}"
-    return refill(s, new.upper() if s != s.lower() else new, "[0-9A-Fa-f]")
+    new = ipaddress.IPv6Address(permuted(x, 1 << 128, key, "ipv6"))
+    if "::" in s:
+        out = new.compressed
+    else:
+        padded = all(len(g) == 4 for g in s.split(":"))
+        out = new.exploded if padded else ":".join(f"{int(g, 16):x}" for g in new.exploded.split(":"))
+    return out.upper() if s != s.lower() else out
 
 
 def iban(s: str, key: bytes) -> str | None:
@@ -157,8 +167,8 @@ DAYS = (date(1900, 1, 1), date(2100, 1, 1))
 def day(s: str, key: bytes) -> str | None:
     """yyyy-mm-dd, or dd/mm/yyyy and its kin, naming a real day of 1900 to 2099.
 
-    Days and months may be written without a leading zero; the pseudonym is then a day that
-    is written with as many digits, found by walking on along the permutation."""
+    Where a day or month is written without a leading zero the pseudonym's are too; else
+    both have two digits."""
     sep = next(c for c in s if not c.isdigit())
     p = s.split(sep)
     year_first = len(p[0]) == 4
@@ -172,12 +182,9 @@ def day(s: str, key: bytes) -> str | None:
     size = (DAYS[1] - DAYS[0]).days
     if not 0 <= n < size:
         return None
-    while True:
-        n = permuted(n, size, key, "day")
-        x = DAYS[0] + timedelta(n)
-        if all(len(w) == 2 or v < 10 for w, v in ((m, x.month), (d, x.day))):
-            break
-    m2, d2 = str(x.month).zfill(len(m)), str(x.day).zfill(len(d))
+    x = DAYS[0] + timedelta(permuted(n, size, key, "day"))
+    wide = 2 if len(m) == len(d) == 2 else 1
+    m2, d2 = str(x.month).zfill(wide), str(x.day).zfill(wide)
     if swap:
         m2, d2 = d2, m2
     return sep.join((f"{x.year:04d}", m2, d2) if year_first else (d2, m2, f"{x.year:04d}"))
@@ -219,7 +226,8 @@ KEY_HEADS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "s
 #: Patterns in order of precedence; the group named as the kind is what is replaced.
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|\b(?i:token|secret|password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=-]{8,})"
+    r"|(?<![A-Za-z0-9])(?i:token|secret|password|passwd|pwd|passphrase|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)\b[\"']?\s*[:=]\s*[\"']?(?P<secret>[A-Za-z0-9_+/=-]{8,})"
+    r"|(?<![A-Za-z0-9])(?i:bearer|authorization[\"']?\s*[:=]\s*[\"']?(?:basic|token|apikey))\s+(?P<bearer>[A-Za-z0-9._~+/=-]{16,})"
     r"|(?<![A-Za-z0-9_])(?P<key_id>(?:AKIA|ASIA)[0-9A-Z]{16}|AIza[\w-]{35}|gh[po]_[A-Za-z0-9]{36}|github_pat_\w{22,}|glpat-[\w-]{20,}|[sr]k_live_[A-Za-z0-9]{16,}|xox[bp]-[A-Za-z0-9-]{20,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})(?![A-Za-z0-9_])"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<date>(?<![\w/.-])(?:\d{4}(?P<s1>[-/.])\d{1,2}(?P=s1)\d{1,2}|\d{1,2}(?P<s2>[-/.])\d{1,2}(?P=s2)\d{4})(?![\d/-]|\.\d))"
@@ -230,10 +238,10 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?!\d)|(?<![\w.+-])[2-9]\d{2}[2-9]\d{6}(?![\w-]|\.\d))"
 )
 #: Texts without any of these hold nothing to replace.
-HINT = re.compile(r"\d\d|\d[./-]\d|@|[0-9A-Fa-f]:[:0-9A-Fa-f]|eyJ|xox[bp]-|A[KS]IA|AIza|gh[po]_|_pat_|glpat-|_live_|(?i:token|secret|passw|passp|pwd|[_-]?key)")
-MAKE = {"email": email, "phone": phone, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "national_id": national_id, "date": day, "secret": secret, "key_id": key_id}
+HINT = re.compile(r"\d\d|\d[./-]\d|@|[0-9A-Fa-f]:[:0-9A-Fa-f]|eyJ|xox[bp]-|A[KS]IA|AIza|gh[po]_|_pat_|glpat-|_live_|(?i:token|secret|passw|passp|pwd|[_-]?key|bearer|authoriz)")
+MAKE = {"email": email, "phone": phone, "ip": ip, "ipv6": ipv6, "card": card, "iban": iban, "national_id": national_id, "date": day, "secret": secret, "bearer": secret, "key_id": key_id}
 #: Groups that are reported as another kind.
-SHOWN = {"key_id": "secret"}
+SHOWN = {"key_id": "secret", "bearer": "secret"}
 
 
 def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int]]]:
