@@ -50,6 +50,17 @@ def cell(lat, lng, res: int) -> Column:
     return F.when(in_range(lat, lng), F.lit(res << 52) + row * (1 << FINEST + 2) + col)
 
 
+def with_cell(df: DataFrame, name: str, lat, lng, res: int) -> DataFrame:
+    """``df`` with ``name``, the cell of a point."""
+    return df.withColumn(name, cell(lat, lng, res))
+
+
+def with_centre(df: DataFrame, h: str, lat: str = "lat", lng: str = "lng") -> DataFrame:
+    """``df`` with the latitude and longitude of a cell's centre."""
+    y, x = cell_centre(h)
+    return df.withColumns({lat: y, lng: x})
+
+
 def cell_resolution(h) -> Column:
     return F.shiftright(c(h), 52).bitwiseAND(15).cast("int")
 
@@ -78,10 +89,14 @@ def cell_parent(h, res: int) -> Column:
     return F.lit(res << 52) + F.call_function("shiftright", cell_row(h), up) * (1 << FINEST + 2) + F.call_function("shiftright", cell_column(h), up)
 
 
-def cell_disk(h, k: int) -> Column:
-    """The cells at most k rows and columns away, itself included."""
-    steps = F.array(*[F.lit(i * (1 << FINEST + 2) + j) for i in range(-k, k + 1) for j in range(-k, k + 1)])
-    return F.transform(steps, lambda s: c(h) + s)
+def cell_disk(h, k: int, res: int | None = None) -> Column:
+    """The cells at most k rows and columns away, itself included, each once: columns go on
+    around the earth, rows end at the poles.  ``res`` is taken from the cell."""
+    n = F.call_function("shiftleft", F.lit(1).cast("long"), cell_resolution(h) - 1)  # cells a degree, times two a circle
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-k, k + 1) for j in range(-k, k + 1)])
+    head = F.shiftleft(cell_resolution(h).cast("long"), 52)
+    moved = F.transform(steps, lambda s: F.struct((cell_row(h) + s.i).alias("y"), F.pmod(cell_column(h) + s.j, 360 * n).alias("x")))
+    return F.array_distinct(F.transform(F.filter(moved, lambda p: (p.y >= 0) & (p.y <= 180 * n)), lambda p: head + p.y * (1 << FINEST + 2) + p.x))
 
 
 def cell_ring(h) -> Column:

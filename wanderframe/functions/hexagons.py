@@ -264,7 +264,8 @@ def projected(df: DataFrame, name: str, start: dict[str, Column], stages: list[S
             k = next(iter(made))
             made[k] = let(made[k], lambda x: x)
         out = out.select(*kept, *[v.alias(f"__{k}") for k, v in made.items()])
-    return out.select(*kept, last(env).alias(name))
+    # a generator of one row: no filter or join key is traced, and so written out, through the stages
+    return out.select(*kept, F.stack(F.lit(1), last(env)).alias(name))
 
 
 def _packed(values: list[int], bits: int, i: Column, low: int = 0) -> Column:
@@ -315,8 +316,7 @@ def _encoding(res: int, columns: bool) -> tuple[list[Stage], Callable[[Env], Col
 
     if columns:
         for level in range(res, 0, -1):
-            stages.append(lambda env, o=level % 2: {k: env(k) for k in ("face", "a", "b", "lead", "w")} | {"t": _class(env("a"), env("b"), o)})
-            stages.append(lambda env, o=level % 2, by=shift(level): {"face": env("face")} | risen(env, env("t"), o, by))
+            stages.append(lambda env, o=level % 2, by=shift(level): {"face": env("face")} | risen(env, _class(env("a"), env("b"), o), o, by))
     elif res:
 
         def fold(env: Env) -> dict[str, Column]:
@@ -357,15 +357,13 @@ def _locating(lat, lng, res: int, columns: bool) -> tuple[dict[str, Column], lis
     xyz = lambda env: {k: env(k) for k in "xyz"}
     stages: list[Stage] = [
         lambda env: xyz(env) | {"dots": F.array(*[env("x") * x + env("y") * y + env("z") * z for x, y, z in centres])},
-        lambda env: xyz(env) | {"dots": env("dots"), "best": F.array_max(env("dots"))},
-        lambda env: xyz(env) | {"best": env("best"), "face": F.array_position(env("dots"), env("best")).cast("int") - 1},
+        lambda env: xyz(env) | {"best": F.array_max(env("dots")), "face": F.array_position(env("dots"), F.array_max(env("dots"))).cast("int") - 1},
         lambda env: {"face": env("face"), "p": axis(env, s.x), "q": axis(env, s.y)},
-        lambda env: {"face": env("face"), "u": env("p") * m.real - env("q") * m.imag, "b": (env("p") * m.imag + env("q") * m.real) / W.imag},
-        lambda env: {"face": env("face"), "a": env("u") + env("b") / 2, "b": env("b")},
+        lambda env: {"face": env("face"), "b": (env("p") * m.imag + env("q") * m.real) / W.imag, "a": env("p") * m.real - env("q") * m.imag + (env("p") * m.imag + env("q") * m.real) / W.imag / 2},
         lambda env: {k: env(k) for k in ("face", "a", "b")} | {"q": F.rint(env("a") - env("b")), "r": F.rint(env("b")), "s": F.rint(-env("a"))},
         lambda env: {k: env(k) for k in ("face", "q", "r", "s")} | {"dq": F.abs(env("q") - env("a") + env("b")), "dr": F.abs(env("r") - env("b")), "ds": F.abs(env("s") + env("a"))},
-        lambda env: {"face": env("face"), "q": F.when((env("dq") > env("dr")) & (env("dq") > env("ds")), -env("r") - env("s")).otherwise(env("q")), "r": F.when((env("dr") >= env("dq")) & (env("dr") > env("ds")), -env("q") - env("s")).otherwise(env("r"))},
-        lambda env: {"face": env("face"), "a": env("q") + env("r"), "b": env("r")},
+        lambda env: {"face": env("face"), "q": F.when((env("dq") > env("dr")) & (env("dq") > env("ds")), -env("r") - env("s")).otherwise(env("q")), "b": F.when((env("dr") >= env("dq")) & (env("dr") > env("ds")), -env("q") - env("s")).otherwise(env("r"))},
+        lambda env: {"face": env("face"), "a": env("q") + env("b"), "b": env("b")},
     ]
     more, last = _encoding(res, columns)
     # unknown points go the same way as one known, so that no stage has to look for nulls

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite
+from .quantiles import in_parts, matched, quantiles
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
@@ -21,24 +22,17 @@ def wasserstein(a: DataFrame, b: DataFrame, value: str, by: list[str] | None = N
     return _distances(both, by)
 
 
-def _matched(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """``left`` with the columns of the row of ``right`` that has its keys, null for null."""
-    if not keys:
-        return left.join(F.broadcast(right))  # one row
-    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    return left.join(named, [left[k].eqNullSafe(named[f"__{k}"]) for k in keys]).drop(*[f"__{k}" for k in keys])
-
-
-def _distances(both: DataFrame, by: list[str], ranges: int = 256) -> DataFrame:
-    """W1 per group without a window over all of a group: values are put into ranges by value,
-    each with its own running counts; the ranges' totals are summed up before."""
-    span = both.groupBy(*by).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
-    placed = _matched(both, span, by).withColumn("part", F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * ranges), F.lit(ranges - 1))).otherwise(0))
-    order = Window.partitionBy(*by).orderBy("part")  # a row for each range
+def _distances(both: DataFrame, by: list[str]) -> DataFrame:
+    """W1 per group without a window over all of a group: values are put into parts of like
+    numbers of values, each with its own running counts; the parts' totals are summed up
+    before.  However far a few values lie, no part holds more than a small share."""
+    totals = both.groupBy(*by).agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    placed = matched(in_parts(both, by), totals, by)
+    order = Window.partitionBy(*by).orderBy("part")  # a row for each part
     sums = placed.groupBy(*by, "part").agg(F.sum("na").alias("sa"), F.sum("nb").alias("sb"), F.min("v").alias("first"))
     sums = sums.select(*by, "part", (F.sum("sa").over(order) - F.col("sa")).alias("ba"), (F.sum("sb").over(order) - F.col("sb")).alias("bb"), F.lead("first").over(order).alias("next"))
     w = Window.partitionBy(*by, "part").orderBy("v")
-    run = _matched(placed, sums, [*by, "part"])
+    run = matched(placed, sums, [*by, "part"])
     width = F.coalesce(F.lead("v").over(w), F.col("next")) - F.col("v")
     gap = F.abs((F.col("ba") + F.sum("na").over(w)) / F.nullif("ta", F.lit(0)) - (F.col("bb") + F.sum("nb").over(w)) / F.nullif("tb", F.lit(0)))
     return run.select(*by, (gap * F.coalesce(width, F.lit(0.0))).alias("x")).groupBy(*by).agg(F.sum("x").alias("w1"))
@@ -67,26 +61,30 @@ def shares(df: DataFrame, key: str, by: list[str] | None = None) -> DataFrame:
 
 
 def summary(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """count, mean, median, population deviation, p10 and p90 of the finite values."""
-    aggs = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_pop(value).alias("std"), F.percentile(value, F.lit(0.1)).alias("p10"), F.percentile(value, F.lit(0.9)).alias("p90")]
-    return df.where(finite(value)).groupBy(*(by or [])).agg(*aggs)
+    """count, mean, median, population deviation, p10 and p90 of the finite values; the
+    quantiles are exact in groups of any size."""
+    by = by or []
+    stats = df.where(finite(value)).groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    joined = matched(stats, quantiles(df, value, [0.5, 0.1, 0.9], by), by)
+    at = lambda i: F.get("q", F.lit(i))
+    return joined.select(*by, "n", "mean", at(0).alias("median"), "std", at(1).alias("p10"), at(2).alias("p90"))
 
 
 def box(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Minimum, quartiles and maximum."""
+    """Minimum, quartiles and maximum, exact in groups of any size."""
     names = ("least", "q1", "median", "q3", "most")
-    got = df.where(finite(value)).groupBy(*(by or [])).agg(F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("p"))
-    return got.select(*(by or []), *[F.get("p", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    got = quantiles(df, value, [0.0, 0.25, 0.5, 0.75, 1.0], by)
+    return got.select(*(by or []), *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def ecdf(df: DataFrame, value: str, cutoff: float = 0.98, points: int = 400) -> DataFrame:
     """(x, p): the empirical distribution at distinct values up to the cutoff, thinned to
     evenly spaced points.  If no value lies on the cutoff one point at it closes the curve.
 
-    The running counts go range by range, so no window holds more than a range's values."""
+    The running counts go part by part of like numbers of values, so that no window holds
+    more than a small share of them."""
     counts = df.where(finite(value)).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    span = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
-    placed = counts.join(F.broadcast(span)).withColumn("part", F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 256)).otherwise(0))
+    placed = in_parts(counts, []).join(F.broadcast(counts.agg(F.sum("n").alias("total"))))
     before = placed.groupBy("part").agg(F.sum("n").alias("s"), F.count("*").alias("k"))
     o = Window.orderBy("part")  # a row for each range
     before = before.select("part", (F.sum("s").over(o) - F.col("s")).alias("before"), (F.sum("k").over(o) - F.col("k")).alias("rank0"))
@@ -122,8 +120,9 @@ def directions(n: int, dimensions: int, seed: int = 42) -> list[list[float]]:
     return (d / np.linalg.norm(d, axis=1, keepdims=True)).tolist()
 
 
-def sliced_wasserstein(a: DataFrame, b: DataFrame, coords: list[str], slices: int = 16, seed: int = 42) -> DataFrame:
-    """Mean W1 over seeded random directions in the space of ``coords``."""
+def sliced_wasserstein(a: DataFrame, b: DataFrame, coords: list[str], slices: int = 16, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Mean W1 over seeded random directions in the space of ``coords``, per group of ``by``."""
+    by = by or []
     d = directions(slices, len(coords), seed)
-    spun = lambda df: df.select(F.posexplode(F.array(*[sum((F.col(c) * float(x) for c, x in zip(coords, row, strict=True)), F.lit(0.0)) for row in d])).alias("slice", "v"))
-    return wasserstein(spun(a), spun(b), "v", ["slice"]).agg(F.avg("w1").alias("sliced_w1"))
+    spun = lambda df: df.select(*by, F.posexplode(F.array(*[sum((F.col(c) * float(x) for c, x in zip(coords, row, strict=True)), F.lit(0.0)) for row in d])).alias("slice", "v"))
+    return wasserstein(spun(a), spun(b), "v", [*by, "slice"]).groupBy(*by).agg(F.avg("w1").alias("sliced_w1"))

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, cell_parent, haversine
+from ..functions import hexagons
+from ..functions.geo import haversine
 from ..functions.scalar import bivariate_class, purpose, searchsorted
+from . import quantiles as q
 from .traj import anchors, located, modal
 
 
-def flows(df: DataFrame, res: int) -> DataFrame:
-    """(origin, destination, flow): moves between different cells, in long form."""
+def flows(df: DataFrame, res: int, index=hexagons) -> DataFrame:
+    """(origin, destination, flow): moves between different cells, in long form.
+
+    ``index`` is the kind of cells: ``functions.hexagons``, or ``functions.geo`` for a grid of
+    equal angles."""
     w = Window.partitionBy("uid").orderBy("datetime")
-    moves = located(df).withColumn("origin", cell("lat", "lng", res)).withColumn("destination", F.lead("origin").over(w))
+    moves = index.with_cell(located(df), "origin", "lat", "lng", res).withColumn("destination", F.lead("origin").over(w))
     return moves.where("origin <> destination").groupBy("origin", "destination").agg(F.count("*").alias("flow"))
 
 
@@ -29,9 +34,9 @@ def common_part(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("origin", "
     return per.agg(F.coalesce(2.0 * F.sum(F.least("x", "y")) / F.nullif(F.sum(F.col("x") + F.col("y")), F.lit(0)), F.lit(0.0)).alias("cpc"))
 
 
-def hourly(df: DataFrame, res: int) -> DataFrame:
+def hourly(df: DataFrame, res: int, index=hexagons) -> DataFrame:
     """(cell, hour, n): rows per cell and hour of the day."""
-    return located(df).groupBy(cell("lat", "lng", res).alias("cell"), F.hour("datetime").alias("hour")).agg(F.count("*").alias("n"))
+    return index.with_cell(located(df), "cell", "lat", "lng", res).groupBy("cell", F.hour("datetime").alias("hour")).agg(F.count("*").alias("n"))
 
 
 def hourly_wide(h: DataFrame) -> DataFrame:
@@ -49,9 +54,9 @@ def hourly_difference(synthetic: DataFrame, observed: DataFrame, circular: bool
     return both.withColumn("volume_diff_pct", diff).withColumn("peak_shift", shift).withColumn("class", bivariate_class("volume_diff_pct", "peak_shift"))
 
 
-def homes(df: DataFrame, purpose_column: str | None, fine: int = 12) -> DataFrame:
+def homes(df: DataFrame, purpose_column: str | None, fine: int = 12, index=hexagons) -> DataFrame:
     """(uid, kind, cell): the modal fine cell of HOME and of WORK rows, or by hours."""
-    placed = located(df).withColumn("cell", cell("lat", "lng", fine))
+    placed = index.with_cell(located(df), "cell", "lat", "lng", fine)
     if purpose_column:
         kinds = placed.withColumn("kind", purpose(purpose_column)).where("kind <> 'OTHER'")
         return modal(kinds, ["uid", "kind"], "cell", "cell")
@@ -59,9 +64,9 @@ def homes(df: DataFrame, purpose_column: str | None, fine: int = 12) -> DataFram
     return a.select("uid", F.explode(F.map_from_arrays(F.array(F.lit("HOME"), F.lit("WORK")), F.array("home", "work"))).alias("kind", "cell")).where("cell IS NOT NULL")
 
 
-def density(h: DataFrame, res: int) -> DataFrame:
+def density(h: DataFrame, res: int, index=hexagons) -> DataFrame:
     """(kind, cell, agents) at a coarser resolution."""
-    return h.groupBy("kind", cell_parent("cell", res).alias("cell")).agg(F.count("*").alias("agents"))
+    return h.groupBy("kind", index.cell_parent("cell", res).alias("cell")).agg(F.count("*").alias("agents"))
 
 
 def matched(h: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -73,7 +78,8 @@ def matched(h: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def annotated(d: DataFrame) -> DataFrame:
     """Densities with five colour classes at 20, 40, 60 and 80 percent and the share of the kind."""
-    breaks = d.groupBy("kind").agg(F.percentile("agents", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("breaks"), F.sum("agents").alias("all"))
+    totals = d.groupBy("kind").agg(F.sum("agents").alias("all"))
+    breaks = q.matched(q.quantiles(d, "agents", [0.2, 0.4, 0.6, 0.8], ["kind"]).select("kind", F.col("q").alias("breaks")), totals, ["kind"])
     return d.join(F.broadcast(breaks), "kind").select("kind", "cell", "agents", searchsorted("breaks", F.col("agents").cast("double")).alias("class"), (100.0 * F.col("agents") / F.col("all")).alias("pct"))
 
 
@@ -105,16 +111,15 @@ def snap(points: DataFrame, nodes: DataFrame, metres: float = 750.0) -> DataFram
     return points.select("id").join(best, "id", "left").select("id", F.coalesce(F.col("m.node"), F.lit(-1)).alias("node"), F.col("m.metres").alias("metres"))
 
 
-def hourly_transport(synthetic: DataFrame, observed: DataFrame, res: int, slices: int = 16, seed: int = 42) -> DataFrame:
+def hourly_transport(synthetic: DataFrame, observed: DataFrame, res: int, slices: int = 16, seed: int = 42, index=hexagons, by: list[str] | None = None) -> DataFrame:
     """Sliced earth mover's distance of two visit histograms over cell centres in metres and
-    hours of the day, an hour counting as a kilometre."""
-    from ..functions.geo import cell_centre, mercator
+    hours of the day, an hour counting as a kilometre, per group of ``by``."""
+    from ..functions.geo import mercator
     from .distance import sliced_wasserstein
 
     def points(df: DataFrame) -> DataFrame:
-        lat, lng = cell_centre("cell")
-        at = located(df).select(cell("lat", "lng", res).alias("cell"), F.hour("datetime").alias("h")).select(lat.alias("lat"), lng.alias("lng"), (F.col("h") * 1000.0).alias("t"))
-        x, y = mercator("lat", "lng")
-        return at.select(x.alias("x"), y.alias("y"), "t")
+        at = index.with_cell(located(df), "cell", "lat", "lng", res).select(*(by or []), "cell", (F.hour("datetime") * 1000.0).alias("t"))
+        x, y = mercator("c_lat", "c_lng")
+        return index.with_centre(at, "cell", "c_lat", "c_lng").select(*(by or []), x.alias("x"), y.alias("y"), "t")
 
-    return sliced_wasserstein(points(synthetic), points(observed), ["x", "y", "t"], slices, seed)
+    return sliced_wasserstein(points(synthetic), points(observed), ["x", "y", "t"], slices, seed, by)

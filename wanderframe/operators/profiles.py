@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import minutes_between, tokens
+from .quantiles import quantiles
 from .sampling import weighted
 
 LARGEST = 6
@@ -205,7 +206,7 @@ def clustered(features: DataFrame, rounds: int = 100) -> DataFrame:
     x = (F.col("intermittency") - s.m_intermittency) / (s.s_intermittency or 1.0)
     y = (F.col("degree_of_return") - s.m_degree_of_return) / (s.s_degree_of_return or 1.0)
     f = features.withColumn("__x", x).withColumn("__y", y)
-    at = f.select(F.percentile("__y", F.array(F.lit(1 / 6), F.lit(0.5), F.lit(5 / 6)))).first()[0]
+    at = quantiles(f, "__y", [1 / 6, 0.5, 5 / 6]).first().q
     starts = f.select(*[F.min_by(F.struct("__x", "__y"), F.struct(F.abs(F.col("__y") - q), F.col("uid"))).alias(f"c{i}") for i, q in enumerate(at)]).first()
     centres = [(c["__x"], c["__y"]) for c in starts]
 

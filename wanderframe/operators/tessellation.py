@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from math import floor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import FINEST, cell, cell_centre, cell_disk
+from ..functions import geo, hexagons
+from ..functions.geo import FINEST, cell_centre
 from ..functions.scalar import purpose, uniform
 from ..sources.work import dense_ranks, stored
 from .od import neighbours_within
@@ -26,9 +27,20 @@ def cover(spark: SparkSession, box: tuple[float, float, float, float], res: int)
     return ids.select("tile_id", lat.alias("lat"), lng.alias("lng")).where(F.col("lat").between(south, north) & F.col("lng").between(west, east))
 
 
-def with_counts(tiles: DataFrame, points: DataFrame, res: int, name: str = "total_poi_count", least: int = 0) -> DataFrame:
+def hexagons_in(spark: SparkSession, box: tuple[float, float, float, float], res: int) -> DataFrame:
+    """(tile_id, lat, lng) of the hexagonal cells whose centre lies in (west, south, east, north)."""
+    from .polygons import fill
+
+    west, south, east, north = box
+    corners = [(west, south), (east, south), (east, north), (west, north)]
+    rings = F.array(F.array(*[F.struct(F.lit(float(x)).alias("lng"), F.lit(float(y)).alias("lat")) for x, y in corners]))
+    cells = fill(spark.range(1).select("id", rings.alias("rings")), res).select(F.col("cell").alias("tile_id"))
+    return hexagons.with_centre(cells, "tile_id")
+
+
+def with_counts(tiles: DataFrame, points: DataFrame, res: int, name: str = "total_poi_count", least: int = 0, index=geo) -> DataFrame:
     """Tiles with the number of points in each; below ``least`` a tile is left out."""
-    n = points.groupBy(cell("lat", "lng", res).alias("tile_id")).agg(F.count("*").alias(name))
+    n = index.with_cell(points, "tile_id", "lat", "lng", res).groupBy("tile_id").agg(F.count("*").alias(name))
     return tiles.join(n, "tile_id", "left").fillna(0, [name]).where(F.col(name) >= least)
 
 
@@ -52,18 +64,34 @@ def work_scores(tiles: DataFrame, buildings: str, pois: str) -> DataFrame:
     return b.withColumn("work_score", (F.col("__b") + F.col("__p")) / 2).drop("__b", "__p")
 
 
-def home_anchors(tiles: DataFrame, weight: str, n: int, spread: float = 0.4, seed: int = 42) -> DataFrame:
-    """(anchor, tile_id, lat, lng): n homes in tiles drawn by weight, moved inside their tile."""
+def home_anchors(tiles: DataFrame, n: int, weight: Column | None = None, pois: str = "total_poi_count", spread: float = 0.4, seed: int = 42) -> DataFrame:
+    """(anchor, tile_id, lat, lng): n homes in tiles drawn by weight with replacement, moved
+    inside their tile.
+
+    Without a ``weight`` a tile weighs 1 / (1 + its points of interest): homes are where few
+    are.  Weights count as whole billionths, so that running sums are exact; tiles without
+    one are never drawn.  Each draw falls on a place in the running sum of the weights in
+    order of the tiles' ids; sums and draws meet range by range."""
+    from ..sources.work import running_sums
+
     spark = tiles.sparkSession
-    total = tiles.where(F.col(weight) > 0).select(F.lit(0).alias("g"), "tile_id", "lat", "lng", F.col(weight).alias("w"))
-    draws = spark.range(n).select(F.col("id").alias("anchor"), F.lit(0).alias("g"))
-    picked = draws.join(weighted(total, ["g"], "tile_id", "w", n, seed).withColumn("anchor", F.col("draw").cast("long") - 1).drop("g", "draw"), "anchor")
+    own = weight if weight is not None else 1.0 / (1.0 + F.coalesce(F.col(pois), F.lit(0)))
+    known = tiles.select("tile_id", "lat", "lng", F.round(own * 1e9).cast("long").alias("w")).where("w > 0")
+    summed = stored(running_sums(known, ["tile_id"], "w", "start", "part"), "sums")
+    spans = summed.groupBy("part").agg(F.min("start").alias("low"), F.max(F.col("start") + F.col("w")).alias("high"))  # a row for each range
+    total = spans.agg(F.max("high").alias("total"))
+    draws = spark.range(n).select(F.col("id").alias("anchor")).join(F.broadcast(total.where("total > 0")))
+    at = draws.select("anchor", F.floor(uniform(seed, "anchor") * F.col("total")).cast("long").alias("at"))
+    in_part = at.join(F.broadcast(spans), (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))).select("part", "at", "anchor", F.lit(None).cast("struct<tile_id:bigint,lat:double,lng:double>").alias("tile"))
+    both = in_part.unionByName(summed.select("part", F.col("start").alias("at"), F.lit(-1).cast("long").alias("anchor"), F.struct("tile_id", "lat", "lng").alias("tile")))
+    last = F.last("tile", ignorenulls=True).over(Window.partitionBy("part").orderBy("at", "anchor"))
+    picked = both.withColumn("t", last).where("anchor >= 0").select("anchor", "t.*")
     size = F.pow(F.lit(2.0), 1.0 - F.shiftright("tile_id", 52).cast("double"))
     move = lambda k: (uniform(seed + k, "anchor") - 0.5) * 2 * spread * size
     return picked.select("anchor", "tile_id", (F.col("lat") + move(1)).alias("lat"), (F.col("lng") + move(2)).alias("lng"))
 
 
-def friendships(people: DataFrame, mu: float = 1.5, sigma: float = 0.6, most: int = 30, ring: int = 1, seed: int = 42, few: int = 1024) -> DataFrame:
+def friendships(people: DataFrame, mu: float = 1.5, sigma: float = 0.6, most: int = 30, ring: int = 1, seed: int = 42, few: int = 1024, disk=geo.cell_disk) -> DataFrame:
     """(src, dst, weight): friends among those who live in the same or a neighbouring cell.
 
     ``people`` has uid, home (cell) and work (cell).  An agent wants a log-normal number of
@@ -76,10 +104,10 @@ def friendships(people: DataFrame, mu: float = 1.5, sigma: float = 0.6, most: in
 
     want = F.least(F.greatest(F.round(F.exp(mu + sigma * normal(seed, "uid"))), F.lit(1)), F.lit(most)).cast("long")
     sizes = people.groupBy("home").agg(F.count("*").alias("n"))
-    around = sizes.select(F.col("home").alias("centre"), F.explode(cell_disk("home", ring)).alias("home")).join(sizes, "home")
+    around = sizes.select(F.col("home").alias("centre"), F.explode(disk("home", ring)).alias("home")).join(sizes, "home")
     total = around.groupBy("centre").agg(F.sum("n").alias("total"))
     wanting = people.select(F.col("uid").alias("src"), F.col("work").alias("w1"), want.alias("want"), "home").join(total.withColumnRenamed("centre", "home"), "home")
-    named = _named(wanting.where(F.col("total") <= few), people, most, ring, seed)
+    named = _named(wanting.where(F.col("total") <= few), people, most, ring, seed, disk)
     crowd = wanting.where(F.col("total") > few)
     if crowd.isEmpty():
         return named
@@ -97,9 +125,9 @@ def friendships(people: DataFrame, mu: float = 1.5, sigma: float = 0.6, most: in
     return named.unionByName(kept.withColumn("draw", order).where("draw <= want").select("src", "dst", "weight"))
 
 
-def _named(wanting: DataFrame, people: DataFrame, most: int, ring: int, seed: int) -> DataFrame:
+def _named(wanting: DataFrame, people: DataFrame, most: int, ring: int, seed: int, disk) -> DataFrame:
     """Friends of those with few around, each by name."""
-    a = wanting.select("src", "w1", "want", F.explode(cell_disk("home", ring)).alias("home"))
+    a = wanting.select("src", "w1", "want", F.explode(disk("home", ring)).alias("home"))
     b = people.select(F.col("uid").alias("dst"), F.col("work").alias("w2"), "home")
     near = a.join(b, "home").where("src <> dst").select("src", "dst", "want", F.when(F.col("w1") == F.col("w2"), 2.0).otherwise(1.0).alias("weight")).distinct()
     return weighted(near, ["src"], "dst", "weight", most, seed + 1).where("draw <= want").select("src", "dst", "weight")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import behaviour, draws, inputs, mobility, relational, timelines
+from . import behaviour, draws, hexes, inputs, mobility, relational, timelines
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-for module in (relational, mobility, behaviour, timelines, inputs, draws):
+for module in (relational, mobility, behaviour, timelines, inputs, draws, hexes):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE

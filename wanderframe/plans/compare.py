@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hexagons
 from ..operators import activity, distance, filters, graph, laws, od, profiles, sampling, traj, transport
 from ..sources import io, schema
 
@@ -33,7 +34,7 @@ def distributions(s: DataFrame, o: DataFrame) -> list[DataFrame]:
     ]
 
 
-def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame) -> list[DataFrame]:
+def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame, index=hexagons) -> list[DataFrame]:
     """The metric rows of one section; ``vs`` and ``vo`` are visits with purposes."""
     if name == "distributions":
         return distributions(s, o)
@@ -50,9 +51,10 @@ def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame)
         m = [profiles.profile_metrics(v).persist() for v in (vs, vo)]  # four distances read each
         return [_row(distance.wasserstein(*m, c), f"w1_{c}", "w1") for c in ("regularity", "diversity", "entropy", "stationarity")]
     if name == "cpc":
-        return [_row(od.common_part(od.flows(s, r), od.flows(o, r)), f"cpc_{r}", "cpc") for r in (7, 8, 9)]
+        return [_row(od.common_part(od.flows(s, r, index), od.flows(o, r, index)), f"cpc_{r}", "cpc") for r in (7, 8, 9)]
     if name == "stvd":
-        return [_row(od.hourly_transport(s, o, r, 8), f"stvd_emd_{r}", "sliced_w1", "m") for r in (7, 8)]
+        both = [filters.by_filter(x, times=False) for x in (s, o)]  # hours are a coordinate already
+        return [_row(od.hourly_transport(*both, r, 8, index=index, by=["filter_key"]), f"stvd_emd_{r}", "sliced_w1", "m") for r in (7, 8, 9)]
     if name == "laws":
         v = [laws.daily_locations(laws.law_visits(x)) for x in (s, o)]
         return [_row(laws.log_normal(d), f"{side}_daily_{c}", c) for d, side in zip(v, ("syn", "obs"), strict=True) for c in ("mu", "sigma")]
@@ -104,11 +106,12 @@ def profiles_block(vs: DataFrame, vo: DataFrame, minutes: int = 5, most: int = 4
     return {"scatter": points[0].unionByName(points[1]), "box": distance.box(long, "value", ["metric", "dataset", "profile"])}
 
 
-def report(synthetic: DataFrame, observed: DataFrame, sections: tuple[str, ...] = SECTIONS, adaptation: str = "auto") -> tuple[DataFrame, list[str]]:
+def report(synthetic: DataFrame, observed: DataFrame, sections: tuple[str, ...] = SECTIONS, adaptation: str = "auto", index=hexagons) -> tuple[DataFrame, list[str]]:
     """(filter_key, metric_name, value, unit) of all sections, and warnings.
 
     Both tables need the four trajectory roles; location and purpose columns are used where
-    they exist.  The synthetic side is never forced to collapse."""
+    they exist.  The synthetic side is never forced to collapse.  ``index`` is the kind of
+    cells of flows and histograms."""
     warnings: list[str] = []
     sides, visits = [], []
     for df, mode in ((synthetic, "auto" if adaptation == "force" else adaptation), (observed, adaptation)):
@@ -119,7 +122,7 @@ def report(synthetic: DataFrame, observed: DataFrame, sections: tuple[str, ...]
         warnings += [x for x in (w, w2) if x]
         sides.append(t.persist())
         visits.append(v.persist())
-    rows = [r for name in sections for r in section(name, *sides, *visits)]
+    rows = [r for name in sections for r in section(name, *sides, *visits, index)]
     return reduce(DataFrame.unionByName, rows), warnings
 
 

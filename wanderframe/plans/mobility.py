@@ -152,7 +152,7 @@ def _flows(res: int, side: str = "") -> str:
 
 @query(common("pings") + " " + _flows(8))
 def od_flows(spark, sf):
-    return od.flows(views.pings(spark, sf), 8)
+    return od.flows(views.pings(spark, sf), 8, geo)
 
 
 @query(common("pings") + "".join(f", s{r} AS ({_flows(r, 'WHERE side = 0')}), o{r} AS ({_flows(r, 'WHERE side = 1')})" for r in (7, 8, 9)) + " " + " UNION ALL ".join(f"SELECT CAST({r} AS INTEGER) AS res, round(2.0 * sum(least(coalesce(s{r}.flow, 0), coalesce(o{r}.flow, 0))) / (sum(coalesce(s{r}.flow, 0)) + sum(coalesce(o{r}.flow, 0))), 9) AS cpc FROM s{r} FULL OUTER JOIN o{r} USING (origin, destination)" for r in (7, 8, 9)))
@@ -160,14 +160,14 @@ def od_common_part_of_commuters(spark, sf):
     p = views.pings(spark, sf)
     out = None
     for res in (7, 8, 9):
-        one = od.common_part(od.flows(p.where("side = 0"), res), od.flows(p.where("side = 1"), res)).select(F.lit(res).alias("res"), F.round("cpc", 9).alias("cpc"))
+        one = od.common_part(od.flows(p.where("side = 0"), res, geo), od.flows(p.where("side = 1"), res, geo)).select(F.lit(res).alias("res"), F.round("cpc", 9).alias("cpc"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
 @query(common("pings") + f" SELECT {cell_sql(8)} AS cell, CAST(hour(datetime) AS INTEGER) AS hour, count(*) AS n FROM pings GROUP BY ALL")
 def stvd_hourly(spark, sf):
-    return od.hourly(views.pings(spark, sf), 8)
+    return od.hourly(views.pings(spark, sf), 8, geo)
 
 
 @query(
@@ -178,7 +178,7 @@ def stvd_hourly(spark, sf):
 )
 def stvd_difference(spark, sf):
     p = views.pings(spark, sf)
-    d = od.hourly_difference(od.hourly(p.where("side = 0"), 8), od.hourly(p.where("side = 1"), 8))
+    d = od.hourly_difference(od.hourly(p.where("side = 0"), 8, geo), od.hourly(p.where("side = 1"), 8, geo))
     return d.select("cell", "syn_volume", "obs_volume", "syn_peak", "obs_peak", F.round("volume_diff_pct", 6).alias("volume_diff_pct"), F.col("peak_shift").cast("int").alias("peak_shift"))
 
 
@@ -187,7 +187,7 @@ def stvd_difference(spark, sf):
  SELECT kind, {cell_sql(7)} AS cell, count(*) AS agents FROM m WHERE r = 1 GROUP BY ALL"""
 )
 def density_explicit(spark, sf):
-    return od.density(od.homes(views.pings(spark, sf), "purpose"), 7)
+    return od.density(od.homes(views.pings(spark, sf), "purpose", index=geo), 7, geo)
 
 
 @query(
@@ -196,12 +196,12 @@ def density_explicit(spark, sf):
  u AS (SELECT 'HOME' AS kind, lat, lng FROM h UNION ALL SELECT 'WORK', lat, lng FROM k) SELECT kind, {cell_sql(7)} AS cell, count(*) AS agents FROM u GROUP BY ALL"""
 )
 def density_heuristic(spark, sf):
-    return od.density(od.homes(views.pings(spark, sf), None), 7)
+    return od.density(od.homes(views.pings(spark, sf), None, index=geo), 7, geo)
 
 
 @query(common("pings", "profiles") + ", h AS (SELECT DISTINCT uid FROM pings WHERE purpose = 'HOME') SELECT count(*) AS total, count(p.uid) AS matching FROM h LEFT JOIN (SELECT uid FROM profiles WHERE gender = 'male') p USING (uid)")
 def density_matched_agents(spark, sf):
-    return od.matched(od.homes(views.pings(spark, sf), "purpose"), views.profiles(spark, sf).where("gender = 'male'"))
+    return od.matched(od.homes(views.pings(spark, sf), "purpose", index=geo), views.profiles(spark, sf).where("gender = 'male'"))
 
 
 @query(
@@ -210,7 +210,7 @@ def density_matched_agents(spark, sf):
  SELECT kind, cell, agents, CAST(len(list_filter(q, lambda x: x < agents)) AS INTEGER) AS class, round(100.0 * agents / total, 6) AS pct FROM d JOIN b USING (kind)"""
 )
 def density_annotated(spark, sf):
-    d = od.annotated(od.density(od.homes(views.pings(spark, sf), "purpose"), 9))
+    d = od.annotated(od.density(od.homes(views.pings(spark, sf), "purpose", index=geo), 9, geo))
     return d.select("kind", "cell", "agents", "class", F.round("pct", 6).alias("pct"))
 
 
@@ -311,7 +311,7 @@ def distance_sliced_wasserstein(spark, sf):
 )
 def distance_stvd_transport(spark, sf):
     a, b = _sides(views.pings(spark, sf))
-    return od.hourly_transport(a, b, 7, 4).select(F.round("sliced_w1", 3).alias("sliced_w1"))
+    return od.hourly_transport(a, b, 7, 4, index=geo).select(F.round("sliced_w1", 3).alias("sliced_w1"))
 
 
 QUERIES, ORACLE = query.queries, query.oracle

@@ -324,7 +324,7 @@ def report_all_sections(spark, sf):
 )
 def report_divergence_sections(spark, sf):
     p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
-    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("cpc", "activity", "motifs"))
+    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("cpc", "activity", "motifs"), index=geo)
     return rows.where("filter_key = 'all'").select("filter_key", "metric_name", F.round("value", 9).alias("value"), "unit")
 
 
@@ -379,12 +379,15 @@ TILES_9 = f"r AS (SELECT unnest(range(CAST(floor((48.80 + 90) * 256) AS BIGINT),
 
 
 @query(
-    common("pings") + f""", {TILES_9}, n AS (SELECT {cell_sql(9)} AS tile_id, count(*) AS k FROM pings GROUP BY 1), w AS (SELECT t.*, row_number() OVER (ORDER BY ln(k) - ln(-ln({draw(42, '0', 'tile_id')})) DESC, tile_id) - 1 AS anchor FROM t JOIN n USING (tile_id) WHERE lat BETWEEN 48.80 AND 48.86 AND lng BETWEEN 2.25 AND 2.33)
- SELECT anchor, tile_id, round(lat + ({draw(43, 'anchor')} - 0.5) * 2 * 0.4 / 256, 9) AS lat, round(lng + ({draw(44, 'anchor')} - 0.5) * 2 * 0.4 / 256, 9) AS lng FROM w WHERE anchor < 25"""
+    common("pings") + f""", {TILES_9}, n AS (SELECT {cell_sql(9)} AS tile_id, count(*) AS k FROM pings GROUP BY 1), w AS (SELECT t.*, CAST(round(1.0::DOUBLE / (1 + coalesce(k, 0)) * 1e9) AS BIGINT) AS w FROM t LEFT JOIN n USING (tile_id) WHERE lat BETWEEN 48.80 AND 48.86 AND lng BETWEEN 2.25 AND 2.33),
+ cum AS (SELECT *, sum(w) OVER (ORDER BY tile_id) AS upto, sum(w) OVER () AS total FROM w), drawn AS (SELECT id AS anchor FROM range((SELECT count(*) FROM pings)) r(id))
+ SELECT anchor, tile_id, round(lat + ({draw(43, 'anchor')} - 0.5) * 2 * 0.4 / 256, 9) AS lat, round(lng + ({draw(44, 'anchor')} - 0.5) * 2 * 0.4 / 256, 9) AS lng FROM drawn JOIN cum ON floor({draw(42, 'anchor')} * total) >= upto - w AND floor({draw(42, 'anchor')} * total) < upto"""
 )
 def tessellation_home_anchors(spark, sf):
-    t = tessellation.with_counts(tessellation.cover(spark, (2.25, 48.80, 2.33, 48.86), 9), views.pings(spark, sf), 9)
-    return tessellation.home_anchors(t, "total_poi_count", 25).select("anchor", "tile_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"))
+    """As many anchors as there are pings: far more than tiles."""
+    p = views.pings(spark, sf)
+    t = tessellation.with_counts(tessellation.cover(spark, (2.25, 48.80, 2.33, 48.86), 9), p, 9)
+    return tessellation.home_anchors(t, p.count()).select("anchor", "tile_id", F.round("lat", 9).alias("lat"), F.round("lng", 9).alias("lng"))
 
 
 @query(common("pings") + f", n AS (SELECT {cell_sql(7)} AS tile_id, count(*) AS total_poi_count FROM pings GROUP BY 1) SELECT tile_id, total_poi_count, CAST(NULL AS BIGINT) AS anchor FROM n UNION ALL SELECT -1 - id, NULL, id FROM range(3) t(id)")

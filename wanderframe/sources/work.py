@@ -47,6 +47,21 @@ def forget(*tables: DataFrame) -> None:
         fs.delete(p, True)
 
 
+def running_sums(df: DataFrame, order: list[str], value: str, name: str, part: str) -> DataFrame:
+    """``df`` with ``name``, the sum of a whole ``value`` over the rows before in the order of
+    the columns, and ``part``, the number of the range of rows.
+
+    The rows are written in ranges; sums run within a range and over the ranges' totals."""
+    spark = df.sparkSession
+    at = scratch(spark, "sums")
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", "zstd").parquet(at)
+    rows = spark.read.schema(df.schema).parquet(at).withColumn(part, F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long"))
+    totals = rows.groupBy(part).agg(F.sum(value).alias("__t"))  # a row for each range
+    before = totals.select(part, (F.sum("__t").over(Window.orderBy(part)) - F.col("__t")).alias("__before"))
+    own = F.sum(value).over(Window.partitionBy(part).orderBy(*order)) - F.col(value)
+    return rows.join(F.broadcast(before), part).withColumn(name, F.col("__before") + own).drop("__before")
+
+
 def dense_ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with ``name``: each row's place from 0 on in the order of the columns.
 
