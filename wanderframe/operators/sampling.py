@@ -70,7 +70,8 @@ def stratified_pairs(df: DataFrame, n: int, strata: str = "day_type", key: str =
     w = Window.partitionBy(strata)
     r = df.withColumns({"lo": F.row_number().over(w.orderBy(variation, key)) - 1, "hi": F.row_number().over(w.orderBy(F.desc(variation), key)) - 1, "rnd": F.row_number().over(w.orderBy(uniform(seed, key))) - 1, "m": F.count("*").over(w)})
     per = -(-n // 4)
-    lists = r.groupBy(strata).agg(*[F.transform(F.slice(F.sort_array(F.collect_list(F.struct(o, key))), 1, 4 * per), lambda x: x[key]).alias(o) for o in ("lo", "hi", "rnd")])
+    first = lambda o: F.collect_list(F.when(F.col(o) < 4 * per, F.struct(o, key)))  # noqa: E731  as many as draws, not the stratum
+    lists = r.groupBy(strata).agg(*[F.transform(F.sort_array(first(o)), lambda x: x[key]).alias(o) for o in ("lo", "hi", "rnd")])
     order = F.row_number().over(Window.orderBy(strata)) - 1
     s = lists.withColumn("turn", order).withColumn("k", F.count("*").over(Window.partitionBy()))
     draws = s.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).where(F.col("draw") % F.col("k") == F.col("turn")).withColumn("i", F.expr("cast(draw div k as int)"))
