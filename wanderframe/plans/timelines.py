@@ -313,7 +313,15 @@ def timeline_agent_detail(spark, sf):
 @query()
 def report_all_sections(spark, sf):
     p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
-    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"))
+    rest = tuple(x for x in compare.SECTIONS if x != "stvd")  # that section is a query of its own
+    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), rest, index=geo)
+    return rows.select("filter_key", "metric_name", F.round("value", 6).alias("value"), "unit")
+
+
+@query()
+def report_stvd_by_filter(spark, sf):
+    p = views.pings(spark, sf).withColumnRenamed("loc", "location_id").drop("event_id", "value")
+    rows, _ = compare.report(p.where("side = 0").drop("side"), p.where("side = 1").drop("side"), ("stvd",), index=geo)
     return rows.select("filter_key", "metric_name", F.round("value", 6).alias("value"), "unit")
 
 
