@@ -157,3 +157,26 @@ def test_blocks_cover_a_batch():
     batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array(range(10)), pa.array([0] * 10), pa.array(v)], names=["row", "vec_id", "label", "v"])
     got = list(vectors.blocks(batch, 3, 4))
     assert [len(b[0]) for b in got] == [4, 4, 2] and np.concatenate([b[3] for b in got])[:, 0].tolist() == list(range(10))
+
+
+def test_lists_are_merged_alone():
+    """What is added to one list costs no more however many lists there are: others are not
+    sorted again, and cheap numbers give the same products as whole ones."""
+    best, plain = vectors.Best(200_000, 10), {}
+    every = np.repeat(np.arange(200_000), 10)
+    best.add(every, every * 0, every, every)
+    sorted_ = []
+    lexsort = np.lexsort
+    try:
+        np.lexsort = lambda keys: sorted_.append(len(keys[0])) or lexsort(keys)
+        for i in range(30):
+            best.add(np.array([7, 9]), np.array([i, -i]), np.array([i, i]), np.array([i, i]))
+    finally:
+        np.lexsort = lexsort
+    assert max(sorted_) <= 22
+    plain = [x for of, x in zip(best.list, best.score, strict=True) if of == 7]
+    assert plain == list(range(29, 19, -1)) and len(best.list) == 2_000_000
+    a = np.random.default_rng(1).integers(-256, 257, (40, 64)).astype(np.float64)
+    assert vectors.dots(a, a).dtype == np.float32
+    for scale in (1.0, 2.0**12, 2.0**30):
+        assert (vectors.dots(a * scale, a).astype(np.int64) == vectors.product(a * scale, a)).all()

@@ -18,12 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, work_dir
-from .vectors import BLOCK, Best, best_of, blocks, extent, integers, matrix, product
+from .vectors import Best, best_of, blocks, dots, extent, integers, matrix
 
 #: Anchors a round: what is broadcast has a bounded number of vectors.
 ANCHORS = 16384
-#: Anchors that are multiplied at once.
-ROWS = 64
+#: Anchors that are multiplied at once, with so many rows.
+ROWS, BLOCK = 256, 4096
 LISTS = "list long, score long, id long, row long"
 MINED = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
@@ -81,13 +81,14 @@ def _positives(sent, width: int, k: int):
         best = Best(len(a["row"]), k)
         of = {x: np.flatnonzero(a["label"] == x) for x in np.unique(a["label"]).tolist()}
         for b in batches:
-            for rows, ids, labels, m in blocks(b, width):
+            for rows, ids, labels, m in blocks(b, width, BLOCK):
                 for x in np.unique(labels).tolist():
                     these = np.flatnonzero(labels == x)
-                    for start in range(0, len(of.get(x, ())), BLOCK):
-                        own = of[x][start : start + BLOCK]
-                        s = product(a["m"][own], m[these])
-                        i, j = np.nonzero((s >= best.least[own][:, None]) & (a["row"][own][:, None] != rows[these]))
+                    for start in range(0, len(of.get(x, ())), ROWS):
+                        own = of[x][start : start + ROWS]
+                        s = dots(a["m"][own], m[these])
+                        i, j = np.nonzero(s >= best.least[own].astype(s.dtype)[:, None])
+                        i, j = (y[a["row"][own[i]] != rows[these[j]]] for y in (i, j))
                         best.add(own[i], s[i, j], ids[these[j]], rows[these[j]])
         yield _told(best)
 
@@ -95,19 +96,33 @@ def _positives(sent, width: int, k: int):
 
 
 def _negatives(sent, windows, width: int, k: int):
+    """An anchor is multiplied once for all its windows: what reaches the lowest bound of any
+    of them is looked at window by window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, w = sent.value, windows.value
         best = Best(len(w["anchor"]), k)
         order = np.argsort(w["anchor"], kind="stable")  # lists of one anchor side by side
+        own, first, count = np.unique(w["anchor"][order], return_index=True, return_counts=True)
         for b in batches:
-            for rows, ids, labels, m in blocks(b, width):
-                for start in range(0, len(order), ROWS):
-                    lists = order[start : start + ROWS]
-                    own, back = np.unique(w["anchor"][lists], return_inverse=True)
-                    s = product(a["m"][own], m)[back]
-                    least = np.maximum(w["lo"][lists], best.least[lists])
-                    i, j = np.nonzero((s >= least[:, None]) & (s <= w["hi"][lists][:, None]) & (a["label"][own][back][:, None] != labels))
-                    best.add(lists[i], s[i, j], ids[j], rows[j])
+            for rows, ids, labels, m in blocks(b, width, BLOCK):
+                for start in range(0, len(own), ROWS):
+                    part = slice(start, start + ROWS)
+                    s = dots(a["m"][own[part]], m)
+                    mine = order[first[start] : first[part][-1] + count[part][-1]]
+                    low = np.minimum.reduceat(np.maximum(w["lo"][mine], best.least[mine]), first[part] - first[start])
+                    i, j = np.nonzero(s >= low.astype(s.dtype)[:, None])
+                    other = a["label"][own[part]][i] != labels[j]
+                    i, j = i[other], j[other]
+                    score = s[i, j].astype(np.int64)
+                    found = []
+                    for n in range(count[part].max()):
+                        has = np.flatnonzero(count[part][i] > n)
+                        at = order[first[part][i[has]] + n]
+                        fits = (score[has] >= np.maximum(w["lo"][at], best.least[at])) & (score[has] <= w["hi"][at])
+                        found.append((at[fits], has[fits]))
+                    at, has = (np.concatenate(x) for x in zip(*found, strict=True))
+                    best.add(at, score[has], ids[j[has]], rows[j[has]])
         yield _told(best)
 
     return run

@@ -69,29 +69,54 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([[min(max(x, SMALLEST), LARGEST) for x in row] for row in out], np.int64).reshape(len(a), len(b))
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows in the cheapest numbers that hold them exactly: float32 below
+    2 ** 24, float64 below 2 ** 53, else longs by :func:`product`."""
+    with np.errstate(over="ignore"):
+        most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * a.shape[1]
+    if most >= EXACT or np.isnan(most):
+        return product(a, b)
+    kind = np.float32 if most < 2.0**24 else np.float64
+    return a.astype(kind) @ b.astype(kind).T
+
+
 class Best:
     """The ``k`` best (score, id, row) of each of ``n`` lists: higher scores first, then
-    smaller ids, then smaller rows."""
+    smaller ids, then smaller rows.  What is added is merged with the lists it goes to alone."""
 
     def __init__(self, n: int, k: int) -> None:
         self.k = k
-        self.list, self.score, self.id, self.row = (np.empty(0, np.int64) for _ in range(4))
+        self._score, self._id, self._row = (np.empty((n, k), np.int64) for _ in range(3))
+        self._size = np.zeros(n, np.int64)
         #: A score below this cannot enter the list any more.
         self.least = np.full(n, SMALLEST, np.int64)
 
     def add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
         if not len(at):
             return
-        of, s = np.concatenate([self.list, at]), np.concatenate([self.score, score])
-        i, r = np.concatenate([self.id, ids]), np.concatenate([self.row, rows])
+        lists = np.unique(at)
+        old, *kept = self._flat(lists)
+        of = np.concatenate([old, at])
+        s, i, r = (np.concatenate(x) for x in zip(kept, (score.astype(np.int64), ids, rows), strict=True))
         # ~s turns the order round without overflow
         order = np.lexsort((r, i, ~s, of))
         of, s, i, r = of[order], s[order], i[order], r[order]
         rank = np.arange(len(of)) - np.searchsorted(of, of)
         keep = rank < self.k
-        self.list, self.score, self.id, self.row = of[keep], s[keep], i[keep], r[keep]
+        to = of[keep], rank[keep]
+        self._score[to], self._id[to], self._row[to] = s[keep], i[keep], r[keep]
         last = rank == self.k - 1
         self.least[of[last]] = s[last]
+        self._size[lists] = np.minimum(np.diff(np.append(np.searchsorted(of, lists), len(of))), self.k)
+
+    def _flat(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        has = np.arange(self.k) < self._size[lists][:, None]
+        return np.repeat(lists, self._size[lists]), self._score[lists][has], self._id[lists][has], self._row[lists][has]
+
+    list = property(lambda self: self._flat(np.arange(len(self._size)))[0])
+    score = property(lambda self: self._flat(np.arange(len(self._size)))[1])
+    id = property(lambda self: self._flat(np.arange(len(self._size)))[2])
+    row = property(lambda self: self._flat(np.arange(len(self._size)))[3])
 
 
 def best_of(df: DataFrame, keys: list[str], k: int) -> DataFrame:
