@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wanderframe.operators import distance, graph, routing, tessellation
+from wanderframe.operators import distance, graph, od, routing, tessellation
 from wanderframe.sources import io, work
 
 
@@ -100,3 +100,27 @@ def test_centroids_of_binary_geometries():
     assert io.wkb_centre(holed) == pytest.approx(((16 * 2 - 4 * 3) / 12, (16 * 2 - 4 * 1) / 12))
     assert io.wkb_centre(None) == io.wkb_centre(b"") == io.wkb_centre(b"\x01\x63\x00\x00\x00") == (None, None)
     assert io.wkb_centre(struct.pack("<BII", 1, 3, 0)) == (None, None)
+
+
+def far(a, b):
+    p, q = np.radians(a[0]), np.radians(b[:, 0])
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(b[:, 1] - a[1]) / 2) ** 2
+    return 2 * 6371000.0 * np.arcsin(np.sqrt(h))
+
+
+def crowd(n, lat=48.8):
+    """Points of which many share a place, around a few centres."""
+    rng = np.random.default_rng(8)
+    at = np.round(rng.normal(0, 0.004, (n, 2)) + rng.integers(0, 3, (n, 1)) * 0.006, 4) + [lat, 2.2]
+    return np.concatenate([at, at[: n // 3]])
+
+
+@pytest.mark.parametrize("lat", [48.8, 0.0, -70.0])
+def test_neighbours_of_places_that_points_share(spark, lat):
+    """Counts equal brute force, and rows between the steps are places, not pairs."""
+    at = crowd(600, lat)
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)] + [(5000, None, 2.2), (5001, float("nan"), 2.2)], "id long, lat double, lng double")
+    want = {i: int(((far(x, at) <= 500) & (np.abs(at - x) <= 0.0045).all(axis=1)).sum()) - 1 for i, x in enumerate(at)}
+    assert {r.id: r.n for r in od.neighbours_within(df).collect()} == want | {5000: 0, 5001: 0}
+    plan = od.neighbours_within(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # places with their counts; no join makes pairs

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hexagons
 from ..functions.geo import haversine
-from ..functions.scalar import bivariate_class, purpose, searchsorted
+from ..functions.scalar import bivariate_class, finite, purpose, searchsorted
 from . import quantiles as q
 from .traj import anchors, located, modal
 
@@ -83,17 +85,73 @@ def annotated(d: DataFrame) -> DataFrame:
     return d.join(F.broadcast(breaks), "kind").select("kind", "cell", "agents", searchsorted("breaks", F.col("agents").cast("double")).alias("class"), (100.0 * F.col("agents") / F.col("all")).alias("pct"))
 
 
+#: Height of the strips that neighbours are counted by, in parts of the distance.
+STRIPS = 32
+
+
 def neighbours_within(points: DataFrame, metres: float = 500.0, degrees: float = 0.0045, key: str = "id", lat: str = "lat", lng: str = "lng") -> DataFrame:
     """(id, n): other points within the distance and the box of degrees.
 
-    Points meet in grid squares of that many degrees: each looks into its own and the eight
-    around it, so that no pair beyond is ever made."""
-    g = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lng).alias("lng"), F.floor(F.col(lat) / degrees).alias("gy"), F.floor(F.col(lng) / degrees).alias("gx"))
+    Places, not points, meet in grid squares of that many degrees: each looks into its own and
+    the eight around it.  There the places lie in strips, sorted by longitude; what is surely
+    within is counted by running sums, and only places near the circle are measured, so that
+    no list of pairs is made.  A task holds the places of nine squares at most."""
+    g = points.select(F.col(key).alias("id"), F.col(lat).cast("double").alias("lat"), F.col(lng).cast("double").alias("lng"))
+    square = [F.floor(F.col("lat") / degrees).alias("gy"), F.floor(F.col("lng") / degrees).alias("gx")]
+    places = g.where(finite("lat") & finite("lng")).groupBy("lat", "lng").agg(F.count("id").alias("w")).select("lat", "lng", "w", *square)
     steps = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    probe = g.select(F.col("id").alias("a"), F.col("lat").alias("alat"), F.col("lng").alias("alng"), "gy", "gx", F.explode(steps).alias("s")).select("a", "alat", "alng", (F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("gx") + F.col("s.dx")).alias("gx"))
-    near = (F.abs(F.col("alat") - F.col("lat")) <= degrees) & (F.abs(F.col("alng") - F.col("lng")) <= degrees) & (haversine("alat", "alng", "lat", "lng", 6371000.0) <= metres)
-    hits = probe.join(g, ["gy", "gx"]).where((F.col("a") != F.col("id")) & near).groupBy("a").agg(F.count("*").alias("n"))
-    return g.select("id").join(hits.withColumnRenamed("a", "id"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    met = places.withColumn("s", F.explode(steps)).select((F.col("gy") + F.col("s.dy")).alias("gy"), (F.col("gx") + F.col("s.dx")).alias("gx"), "lat", "lng", "w", ((F.col("s.dy") == 0) & (F.col("s.dx") == 0)).alias("own"))
+
+    def counted(square: pa.Table) -> pa.Table:
+        y, x, w = (square[c].to_numpy() for c in ("lat", "lng", "w"))
+        own = np.flatnonzero(square["own"].to_numpy())
+        n = np.concatenate([_within(y[o], x[o], y, x, w, metres, degrees) for o in np.array_split(own, -(-len(own) // 4096))]) if len(own) else np.zeros(0, np.int64)
+        return pa.table([pa.array(y[own]), pa.array(x[own]), pa.array(n)], names=["lat", "lng", "n"])
+
+    n = met.groupBy("gy", "gx").applyInArrow(counted, "lat double, lng double, n long")
+    return g.join(n, ["lat", "lng"], "left").select("id", F.coalesce(F.when(F.col("id").isNotNull(), F.col("n") - 1), F.lit(0).cast("long")).alias("n"))
+
+
+def _within(y: np.ndarray, x: np.ndarray, ys: np.ndarray, xs: np.ndarray, w: np.ndarray, metres: float, degrees: float, radius: float = 6371000.0) -> np.ndarray:
+    """Weights of the places (ys, xs, w) within the distance and the box of each (y, x), itself
+    included."""
+    out = np.zeros(len(y), np.int64)
+    most = np.sin(metres / radius / 2) ** 2
+    strip = np.floor((ys - ys.min()) / (degrees / STRIPS)).astype(np.int64)
+    order = np.lexsort((xs, strip))
+    ys, xs, w, strip = ys[order], xs[order], w[order], strip[order]
+    sums = np.concatenate([[0], np.cumsum(w)])
+    starts = np.flatnonzero(np.diff(strip, prepend=-1))
+    wide, narrow = degrees * (1 + 1e-9), degrees * (1 - 1e-9)
+    for a, b in zip(starts, np.append(starts[1:], len(ys)), strict=True):
+        low, high = ys[a:b].min(), ys[a:b].max()
+        near, far = np.maximum(0, np.maximum(low - y, y - high)), np.maximum(np.abs(y - low), np.abs(y - high))
+        c = np.cos(np.radians([low, high]))
+
+        def half(gap: np.ndarray, cos: float) -> np.ndarray:
+            """Half the width of the circle at so many degrees north or south, in degrees."""
+            left = (most - np.sin(np.radians(gap) / 2) ** 2) / np.maximum(np.cos(np.radians(y)) * cos, 1e-300)  # noqa: B023
+            return np.where(left < 0, -1.0, np.degrees(2 * np.arcsin(np.sqrt(np.clip(left, 0, 1)))))
+
+        outer = np.where(near > wide, -1.0, np.minimum(half(near, c.min() * (1 - 1e-9)) * (1 + 1e-9) + 1e-12, wide))
+        inner = np.where(far > narrow, -1.0, np.minimum(half(far, (1.0 if low <= 0 <= high else c.max()) * (1 + 1e-9)) * (1 - 1e-9) - 1e-12, narrow))
+        at = np.flatnonzero(outer >= 0)
+        band = xs[a:b]
+        left, right = (a + np.searchsorted(band, x[at] + s * outer[at], side) for s, side in ((-1, "left"), (1, "right")))
+        some = inner[at] >= 0
+        first = np.where(some, a + np.searchsorted(band, x[at] - inner[at], "left"), right)
+        last = np.where(some, a + np.searchsorted(band, x[at] + inner[at], "right"), right)
+        first, last = np.clip(first, left, right), np.clip(last, left, right)
+        out[at] += sums[last] - sums[first]
+        for start, end in ((left, first), (last, right)):
+            size = np.maximum(end - start, 0)
+            i = np.repeat(at, size)
+            j = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+            p, q = np.radians(y[i]), np.radians(ys[j])
+            h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(xs[j] - x[i]) / 2) ** 2
+            hit = (2 * radius * np.arcsin(np.sqrt(np.clip(h, 0, 1))) <= metres) & (np.abs(y[i] - ys[j]) <= degrees) & (np.abs(x[i] - xs[j]) <= degrees)
+            np.add.at(out, i[hit], w[j[hit]])
+    return out
 
 
 def snap(points: DataFrame, nodes: DataFrame, metres: float = 750.0) -> DataFrame:
