@@ -124,3 +124,19 @@ def test_neighbours_of_places_that_points_share(spark, lat):
     assert {r.id: r.n for r in od.neighbours_within(df).collect()} == want | {5000: 0, 5001: 0}
     plan = od.neighbours_within(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1  # places with their counts; no join makes pairs
+
+
+def test_nearest_of_crowded_nodes(spark, monkeypatch):
+    """Many nodes at each of many places: least node of the nearest place, on any grid."""
+    at = crowd(400)
+    spots = np.concatenate([crowd(300) + [0.0003, 0.0002]] * 4)
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at)] + [(5000, 10.0, 2.2), (5001, None, 2.2)], "id long, lat double, lng double")
+    nodes = spark.createDataFrame([(len(spots) - i, *map(float, x)) for i, x in enumerate(spots)], "node long, lat double, lng double")
+    want = {5000: (-1, None), 5001: (-1, None)}
+    for i, x in enumerate(at):
+        d = far(x, spots)
+        best = d.min()
+        want[i] = (min(len(spots) - k for k in np.flatnonzero(d < best + 1e-6)), pytest.approx(best, abs=1e-6)) if best <= 750 else (-1, None)
+    for crowded in (16, 10**6):
+        monkeypatch.setattr(od, "CROWD", crowded)
+        assert {r.id: (r.node, r.metres) for r in od.snap(points, nodes).collect()} == want

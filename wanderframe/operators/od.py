@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import hexagons
 from ..functions.geo import haversine
 from ..functions.scalar import bivariate_class, finite, purpose, searchsorted
+from ..sources.work import stored
 from . import quantiles as q
 from .traj import anchors, located, modal
 
@@ -154,19 +157,37 @@ def _within(y: np.ndarray, x: np.ndarray, ys: np.ndarray, xs: np.ndarray, w: np.
     return out
 
 
+#: Finer grids for the nearest node: each has squares a quarter as wide.
+FINER, CROWD = 5, 16
+
+
 def snap(points: DataFrame, nodes: DataFrame, metres: float = 750.0) -> DataFrame:
     """(id, node, metres): the nearest node within the distance, or -1.
 
-    Squares of the grid are as wide as the distance at the points' latitude or wider."""
-    step = metres / 111_000.0
-    at = lambda lat, lng: (F.floor(lat / step), F.floor(lng / (step * 2)))  # noqa: E731  longitudes shrink to half at 60 degrees
-    ny, nx = at(F.col("lat"), F.col("lng"))
-    n = nodes.select(F.col("node"), F.col("lat").alias("nlat"), F.col("lng").alias("nlng"), ny.alias("gy"), nx.alias("gx"))
+    Places, not points, are looked up among the least nodes of places.  Squares of the grid are
+    as wide as the distance at the points' latitude or wider; where nodes crowd, finer grids
+    come first, and a place whose nearest lies within a square's width is done."""
+    known = points.select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    left = stored(known.where(finite("lat") & finite("lng")).select("lat", "lng").distinct(), "places")
+    spots = stored(nodes.where(finite("lat") & finite("lng")).groupBy(F.col("lat").cast("double").alias("nlat"), F.col("lng").cast("double").alias("nlng")).agg(F.min("node").alias("node")), "spots")
+    at = lambda lat, lng, m: (F.floor(lat / (m / 111_000.0)), F.floor(lng / (m / 111_000.0 * 2)))  # noqa: E731  longitudes shrink to half at 60 degrees
+    level = 0
+    while level < FINER and not spots.groupBy(*at(F.col("nlat"), F.col("nlng"), metres / 4**level)).count().where(F.col("count") > CROWD).isEmpty():
+        level += 1
     steps = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    p = points.select("id", "lat", "lng").withColumn("s", F.explode(steps)).select("id", "lat", "lng", (ny + F.col("s.dy")).alias("gy"), (nx + F.col("s.dx")).alias("gx"))
     d = haversine("lat", "lng", "nlat", "nlng", 6371000.0)
-    best = p.join(n, ["gy", "gx"]).withColumn("metres", d).where(F.col("metres") <= metres).groupBy("id").agg(F.min(F.struct("metres", "node")).alias("m"))
-    return points.select("id").join(best, "id", "left").select("id", F.coalesce(F.col("m.node"), F.lit(-1)).alias("node"), F.col("m.metres").alias("metres"))
+    found = []
+    for k in range(level, -1, -1):
+        reach = metres / 4**k
+        ny, nx = at(F.col("nlat"), F.col("nlng"), reach)
+        py, px = at(F.col("lat"), F.col("lng"), reach)
+        n = spots.withColumn("s", F.explode(steps)).select("node", "nlat", "nlng", (ny + F.col("s.dy")).alias("gy"), (nx + F.col("s.dx")).alias("gx"))
+        best = left.withColumns({"gy": py, "gx": px}).join(n, ["gy", "gx"]).withColumn("metres", d).where(F.col("metres") <= reach).groupBy("lat", "lng").agg(F.min(F.struct("metres", "node")).alias("m"))
+        found.append(stored(best, "snapped"))
+        if k:
+            left = stored(left.join(found[-1], ["lat", "lng"], "left_anti"), "places")
+    best = reduce(DataFrame.unionByName, found)
+    return known.join(best, ["lat", "lng"], "left").select("id", F.coalesce(F.col("m.node"), F.lit(-1)).alias("node"), F.col("m.metres").alias("metres"))
 
 
 def hourly_transport(synthetic: DataFrame, observed: DataFrame, res: int, slices: int = 16, seed: int = 42, index=hexagons, by: list[str] | None = None) -> DataFrame:
