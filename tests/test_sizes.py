@@ -1,8 +1,10 @@
 """What queries do on tables that are denser than the smallest test tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from wanderframe.operators import tessellation
 
 
 def crowded(spark, at, users=30, n=900):
@@ -15,3 +17,19 @@ def crowded(spark, at, users=30, n=900):
 def test_metrics_of_a_graph_without_edges_are_not_compared(spark, tmp_path):
     """As its SQL, which joins both sides' summaries."""
     assert entry.queries()["graph_metric_summaries"](spark, crowded(spark, tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_friends_in_a_crowd_are_those_drawn_by_name(spark, monkeypatch, block):
+    """Many around or few: the same friends."""
+    monkeypatch.setattr(tessellation, "BLOCK", block)
+    people = spark.range(60).select(F.col("id").alias("uid"), (F.lit(7 << 52) + F.col("id") % 3).cast("long").alias("home"), (F.col("id") % 4).alias("work"))
+    one, other = (sorted(map(tuple, tessellation.friendships(people, few=f).collect())) for f in (1024, 20))
+    assert one == other and len(one) > 60
+
+
+def test_friends_in_a_large_crowd(spark):
+    """So many around that only high draws are kept: still those drawn by name."""
+    people = spark.range(700).select(F.col("id").alias("uid"), F.lit(7 << 52).cast("long").alias("home"), (F.col("id") % 4).alias("work"))
+    one, other = (sorted(map(tuple, tessellation.friendships(people, few=f).collect())) for f in (1024, 20))
+    assert one == other and len(one) > 700

@@ -16,10 +16,14 @@ def hashed_rows(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key).limit(n)
 
 
+def gumbel(weight, seed: int, *cols):
+    """A draw whose order takes rows without replacement with chances by weight."""
+    return F.log(weight) - F.log(-F.log(uniform(seed, *cols)))
+
+
 def weighted(df: DataFrame, by: list[str], key: str, weight: str, n: int, seed: int = 42) -> DataFrame:
     """n rows per group without replacement with chances by weight (Gumbel top-n)."""
-    score = F.log(F.col(weight)) - F.log(-F.log(uniform(seed, *by, key)))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), key))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(gumbel(F.col(weight), seed, *by, key)), key))
     return df.where(F.col(weight) > 0).withColumn("draw", rank).where(F.col("draw") <= n)
 
 
