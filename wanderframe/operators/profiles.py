@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import minutes_between, tokens
+from ..sources.work import stored
 from .quantiles import quantiles
 from .sampling import weighted
 
@@ -127,17 +128,45 @@ def token_steps(v: DataFrame, minutes: int = 5) -> DataFrame:
     return steps.groupBy("uid", "t").agg(F.max_by("token", "start_timestamp").alias("token"))
 
 
+def token_spans(v: DataFrame, minutes: int = 5) -> DataFrame:
+    """(uid, a, b, token): the steps of :func:`token_steps` as spans of one token, first and
+    last step included, a row for each visit instead of each step.
+
+    Where no visit outlasts a later one each holds until the next begins; users of whom one
+    does are taken step by step."""
+    size = minutes * 60
+    a = F.ceil(F.unix_seconds(F.col("start_timestamp").cast("timestamp")) / size)
+    b = F.floor(F.unix_seconds(F.col("end_timestamp").cast("timestamp")) / size)
+    own = stored(v.select("uid", "location_id", "purpose", "start_timestamp", "end_timestamp", a.alias("a"), b.alias("b")).where("b >= a"), "visits")
+    w = Window.partitionBy("uid").orderBy("start_timestamp", "b", "location_id", "purpose")
+    following = own.withColumns({"next": F.lead("a").over(w), "later": F.lead("b").over(w), "same": F.lead("start_timestamp").over(w) == F.col("start_timestamp")})
+    nested = stored(following.where((F.col("later") < F.col("b")) | F.col("same")).select("uid").distinct(), "nested")
+    plain = following.join(F.broadcast(nested) if nested.count() < 10_000 else nested, "uid", "left_anti")
+    spans = plain.select("uid", "a", F.least("b", F.col("next") - 1).alias("b"), tokens("location_id", "purpose").alias("token")).where("b >= a")
+    steps = token_steps(own.join(nested, "uid", "left_semi"), minutes)
+    return spans.unionByName(steps.select("uid", F.col("t").alias("a"), F.col("t").alias("b"), "token"))
+
+
 def intermittency(steps: DataFrame) -> DataFrame:
     """(uid, returner_run, explorer_run, intermittency, degree_of_return).
 
     A step is known if its token was seen before or is frequent (0.8 of the user's mean
-    frequency); R and E are the mean lengths of known and new runs."""
-    by_user, w = Window.partitionBy("uid"), Window.partitionBy("uid").orderBy("t")
-    freq = steps.withColumn("n", F.count("*").over(Window.partitionBy("uid", "token"))).withColumn("first", F.min("t").over(Window.partitionBy("uid", "token")))
-    mean = F.count("*").over(by_user) / F.size(F.collect_set("token").over(by_user))
-    known = freq.withColumn("mean", mean).withColumn("known", (F.col("t") > F.col("first")) | (F.col("n") >= 0.8 * F.col("mean")))
-    run = known.withColumn("new", (~F.coalesce(F.lag("known").over(w) == F.col("known"), F.lit(False))).cast("long")).withColumn("run", F.sum("new").over(w))
-    lengths = run.groupBy("uid", "run", "known").agg(F.count("*").alias("len"))
+    frequency); R and E are the mean lengths of known and new runs.  Steps are (uid, t, token)
+    or spans of them (uid, a, b, token)."""
+    spans = steps if "a" in steps.columns else steps.select("uid", F.col("t").alias("a"), F.col("t").alias("b"), "token")
+    by_user, by_token, w = Window.partitionBy("uid"), Window.partitionBy("uid", "token"), Window.partitionBy("uid").orderBy("a")
+    # One shuffle by user serves all windows.
+    freq = spans.repartition("uid").withColumn("k", F.col("b") - F.col("a") + 1).withColumn("n", F.sum("k").over(by_token)).withColumn("first", F.min("a").over(by_token))
+    mean = F.sum("k").over(by_user) / F.sum((F.col("a") == F.col("first")).cast("long")).over(by_user)
+    known = freq.withColumn("frequent", F.col("n") >= 0.8 * mean)
+    # Of a span the first step is new if it is the token's first and the token is not frequent.
+    new = ~F.col("frequent") & (F.col("a") == F.col("first"))
+    part = lambda known, a, k: F.struct(F.lit(known).alias("known"), a.alias("a"), k.alias("k"))
+    whole = F.array(part(True, F.col("a"), F.col("k")))
+    cut = F.filter(F.array(part(False, F.col("a"), F.lit(1).cast("long")), part(True, F.col("a") + 1, F.col("k") - 1)), lambda x: x.k > 0)
+    parts = known.select("uid", F.explode(F.when(new, cut).otherwise(whole)).alias("p")).select("uid", "p.*")
+    run = parts.withColumn("new", (~F.coalesce(F.lag("known").over(w) == F.col("known"), F.lit(False))).cast("long")).withColumn("run", F.sum("new").over(w))
+    lengths = run.groupBy("uid", "run", "known").agg(F.sum("k").alias("len"))
     r = lengths.groupBy("uid").agg(F.coalesce(F.avg(F.when(F.col("known"), F.col("len"))), F.lit(0.0)).alias("returner_run"), F.coalesce(F.avg(F.when(~F.col("known"), F.col("len"))), F.lit(0.0)).alias("explorer_run"))
     return r.withColumn("intermittency", F.col("returner_run") + F.col("explorer_run")).withColumn("degree_of_return", F.atan2("returner_run", "explorer_run"))
 
@@ -199,7 +228,7 @@ def clustered(features: DataFrame, rounds: int = 100) -> DataFrame:
 
     Lloyd's rounds from the order statistics at 1/6, 1/2 and 5/6 of degree_of_return; a round
     is one aggregation and only the three centres come to the driver.  By their mean degree
-    of return the clusters are Routiner, Regular and Scouter."""
+    of return the clusters are Routiner, Regular and Scouter.  All rounds read one stored table."""
     s = features.agg(*[f(c).alias(f"{n}_{c}") for c in ("intermittency", "degree_of_return") for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if s is None or s.m_intermittency is None:
         return features.withColumn("profile", F.lit(None).cast("string"))
