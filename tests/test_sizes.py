@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wanderframe.operators import tessellation
+from wanderframe.operators import profiles, tessellation
+from wanderframe.sources import work
 
 
 def crowded(spark, at, users=30, n=900):
@@ -33,3 +34,19 @@ def test_friends_in_a_large_crowd(spark):
     people = spark.range(700).select(F.col("id").alias("uid"), F.lit(7 << 52).cast("long").alias("home"), (F.col("id") % 4).alias("work"))
     one, other = (sorted(map(tuple, tessellation.friendships(people, few=f).collect())) for f in (1024, 20))
     assert one == other and len(one) > 700
+
+
+def test_spans_are_the_steps_of_visits(spark, monkeypatch):
+    """Nested, touching and alike visits included: runs by spans are runs by steps, of far fewer
+    rows, and all rounds of the clusters read one table."""
+    at = lambda h: F.expr(f"timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, cast(({h}) * 30 as int), 0)")
+    v = spark.range(600).select((F.col("id") % 20).alias("uid"), at("id div 20 * 7 + id % 20").alias("start_timestamp"), at("id div 20 * 7 + id % 20 + CASE WHEN id % 20 < 5 THEN pmod(hash(id), 30) ELSE 7 END").alias("end_timestamp"), (F.hash("id") % 4).cast("string").alias("location_id"), F.lit("OTHER").alias("purpose"))
+    steps, spans = profiles.token_steps(v, 5), profiles.token_spans(v, 5)
+    each = spans.select("uid", F.explode(F.sequence("a", "b")).alias("t"), "token")
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, steps.collect()))
+    assert spans.where("uid >= 5").count() <= 15 * 30 < steps.where("uid >= 5").count() / 5
+    rounded = lambda df: sorted((r.uid, round(r.returner_run, 9), round(r.explorer_run, 9)) for r in df.collect())
+    assert rounded(profiles.intermittency(steps)) == rounded(profiles.intermittency(spans))
+    kept = []
+    monkeypatch.setattr(profiles, "stored", lambda df, name: kept.append(name) or work.stored(df, name))
+    assert profiles.clustered(profiles.intermittency(steps)).count() == 20 and "features" in kept

@@ -229,6 +229,7 @@ def clustered(features: DataFrame, rounds: int = 100) -> DataFrame:
     Lloyd's rounds from the order statistics at 1/6, 1/2 and 5/6 of degree_of_return; a round
     is one aggregation and only the three centres come to the driver.  By their mean degree
     of return the clusters are Routiner, Regular and Scouter.  All rounds read one stored table."""
+    features = stored(features, "features")
     s = features.agg(*[f(c).alias(f"{n}_{c}") for c in ("intermittency", "degree_of_return") for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     if s is None or s.m_intermittency is None:
         return features.withColumn("profile", F.lit(None).cast("string"))
