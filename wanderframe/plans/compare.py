@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import hexagons
 from ..operators import activity, distance, filters, graph, laws, od, profiles, sampling, traj, transport
 from ..sources import io, schema
+from ..sources.work import stored
 
 SECTIONS = ("distributions", "activity", "motifs", "profiles", "cpc", "stvd", "laws", "transport", "network")
 
@@ -48,7 +49,7 @@ def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame,
     if name == "motifs":
         return [_row(distance.jensen_shannon(*(profiles.motif_shares(profiles.daily_motifs(v)) for v in (vs, vo)), ["motif"], "n"), "jsd_motifs", "jsd")]
     if name == "profiles":
-        m = [profiles.profile_metrics(v).persist() for v in (vs, vo)]  # four distances read each
+        m = [stored(profiles.profile_metrics(v), "profiles") for v in (vs, vo)]  # four distances read each
         return [_row(distance.wasserstein(*m, c), f"w1_{c}", "w1") for c in ("regularity", "diversity", "entropy", "stationarity")]
     if name == "cpc":
         return [_row(od.common_part(od.flows(s, r, index), od.flows(o, r, index)), f"cpc_{r}", "cpc") for r in (7, 8, 9)]
@@ -65,7 +66,7 @@ def section(name: str, s: DataFrame, o: DataFrame, vs: DataFrame, vo: DataFrame,
         t = transport.summary(reduce(DataFrame.unionByName, legs))
         return [t.select(F.lit("all").alias("filter_key"), F.concat_ws("_", F.lit("share"), "source", "mode").alias("metric_name"), F.col("share").alias("value"), F.lit("%").alias("unit"))]
     if name == "network":
-        e = [graph.normalized(graph.co_presence(v, ts="start_timestamp")[0]).persist() for v in (vs, vo)]
+        e = [stored(graph.normalized(graph.co_presence(v, ts="start_timestamp")[0]), "edges") for v in (vs, vo)]
         return [_row(distance.wasserstein(graph.degree(e[0]), graph.degree(e[1]), "degree"), "w1_degree", "w1"), _row(distance.wasserstein(graph.clustering(e[0]), graph.clustering(e[1]), "clustering"), "w1_clustering", "w1")]
     raise ValueError(f"unknown section {name}")
 
@@ -97,9 +98,9 @@ def profiles_block(vs: DataFrame, vo: DataFrame, minutes: int = 5, most: int = 4
     order, and ``box``, the quartiles of each metric by side and profile."""
     sides = []
     for name, v in (("synthetic", vs), ("observed", vo)):
-        kinds = profiles.clustered(profiles.intermittency(profiles.token_steps(v, minutes)))
+        kinds = profiles.clustered(profiles.intermittency(profiles.token_spans(v, minutes)))
         m = profiles.profile_metrics(v).join(kinds.select("uid", "profile", "intermittency", "degree_of_return"), "uid")
-        sides.append(m.withColumn("dataset", F.lit(name)).persist())
+        sides.append(stored(m.withColumn("dataset", F.lit(name)), "profiles"))
     points = [sampling.hashed_rows(m.select("dataset", "uid", "profile", F.col("degree_of_return").alias("x"), F.col("intermittency").alias("y")), "uid", most) for m in sides]
     metrics = ("regularity", "diversity", "entropy", "stationarity")
     long = reduce(DataFrame.unionByName, sides).select("dataset", "profile", F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in metrics])).alias("m")).select("dataset", "profile", "m.metric", "m.value")
@@ -120,8 +121,8 @@ def report(synthetic: DataFrame, observed: DataFrame, sections: tuple[str, ...]
         t, w = traj.adapt(t, mode, location, has_duration=schema.find(t, "duration") is not None or schema.find(t, "end") is not None)
         v, w2 = traj.activity_visits(t, location, schema.find(t, "end"), purpose)
         warnings += [x for x in (w, w2) if x]
-        sides.append(t.persist())
-        visits.append(v.persist())
+        sides.append(stored(t, "side"))
+        visits.append(stored(v, "visits"))
     rows = [r for name in sections for r in section(name, *sides, *visits, index)]
     return reduce(DataFrame.unionByName, rows), warnings
 
