@@ -75,3 +75,23 @@ def test_a_search_holds_a_block_at_a_time(spark, monkeypatch):
         assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
         got.append(sorted((r.id, r["rank"], r.neighbour) for r in found.collect()))
     assert got[0] == got[1] == got[2] and len(got[0]) == 480
+
+
+def test_leaders_of_large_groups(spark, monkeypatch):
+    """Chunk by chunk, with copies of leaders and a small group beside: as one by one."""
+    v = np.random.default_rng(6).normal(size=(120, 4))
+    v = np.concatenate([v, v[:40]])
+    rows = [(i % 4 // 3, (i * 37) % 160, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "g long, id long, v array<double>").repartition(3)
+    want = {}
+    for g in (0, 1):
+        led = []
+        for _, i, x in sorted(r for r in rows if r[0] == g):
+            x = np.array(x) / np.linalg.norm(x)
+            want[g, i] = next((j for j, y in led if x @ y >= 0.8), i)
+            if want[g, i] == i:
+                led.append((i, x))
+    monkeypatch.setattr(graph, "CHUNK", 50)
+    assert {(r.g, r.id): r.leader for r in graph.leader_clusters(df, 0.8).collect()} == want
+    monkeypatch.setattr(graph, "CHUNK", 8192)
+    assert {(r.g, r.id): r.leader for r in graph.leader_clusters(df, 0.8).collect()} == want
