@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from wanderframe.functions.digests import md5_heads
-from wanderframe.operators import graph, profiles, tessellation
+from wanderframe.operators import distance, graph, presence, profiles, quantiles, tessellation
 from wanderframe.sources import work
 
 
@@ -40,6 +40,46 @@ def test_friends_in_a_large_crowd(spark):
     assert one == other and len(one) > 700
 
 
+def test_metrics_of_crowded_places_are_whole(spark, tmp_path):
+    """Thirty users at one place: all pairs of them."""
+    got = {r.metric: r for r in entry.queries()["graph_metric_summaries"](spark, crowded(spark, tmp_path)).collect()}
+    assert (got["degree"].obs_n, got["degree"].obs_mean, got["degree"].obs_std) == (30, 29.0, 0.0)
+    assert (got["overlap"].obs_n, got["overlap"].obs_p10) == (435, round(28 / 30, 6))
+    assert got["clustering"].obs_median == 1.0
+
+
+def test_metrics_of_places_without_company_are_not_compared(spark, tmp_path):
+    """As its SQL, which joins both sides' summaries."""
+    e = spark.range(40).select((F.col("id") * 40).alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(id as int), 0, 0, 0)").alias("ts"), (F.col("id") * 40).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    assert entry.queries()["graph_metric_summaries"](spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize(("side", "sparse"), [(4096, 64), (64, 1 << 40), (32, 1 << 40), (32, 0)])
+def test_metrics_without_a_list_of_pairs(spark, monkeypatch, side, sparse):
+    """In blocks of any size, with users alike, alone or unnamed: as from the list of pairs."""
+    monkeypatch.setattr(presence, "SIDE", side)
+    monkeypatch.setattr(presence, "SPARSE", sparse)
+    users = "CASE WHEN id % 97 = 0 THEN NULL ELSE CASE WHEN id % 5 = 0 THEN id % 130 + 1000 ELSE id % 130 END END"
+    places = "CASE WHEN id % 5 = 0 AND id % 130 < 60 THEN 7 WHEN id % 89 = 0 THEN NULL WHEN id % 130 = 3 THEN -id ELSE pmod(hash(id), 25) END"
+    df = spark.range(900).selectExpr(f"{users} AS uid", f"{places} AS location_id", "timestamp_ntz'2024-01-01' + make_dt_interval(cast(id % 3 as int), 0, 0, 0) AS datetime")
+    listed = graph.counted(graph.metrics(graph.normalized(graph.co_presence(df, None)[0])))
+    rounded = lambda t: sorted((r.metric, round(r.value, 12), r.n) for r in t.collect())
+    got = rounded(presence.metric_values(df))
+    assert got == rounded(listed) and len(got) > 100
+
+
+def test_summaries_by_weight(spark):
+    """A row that counts as many is that many rows, in selections of quantiles too."""
+    df = spark.createDataFrame([(i % 2, float((i * i) % 23) / 7, i % 6 + 1) for i in range(90)], "g long, v double, n long")
+    one = lambda t: df.select("g", "v", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k")) if t else df
+    flat = lambda t: sorted(tuple(round(x, 9) for x in r) for r in t.collect())
+    assert flat(distance.summary(one(True), "v", ["g"])) == flat(distance.summary(df, "v", ["g"], "n"))
+    assert flat(distance.wasserstein(one(True).where("g = 0"), one(True).where("g = 1"), "v")) == flat(distance.wasserstein(df.where("g = 0"), df.where("g = 1"), "v", weight="n"))
+    a, b = (quantiles.quantiles(t, "v", [0.1, 0.5, 0.93], ["g"], few=10, parts=16, weight=w) for t, w in ((one(True), None), (df, "n")))
+    assert sorted((r.g, r.n, r.q) for r in a.collect()) == sorted((r.g, r.n, r.q) for r in b.collect())
+
+
 def test_heads_of_md5():
     """Any lengths of both parts, over words and blocks."""
     rng = np.random.default_rng(3)
